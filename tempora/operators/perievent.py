@@ -129,11 +129,11 @@ def centre_on_first_bins(rates: DataFrame, on: Sequence[str], n_first: int = 5)
 
 
 def signed_peak(z: DataFrame, on: Sequence[str], after: Column) -> DataFrame:
-    """Largest deviation by magnitude after the event (positive wins a tie); units with a null
-    bin are dropped. `peak_rank` orders them, largest first."""
+    """Largest deviation by magnitude after the event (positive wins a tie, to nine digits);
+    units with a null bin are dropped. `peak_rank` orders them, largest first."""
     hi, lo = F.max(F.when(after, F.col("z"))), F.min(F.when(after, F.col("z")))
     peaks = z.groupBy(*on).agg(
-        F.when(F.abs(hi) >= F.abs(lo), hi).otherwise(lo).alias("signed_peak"),
+        F.when(F.round(F.abs(hi), 9) >= F.round(F.abs(lo), 9), hi).otherwise(lo).alias("signed_peak"),
         F.bool_and(F.col("z").isNotNull()).alias("__full"),
     ).where("__full").drop("__full")
     back = peaks.withColumn("__o", -F.round("signed_peak", 9))

@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("time_joins",)
+GROUPS = ("time_joins", "movement_tables", "peri_event", "describing")
 
 
 def all_queries():
