@@ -1,16 +1,21 @@
-"""Tail probabilities as Column expressions, evaluated in the JVM once per result row.
+"""Tail probabilities of test statistics.
 
-Spark has no erf, log-gamma or incomplete beta. The normal tail is a rational approximation good
-to double precision, log-gamma a shifted Stirling series, the incomplete beta a continued
-fraction with a fixed number of steps, so the cost per row does not depend on the sample size.
+Spark has no erf, log-gamma or incomplete beta, and spelling them out as Columns makes plans of
+many thousand nodes. They are small vectorised functions over Arrow batches instead, applied to
+result tables (one row per group), never to the measurements. The cost per row does not depend
+on the sample size behind it.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 # Rational approximation of the normal tail (highest power first).
 NORMAL_NUMERATOR = (
@@ -21,106 +26,145 @@ NORMAL_DENOMINATOR = (
     0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461,
     296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752,
 )
-FRACTION_STEPS = 200
 LARGE_DF = 20_000
 
 
-def _horner(coefficients, x: Column) -> Column:
-    out = F.lit(coefficients[0])
-    for c in coefficients[1:]:
-        out = out * x + F.lit(c)
+def _normal_tail(z):
+    """P(Z > z) for an array, NaN where z is."""
+    a = np.abs(z)
+    bell = np.exp(-a * a / 2)
+    near = bell * np.polyval(NORMAL_NUMERATOR, a) / np.polyval(NORMAL_DENOMINATOR, a)
+    tail = a + 0.65
+    for k in (4.0, 3.0, 2.0, 1.0):
+        tail = a + k / tail
+    upper = np.where(a < 7.07106781186547, near, bell / tail / math.sqrt(2 * math.pi))
+    return np.where(np.isnan(z), np.nan, np.where(z > 0, upper, 1 - upper))
+
+
+def _log_gamma(x):
+    """ln Gamma for x > 0 by a shifted Stirling series."""
+    z = x + 7
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    rising = np.ones_like(z)
+    for k in range(7):
+        rising = rising * (x + k)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - np.log(rising)
+
+
+def _beta_inc(a, b, x):
+    """Regularised incomplete beta by its continued fraction, for arrays with 0 < x < 1."""
+    swap = x >= (a + 1) / (a + b + 2)
+    p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+
+    def solid(v):
+        return np.where(np.abs(v) < 1e-300, 1e-300, v)
+
+    c, d = np.ones_like(y), 1 / solid(1 - (p + q) * y / (p + 1))
+    value = d
+    for m in range(1, 10_000):
+        for step in (m * (q - m) / ((p + 2 * m - 1) * (p + 2 * m)),
+                     -(p + m) * (p + q + m) / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 / solid(1 + step * y * d)
+            c = solid(1 + step * y / c)
+            value = value * c * d
+        if np.all(np.abs(c * d - 1) < 1e-15):
+            break
+    front = _log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * np.log(y) + q * np.log1p(-y)
+    part = np.exp(front) * value / p
+    return np.where(swap, 1 - part, part)
+
+
+def _student_p2(t, df):
+    out = np.full(t.shape, np.nan)
+    usable = ~np.isnan(t) & (df >= 1)
+    small, large = usable & (df <= LARGE_DF), usable & (df > LARGE_DF)
+    s, n = t[small], df[small]
+    x = np.clip(n / (n + s * s), 1e-300, 1 - 1e-16)
+    out[small] = np.where(s == 0, 1.0, _beta_inc(n / 2, np.full_like(n, 0.5), x)) if s.size else s
+    half = df[large] - 0.5
+    b = 48 * half * half
+    y = half * np.log1p(t[large] ** 2 / df[large])
+    z = (((((-0.4 * y - 3.3) * y - 24) * y - 85.5) / (0.8 * y * y + 100 + b) + y + 3) / b + 1) * np.sqrt(y)
+    out[large] = 2 * _normal_tail(z)
     return out
 
 
-def normal_sf(z: Column) -> Column:
-    """P(Z > z)."""
-    a = F.abs(z)
-    bell = F.exp(-a * a / 2)
-    near = bell * _horner(NORMAL_NUMERATOR, a) / _horner(NORMAL_DENOMINATOR, a)
-    tail = a + F.lit(0.65)
-    for k in (4.0, 3.0, 2.0, 1.0):
-        tail = a + F.lit(k) / tail
-    far = bell / tail / F.lit(math.sqrt(2 * math.pi))
-    upper = F.when(a < 7.07106781186547, near).when(a <= 37, far).otherwise(0.0)
-    return F.when(z.isNull(), None).when(z > 0, upper).otherwise(1 - upper)
+def _doubles(*series):
+    return [s.to_numpy(dtype="float64", na_value=np.nan) for s in series]
 
 
-def normal_p2(z: Column) -> Column:
-    """Two-sided normal p-value."""
-    return 2 * normal_sf(F.abs(z))
+@pandas_udf(DoubleType())
+def _normal_sf_udf(z: pd.Series) -> pd.Series:
+    return pd.Series(_normal_tail(*_doubles(z)))
 
 
-def log_gamma(x: Column) -> Column:
-    """ln Gamma(x) for x > 0."""
-    z = x + 7
-    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
-    rising = x
-    for k in range(1, 7):
-        rising = rising * (x + k)
-    return (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + series - F.ln(rising)
+@pandas_udf(DoubleType())
+def _student_udf(t: pd.Series, df: pd.Series) -> pd.Series:
+    with np.errstate(all="ignore"):
+        return pd.Series(_student_p2(*_doubles(t, df)))
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    return log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1)
+@pandas_udf(DoubleType())
+def _student_quantile_udf(p: pd.Series, df: pd.Series) -> pd.Series:
+    p, df = _doubles(p, df)
+    lo, hi = np.zeros_like(p), np.full_like(p, 700.0)
+    with np.errstate(all="ignore"):
+        for _ in range(60):
+            middle = (lo + hi) / 2
+            wide = _student_p2(middle, df) > p
+            lo, hi = np.where(wide, middle, lo), np.where(wide, hi, middle)
+    return pd.Series(np.where(np.isnan(df), np.nan, (lo + hi) / 2))
 
 
-def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
-    """Continued fraction of the incomplete beta by the modified Lentz recurrence."""
-    tiny = F.lit(1e-300)
+@pandas_udf(DoubleType())
+def _binomial_udf(positive: pd.Series, negative: pd.Series) -> pd.Series:
+    pos, neg = _doubles(positive, negative)
+    n, k = pos + neg, np.minimum(pos, neg)
+    with np.errstate(all="ignore"):
+        exact = 2 * _beta_inc(np.maximum(n - k, 1), k + 1, np.full_like(n, 0.5))
+        approx = 2 * _normal_tail(np.maximum((np.abs(pos - neg) - 1) / np.sqrt(n), 0.0))
+    p = np.minimum(1.0, np.where(n > LARGE_DF, approx, exact))
+    return pd.Series(np.where(n == 0, np.nan, np.where(pos == neg, 1.0, p)))
 
-    def floor_abs(v: Column) -> Column:
-        return F.when(F.abs(v) < tiny, tiny).otherwise(v)
 
-    def half_step(state: Column, coefficient: Column) -> Column:
-        return F.named_struct(
-            F.lit("c"), floor_abs(1 + coefficient / state["c"]),
-            F.lit("d"), 1 / floor_abs(1 + coefficient * state["d"]),
-            F.lit("h"), state["h"],
-        )
+@pandas_udf(DoubleType())
+def _fisher_udf(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    def one(a, b, c, d):
+        row, col, n = a + b, a + c, a + b + c + d
+        k = np.arange(max(0, row + col - n), min(row, col) + 1, dtype=float)
 
-    def absorb(state: Column) -> Column:
-        return F.named_struct(
-            F.lit("c"), state["c"], F.lit("d"), state["d"],
-            F.lit("h"), state["h"] * state["c"] * state["d"],
-        )
+        def choose(m, j):
+            return _log_gamma(m + 1.0) - _log_gamma(j + 1.0) - _log_gamma(m - j + 1.0)
 
-    def step(state: Column, i: Column) -> Column:
-        m = F.ceil(i / 2).cast("double")
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        coefficient = F.when(i % 2 == 1, even).otherwise(odd)
-        return absorb(half_step(state, coefficient))
+        log_p = choose(col, k) + choose(n - col, row - k) - choose(np.float64(n), np.float64(row))
+        here = log_p[int(a - k[0])]
+        return min(1.0, float(np.exp(log_p[log_p <= here + 1e-7]).sum()))
 
-    d0 = 1 / floor_abs(1 - (a + b) * x / (a + 1))
-    start = F.named_struct(F.lit("c"), F.lit(1.0), F.lit("d"), d0, F.lit("h"), d0)
-    steps = F.sequence(F.lit(1), F.lit(2 * FRACTION_STEPS))
-    return F.aggregate(steps, start, step, lambda s: s["h"])
+    return pd.Series([one(*map(float, r)) for r in zip(a, b, c, d)], dtype="float64")
 
 
-def beta_inc(a: Column, b: Column, x: Column) -> Column:
-    """Regularised incomplete beta I_x(a, b)."""
-    front = F.exp(
-        log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(1 - x)
-    )
-    direct = front * _beta_fraction(a, b, x) / a
-    mirrored = 1 - front * _beta_fraction(b, a, 1 - x) / b
-    return (
-        F.when(x <= 0, 0.0).when(x >= 1, 1.0)
-        .when(x < (a + 1) / (a + b + 2), direct).otherwise(mirrored)
-    )
+def _null(p: Column) -> Column:
+    return F.nanvl(p, F.lit(None).cast("double"))
+
+
+def normal_sf(z: Column) -> Column:
+    """P(Z > z)."""
+    return _null(_normal_sf_udf(z.cast("double")))
+
+
+def normal_p2(z: Column) -> Column:
+    """Two-sided normal p-value."""
+    return 2 * normal_sf(F.abs(z))
 
 
 def student_p2(t: Column, df: Column) -> Column:
     """Two-sided Student t p-value; above LARGE_DF by a normal transform of t."""
-    t, df = t.cast("double"), df.cast("double")
-    half = df - 0.5
-    b = 48 * half * half
-    y = half * F.log1p(t * t / df)
-    z = (((((-0.4 * y - 3.3) * y - 24) * y - 85.5) / (0.8 * y * y + 100 + b) + y + 3) / b + 1) * F.sqrt(y)
-    exact = beta_inc(df / 2, F.lit(0.5), df / (df + t * t))
-    return F.when(t.isNull() | df.isNull() | (df < 1), None).when(
-        df > LARGE_DF, normal_p2(z)
-    ).otherwise(exact)
+    return _null(_student_udf(t.cast("double"), df.cast("double")))
+
+
+def student_quantile(p: Column, df: Column) -> Column:
+    """t with two-sided tail probability `p`, by bisection."""
+    return _null(_student_quantile_udf(p.cast("double"), df.cast("double")))
 
 
 def chi2_2_sf(w: Column) -> Column:
@@ -130,31 +174,12 @@ def chi2_2_sf(w: Column) -> Column:
 
 def binomial_half_p2(positive: Column, negative: Column) -> Column:
     """Exact two-sided binomial test of positive against negative at p = 1/2."""
-    n = (positive + negative).cast("double")
-    k = F.least(positive, negative).cast("double")
-    exact = F.least(F.lit(1.0), 2 * beta_inc(n - k, k + 1, F.lit(0.5)))
-    z = (F.abs(positive - negative).cast("double") - 1) / F.sqrt(n)
-    return F.when(n == 0, None).when(positive == negative, 1.0).when(
-        n > LARGE_DF, F.least(F.lit(1.0), normal_p2(F.greatest(z, F.lit(0.0))))
-    ).otherwise(exact)
+    return _null(_binomial_udf(positive.cast("double"), negative.cast("double")))
 
 
 def fisher_exact_p2(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-sided Fisher exact p of the 2x2 table [[a, b], [c, d]]."""
-    a, b, c, d = (v.cast("double") for v in (a, b, c, d))
-    row, col, n = a + b, a + c, a + b + c + d
-
-    def log_p(k: Column) -> Column:
-        return log_choose(col, k) + log_choose(n - col, row - k) - log_choose(n, row)
-
-    low, high = F.greatest(F.lit(0.0), row + col - n), F.least(row, col)
-    limit = log_p(a) + math.log1p(1e-7)
-    support = F.sequence(low.cast("bigint"), high.cast("bigint"))
-    total = F.aggregate(
-        support, F.lit(0.0),
-        lambda acc, k: acc + F.when(log_p(k.cast("double")) <= limit, F.exp(log_p(k.cast("double")))).otherwise(0.0),
-    )
-    return F.least(F.lit(1.0), total)
+    return _fisher_udf(*[v.cast("double") for v in (a, b, c, d)])
 
 
 def kolmogorov_sf(lam: Column, terms: int = 100) -> Column:
@@ -164,19 +189,3 @@ def kolmogorov_sf(lam: Column, terms: int = 100) -> Column:
         lambda acc, k: acc + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * lam * lam),
     )
     return F.when(lam < 0.04, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
-
-
-def student_quantile(p: Column, df: Column, steps: int = 60) -> Column:
-    """t with two-sided tail probability `p`, by bisection on the normal-transform scale."""
-    def narrow(state: Column, _: Column) -> Column:
-        middle = (state["lo"] + state["hi"]) / 2
-        wide = student_p2(middle, df) > p
-        return F.named_struct(
-            F.lit("lo"), F.when(wide, middle).otherwise(state["lo"]),
-            F.lit("hi"), F.when(wide, state["hi"]).otherwise(middle),
-        )
-
-    start = F.named_struct(F.lit("lo"), F.lit(0.0), F.lit("hi"), F.lit(700.0))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), start, narrow, lambda s: (s["lo"] + s["hi"]) / 2
-    )

@@ -41,20 +41,19 @@ def corr_p(r: Column, n: Column, lost: int = 2) -> Column:
 def fdr_bh(df: DataFrame, keys: Sequence[str], p: str, q: str, width: float | None = None) -> DataFrame:
     """Benjamini-Hochberg `q` over the non-null p-values of each group; null stays null.
 
-    Works on distinct p-values with counts: a descending scan gives both the number of p-values
-    at or under each and the running minimum of p * m / i.
+    One descending scan numbers the p-values, the next keeps the smallest p * m / i so far. A
+    tied p-value follows the tie's best rank, so ties share its q. Nothing is joined back on the
+    p-value itself: a recomputed aggregate may differ in its last bit.
     """
-    present = df.where(F.col(p).isNotNull())
-    counts = present.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.groupBy(*keys).agg(F.sum("__n").alias("__m"))
-    placed = counts.join(total, list(keys)) if keys else counts.withColumn("__m", total.scalar())
-    down = -F.col(p)
-    above = ordered_scan(placed, keys, [down], {"__above": running(F.col("__n"))}, width)
-    rank = F.col("__m") - F.col("__above") + F.col("__n")
-    raw = above.withColumn("__raw", F.col(p) * F.col("__m") / rank)
-    scanned = ordered_scan(raw, keys, [down], {"__q": running(F.col("__raw"), "min")}, width)
-    table = scanned.select(*keys, p, F.least(F.lit(1.0), F.col("__q")).alias(q))
-    return df.join(table, [*keys, p], "left")
+    present = F.col(p).isNotNull()
+    group = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys] or [F.lit("")]
+    names = [f"__k{i}" for i in range(len(group))]
+    rows = df.withColumns(dict(zip(names, group))).withColumn("__down", F.coalesce(-F.col(p), F.lit(1.0)))
+    ranked = ordered_scan(rows, names, ["__down"], {"__above": running(present.cast("bigint"))}, width)
+    total = df.groupBy(*[c.alias(n) for c, n in zip(group, names)]).agg(F.count(p).alias("__m"))
+    raw = ranked.join(total, names).withColumn("__raw", F.col(p) * F.col("__m") / (F.col("__m") - F.col("__above") + 1))
+    scanned = ordered_scan(raw, names, ["__down", "__above"], {"__q": running(F.col("__raw"), "min")}, width)
+    return scanned.select(*df.columns, F.when(present, F.least(F.lit(1.0), F.col("__q"))).alias(q))
 
 
 def ranked_pair(df: DataFrame, on: Sequence[str], x: str, y: str, width: float | None = None) -> DataFrame:
@@ -258,8 +257,8 @@ def ks_against_base(
     others = rows.where(F.col(group).isin(list(groups))).select(
         F.col(group).alias("__k"), value, F.lit(1).alias("__o"), F.lit(0).alias("__b")
     )
-    listed = F.explode(F.array(*[F.lit(g) for g in groups]))
-    bases = rows.where(F.col(group) == base).select(listed.cast(df.schema[group].dataType).alias("__k"), value, F.lit(0).alias("__o"), F.lit(1).alias("__b"))
+    listed = F.explode(F.array(*[F.lit(g).cast(df.schema[group].dataType) for g in groups]))
+    bases = rows.where(F.col(group) == base).select(listed.alias("__k"), value, F.lit(0).alias("__o"), F.lit(1).alias("__b"))
     counts = others.unionByName(bases).groupBy("__k", value).agg(F.sum("__o").alias("__o"), F.sum("__b").alias("__b"))
     cum = ordered_scan(counts, ["__k"], [value], {"__co": running(F.col("__o")), "__cb": running(F.col("__b"))}, width)
     total = counts.groupBy("__k").agg(F.sum("__o").alias("n"), F.sum("__b").alias("n_base")).where(

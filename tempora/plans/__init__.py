@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("time_joins", "movement_tables", "peri_event", "describing")
+GROUPS = ("time_joins", "movement_tables", "peri_event", "describing", "statistics")
 
 
 def all_queries():

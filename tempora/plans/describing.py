@@ -263,7 +263,7 @@ def behaviour_flags(b):
     return R.behaviour_flags(b.trials).select("session", "trial", "hit", "hit_clean", "outcome")
 
 
-@query("slice_by_key", "SELECT session, movement_id, min(t) - 60 AS span_start, max(t) + 60 AS span_end FROM kins GROUP BY ALL", "span_start span_end", digits=5)
+@query("slice_by_key", "SELECT session, movement_id, min(t) - 60 AS span_start, max(t) + 60 AS span_end FROM kins GROUP BY ALL", "span_start span_end")
 def slice_by_key(b):
     return R.movement_span(b.kins, ["session", "movement_id"], "t", 60.0)
 
@@ -337,10 +337,11 @@ def histogram_density(b):
 
 
 @query("latency_by_ordinal", f"""
-WITH {LICK_K} SELECT session, k, avg(latency) AS mean, stddev_samp(latency) / sqrt(count(*)) AS sem, count(*) AS n, quantile_cont(latency, 0.5) AS median
-FROM lick_k WHERE k <= 4 GROUP BY ALL""", "mean sem median", digits=5)
+WITH {LICK_K} SELECT session, k, avg(latency / 3600) AS mean, stddev_samp(latency / 3600) / sqrt(count(*)) AS sem, count(*) AS n, quantile_cont(latency / 3600, 0.5) AS median
+FROM lick_k WHERE k <= 4 GROUP BY ALL""", "mean sem median")
 def latency_by_ordinal(b):
-    return D.latency_by_ordinal(licks_by_ordinal(b), S, "k", "latency", 4, b.width)
+    hourly = licks_by_ordinal(b).withColumn("latency", F.col("latency") / HOUR)
+    return D.latency_by_ordinal(hourly, S, "k", "latency", 4, None if b.width is None else b.width / HOUR)
 
 
 @query("latency_grand_mean", f"""
@@ -531,7 +532,7 @@ WITH {FIRSTS}
 SELECT session, trial, cue AS t, 'go_cue' AS event FROM firsts UNION ALL SELECT session, trial, choice_time, 'choice' FROM firsts WHERE choice_time IS NOT NULL
 UNION ALL SELECT session, trial, reward_time, 'reward' FROM firsts WHERE reward_time IS NOT NULL
 UNION ALL SELECT l.session, c.trial, l.t, 'lick' FROM licks l ASOF JOIN cues c ON l.session = c.session AND l.t >= c.cue
-UNION ALL SELECT session, trial, start_time, 'movement_start' FROM movs WHERE trial IS NOT NULL UNION ALL SELECT session, trial, end_time, 'movement_end' FROM movs WHERE trial IS NOT NULL""", "t", digits=5)
+UNION ALL SELECT session, trial, start_time, 'movement_start' FROM movs WHERE trial IS NOT NULL UNION ALL SELECT session, trial, end_time, 'movement_end' FROM movs WHERE trial IS NOT NULL""", "t")
 def event_timeline(b):
     movs = b.movs
     return U.event_timeline(

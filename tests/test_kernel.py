@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -164,7 +165,7 @@ def test_tails(spark):
     for z in (-3.0, 0.0, 1.0, 5.0, 8.0):
         assert value(P.normal_sf(F.lit(z))) == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=1e-9)
     for x in (0.5, 3.0, 40.0):
-        assert value(P.log_gamma(F.lit(x))) == pytest.approx(math.lgamma(x), abs=1e-9)
+        assert float(P._log_gamma(np.float64(x))) == pytest.approx(math.lgamma(x), abs=1e-9)
     assert value(P.student_p2(F.lit(1.0), F.lit(1))) == pytest.approx(0.5, rel=1e-9)
     assert value(P.student_p2(F.lit(2.0), F.lit(2))) == pytest.approx(1 - 2 / math.sqrt(6), rel=1e-9)
     assert value(P.student_p2(F.lit(2.0), F.lit(30_000))) == pytest.approx(0.0455, abs=2e-5)
