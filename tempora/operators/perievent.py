@@ -137,7 +137,7 @@ def signed_peak(z: DataFrame, on: Sequence[str], after: Column) -> DataFrame:
         F.bool_and(F.col("z").isNotNull()).alias("__full"),
     ).where("__full").drop("__full")
     back = peaks.withColumn("__o", -F.round("signed_peak", 9))
-    return numbered(back, [], ["__o", *on], "peak_rank", None, start=1).drop("__o")
+    return numbered(back, [], ["__o", *on], "peak_rank", 0.25, start=1).drop("__o")
 
 
 def mean_sem(values: DataFrame, on: Sequence[str], value: str) -> DataFrame:

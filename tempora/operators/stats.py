@@ -38,9 +38,11 @@ def corr_p(r: Column, n: Column, lost: int = 2) -> Column:
     return F.when(n > lost, P.student_p2(F.when(n > lost, t), n - lost))
 
 
-def fdr_bh(df: DataFrame, keys: Sequence[str], p: str, q: str, width: float | None = None) -> DataFrame:
+def fdr_bh(df: DataFrame, keys: Sequence[str], p: str, q: str, width: float | None = 0.05) -> DataFrame:
     """Benjamini-Hochberg `q` over the non-null p-values of each group; null stays null.
 
+    The scans run along -ln p, cut into chunks of `width` (None: one task per group).
+
     One descending scan numbers the p-values, the next keeps the smallest p * m / i so far. A
     tied p-value follows the tie's best rank, so ties share its q. Nothing is joined back on the
     p-value itself: a recomputed aggregate may differ in its last bit.
@@ -48,11 +50,13 @@ def fdr_bh(df: DataFrame, keys: Sequence[str], p: str, q: str, width: float | No
     present = F.col(p).isNotNull()
     group = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys] or [F.lit("")]
     names = [f"__k{i}" for i in range(len(group))]
-    rows = df.withColumns(dict(zip(names, group))).withColumn("__down", F.coalesce(-F.col(p), F.lit(1.0)))
-    ranked = ordered_scan(rows, names, ["__down"], {"__above": running(present.cast("bigint"))}, width)
+    rows = df.withColumns(dict(zip(names, group))).withColumns({
+        "__down": F.coalesce(-F.ln(F.greatest(F.col(p), F.lit(1e-300))), F.lit(1e4)), "__minus": -F.col(p),
+    })
+    ranked = ordered_scan(rows, names, ["__down", "__minus"], {"__above": running(present.cast("bigint"))}, width)
     total = df.groupBy(*[c.alias(n) for c, n in zip(group, names)]).agg(F.count(p).alias("__m"))
     raw = ranked.join(total, names).withColumn("__raw", F.col(p) * F.col("__m") / (F.col("__m") - F.col("__above") + 1))
-    scanned = ordered_scan(raw, names, ["__down", "__above"], {"__q": running(F.col("__raw"), "min")}, width)
+    scanned = ordered_scan(raw, names, ["__down", "__minus", "__above"], {"__q": running(F.col("__raw"), "min")}, width)
     return scanned.select(*df.columns, F.when(present, F.least(F.lit(1.0), F.col("__q"))).alias(q))
 
 

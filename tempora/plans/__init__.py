@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("time_joins", "movement_tables", "peri_event", "describing", "statistics")
+GROUPS = ("time_joins", "movement_tables", "peri_event", "describing", "statistics", "files")
 
 
 def all_queries():

@@ -19,10 +19,11 @@ LISTED_NAME = r"^(.*)_videoprocessed_(\d{4}-\d{2}-\d{2})_(\d{2}-\d{2}-\d{2})$"
 def scan_keypoints(spark: SparkSession, path: str, session: Column | None = None) -> DataFrame:
     """Track CSVs with three header rows (scorer, keypoint, coordinate) in long form.
 
-    The header rows of one file name the columns (a read of a few lines); data rows are those
-    with a numeric index, so the headers of all other files fall away in the same filter.
+    The first lines of one file name the columns; data rows are those with a numeric index, so
+    the headers of all files fall away in the same filter.
     """
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\d")).limit(3)
+    one = spark.read.text(path).select("_metadata.file_path").first()[0]
+    lines = spark.read.text(one).where(~F.col("value").rlike(r"^\d")).limit(3)
     head = sorted((r["value"] for r in lines.collect()), key=lambda v: {"scorer": 0, "bodyparts": 1, "coords": 2}.get(v.split(",")[0], 3))
     points, coords = head[1].split(",")[1:], head[2].split(",")[1:]
     names = ["frame"] + [f"{p}|{c}" for p, c in zip(points, coords)]
@@ -69,13 +70,13 @@ def discover_sessions(spark: SparkSession, root: str, needed: str = "intermediat
     ).where(F.col("session").isNotNull()).distinct()
 
 
-def scan_quality_json(spark: SparkSession, path: str) -> DataFrame:
-    """One quality report per file; `percentiles` stays a map of maps."""
+def scan_quality_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One quality report per file (or per line); `percentiles` stays a map of maps."""
     schema = (
         "session_id string, pred_csv string, total_licks bigint, licks_with_movement bigint, "
         "coverage_pct double, percentiles map<string,map<string,double>>"
     )
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+    return spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
 
 
 def flatten_percentiles(reports: DataFrame, metrics: Sequence[str], pcts: Sequence[str]) -> DataFrame:
@@ -86,14 +87,14 @@ def flatten_percentiles(reports: DataFrame, metrics: Sequence[str], pcts: Sequen
     return reports.select(*[c for c in reports.columns if c != "percentiles"], *[value(m, p) for m in metrics for p in pcts])
 
 
-def scan_kv_text(spark: SparkSession, path: str, fields: Mapping[str, str]) -> DataFrame:
+def scan_kv_text(spark: SparkSession, path: str, fields: Mapping[str, str], camera: str = r"([A-Za-z]+)_stats\.txt$") -> DataFrame:
     """'Key: value' files as one row per file with typed columns named by `fields`."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"), F.split("value", ":", 2).alias("kv")
     ).where(F.size("kv") == 2)
     key, value = F.trim(F.get("kv", F.lit(0))), F.trim(F.get("kv", F.lit(1))).try_cast("double")
     return lines.groupBy("path").agg(*[F.max(F.when(key == k, value)).alias(n) for k, n in fields.items()]).withColumns({
-        "session": session_from_path(F.col("path")), "camera": F.regexp_extract("path", r"([A-Za-z]+)_stats\.txt$", 1),
+        "session": session_from_path(F.col("path")), "camera": F.regexp_extract("path", camera, 1),
     })
 
 
