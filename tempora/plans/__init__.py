@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("time_joins", "movement_tables", "peri_event", "describing", "statistics", "files")
+GROUPS = ("time_joins", "movement_tables", "peri_event", "describing", "statistics", "files", "resampling", "streams")
 
 
 def all_queries():

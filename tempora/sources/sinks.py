@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 
 def write_session_tables(df: DataFrame, path: str, session: str = "session", mode: str = "errorifexists") -> None:
-    """Parquet partitioned by session. Rows are first spread over (session, salt) so that a huge
-    session is written by several tasks and a small one by few files."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(8))
-    df.repartition(F.col(session), salt).write.mode(mode).partitionBy(session).parquet(path)
+    """Parquet partitioned by session. The rebalance hint lets AQE split a huge session over
+    several tasks and gather small ones, so files come out even."""
+    df.hint("rebalance", session).write.mode(mode).partitionBy(session).parquet(path)
 
 
 def augmented(base: DataFrame, metrics: DataFrame, on: Sequence[str], prefix: str = "out_") -> DataFrame:
