@@ -32,20 +32,21 @@ class LastCue(StatefulProcessor):
         self.last = handle.getValueState("last_cue", "trial bigint, micros bigint")
         self.open = handle.getListState("open", "event_id bigint, micros bigint, is_cue boolean")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
         for batch in rows:
             for r in batch.itertuples(index=False):
                 micros = int(r.micros)
                 self.open.appendValue((int(r.event_id), micros, bool(r.is_cue)))
-                self.handle.registerTimer(micros // 1000 + 1)
+                self.handle.registerTimer((micros // 1_000_000 + 1) * 1000)
         yield pd.DataFrame({"session": [], "event_id": [], "trial": []}).astype("int64")
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
-        limit = expired.getExpiryTimeInMs() * 1000
+        # everything behind the watermark at once, so that later timers find little to do
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
         held = sorted(self.open.get(), key=lambda r: (r[1], not r[2], r[0])) if self.open.exists() else []
         due, rest = [r for r in held if r[1] < limit], [r for r in held if r[1] >= limit]
         trial = self.last.get()[0] if self.last.exists() else -1
