@@ -13,6 +13,12 @@ BREGMA = (216.0, 18.0, 228.0)
 VOXEL_UM = 25.0
 
 
+def clamp(value: Column, lo: float | Column, hi: float | Column) -> Column:
+    """`value` limited to [lo, hi]; null stays null (least and greatest alone would skip it)."""
+    bounds = [b if isinstance(b, Column) else F.lit(b) for b in (lo, hi)]
+    return F.when(value.isNotNull(), F.greatest(bounds[0], F.least(bounds[1], value)))
+
+
 def voxel_to_mm(
     ap: Column, dv: Column, ml: Column, bregma: Sequence[float] = BREGMA, res: float = VOXEL_UM
 ) -> tuple[Column, Column, Column]:
@@ -69,7 +75,7 @@ def norm(a: Sequence[Column]) -> Column:
 def angle_between(a: Sequence[Column], b: Sequence[Column]) -> Column:
     """Degrees between two directions."""
     cosine = dot(a, b) / (norm(a) * norm(b))
-    return F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine))))
+    return F.degrees(F.acos(clamp(cosine, -1.0, 1.0)))
 
 
 def solve3(m: Sequence[Sequence[Column]], v: Sequence[Column]) -> tuple[Column, Column, Column]:

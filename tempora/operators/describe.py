@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempora.functions.geometry import clamp
 from tempora.operators.ordered import last_before, numbered, ordered_scan, quantiles, running
 from tempora.operators.segment import refractory_filter
 from tempora.operators.stats import confusion_rates
@@ -28,7 +29,7 @@ def percentile_band(df: DataFrame, columns: Sequence[str], lo: float, hi: float,
     """Rows inside every column's percentile limits, or all rows clipped to them."""
     limits = percentile_limits(df, columns, lo, hi, widths)
     if clip:
-        return df.withColumns({c: F.greatest(a, F.least(b, F.col(c))) for c, (a, b) in limits.items()})
+        return df.withColumns({c: clamp(F.col(c), a, b) for c, (a, b) in limits.items()})
     for c, (a, b) in limits.items():
         df = df.where(F.col(c).between(a, b))
     return df

@@ -128,7 +128,7 @@ def centre_on_first_bins(rates: DataFrame, on: Sequence[str], n_first: int = 5)
     return rates.join(base, list(on)).withColumn("centred", F.col("rate") - F.col("__b")).drop("__b")
 
 
-def signed_peak(z: DataFrame, on: Sequence[str], after: Column) -> DataFrame:
+def signed_peak(z: DataFrame, on: Sequence[str], after: Column, width: float | None = None) -> DataFrame:
     """Largest deviation by magnitude after the event (positive wins a tie, to nine digits);
     units with a null bin are dropped. `peak_rank` orders them, largest first."""
     hi, lo = F.max(F.when(after, F.col("z"))), F.min(F.when(after, F.col("z")))
@@ -137,7 +137,7 @@ def signed_peak(z: DataFrame, on: Sequence[str], after: Column) -> DataFrame:
         F.bool_and(F.col("z").isNotNull()).alias("__full"),
     ).where("__full").drop("__full")
     back = peaks.withColumn("__o", -F.round("signed_peak", 9))
-    return numbered(back, [], ["__o", *on], "peak_rank", 0.25, start=1).drop("__o")
+    return numbered(back, [], ["__o", *on], "peak_rank", width, start=1).drop("__o")
 
 
 def mean_sem(values: DataFrame, on: Sequence[str], value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempora.functions.geometry import clamp
 from tempora.functions.keys import session_prefix
 
 
@@ -81,7 +82,7 @@ def choice_features(df: DataFrame) -> DataFrame:
     q_diff = F.col("q_right") - F.col("q_left")
     return df.withColumns({
         "q_diff": q_diff, "q_diff_c": F.when(right, q_diff).otherwise(-q_diff),
-        "chosen_prob": F.greatest(F.lit(1e-10), F.least(F.lit(1 - 1e-10), prob)),
+        "chosen_prob": clamp(prob, 1e-10, 1 - 1e-10),
     }).withColumn("log_likelihood", F.ln("chosen_prob"))
 
 

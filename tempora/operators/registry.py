@@ -19,11 +19,12 @@ class UnitStatsRegistry:
     """Named entries of (session_prefix, unit, t, p, q, coef, sig_fdr, n_trials).
 
     Entries stay lazy DataFrames; `long()` is their union. `prefix` turns a session column into
-    its prefix; `width` cuts scans over t-values when an entry has more units than fit one task.
+    its prefix. When an entry has more units than fit one task, `width` cuts scans over t-values
+    and `p_width` those over p-values.
     """
 
-    def __init__(self, alpha: float = 0.05, prefix: Callable[[Column], Column] = session_prefix, width: float | None = None):
-        self.alpha, self.prefix, self.width = alpha, prefix, width
+    def __init__(self, alpha: float = 0.05, prefix: Callable[[Column], Column] = session_prefix, width: float | None = None, p_width: float | None = None):
+        self.alpha, self.prefix, self.width, self.p_width = alpha, prefix, width, p_width
         self._entries: dict[str, DataFrame] = {}
         self._sources: dict[str, str] = {}
 
@@ -67,7 +68,7 @@ class UnitStatsRegistry:
         )
         one = keep_one(flat, KEYS, ["p", "t", "coef"])
         if not columns.get("q"):
-            one = S.fdr_bh(one.drop("q"), [], "p", "q")
+            one = S.fdr_bh(one.drop("q"), [], "p", "q", self.p_width)
         return one.withColumn("sig_fdr", F.coalesce(F.col("q") < self.alpha, F.lit(False))).select(*KEYS, *VALUES)
 
     def register_cor(self, name: str, df: DataFrame, *, coef: str, p: str, n_trials: str, t: str | None = None, q: str | None = None, session: str = "session", unit: str = "unit_id", source: str = "cor", overwrite: bool = False) -> None:

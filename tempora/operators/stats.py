@@ -9,11 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions import pvalues as P
-from tempora.functions.geometry import angle_between, cross, dot, norm, solve3
+from tempora.functions.geometry import angle_between, clamp, cross, dot, norm, solve3
 from tempora.operators.ordered import ordered_scan, quantiles, running, tie_ranks
 
 
@@ -23,7 +23,7 @@ def safe_corr(x: Column, y: Column) -> Column:
     x, y = F.when(both, x), F.when(both, y)
     spread = F.stddev_pop(x) * F.stddev_pop(y)
     r = F.covar_pop(x, y) / F.when(spread > 1e-300, spread)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return clamp(r, -1.0, 1.0)
 
 
 def corr_to_t(r: Column, n: Column, guarded: bool = True, lost: int = 2) -> Column:
@@ -38,16 +38,22 @@ def corr_p(r: Column, n: Column, lost: int = 2) -> Column:
     return F.when(n > lost, P.student_p2(F.when(n > lost, t), n - lost))
 
 
-def fdr_bh(df: DataFrame, keys: Sequence[str], p: str, q: str, width: float | None = 0.05) -> DataFrame:
+def fdr_bh(df: DataFrame, keys: Sequence[str], p: str, q: str, width: float | None = None) -> DataFrame:
     """Benjamini-Hochberg `q` over the non-null p-values of each group; null stays null.
 
-    The scans run along -ln p, cut into chunks of `width` (None: one task per group).
-
-    One descending scan numbers the p-values, the next keeps the smallest p * m / i so far. A
-    tied p-value follows the tie's best rank, so ties share its q. Nothing is joined back on the
-    p-value itself: a recomputed aggregate may differ in its last bit.
+    Windows over the group while its result rows fit one task. With `width` the group is cut
+    into chunks of -ln p: one descending scan numbers the p-values, the next keeps the smallest
+    p * m / i so far; a tied p-value follows the tie's best rank, so ties share its q. Nothing is
+    joined on the p-value itself: a recomputed aggregate may differ in its last bit.
     """
     present = F.col(p).isNotNull()
+    if width is None:
+        whole = Window.partitionBy(*keys)
+        upto = F.count(p).over(whole.orderBy(p).rangeBetween(Window.unboundedPreceding, 0))
+        placed = df.withColumns({"__i": upto, "__m": F.count(p).over(whole)})
+        down = whole.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+        least = F.min(F.when(present, F.col(p) * F.col("__m") / F.col("__i"))).over(down)
+        return placed.withColumn(q, F.when(present, F.least(F.lit(1.0), least))).drop("__i", "__m")
     group = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys] or [F.lit("")]
     names = [f"__k{i}" for i in range(len(group))]
     rows = df.withColumns(dict(zip(names, group))).withColumns({
@@ -68,9 +74,12 @@ def ranked_pair(df: DataFrame, on: Sequence[str], x: str, y: str, width: float |
 
 def unit_correlations(
     df: DataFrame, on: Sequence[str], x: str, y: str, min_trials: int = 3, alpha: float = 0.05,
-    width: float | None = None,
+    width: float | None = None, p_width: float | None = None,
 ) -> DataFrame:
-    """Spearman and Pearson r, p, q, flag and t per group; small groups give nulls."""
+    """Spearman and Pearson r, p, q, flag and t per group; small groups give nulls.
+
+    `width` cuts the ranks of a big group, `p_width` the correction over very many groups.
+    """
     ranked = ranked_pair(df, on, x, y, width)
     base = ranked.groupBy(*on).agg(
         F.count(F.lit(1)).alias("n_trials"),
@@ -86,7 +95,7 @@ def unit_correlations(
         "pearson_t": corr_to_t(F.col("pearson_r"), F.col("n_trials")),
     })
     for kind in ("spearman", "pearson"):
-        out = fdr_bh(out, [], f"{kind}_p", f"{kind}_q").withColumn(
+        out = fdr_bh(out, [], f"{kind}_p", f"{kind}_q", p_width).withColumn(
             f"{kind}_sig_fdr", F.coalesce(F.col(f"{kind}_q") < alpha, F.lit(False))
         )
     return out
@@ -126,11 +135,12 @@ def ols_z(df: DataFrame, on: Sequence[str], x: Column, y: str, prefix: str, min_
 
 def fit_rt_ols(
     df: DataFrame, on: Sequence[str], rt: str, response: str, baseline: str, min_trials: int = 50,
+    p_width: float | None = None,
 ) -> DataFrame:
     """Response and baseline rate against z(log rt) per unit, full outer, each with its q."""
     log_rt = F.ln(F.when(F.col(rt) > 0, F.col(rt)))
     fits = [ols_z(df, on, log_rt, y, name, min_trials) for name, y in (("resp", response), ("base", baseline))]
-    fits = [fdr_bh(f, [], f"{n}_p", f"{n}_q") for f, n in zip(fits, ("resp", "base"))]
+    fits = [fdr_bh(f, [], f"{n}_p", f"{n}_q", p_width) for f, n in zip(fits, ("resp", "base"))]
     return fits[0].join(fits[1], list(on), "full")
 
 
@@ -197,7 +207,7 @@ def mann_whitney(df: DataFrame, on: Sequence[str], value: str, group: Column, wi
     sd = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0))))
     z = (F.greatest(F.col("u"), n1 * n0 - F.col("u")) - n1 * n0 / 2 - 0.5) / F.nullif(sd, F.lit(0.0))
     return joined.withColumn("u", u).withColumn(
-        "p", F.least(F.lit(1.0), 2 * P.normal_sf(z))
+        "p", clamp(2 * P.normal_sf(z), 0.0, 1.0)
     ).drop("__s", "ties")
 
 
@@ -218,7 +228,7 @@ def wilcoxon(df: DataFrame, on: Sequence[str], diff: str, min_n: int = 1, width:
     z = (stat - n * (n + 1) / 4) / F.nullif(sd, F.lit(0.0))
     enough = F.col("n") >= min_n
     return joined.select(
-        *on, "n", F.when(enough, stat).alias("w"), F.when(enough, F.least(F.lit(1.0), P.normal_p2(z))).alias("p")
+        *on, "n", F.when(enough, stat).alias("w"), F.when(enough, clamp(P.normal_p2(z), 0.0, 1.0)).alias("p")
     )
 
 
@@ -232,7 +242,7 @@ def sign_binomial(df: DataFrame, on: Sequence[str], value: str) -> DataFrame:
 def fisher_z_meta(df: DataFrame, on: Sequence[str], r: str, n: str) -> DataFrame:
     """Weighted mean correlation over rows with n >= 4, with 95% interval, z and p."""
     w = (F.col(n) - 3).cast("double")
-    z = F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col(r))))
+    z = F.atanh(clamp(F.col(r), -0.999999, 0.999999))
     rows = df.where((F.col(n) >= 4) & F.col(r).isNotNull())
     sums = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("k"), F.sum(w).alias("sw"), F.sum(w * z).alias("swz"))
     zbar, se = F.col("swz") / F.col("sw"), 1 / F.sqrt("sw")
@@ -490,7 +500,7 @@ def compare_directions(replicates: DataFrame) -> DataFrame:
 
 
 def azimuth_elevation(v: Sequence[Column]) -> tuple[Column, Column]:
-    up = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v[2]))
+    up = clamp(v[2], -1.0, 1.0)
     return F.degrees(F.atan2(v[1], v[0])), F.degrees(F.asin(up))
 
 

@@ -161,6 +161,10 @@ class Tables:
     def price_width(self) -> float | None:
         return self.width_of("lineitem", self.lineitem, ["l_suppkey"], "l_extendedprice")
 
+    def cut_if_many(self, name: str, width: float) -> float | None:
+        """`width` for result tables with one row per row of `name`, when those are too many."""
+        return None if self.hash_chunks(name, self.table(name)) is None else width
+
     @cached_property
     def points(self) -> DataFrame:
         """Embeddings as coordinates, features and labels."""

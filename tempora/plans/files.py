@@ -25,22 +25,21 @@ points2 AS (
 
 
 def track_files(b):
-    """One CSV per session with three header rows and two keypoints."""
-    rows = b.frames.select(session_name("session").alias("session"), (F.col("frame") + 3).alias("n"), F.concat_ws(
+    """Track CSVs by session, any number of files each, and the three header rows beside them."""
+    rows = b.frames.select(session_name("session").alias("session"), F.concat_ws(
         ",", "frame", "x", "y", "confidence", F.col("x") + 1, F.when(F.col("frame") % 7 > 0, F.col("y")).otherwise(F.lit(float("nan"))), F.lit(0.5)
     ).alias("value"))
-    heads = ["scorer,m,m,m,m,m,m", "bodyparts,tongue,tongue,tongue,jaw,jaw,jaw", "coords,x,y,likelihood,x,y,likelihood"]
-    head = F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("n"), F.lit(v).alias("value")) for i, v in enumerate(heads)]))
-    names = b.ev.select(session_name("session").alias("session")).distinct().select("session", head.alias("h")).select("session", "h.n", "h.value")
     path = scratch_path(b.spark, "tracks")
-    whole = rows.unionByName(names).repartition("session").sortWithinPartitions("session", "n")
-    whole.select("session", "value").write.partitionBy("session").text(path)
+    rows.hint("rebalance", "session").write.partitionBy("session").text(path)
+    heads = ["scorer,m,m,m,m,m,m", "bodyparts,tongue,tongue,tongue,jaw,jaw,jaw", "coords,x,y,likelihood,x,y,likelihood"]
+    b.spark.range(1).select(F.explode(F.array(*map(F.lit, heads))).alias("value")).write.text(f"{path}/session=header")
     return path
 
 
 @query("scan_keypoints", f"WITH {TRACKS} SELECT * FROM points2", "x")
 def scan_keypoints(b):
-    return R.scan_keypoints(b.spark, track_files(b))
+    path = track_files(b)
+    return R.scan_keypoints(b.spark, path, header=f"{path}/session=header")
 
 
 @query("mask_low_confidence", "SELECT session, frame, CASE WHEN confidence > 0.9 THEN x END AS x, CASE WHEN confidence > 0.9 THEN y END AS y FROM frames")

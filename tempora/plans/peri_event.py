@@ -130,7 +130,7 @@ WITH {ZPETH}, k AS (
 q AS (SELECT session, unit, CASE WHEN round(abs(hi), 9) >= round(abs(lo), 9) THEN hi ELSE lo END AS signed_peak FROM k WHERE whole)
 SELECT *, row_number() OVER (ORDER BY round(signed_peak, 9) DESC, session, unit) AS peak_rank FROM q""", "signed_peak")
 def signed_peak(b):
-    return E.signed_peak(zpeth(b), UNIT, F.col("bin_start") >= 0)
+    return E.signed_peak(zpeth(b), UNIT, F.col("bin_start") >= 0, b.cut_if_many("events", 0.01))
 
 
 @query("mean_sem_by_bin", f"""
@@ -216,7 +216,8 @@ def sliding_auc(b):
     long = counts.select(*UNIT, "label", *[F.col(f"n_w{i}").alias(str(i)) for i in range(6)]).unpivot(
         [*UNIT, "label"], [str(i) for i in range(6)], "bin", "n"
     ).withColumn("bin", F.col("bin").cast("bigint"))
-    return E.auc_by_bin(long, [*UNIT, "bin"], "n", "label")
+    # counts are small integers: where sessions are cut at all, cut between counts
+    return E.auc_by_bin(long, [*UNIT, "bin"], "n", "label", width=None if b.width is None else 1.0)
 
 
 @query("auc_by_bin", f"WITH {AUC} SELECT * FROM auc", "auc")
@@ -284,7 +285,7 @@ edges AS (SELECT session, unit, i AS bin, q[i + 1] AS lo, q[i + 2] AS hi FROM qs
 
 @query("tuning_curve_quantile", f"WITH {_tuning_sql(QUANTILE_EDGES, 'vr.v')}, {CURVE}", "variable_mean rate_mean rate_z")
 def tuning_curve_quantile(b):
-    return E.tuning_curve(tuning_rows(b), UNIT, "v", "rate", 4, "quantile")
+    return E.tuning_curve(tuning_rows(b), UNIT, "v", "rate", 4, "quantile", b.width_of("values", b.ev, S, "value"))
 
 
 RATE_EDGES = """

@@ -43,7 +43,7 @@ c2 AS ({T.fdr('c1', 'spearman_p', 'spearman_q')}), c3 AS ({T.fdr('c2', 'pearson_
 WITH {CORRELATED} SELECT *, coalesce(spearman_q < 0.05, false) AS spearman_sig_fdr, coalesce(pearson_q < 0.05, false) AS pearson_sig_fdr FROM c3""",
        "spearman_rho spearman_p spearman_q spearman_t pearson_r pearson_p pearson_q pearson_t")
 def unit_correlations(b):
-    return X.unit_correlations(lines(b), SUPP, "x", "y", width=b.price_width)
+    return X.unit_correlations(lines(b), SUPP, "x", "y", width=b.price_width, p_width=b.cut_if_many("supplier", 0.05))
 
 
 @query("corr_to_t", f"""
@@ -61,7 +61,17 @@ g AS (SELECT l_suppkey, l_returnflag, CASE WHEN l_suppkey % 9 > 0 THEN (l_suppke
 def fdr_bh(b):
     p = F.when(F.col("l_suppkey") % 9 > 0, (F.col("l_suppkey") % 37 + 1) / 500.0 * F.min("q"))
     groups = lines(b).groupBy("l_suppkey", "l_returnflag").agg(p.alias("p"))
-    return X.fdr_bh(groups, ["l_returnflag"], "p", "q")
+    return X.fdr_bh(groups, ["l_returnflag"], "p", "q", b.cut_if_many("supplier", 0.05))
+
+
+@query("fdr_bh_chunked", f"""
+WITH {LINES}, g0 AS (SELECT l_suppkey, l_returnflag, min(q) AS mq FROM li GROUP BY ALL),
+g AS (SELECT l_suppkey, l_returnflag, CASE WHEN l_suppkey % 9 > 0 THEN (l_suppkey % 37 + 1) / 500.0::DOUBLE * mq END AS p FROM g0)
+{T.fdr('g', 'p', 'q')}""", "p q")
+def fdr_bh_chunked(b):
+    # the plan very many units get, over all groups at once
+    p = F.when(F.col("l_suppkey") % 9 > 0, (F.col("l_suppkey") % 37 + 1) / 500.0 * F.min("q"))
+    return X.fdr_bh(lines(b).groupBy("l_suppkey", "l_returnflag").agg(p.alias("p")), [], "p", "q", 0.5)
 
 
 def _ols(prefix, y):
@@ -75,7 +85,7 @@ def _ols(prefix, y):
 @query("ols_per_unit", f"WITH {LINES}, {_ols('resp', 'y')}, {_ols('base', 'd')} SELECT * FROM resp2 FULL JOIN base2 USING (l_suppkey)",
        "resp_t resp_p resp_q base_coef base_t base_p base_q resp_coef")
 def ols_per_unit(b):
-    return X.fit_rt_ols(lines(b), SUPP, "q", "y", "d", 50)
+    return X.fit_rt_ols(lines(b), SUPP, "q", "y", "d", 50, b.cut_if_many("supplier", 0.05))
 
 
 @query("linregress", f"""
@@ -132,7 +142,7 @@ def wilcoxon_signed(b):
 
 @query("wilcoxon_unit_means", f"WITH {BOUT_COUNTS}, c AS (SELECT round(response - inter_trial, 9) AS diff FROM paired), {_wilcoxon('wx', 'c', 'diff', '')} SELECT * FROM wx", "w p")
 def wilcoxon_unit_means(b):
-    return X.wilcoxon(paired_means(b).select(F.round(F.col("response") - F.col("inter_trial"), 9).alias("diff")), [], "diff")
+    return X.wilcoxon(paired_means(b).select(F.round(F.col("response") - F.col("inter_trial"), 9).alias("diff")), [], "diff", 1, b.cut_if_many("events", 0.01))
 
 
 @query("sign_binomial", f"""
@@ -300,7 +310,7 @@ def azimuth_elevation(b):
 @query("cone_half_angle", "SELECT label, quantile_cont(degrees(acos(greatest(-1, least(1, x / sqrt(x * x + y * y + z * z))))), 0.95) AS cone_half_angle_deg FROM points GROUP BY ALL", "cone_half_angle_deg", digits=5)
 def cone_half_angle(b):
     axis = [F.lit(1.0), F.lit(0.0), F.lit(0.0)]
-    return X.cone_half_angle(b.points, ["label"], axis, [F.col(c) for c in "xyz"])
+    return X.cone_half_angle(b.points, ["label"], axis, [F.col(c) for c in "xyz"], width=b.cut_if_many("embeddings", 0.01))
 
 
 @query("compare_directions", """
@@ -363,7 +373,7 @@ def entry_tables(b):
 
 
 def registry(b):
-    reg = R.UnitStatsRegistry(width=None)
+    reg = R.UnitStatsRegistry(width=b.cut_if_many("supplier", 0.05), p_width=b.cut_if_many("supplier", 0.05))
     for name, table in entry_tables(b).items():
         reg.register_cor(name, table, coef="r", p="p", n_trials="n")
     return reg
@@ -390,14 +400,14 @@ wq AS ({T.fdr('wl', 'p', 'q', 'entry')})"""
 @query("register_regression", f"WITH {WIDE} SELECT CAST(l_suppkey AS VARCHAR) AS unit, t, p, q, coalesce(q < 0.05, false) AS sig_fdr FROM wq WHERE entry = 'ols::resp'", "t p q")
 def register_regression(b):
     reg = R.UnitStatsRegistry(prefix=lambda c: c)
-    fits = X.fit_rt_ols(lines(b), SUPP, "q", "y", "d", 50).withColumn("session", F.lit("s"))
+    fits = X.fit_rt_ols(lines(b), SUPP, "q", "y", "d", 50, b.cut_if_many("supplier", 0.05)).withColumn("session", F.lit("s"))
     reg.register_regression("rt", fits, t="resp_t", p="resp_p", q="resp_q", coef="resp_coef", n_trials="resp_n", unit="l_suppkey")
     return reg.get("rt").select("unit", "t", "p", "q", "sig_fdr")
 
 
 @query("register_wide", f"WITH {WIDE} SELECT entry, CAST(l_suppkey AS VARCHAR) AS unit, t, p, q, coef FROM wq", "t p q coef")
 def register_wide(b):
-    fits = X.fit_rt_ols(lines(b), SUPP, "q", "y", "d", 50).select(
+    fits = X.fit_rt_ols(lines(b), SUPP, "q", "y", "d", 50, b.cut_if_many("supplier", 0.05)).select(
         F.lit("s").alias("session"), F.col("l_suppkey").alias("unit"),
         *[F.col(f"{k}_{c}").alias(f"{'T' if c == 't' else c}_{k}") for k in ("resp", "base") for c in ("t", "p", "coef")],
     )

@@ -16,13 +16,13 @@ SYNC = r"^FIP_(falling|rising)_time$"
 LISTED_NAME = r"^(.*)_videoprocessed_(\d{4}-\d{2}-\d{2})_(\d{2}-\d{2}-\d{2})$"
 
 
-def scan_keypoints(spark: SparkSession, path: str, session: Column | None = None) -> DataFrame:
+def scan_keypoints(spark: SparkSession, path: str, session: Column | None = None, header: str | None = None) -> DataFrame:
     """Track CSVs with three header rows (scorer, keypoint, coordinate) in long form.
 
-    The first lines of one file name the columns; data rows are those with a numeric index, so
-    the headers of all files fall away in the same filter.
+    The first lines of one file (`header`, else the first found) name the columns; data rows are
+    those with a numeric index, so the headers of all files fall away in the same filter.
     """
-    one = spark.read.text(path).select("_metadata.file_path").first()[0]
+    one = header or spark.read.text(path).select("_metadata.file_path").first()[0]
     lines = spark.read.text(one).where(~F.col("value").rlike(r"^\d")).limit(3)
     head = sorted((r["value"] for r in lines.collect()), key=lambda v: {"scorer": 0, "bodyparts": 1, "coords": 2}.get(v.split(",")[0], 3))
     points, coords = head[1].split(",")[1:], head[2].split(",")[1:]
