@@ -57,11 +57,14 @@ bins AS (SELECT unnest(range(0, 12)) AS bin),
 rel AS (
   SELECT s.session, s.unit, least(floor((s.t - c.cue + 86400) / 21600)::BIGINT, 11) AS bin FROM spikes s JOIN cues c
   ON c.session = s.session AND s.t BETWEEN c.cue - 86400 AND c.cue + 172800),
-nr AS (SELECT session, unit, bin, count(*) AS n FROM rel GROUP BY ALL),
 ne AS (SELECT session, count(*) AS n_events FROM cues GROUP BY ALL),
-peth AS (
-  SELECT u.session, u.unit, b.bin, -86400 + b.bin * 21600.0::DOUBLE AS bin_start, coalesce(n, 0) / (n_events * 6.0::DOUBLE) AS rate
-  FROM units u JOIN ne USING (session) CROSS JOIN bins b LEFT JOIN nr USING (session, unit, bin))
+every AS (
+  SELECT session, unit, bin::BIGINT AS bin, 1 AS n FROM rel
+  UNION ALL SELECT session, unit, bin, 0 FROM units CROSS JOIN bins WHERE session IN (SELECT session FROM cues)),
+nr AS (SELECT session, unit, bin, sum(n) AS n FROM every GROUP BY ALL),
+peth AS MATERIALIZED (
+  SELECT nr.session, nr.unit, nr.bin, -86400 + nr.bin * 21600.0::DOUBLE AS bin_start,
+         nr.n / ((SELECT n_events FROM ne WHERE ne.session = nr.session) * 6.0::DOUBLE) AS rate FROM nr)
 """
 
 
@@ -96,8 +99,8 @@ def session_rate_stats(b):
 
 ZPETH = f"""
 {PETH},
-bs AS (SELECT session, unit, avg(rate) AS m, stddev_pop(rate) AS s FROM peth WHERE bin_start < 0 GROUP BY ALL),
-zpeth AS (SELECT p.session, p.unit, p.bin, p.bin_start, p.rate, CASE WHEN s > 1e-12 THEN (p.rate - m) / s END AS z FROM peth p JOIN bs USING (session, unit))
+bs AS (SELECT *, avg(rate) FILTER (WHERE bin_start < 0) OVER w AS m, stddev_pop(rate) FILTER (WHERE bin_start < 0) OVER w AS s FROM peth WINDOW w AS (PARTITION BY session, unit)),
+zpeth AS (SELECT session, unit, bin, bin_start, rate, CASE WHEN s > 1e-12 THEN (rate - m) / s END AS z FROM bs)
 """
 
 
@@ -118,8 +121,7 @@ def zscore_peth_session(b):
 
 
 @query("centred_peth", f"""
-WITH {PETH}, f AS (SELECT session, unit, avg(rate) AS m FROM peth WHERE bin < 5 GROUP BY ALL)
-SELECT session, unit, bin, rate - m AS centred FROM peth JOIN f USING (session, unit)""", "centred")
+WITH {PETH} SELECT session, unit, bin, rate - avg(rate) FILTER (WHERE bin < 5) OVER (PARTITION BY session, unit) AS centred FROM peth""", "centred")
 def centred_peth(b):
     return E.centre_on_first_bins(hourly_peth(b), UNIT).select(*UNIT, "bin", "centred")
 
