@@ -23,20 +23,19 @@ def _stack(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_t: str, right_t: str,
     payload: Sequence[str],
 ) -> DataFrame:
-    """Both sides on one time axis: `__t`, the left row or the right payload as a struct."""
+    """Both sides on one time axis `__t`: left rows with their own columns, so that unused ones
+    are pruned down to the scan, and right rows with their payload as a struct."""
     stamp = F.col(right_t).cast("double")
-    rows = left.select(
-        *keys, F.col(left_t).cast("double").alias("__t"), F.struct("*").alias(LEFT)
-    )
+    rows = left.select("*", F.col(left_t).cast("double").alias("__t"), F.lit(True).alias(LEFT))
     facts = right.where(stamp.isNotNull()).select(
         *keys, stamp.alias("__t"), F.struct(stamp.alias("__at"), *payload).alias(RIGHT)
     )
     return rows.unionByName(facts, allowMissingColumns=True)
 
 
-def _unstack(scanned: DataFrame, names: Mapping[str, tuple[str, str]]) -> DataFrame:
+def _unstack(scanned: DataFrame, left: DataFrame, names: Mapping[str, tuple[str, str]]) -> DataFrame:
     rows = scanned.where(F.col(LEFT).isNotNull())
-    return rows.select(f"{LEFT}.*", *[F.col(c)[f].alias(n) for n, (c, f) in names.items()])
+    return rows.select(*left.columns, *[F.col(c)[f].alias(n) for n, (c, f) in names.items()])
 
 
 def asof_backward(
@@ -51,7 +50,7 @@ def asof_backward(
     both = _stack(left, right, keys, left_t, right_t, payload)
     order = ["__t", F.col(LEFT).isNotNull()]
     scanned = ordered_scan(both, keys, order, {"__prev": last_known(F.col(RIGHT))}, width)
-    return _unstack(scanned, {n: ("__prev", c) for n, c in take.items()})
+    return _unstack(scanned, left, {n: ("__prev", c) for n, c in take.items()})
 
 
 def asof_forward(
@@ -63,7 +62,7 @@ def asof_forward(
     both = _stack(left, right, keys, left_t, right_t, payload)
     order = ["__t", F.col(LEFT).isNull()]
     scanned = ordered_scan(both, keys, order, {"__next": next_known(F.col(RIGHT))}, width)
-    return _unstack(scanned, {n: ("__next", c) for n, c in take.items()})
+    return _unstack(scanned, left, {n: ("__next", c) for n, c in take.items()})
 
 
 def previous_and_next(
@@ -79,7 +78,7 @@ def previous_and_next(
     )
     names = {n: ("__prev", c) for n, c in previous.items()}
     names.update({n: ("__next", c) for n, c in following.items()})
-    return _unstack(scanned, names)
+    return _unstack(scanned, left, names)
 
 
 def event_trial_index(
@@ -186,7 +185,7 @@ def null_if_spans(
     scanned = ordered_scan(
         both, keys, ["__t", F.col(LEFT).isNotNull()], {"__next": next_after(F.col(RIGHT))}, width
     )
-    rows = _unstack(scanned, {"__after": ("__next", "__at")})
+    rows = _unstack(scanned, spans, {"__after": ("__next", "__at")})
     spanning = F.coalesce(F.col("__after") < F.col(end), F.lit(False))
     return rows.withColumn(column, F.when(~spanning, F.col(column))).drop("__after")
 

@@ -166,7 +166,7 @@ SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'behavior_' || page_id
   regexp_extract(url, '://([^/]+)/', 1) AS host FROM pages""")
 def session_from_path(b):
     path = F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(
-        F.concat(F.lit("/data/"), session_name("page_id"), F.lit("/intermediate_data/tongue_kins.parquet"))
+        F.concat(F.lit("/data/"), session_name("page_id"), F.lit("/intermediate_data/frames.parquet"))
     )
     return b.table("pages").select(
         "page_id", K.session_from_path(path).alias("session"), F.regexp_extract("url", "://([^/]+)/", 1).alias("host")
