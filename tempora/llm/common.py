@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tempora.session import scratch_path
 
 #: Bytes of text that one step inside a task works on; a longer text is a step of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,9 +26,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of jobs whose results are stored; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -96,6 +104,18 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((total[ends] - total[starts]) * powers(_INVERSE, len(values) + 1)[starts])
 
 
+def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of every k neighbours."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(BASE, len(values)), out=total[1:])
+    gram = total[k:] - total[:-k]
+    gram *= powers(_INVERSE, len(gram))
+    gram ^= gram >> np.uint64(32)
+    gram *= np.uint64(0xBF58476D1CE4E5B9)
+    gram ^= gram >> np.uint64(29)
+    return gram
+
+
 #: Bytes that separate words: space, and tab to carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True

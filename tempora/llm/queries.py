@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import fingerprint, langid, mainpage, packing, sharding, tokencount
+from tempora.llm import fingerprint, langid, mainpage, packing, phrasededup, sharding, suffixdedup, tokencount
 from tempora.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.removals(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainpage.extract(table(spark, sf_dir, "pages"))
 
@@ -30,6 +34,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrasededup.removals(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, ~langid.held_out())
@@ -37,5 +45,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_fingerprints, op4_token_counts, op6_main_text, op7_packing, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_fingerprints, op4_token_counts, op5_suffix_dedup, op6_main_text, op7_packing, op8_phrase_dedup, op10_language)}
 ORACLES: dict[str, str] = {}
