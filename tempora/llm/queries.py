@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import fingerprint, langid, mainpage, packing, phrasededup, sharding, suffixdedup, tokencount
+from tempora.llm import fingerprint, jaccardjoin, langid, mainpage, packing, phrasededup, sharding, suffixdedup, tokencount
 from tempora.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrasededup.removals(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardjoin.similarity_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, ~langid.held_out())
@@ -45,5 +49,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_fingerprints, op4_token_counts, op5_suffix_dedup, op6_main_text, op7_packing, op8_phrase_dedup, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_fingerprints, op4_token_counts, op5_suffix_dedup, op6_main_text, op7_packing, op8_phrase_dedup, op9_jaccard_join, op10_language)}
 ORACLES: dict[str, str] = {}
