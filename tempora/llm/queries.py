@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import fingerprint, jaccardjoin, langid, mainpage, packing, phrasededup, sharding, suffixdedup, tokencount
+from tempora.llm import decontaminate, fingerprint, jaccardjoin, langid, mainpage, packing, phrasededup, sharding, suffixdedup, tokencount
 from tempora.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_fingerprints, op4_token_counts, op5_suffix_dedup, op6_main_text, op7_packing, op8_phrase_dedup, op9_jaccard_join, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_fingerprints, op4_token_counts, op5_suffix_dedup, op6_main_text, op7_packing, op8_phrase_dedup, op9_jaccard_join, op10_language)}
 ORACLES: dict[str, str] = {}
