@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import flat, slices
+from tempora.llm.common import flat, slices, stored
 
 #: Contexts are this many bytes at most.
 ORDER = 3
 #: Cells of a dense table; a model with more pairs of bytes is searched instead, with equal results.
 TABLE_CELLS = 8_000_000
+#: Rows of a table of languages that is sent to every executor.
+MANY_LANGUAGES = 10_000
 _tables: dict[str, "Tables"] = {}
 
 
@@ -146,7 +148,9 @@ class Tables:
 def training_sample(docs: DataFrame, fold: Column, per_language: int = 1500, language: str = "lang", text: str = "text") -> DataFrame:
     """About `per_language` different texts of every language from the rows where `fold` holds, whole, chosen by a hash of the text."""
     labelled = docs.where(fold & F.col(text).isNotNull() & F.col(language).isNotNull()).select(F.col(language).alias("lang"), F.col(text).alias("text"))
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = stored(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
+    if sizes.count() <= MANY_LANGUAGES:  # a row per language; beyond, the rows are shuffled by language instead
+        sizes = F.broadcast(sizes)
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return labelled.join(sizes, "lang").where(share * F.col("rows") < per_language).select("lang", "text").distinct()
 
