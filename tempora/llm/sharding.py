@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from tempora.llm.common import partitions, stored, utf8_bytes
 
 
-def place(vectors: np.ndarray, bins: int) -> np.ndarray:
-    """The bin of every vector: largest first, each where its dot product with the room that is left is highest.
+def place(vectors: np.ndarray, bins: int, weights: tuple[float, ...] = (64.0, 1.0, 1.0)) -> np.ndarray:
+    """The bin of every vector of (bytes, tokens, rows): most bytes first, each where its dot product with the room that is left is highest.
 
-    Room is counted in shares of each resource's total, so that no unit weighs more than another. Equal products go to
-    the lowest bin. Room turns negative when a bin is over its share.
+    Room is counted in shares of each resource's total, so that no unit weighs more than another; `weights` then put the
+    resource of the law first. Equal products go to the lowest bin. Room turns negative when a bin is over its share.
     """
     total = np.maximum(vectors.sum(axis=0), 1)
     shares = vectors / total
     room = np.full((bins, vectors.shape[1]), 1 / bins)
     chosen = np.zeros(len(vectors), np.int64)
-    for k in np.argsort(-shares.max(axis=1), kind="stable").tolist():
-        best = int((room @ shares[k]).argmax())
+    pull = shares * np.array(weights)
+    for k in np.argsort(-shares[:, 0], kind="stable").tolist():
+        best = int((room @ pull[k]).argmax())
         room[best] -= shares[k]
         chosen[k] = best
     return chosen
