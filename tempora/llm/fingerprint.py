@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tempora.llm.common import partitions
 
 #: Lanes of 32 bits that tell multisets apart, and lanes of 16 bits that measure their likeness.
-EQUALITY, LIKENESS = 4, 64
+EQUALITY, LIKENESS = 4, 128
 _LOW = 1 | 1 << 31
 
 
@@ -22,16 +22,16 @@ def lane_columns() -> list[str]:
 
 
 def unit_lanes(unit: Column) -> list[Column]:
-    """What one unit adds: 1 to n, four hashes of 32 bits, and to each of 64 counters a bit of a hash; null adds nothing.
+    """What one unit adds: 1 to n, four hashes of 32 bits, and to each of 128 counters a bit of a hash; null adds nothing.
 
     Two counters share a long, 31 bits apart. A text has under 2^31 units, so no sum overflows and every counter is exact.
     """
     zero = F.lit(0).cast("long")
     kept = lambda x: F.when(unit.isNotNull(), x).otherwise(zero)
-    hashed = F.xxhash64(F.lit("likeness"), unit)
+    hashed = [F.xxhash64(F.lit(f"likeness {k}"), unit) for k in range(LIKENESS // 64)]
     lanes = [kept(F.lit(1).cast("long")).alias("__n")]
     lanes += [kept(F.xxhash64(F.lit(k), unit).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"__e{k}") for k in range(EQUALITY)]
-    return lanes + [kept(F.shiftrightunsigned(hashed, k).bitwiseAND(F.lit(_LOW))).alias(f"__s{k}") for k in range(LIKENESS // 2)]
+    return lanes + [kept(F.shiftrightunsigned(hashed[k // 32], k % 32).bitwiseAND(F.lit(_LOW))).alias(f"__s{k}") for k in range(LIKENESS // 2)]
 
 
 def sums(rows: DataFrame, keys: list[str], unit: str) -> DataFrame:
