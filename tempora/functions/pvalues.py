@@ -2,8 +2,8 @@
 
 Spark has no erf, log-gamma or incomplete beta, and spelling them out as Columns makes plans of
 many thousand nodes. They are small vectorised functions over Arrow batches instead, applied to
-result tables (one row per group), never to the measurements. The cost per row does not depend
-on the sample size behind it.
+result tables (one row per group), never to the measurements. The cost per row grows with the square
+root of the sample size behind it at most.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def _beta_inc(a, b, x):
 
     c, d = np.ones_like(y), 1 / solid(1 - (p + q) * y / (p + 1))
     value = d
-    for m in range(1, 10_000):
+    for m in range(1, 1_000_000):
         for step in (m * (q - m) / ((p + 2 * m - 1) * (p + 2 * m)),
                      -(p + m) * (p + q + m) / ((p + 2 * m) * (p + 2 * m + 1))):
             d = 1 / solid(1 + step * y * d)
@@ -107,9 +107,16 @@ def _student_udf(t: pd.Series, df: pd.Series) -> pd.Series:
 @pandas_udf(DoubleType())
 def _student_quantile_udf(p: pd.Series, df: pd.Series) -> pd.Series:
     p, df = _doubles(p, df)
-    lo, hi = np.zeros_like(p), np.full_like(p, 700.0)
+    lo, hi = np.zeros_like(p), np.full_like(p, 16.0)
     with np.errstate(all="ignore"):
-        for _ in range(60):
+        for _ in range(1000):
+            short = (_student_p2(hi, df) > p) & (hi < 1e300)
+            if not short.any():
+                break
+            hi = np.where(short, hi * 4, hi)
+        for _ in range(1100):
+            if not (np.nextafter(lo, np.inf) < hi).any():
+                break
             middle = (lo + hi) / 2
             wide = _student_p2(middle, df) > p
             lo, hi = np.where(wide, middle, lo), np.where(wide, hi, middle)
@@ -122,25 +129,48 @@ def _binomial_udf(positive: pd.Series, negative: pd.Series) -> pd.Series:
     n, k = pos + neg, np.minimum(pos, neg)
     with np.errstate(all="ignore"):
         exact = 2 * _beta_inc(np.maximum(n - k, 1), k + 1, np.full_like(n, 0.5))
-        approx = 2 * _normal_tail(np.maximum((np.abs(pos - neg) - 1) / np.sqrt(n), 0.0))
-    p = np.minimum(1.0, np.where(n > LARGE_DF, approx, exact))
+    p = np.minimum(1.0, exact)
     return pd.Series(np.where(n == 0, np.nan, np.where(pos == neg, 1.0, p)))
 
 
 @pandas_udf(DoubleType())
 def _fisher_udf(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    def one(a, b, c, d):
-        row, col, n = a + b, a + c, a + b + c + d
-        k = np.arange(max(0, row + col - n), min(row, col) + 1, dtype=float)
+    tables = np.stack(_doubles(a, b, c, d))
+    return pd.Series(_fisher_p2(*tables))
 
-        def choose(m, j):
-            return _log_gamma(m + 1.0) - _log_gamma(j + 1.0) - _log_gamma(m - j + 1.0)
 
-        log_p = choose(col, k) + choose(n - col, row - k) - choose(np.float64(n), np.float64(row))
-        here = log_p[int(a - k[0])]
-        return min(1.0, float(np.exp(log_p[log_p <= here + 1e-7]).sum()))
+def _fisher_p2(a, b, c, d):
+    """Sums of the probabilities of all tables with the same margins that are no likelier than the observed one.
 
-    return pd.Series([one(*map(float, r)) for r in zip(a, b, c, d)], dtype="float64")
+    From the observed cell outward each probability follows from its neighbour by a ratio, and they rise to the
+    mode and then fall: each side is followed until its terms vanish, for all rows at once.
+    """
+    row, col, n = a + b, a + c, a + b + c + d
+
+    def choose(m, j):
+        return _log_gamma(m + 1.0) - _log_gamma(j + 1.0) - _log_gamma(m - j + 1.0)
+
+    with np.errstate(all="ignore"):
+        log_here = choose(col, a) + choose(n - col, row - a) - choose(n, row)
+        mode = np.floor((row + 1) * (col + 1) / (n + 2))
+        log_mode = choose(col, mode) + choose(n - col, row - mode) - choose(n, row)
+        total = np.zeros_like(a)
+        for step in (1.0, -1.0):
+            k, p = mode.copy(), np.exp(log_mode)
+            if step < 0:
+                p, k = p * k * (n - row - col + k) / ((row - k + 1) * (col - k + 1)), k - 1
+            limit = np.exp(log_here + 1e-7)
+            while True:
+                live = (k >= np.maximum(0, row + col - n)) & (k <= np.minimum(row, col)) & (p > 0)
+                total = np.where(live & (p <= limit), total + p, total)
+                live &= ~((p <= limit) & (p < total * 1e-17))
+                if not live.any():
+                    break
+                up = (row - k) * (col - k) / ((k + 1) * (n - row - col + k + 1))
+                down = k * (n - row - col + k) / ((row - k + 1) * (col - k + 1))
+                p = np.where(live, p * (up if step > 0 else down), 0.0)
+                k = k + step
+    return np.minimum(1.0, total)
 
 
 def _null(p: Column) -> Column:
@@ -179,7 +209,7 @@ def binomial_half_p2(positive: Column, negative: Column) -> Column:
 
 def fisher_exact_p2(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-sided Fisher exact p of the 2x2 table [[a, b], [c, d]]."""
-    return _fisher_udf(*[v.cast("double") for v in (a, b, c, d)])
+    return _null(_fisher_udf(*[v.cast("double") for v in (a, b, c, d)]))
 
 
 def kolmogorov_sf(lam: Column, terms: int = 100) -> Column:

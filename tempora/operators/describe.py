@@ -12,7 +12,7 @@ from tempora.functions.geometry import clamp
 from tempora.operators.ordered import last_before, numbered, ordered_scan, quantiles, running
 from tempora.operators.segment import refractory_filter
 from tempora.operators.stats import confusion_rates
-from tempora.operators.timejoin import match_events
+from tempora.operators.timejoin import previous_and_next
 
 
 def percentile_limits(df: DataFrame, columns: Sequence[str], lo: float, hi: float, widths: Mapping[str, float] | None = None) -> dict[str, tuple[Column, Column]]:
@@ -145,27 +145,31 @@ def detector_grid(
     radii: Sequence[float], dead_times: Sequence[float], tolerances: Sequence[float],
     width: float | None = None,
 ) -> DataFrame:
-    """Rates per (radius, dead time, tolerance). Parameters become key columns, so the whole grid
-    runs as one plan per dead time instead of one job per cell."""
-    near = candidates.select(*session, t, distance).withColumn(
-        "radius", F.explode(F.array(*[F.lit(float(r)) for r in radii]))
-    ).where(F.col(distance) <= F.col("radius"))
-    kept = None
-    for dead in dead_times:
-        part = refractory_filter(near, [*session, "radius"], t, dead, width=width).withColumn("dead_time", F.lit(float(dead)))
-        kept = part if kept is None else kept.unionByName(part)
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(float(r)).alias("radius"), F.lit(float(d)).alias("dead_time"))
-        for r in radii for d in dead_times
-    ]))
-    truth = reference.select(*session, t, cells.alias("c")).select(*session, t, "c.radius", "c.dead_time")
-    out = None
-    for tolerance in tolerances:
-        status = match_events(kept, truth, [*session, "radius", "dead_time"], t, tolerance, width)
-        part = status.groupBy("radius", "dead_time").agg(*[
-            F.count_if(F.col("status") == s).alias(s.lower()) for s in ("TP", "FP", "FN")
-        ]).withColumn("tolerance", F.lit(float(tolerance)))
-        out = part if out is None else out.unionByName(part)
+    """Rates per (radius, dead time, tolerance), the whole grid in one plan.
+
+    Radius and dead time are key columns of one detector pass. How far each event is from the nearest of the other side does not
+    depend on the tolerance, so it is found once, and tolerances are thresholds on it in one aggregate.
+    """
+    def listed(values):
+        return F.explode(F.array(*[F.lit(float(v)) for v in values]))
+
+    cell = ["radius", "dead_time"]
+    on = [*session, *cell]
+    near = candidates.select(*session, t, distance, listed(radii).alias("radius")).where(F.col(distance) <= F.col("radius"))
+    kept = refractory_filter(near.select(*session, t, "radius", listed(dead_times).alias("dead_time")), on, t, F.col("dead_time"), width=width)
+    truth = reference.select(*session, t, listed(radii).alias("radius")).select(*session, t, "radius", listed(dead_times).alias("dead_time"))
+
+    def reach(own: DataFrame, other: DataFrame) -> DataFrame:
+        both = previous_and_next(own.select(*on, t), other.select(*on, t), on, t, t, {"__p": "__at"}, {"__n": "__at"}, width)
+        return both.select(*cell, F.least(F.col(t) - F.col("__p"), F.col("__n") - F.col(t)).alias("__d"))
+
+    within = F.array(*[F.count_if(F.col("__d") <= F.lit(float(x))) for x in tolerances])
+    found = reach(truth, kept).groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"), within.alias("__tp"))
+    spurious = reach(kept, truth).groupBy(*cell).agg(F.count(F.lit(1)).alias("__m"), within.alias("__hits"))
+    steps = F.posexplode(F.array(*[F.lit(float(x)) for x in tolerances])).alias("__k", "tolerance")
+    rows = found.join(spurious, cell, "left").select(*cell, "__n", "__m", "__tp", "__hits", steps)
+    tp, hits = F.col("__tp")[F.col("__k")], F.col("__hits")[F.col("__k")]
+    out = rows.select(*cell, tp.alias("tp"), F.coalesce(F.col("__m") - hits, F.lit(0).cast("bigint")).alias("fp"), (F.col("__n") - tp).alias("fn"), "tolerance")
     return out.withColumns(confusion_rates(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
@@ -277,11 +281,15 @@ def top_bottom(df: DataFrame, keys: Sequence[str], by: Sequence[str], tie_break:
 
 
 def keep_one(df: DataFrame, on: Sequence[str], order: Sequence[str], last: bool = False) -> DataFrame:
-    """First or last row per key in a stated order, as one partial aggregate."""
+    """First or last row per key in a stated order, as one partial aggregate; a null comes after all values either way."""
     rest = [c for c in df.columns if c not in on]
     pick = F.max if last else F.min
-    packed = df.groupBy(*on).agg(pick(F.struct(*order, *[c for c in rest if c not in order])).alias("__r"))
-    return packed.select(*on, "__r.*")
+    place = [F.struct((F.col(c).isNotNull() if last else F.col(c).isNull()).alias("n"), F.col(c).alias("v")).alias(f"__o{i}") for i, c in enumerate(order)]
+    rest_of = [c for c in rest if c not in order]
+    ties = F.struct(*[F.col(c) for c in rest_of]) if rest_of else F.struct(F.lit(0))
+    packed = df.groupBy(*on).agg(pick(F.struct(*place, ties.alias("__ties"))).alias("__r"))
+    values = {c: F.col(f"__r.__o{i}.v") for i, c in enumerate(order)} | {c: F.col(f"__r.__ties.{c}") for c in rest_of}
+    return packed.select(*on, *[values[c].alias(c) for c in rest])
 
 
 def pareto_front(df: DataFrame, objectives: Sequence[tuple[str, bool]], row_id: str, width: float | None = None) -> DataFrame:

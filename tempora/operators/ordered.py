@@ -64,9 +64,8 @@ def ordered_scan(
 ) -> DataFrame:
     """Add one column per scan, computed within `keys` in ascending `order`.
 
-    `keys` must not be null (pandas grouping drops such rows: filter them first). Ties in
-    `order` need a tie-break column to be deterministic. With `width`, the first order column
-    must be numeric.
+    A null key is a group like any other. Ties in `order` need a tie-break column to be
+    deterministic. With `width`, the first order column must be numeric.
     """
     order = _columns(order)
     up, upto = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
@@ -87,7 +86,10 @@ def ordered_scan(
 
     parts = [*keys, _CHUNK]
     position = F.struct(*order)
-    cut = df.withColumn(_CHUNK, F.coalesce(F.floor(order[0] / F.lit(width)), F.lit(-(2**62))))
+    # as in a plain window, nulls come before all values and NaN after them
+    lead = order[0].cast("double")
+    chunk = F.when(lead.isNull(), F.lit(-(2**62))).when(F.isnan(lead), F.lit(2**62)).otherwise(F.floor(order[0] / F.lit(width)))
+    cut = df.withColumn(_CHUNK, F.greatest(F.lit(-(2**62)), F.least(F.lit(2**62), chunk)))
 
     def summarise(scan: Scan) -> Column:
         if scan.kind == "running":
@@ -121,11 +123,20 @@ def ordered_scan(
             return F.when(here.isNull(), before).otherwise(here + F.coalesce(before, F.lit(0)))
         return (F.least if scan.how == "min" else F.greatest)(here, before)
 
-    return local.join(carried, parts).select(
+    return join_keys(local, carried, parts).select(
         *df.columns, *[combine(n, s).alias(n) for n, s in scans.items()]
     )
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null with null; the keys stand once. Without keys `right` is a single row."""
+    if not keys:
+        return left.withColumns({c: right.select(c).scalar() for c in right.columns})
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def numbered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str,
     width: float | None = None, start: int = 0,
@@ -172,7 +183,7 @@ def tie_ranks(
     ranks = ordered_scan(counts, keys, [value], {"__upto": running(F.col("__n"))}, width).select(
         *keys, value, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(rank), *extra
     )
-    return df.join(ranks, [*keys, value]).select(*df.columns, rank, *([below] if below else []))
+    return join_keys(df, ranks, [*keys, value]).where(F.col(value).isNotNull()).select(*df.columns, rank, *([below] if below else []))
 
 
 def quantiles(
@@ -188,9 +199,7 @@ def quantiles(
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     upto = ordered_scan(counts, keys, [value], {"__upto": running(F.col("__n"))}, width)
     total = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    placed = upto.join(total, list(keys)) if keys else upto.withColumn(
-        "__total", total.scalar()
-    )
+    placed = join_keys(upto, total, list(keys))
 
     def at(p: float, side) -> Column:
         place = side(F.lit(p) * (F.col("__total") - 1))

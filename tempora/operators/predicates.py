@@ -13,13 +13,15 @@ from tempora.functions.keys import session_prefix
 
 
 def criteria(spec: Mapping[str, Mapping]) -> Column:
-    """AND of inclusive `bounds` and `items` memberships; null and NaN fail."""
+    """AND of inclusive `bounds` and `items` memberships, both where a rule has both; null and NaN fail."""
     def one(column: str, rule: Mapping) -> Column:
-        c = F.col(column)
+        c, holds = F.col(column), F.lit(True)
         if "bounds" in rule:
             lo, hi = rule["bounds"]
-            return (c >= lo) & (c <= hi) & ~F.isnan(c.cast("double"))
-        return c.isin(list(rule["items"]))
+            holds = holds & (c >= lo) & (c <= hi) & ~F.isnan(c.cast("double"))
+        if "items" in rule:
+            holds = holds & c.isin(list(rule["items"]))
+        return holds
 
     tests = [F.coalesce(one(c, r), F.lit(False)) for c, r in spec.items()]
     return reduce(lambda a, b: a & b, tests, F.lit(True))

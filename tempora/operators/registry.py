@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.functions.keys import canon_unit, session_prefix
@@ -19,7 +19,8 @@ class UnitStatsRegistry:
     """Named entries of (session_prefix, unit, t, p, q, coef, sig_fdr, n_trials).
 
     Entries stay lazy DataFrames; `long()` is their union. `prefix` turns a session column into
-    its prefix. When an entry has more units than fit one task, `width` cuts scans over t-values
+    its prefix. Of rows that repeat a unit the first by `order` stays, or without that column the least p, nulls
+    last; `repeats(df, ...)` counts the others. When an entry has more units than fit one task, `width` cuts scans over t-values
     and `p_width` those over p-values.
     """
 
@@ -65,24 +66,30 @@ class UnitStatsRegistry:
         flat = df.select(
             self.prefix(F.col(session).cast("string")).alias("session_prefix"), canon_unit(F.col(unit).cast("string")).alias("unit"),
             t.alias("t"), given("p").alias("p"), given("q").alias("q"), given("coef").alias("coef"), n.alias("n_trials"),
+            (F.col(columns["order"]) if columns.get("order") else F.lit(0)).alias("__at"),
         )
-        one = keep_one(flat, KEYS, ["p", "t", "coef"])
+        one = keep_one(flat, KEYS, ["__at", "p", "t", "coef"]).drop("__at")
         if not columns.get("q"):
             one = S.fdr_bh(one.drop("q"), [], "p", "q", self.p_width)
         return one.withColumn("sig_fdr", F.coalesce(F.col("q") < self.alpha, F.lit(False))).select(*KEYS, *VALUES)
 
-    def register_cor(self, name: str, df: DataFrame, *, coef: str, p: str, n_trials: str, t: str | None = None, q: str | None = None, session: str = "session", unit: str = "unit_id", source: str = "cor", overwrite: bool = False) -> None:
+    def repeats(self, df: DataFrame, session: str = "session", unit: str = "unit_id") -> DataFrame:
+        """(session_prefix, unit, n) of the units with n > 1 rows, of which registering keeps one."""
+        keys = df.select(self.prefix(F.col(session).cast("string")).alias("session_prefix"), canon_unit(F.col(unit).cast("string")).alias("unit"))
+        return keys.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+    def register_cor(self, name: str, df: DataFrame, *, coef: str, p: str, n_trials: str, t: str | None = None, q: str | None = None, order: str | None = None, session: str = "session", unit: str = "unit_id", source: str = "cor", overwrite: bool = False) -> None:
         """Entry from a correlation table; t and q are derived when not given."""
         if t is None and not (coef and n_trials):
             raise ValueError("either t, or coef and n_trials, must be given")
-        columns = {"t": t, "p": p, "q": q, "coef": coef, "n_trials": n_trials}
+        columns = {"t": t, "p": p, "q": q, "coef": coef, "n_trials": n_trials, "order": order}
         self._store(name, source, self._normalise(df, session, unit, columns, t is None), overwrite)
 
     def register_partial(self, name: str, df: DataFrame, **kwargs) -> None:
         self.register_cor(name, df, **{"source": "partial", **kwargs})
 
-    def register_regression(self, name: str, df: DataFrame, *, t: str, p: str, q: str | None = None, coef: str | None = None, n_trials: str | None = None, session: str = "session", unit: str = "unit_id", source: str = "regression", overwrite: bool = False) -> None:
-        columns = {"t": t, "p": p, "q": q, "coef": coef, "n_trials": n_trials}
+    def register_regression(self, name: str, df: DataFrame, *, t: str, p: str, q: str | None = None, coef: str | None = None, n_trials: str | None = None, order: str | None = None, session: str = "session", unit: str = "unit_id", source: str = "regression", overwrite: bool = False) -> None:
+        columns = {"t": t, "p": p, "q": q, "coef": coef, "n_trials": n_trials, "order": order}
         self._store(name, source, self._normalise(df, session, unit, columns, False), overwrite)
 
     def register_wide(self, prefix: str, df: DataFrame, *, session: str = "session", unit: str = "unit", source: str = "wide", overwrite: bool = False) -> int:
@@ -104,9 +111,12 @@ class UnitStatsRegistry:
     def long(self, names: Sequence[str] | None = None) -> DataFrame:
         """(entry, source, keys, values) of the chosen entries."""
         out = None
-        for name in names or self.names:
+        for name in self.names if names is None else names:
             part = self.get(name).select(F.lit(name).alias("entry"), F.lit(self._sources[name]).alias("source"), *KEYS, *VALUES)
             out = part if out is None else out.unionByName(part)
+        if out is None:
+            empty = "entry string, source string, session_prefix string, unit string, t double, p double, q double, coef double, sig_fdr boolean, n_trials bigint"
+            out = SparkSession.active().createDataFrame([], empty)
         return out
 
     def compare(self, a: str, b: str) -> DataFrame:

@@ -112,7 +112,6 @@ def spatial_trend(
 
 def neighbours(
     df: DataFrame, row_id: str, coords: Sequence[str], fold: str, k: int, cell: float,
-    rounds: int = 12,
 ) -> DataFrame:
     """(row_id, neighbour, distance) of the k nearest rows in other folds; exact.
 
@@ -131,8 +130,9 @@ def neighbours(
     pending = df.select(row_id, fold, *coords).join(need, fold)
     found = None
     size = cell
-    for attempt in range(rounds):
-        last = attempt == rounds - 1
+    extent = df.agg(F.max(F.greatest(*[F.lit(0.0)] + [F.abs(p) for p in places]))).first()[0] or 0.0
+    while True:
+        last = size > 2 * extent  # no two rows are further apart than one cell on any axis
         cells = [F.floor(p / size) for p in places]
         train = df.select(
             F.col(row_id).alias("neighbour"), F.col(fold).alias("__nf"),
@@ -157,7 +157,6 @@ def neighbours(
         if pending.isEmpty():
             return found
         size *= 2
-    raise ValueError("grid rounds exhausted: start with a larger cell")
 
 
 def knn_cv_r2(

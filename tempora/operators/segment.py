@@ -306,10 +306,12 @@ def annotate_licks(
 
 
 def refractory_filter(
-    events: DataFrame, keys: Sequence[str], t: str, dead_time: float, max_island: int = 2_000,
+    events: DataFrame, keys: Sequence[str], t: str, dead_time: float | Column, max_island: int = 2_000,
     width: float | None = None,
 ) -> DataFrame:
-    """Events kept by a detector that is blind for `dead_time` after each kept event.
+    """Events kept by a detector that is blind for `dead_time` after each kept event: t > last + dead_time everywhere.
+
+    `dead_time` may be a column of `keys`.
 
     An event more than `dead_time` after its predecessor is kept whatever came before, so the
     rule only has to be followed inside islands of close events. Islands up to `max_island` rows
@@ -317,7 +319,7 @@ def refractory_filter(
     takes log2(length) joins and holds no group in memory.
     """
     near = ordered_scan(events.select(*keys, t), keys, [t], {"__before": last_before(F.col(t))}, width)
-    starts = F.col("__before").isNull() | (F.col(t) - F.col("__before") > dead_time)
+    starts = F.col("__before").isNull() | (F.col(t) > F.col("__before") + dead_time)
     islands = ordered_scan(
         near.withColumn("__start", starts), keys, [t],
         {"__island": running(_count_if(F.col("__start")))}, width,
@@ -327,7 +329,7 @@ def refractory_filter(
     long_ones = sizes.where(F.col("__size") > max_island)
 
     def fold(state: Column, at: Column) -> Column:
-        keep = (F.size(state) == 0) | (at - F.element_at(state, -1) > dead_time)
+        keep = (F.size(state) == 0) | (at > F.element_at(state, -1) + dead_time)
         return F.when(keep, F.concat(state, F.array(at))).otherwise(state)
 
     short = islands.join(sizes.where(F.col("__size") <= max_island), on, "left_semi")
@@ -341,7 +343,7 @@ def refractory_filter(
 
 
 def _by_pointer_doubling(
-    rows: DataFrame, on: Sequence[str], t: str, dead_time: float, width: float | None,
+    rows: DataFrame, on: Sequence[str], t: str, dead_time: float | Column, width: float | None,
 ) -> DataFrame:
     """Events reachable from each island's first one by 'next event after the dead time'."""
     scratch_root(rows.sparkSession)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import pvalues as P
 from tempora.functions.geometry import angle_between, clamp, cross, dot, norm, solve3
-from tempora.operators.ordered import ordered_scan, quantiles, running, tie_ranks
+from tempora.operators.ordered import join_keys, ordered_scan, quantiles, running, tie_ranks
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -54,16 +54,13 @@ def fdr_bh(df: DataFrame, keys: Sequence[str], p: str, q: str, width: float | No
         down = whole.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
         least = F.min(F.when(present, F.col(p) * F.col("__m") / F.col("__i"))).over(down)
         return placed.withColumn(q, F.when(present, F.least(F.lit(1.0), least))).drop("__i", "__m")
-    group = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys] or [F.lit("")]
-    names = [f"__k{i}" for i in range(len(group))]
-    rows = df.withColumns(dict(zip(names, group))).withColumns({
-        "__down": F.coalesce(-F.ln(F.greatest(F.col(p), F.lit(1e-300))), F.lit(1e4)), "__minus": -F.col(p),
-    })
-    ranked = ordered_scan(rows, names, ["__down", "__minus"], {"__above": running(present.cast("bigint"))}, width)
-    total = df.groupBy(*[c.alias(n) for c, n in zip(group, names)]).agg(F.count(p).alias("__m"))
-    raw = ranked.join(total, names).withColumn("__raw", F.col(p) * F.col("__m") / (F.col("__m") - F.col("__above") + 1))
-    scanned = ordered_scan(raw, names, ["__down", "__minus", "__above"], {"__q": running(F.col("__raw"), "min")}, width)
-    return scanned.select(*df.columns, F.when(present, F.least(F.lit(1.0), F.col("__q"))).alias(q))
+    rows = df.where(present).withColumns({"__down": -F.ln(F.greatest(F.col(p), F.lit(1e-300))), "__minus": -F.col(p)})
+    ranked = ordered_scan(rows, keys, ["__down", "__minus"], {"__above": running(F.lit(1).cast("bigint"))}, width)
+    total = rows.groupBy(*keys).agg(F.count(p).alias("__m"))
+    raw = join_keys(ranked, total, list(keys)).withColumn("__raw", F.col(p) * F.col("__m") / (F.col("__m") - F.col("__above") + 1))
+    scanned = ordered_scan(raw, keys, ["__down", "__minus", "__above"], {"__q": running(F.col("__raw"), "min")}, width)
+    corrected = scanned.select(*df.columns, F.least(F.lit(1.0), F.col("__q")).alias(q))
+    return corrected.unionByName(df.where(~present).withColumn(q, F.lit(None).cast("double")))
 
 
 def ranked_pair(df: DataFrame, on: Sequence[str], x: str, y: str, width: float | None = None) -> DataFrame:

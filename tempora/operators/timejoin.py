@@ -199,19 +199,20 @@ def window_stats(
     Each window adds two marks to the time axis; a count is the difference of the running
     number of points at its marks and the latency comes from the first point after the lower
     one. Cost is points + marks, whatever the window length. Events with a null bound count 0.
-    `events` must be unique per row up to the columns given.
+    Equal events are counted once and returned as often as they came.
     """
     bound = {
         (w, side): F.col(event_t) + (b if isinstance(b, Column) else F.lit(float(b)))
         for w, pair in windows.items() for side, b in zip("ab", pair)
     }
-    marks = events.withColumn("__event", F.struct(*events.columns)).select(
+    whole = events.groupBy(*events.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    marks = whole.withColumn("__event", F.struct(*events.columns, "__copies")).select(
         *keys, "__event",
         F.explode(F.array(*[
-            F.struct(F.lit(w).alias("w"), F.lit(s).alias("s"), e.cast("double").alias("at"))
+            F.struct(F.lit(w).alias("__w"), F.lit(s).alias("__s"), e.cast("double").alias("at"))
             for (w, s), e in bound.items()
         ])).alias("__mark"),
-    ).select(*keys, "__event", "__mark.w", "__mark.s", F.col("__mark.at").alias("__t"))
+    ).select(*keys, "__event", "__mark.__w", "__mark.__s", F.col("__mark.at").alias("__t"))
     dots = points.where(F.col(t).isNotNull()).select(
         *keys, F.col(t).cast("double").alias("__t"), F.lit(1).cast("bigint").alias("__one")
     )
@@ -226,7 +227,7 @@ def window_stats(
     ).where(F.col("__event").isNotNull())
 
     def at(w: str, side: str, value: Column) -> Column:
-        usable = (F.col("w") == w) & (F.col("s") == side) & F.col("__t").isNotNull()
+        usable = (F.col("__w") == w) & (F.col("__s") == side) & F.col("__t").isNotNull()
         return F.max(F.when(usable, value))
 
     picks = []
@@ -242,7 +243,8 @@ def window_stats(
         n = F.greatest(F.coalesce(F.col(f"__{w}_b") - F.col(f"__{w}_a"), zero), zero)
         first = F.when(F.col(f"__{w}_f") < F.col(f"__{w}_e"), F.col(f"__{w}_f") - F.col(f"__event.{event_t}"))
         out += [n.alias(f"n_{w}"), first.alias(f"first_{w}")]
-    return grouped.select("__event.*", *out)
+    rows = grouped.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__event.__copies"))))
+    return rows.select("__event.*", *out).drop("__copies")
 
 
 def peri_event(

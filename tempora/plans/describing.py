@@ -562,10 +562,9 @@ def event_wide(b):
 
 
 @query("pivot_unpivot", """
-WITH w AS (SELECT session, count(*) FILTER (WHERE kind = 'click') AS click, count(*) FILTER (WHERE kind = 'error') AS error, count(*) FILTER (WHERE kind = 'view') AS "view" FROM ev GROUP BY ALL)
-SELECT session, kind, n FROM w UNPIVOT (n FOR kind IN (click, error, "view"))""")
+SELECT s.session, k.kind, (SELECT count(*) FROM ev WHERE ev.session = s.session AND ev.kind = k.kind) AS n FROM (SELECT DISTINCT session FROM ev) s, (SELECT DISTINCT kind FROM ev) k""")
 def pivot_unpivot(b):
-    kinds = ["click", "error", "view"]
+    kinds = sorted(r.kind for r in b.ev.select("kind").distinct().collect())  # the columns to be made
     wide = U.long_to_wide(b.ev, S, "kind", kinds, F.count(F.lit(1))).fillna(0, subset=kinds)
     return U.wide_to_long(wide, S, kinds, "kind", "n")
 

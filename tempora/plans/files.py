@@ -48,10 +48,10 @@ def mask_low_confidence(b):
 
 
 @query("sync_timebase", """
-WITH v AS (SELECT session, frame, t + 5 AS behav_time FROM frames WHERE frame < 60)
+WITH v AS (SELECT session, frame, t + 5 AS behav_time FROM frames)
 SELECT f.session, f.frame, v.behav_time AS time_raw, v.behav_time - first_value(v.behav_time) OVER (PARTITION BY f.session ORDER BY f.frame) AS time FROM frames f JOIN v USING (session, frame)""", "time time_raw")
 def sync_timebase(b):
-    base = b.frames.where("frame < 60").select("session", "frame", (F.col("t") + 5).alias("behav_time"))
+    base = b.frames.select("session", "frame", (F.col("t") + 5).alias("behav_time"))
     return R.sync_timebase(b.frames.select("session", "frame"), base, S, "frame", "behav_time")
 
 
@@ -199,13 +199,14 @@ def latest_asset_per_session(b):
     return R.latest_asset(listing(b), "name")
 
 
-@query("assets_with_runs", f"""
-WITH {LISTED}, u AS (SELECT DISTINCT s, d FROM listing WHERE d < '2025-01-04') SELECT s AS session, d AS day FROM u WHERE s IN (SELECT s FROM u GROUP BY s HAVING count(*) = 1)""")
+@query("assets_with_runs", """
+WITH u AS (SELECT DISTINCT 'behavior_' || o_custkey || '_2024-12-20_13-26-07' AS session, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
+SELECT session, day FROM u WHERE session IN (SELECT session FROM u GROUP BY ALL HAVING count(*) = 3)""")
 def assets_with_runs(b):
-    rows = listing(b).select(
-        F.regexp_extract("name", R.LISTED_NAME, 1).alias("session"), F.regexp_extract("name", R.LISTED_NAME, 2).alias("day")
-    ).where("day < '2025-01-04'")
-    return R.assets_with_runs(rows, "session", 1)
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    names = b.table("orders").select(F.concat(session_name("o_custkey"), F.lit("_videoprocessed_"), day, F.lit("_09-00-00")).alias("name"))
+    rows = names.select(F.regexp_extract("name", R.LISTED_NAME, 1).alias("session"), F.regexp_extract("name", R.LISTED_NAME, 2).alias("day"))
+    return R.assets_with_runs(rows, "session", 3)
 
 
 @query("resolve_with_fallback", """
@@ -285,9 +286,9 @@ def check_row_count(b):
     return C.row_count_change(docs, docs.join(b.table("labels"), "doc_id", "left"))
 
 
-@query("check_cardinality", "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 400000")
+@query("check_cardinality", "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
 def check_cardinality(b):
-    orders = C.require_columns(b.table("orders"), ["o_orderkey", "o_custkey"]).where("o_totalprice > 400000").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    orders = C.require_columns(b.table("orders"), ["o_orderkey", "o_custkey"]).select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     return C.checked_join(orders, b.table("customer").select("c_custkey", "c_mktsegment"), ["c_custkey"], "inner", "many_to_one").drop("c_custkey")
 
 

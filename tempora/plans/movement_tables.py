@@ -596,26 +596,25 @@ def nearest_landmark(b):
 
 
 @query("detector_grid", """
-WITH RECURSIVE cand AS (
-  SELECT session, start_time AS t, total_distance AS d, r.radius, x.dead_time FROM views, (VALUES (30.0::DOUBLE), (60.0::DOUBLE)) r(radius), (VALUES (3600.0::DOUBLE), (86400.0::DOUBLE)) x(dead_time)
-  WHERE total_distance <= r.radius),
+WITH RECURSIVE radii AS (SELECT unnest(range(2, 11)) * 10.0::DOUBLE AS radius), deads AS (SELECT unnest(range(0, 11)) * 21600.0::DOUBLE AS dead_time),
+tol AS (SELECT unnest(range(1, 51)) * 360.0::DOUBLE AS tolerance),
+cand AS (SELECT session, start_time AS t, total_distance AS d, radius, dead_time FROM views, radii, deads WHERE total_distance <= radius),
 c AS (SELECT *, row_number() OVER (PARTITION BY session, radius, dead_time ORDER BY t) AS n FROM cand),
 walk AS (
   SELECT session, radius, dead_time, n, t, t AS kept, true AS keep FROM c WHERE n = 1
   UNION ALL
-  SELECT c.session, c.radius, c.dead_time, c.n, c.t, CASE WHEN c.t - w.kept > c.dead_time THEN c.t ELSE w.kept END, c.t - w.kept > c.dead_time
+  SELECT c.session, c.radius, c.dead_time, c.n, c.t, CASE WHEN c.t > w.kept + c.dead_time THEN c.t ELSE w.kept END, c.t > w.kept + c.dead_time
   FROM walk w JOIN c ON c.session = w.session AND c.radius = w.radius AND c.dead_time = w.dead_time AND c.n = w.n + 1),
 det AS (SELECT * FROM walk WHERE keep),
-tol AS (SELECT unnest([1800.0::DOUBLE, 7200.0::DOUBLE]) AS tolerance),
-cells AS (SELECT DISTINCT radius, dead_time, tolerance FROM c, tol),
-fp AS (SELECT d.radius, d.dead_time, tol.tolerance, count(*) FILTER (WHERE NOT EXISTS (
-    SELECT 1 FROM licks l WHERE l.session = d.session AND abs(l.t - d.t) <= tol.tolerance)) AS fp FROM det d, tol GROUP BY ALL),
-tp AS (SELECT g.radius, g.dead_time, g.tolerance, count(*) FILTER (WHERE EXISTS (
-    SELECT 1 FROM det d WHERE d.session = l.session AND d.radius = g.radius AND d.dead_time = g.dead_time AND abs(l.t - d.t) <= g.tolerance)) AS tp, count(*) AS n
-  FROM licks l, cells g GROUP BY ALL)
-SELECT radius, dead_time, tolerance, tp, fp, n - tp AS fn, tp / nullif(n, 0)::DOUBLE AS recall, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision,
-  (n - tp) / n::DOUBLE AS fnr, coalesce(fp / nullif(tp + fp, 0)::DOUBLE, 0) AS fdr, 2 * tp / (2 * tp + fp + n - tp)::DOUBLE AS f1
-FROM tp JOIN fp USING (radius, dead_time, tolerance)""", "recall precision fnr fdr f1")
+lick_reach AS (SELECT g.radius, g.dead_time, l.session, l.lick_index, min(abs(l.t - d.t)) AS d FROM licks l CROSS JOIN (SELECT radius, dead_time FROM radii, deads) g
+  LEFT JOIN det d ON d.session = l.session AND d.radius = g.radius AND d.dead_time = g.dead_time GROUP BY ALL),
+det_reach AS (SELECT d.radius, d.dead_time, d.session, d.n, min(abs(l.t - d.t)) AS d FROM det d LEFT JOIN licks l ON l.session = d.session GROUP BY ALL),
+tp AS (SELECT radius, dead_time, tolerance, count(*) FILTER (WHERE d <= tolerance) AS tp, count(*) AS n FROM lick_reach, tol GROUP BY ALL),
+fp AS (SELECT radius, dead_time, tolerance, count(*) FILTER (WHERE d IS NULL OR d > tolerance) AS fp FROM det_reach, tol GROUP BY ALL),
+cell AS (SELECT radius, dead_time, tolerance, tp, coalesce(fp, 0) AS fp, n - tp AS fn FROM tp LEFT JOIN fp USING (radius, dead_time, tolerance))
+SELECT radius, dead_time, tolerance, tp, fp, fn, tp / nullif(tp + fn, 0)::DOUBLE AS recall, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision,
+  fn / (tp + fn)::DOUBLE AS fnr, coalesce(fp / nullif(tp + fp, 0)::DOUBLE, 0) AS fdr, 2 * tp / (2 * tp + fp + fn)::DOUBLE AS f1 FROM cell""", "recall precision fnr fdr f1")
 def detector_grid(b):
     candidates = b.views.select("session", F.col("start_time").alias("t"), F.col("total_distance").alias("d"))
-    return D.detector_grid(candidates, b.licks, S, "t", "d", [30.0, 60.0], [HOUR, DAY], [HOUR / 2, 2 * HOUR], b.width)
+    radii, dead_times = [10.0 * k for k in range(2, 11)], [DAY / 4 * k for k in range(11)]
+    return D.detector_grid(candidates, b.licks, S, "t", "d", radii, dead_times, [HOUR / 10 * k for k in range(1, 51)], b.width)

@@ -32,9 +32,8 @@ def chunk_width(
     groups = values.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), (F.max(col) - F.min(col)).cast("double").alias("span")
     )
-    top = groups.agg(
-        F.max("n").alias("n"), F.max(F.try_divide("n", F.nullif("span", F.lit(0.0)))).alias("density")
-    ).first()
+    large = F.when(F.col("n") > rows_per_chunk, F.try_divide("n", F.nullif("span", F.lit(0.0))))  # small groups are never cut finer
+    top = groups.agg(F.max("n").alias("n"), F.max(large).alias("density")).first()
     if top["n"] is None or top["n"] <= rows_per_chunk or top["density"] is None:
         return None
     width = rows_per_chunk / top["density"]
