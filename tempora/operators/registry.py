@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tempora.functions.keys import canon_unit, session_prefix
 from tempora.operators import stats as S
 from tempora.operators.describe import combo_counts, keep_one, significant_fraction
+from tempora.session import scratch_path
 
 KEYS = ["session_prefix", "unit"]
 VALUES = ["t", "p", "q", "coef", "sig_fdr", "n_trials"]
@@ -18,7 +19,7 @@ VALUES = ["t", "p", "q", "coef", "sig_fdr", "n_trials"]
 class UnitStatsRegistry:
     """Named entries of (session_prefix, unit, t, p, q, coef, sig_fdr, n_trials).
 
-    Entries stay lazy DataFrames; `long()` is their union. `prefix` turns a session column into
+    Entries stay lazy DataFrames until `store()`; `long()` is their union. `prefix` turns a session column into
     its prefix. Of rows that repeat a unit the first by `order` stays, or without that column the least p, nulls
     last; `repeats(df, ...)` counts the others. When an entry has more units than fit one task, `width` cuts scans over t-values
     and `p_width` those over p-values.
@@ -26,7 +27,9 @@ class UnitStatsRegistry:
 
     def __init__(self, alpha: float = 0.05, prefix: Callable[[Column], Column] = session_prefix, width: float | None = None, p_width: float | None = None):
         self.alpha, self.prefix, self.width, self.p_width = alpha, prefix, width, p_width
-        self._entries: dict[str, DataFrame] = {}
+        # entries registered together share a table of (entry, keys, values), so that one scan serves them all
+        self._tables: list[tuple[DataFrame, frozenset[str]]] = []
+        self._entries: dict[str, int] = {}
         self._sources: dict[str, str] = {}
 
     def __contains__(self, name: str) -> bool:
@@ -46,16 +49,29 @@ class UnitStatsRegistry:
         return sorted(n for n, s in self._sources.items() if s == source)
 
     def get(self, name: str) -> DataFrame:
-        if name not in self._entries:
-            raise KeyError(f"no entry named {name!r}; known entries: {self.names}")
-        return self._entries[name]
+        return self.long([name]).drop("entry", "source")
 
-    def _store(self, name: str, source: str, table: DataFrame, overwrite: bool) -> None:
-        if name in self._entries and not overwrite:
-            raise ValueError(f"entry {name!r} exists; pass overwrite=True to replace it")
-        self._entries[name], self._sources[name] = table, source
-
-    def _normalise(self, df: DataFrame, session: str, unit: str, columns: dict[str, str | None], derive_t: bool) -> DataFrame:
+    def _store(self, names: Sequence[str], source: str, table: DataFrame, overwrite: bool) -> None:
+        for name in names:
+            if name in self._entries and not overwrite:
+                raise ValueError(f"entry {name!r} exists; pass overwrite=True to replace it")
+        self._tables.append((table, frozenset(names)))
+        for name in names:
+            self._entries[name], self._sources[name] = len(self._tables) - 1, source
+
+    def store(self) -> UnitStatsRegistry:
+        """Writes the entries to the shared scratch folder, so that later calls read them instead of computing them again."""
+        stored = []
+        for k, (table, names) in enumerate(self._tables):
+            if any(self._entries[n] == k for n in names):
+                path = scratch_path(table.sparkSession, "registry")
+                table.write.parquet(path)
+                table = table.sparkSession.read.schema(table.schema).parquet(path)
+            stored.append((table, names))
+        self._tables = stored
+        return self
+
+    def _normalise(self, df: DataFrame, entry: Column, session: str, unit: str, columns: dict[str, str | None], derive_t: bool) -> DataFrame:
         none = F.lit(None).cast("double")
 
         def given(k: str) -> Column:
@@ -64,14 +80,14 @@ class UnitStatsRegistry:
         n = F.col(columns["n_trials"]).cast("bigint") if columns.get("n_trials") else F.lit(None).cast("bigint")
         t = S.corr_to_t(given("coef"), n, guarded=False) if derive_t else given("t")
         flat = df.select(
-            self.prefix(F.col(session).cast("string")).alias("session_prefix"), canon_unit(F.col(unit).cast("string")).alias("unit"),
+            entry.alias("entry"), self.prefix(F.col(session).cast("string")).alias("session_prefix"), canon_unit(F.col(unit).cast("string")).alias("unit"),
             t.alias("t"), given("p").alias("p"), given("q").alias("q"), given("coef").alias("coef"), n.alias("n_trials"),
             (F.col(columns["order"]) if columns.get("order") else F.lit(0)).alias("__at"),
         )
-        one = keep_one(flat, KEYS, ["__at", "p", "t", "coef"]).drop("__at")
+        one = keep_one(flat, ["entry", *KEYS], ["__at", "p", "t", "coef"]).drop("__at")
         if not columns.get("q"):
-            one = S.fdr_bh(one.drop("q"), [], "p", "q", self.p_width)
-        return one.withColumn("sig_fdr", F.coalesce(F.col("q") < self.alpha, F.lit(False))).select(*KEYS, *VALUES)
+            one = S.fdr_bh(one.drop("q"), ["entry"], "p", "q", self.p_width)
+        return one.withColumn("sig_fdr", F.coalesce(F.col("q") < self.alpha, F.lit(False))).select("entry", *KEYS, *VALUES)
 
     def repeats(self, df: DataFrame, session: str = "session", unit: str = "unit_id") -> DataFrame:
         """(session_prefix, unit, n) of the units with n > 1 rows, of which registering keeps one."""
@@ -83,36 +99,52 @@ class UnitStatsRegistry:
         if t is None and not (coef and n_trials):
             raise ValueError("either t, or coef and n_trials, must be given")
         columns = {"t": t, "p": p, "q": q, "coef": coef, "n_trials": n_trials, "order": order}
-        self._store(name, source, self._normalise(df, session, unit, columns, t is None), overwrite)
+        self._store([name], source, self._normalise(df, F.lit(name), session, unit, columns, t is None), overwrite)
+
+    def register_cor_table(self, names: Sequence[str], df: DataFrame, *, entry: str, coef: str, p: str, n_trials: str, order: str | None = None, session: str = "session", unit: str = "unit_id", source: str = "cor", overwrite: bool = False) -> None:
+        """One entry per name out of a table that holds them all, told apart by column `entry`; other names are left out."""
+        columns = {"p": p, "coef": coef, "n_trials": n_trials, "order": order}
+        rows = df.where(F.col(entry).isin(list(names)))
+        self._store(list(names), source, self._normalise(rows, F.col(entry), session, unit, columns, True), overwrite)
 
     def register_partial(self, name: str, df: DataFrame, **kwargs) -> None:
         self.register_cor(name, df, **{"source": "partial", **kwargs})
 
     def register_regression(self, name: str, df: DataFrame, *, t: str, p: str, q: str | None = None, coef: str | None = None, n_trials: str | None = None, order: str | None = None, session: str = "session", unit: str = "unit_id", source: str = "regression", overwrite: bool = False) -> None:
         columns = {"t": t, "p": p, "q": q, "coef": coef, "n_trials": n_trials, "order": order}
-        self._store(name, source, self._normalise(df, session, unit, columns, False), overwrite)
+        self._store([name], source, self._normalise(df, F.lit(name), session, unit, columns, False), overwrite)
 
     def register_wide(self, prefix: str, df: DataFrame, *, session: str = "session", unit: str = "unit", source: str = "wide", overwrite: bool = False) -> int:
-        """One entry `<prefix>::<s>` per `T_<s>` column (with `p_<s>` and `coef_<s>` if there);
+        """One entry `<prefix>::<s>` per `T_<s>` column (with `p_<s>` and `coef_<s>` if there), all in one pass over the table;
         existing entries are skipped unless `overwrite`. Returns the number added."""
-        added = 0
-        for column in df.columns:
-            if not column.startswith("T_"):
-                continue
-            s = column[2:]
-            name = f"{prefix}::{s}"
-            if name in self._entries and not overwrite:
-                continue
-            columns = {"t": column, **{k: f"{k}_{s}" for k in ("p", "coef") if f"{k}_{s}" in df.columns}}
-            self._store(name, source, self._normalise(df, session, unit, columns, False), True)
-            added += 1
-        return added
+        found = [c[2:] for c in df.columns if c.startswith("T_") and (overwrite or f"{prefix}::{c[2:]}" not in self._entries)]
+        if not found:
+            return 0
+
+        def value(k: str, s: str) -> Column:
+            c = f"{k}_{s}"
+            return (F.col(c) if c in df.columns else F.lit(None)).cast("double")
+
+        each = F.explode(F.array(*[F.struct(
+            F.lit(f"{prefix}::{s}").alias("entry"), value("T", s).alias("t"), value("p", s).alias("p"), value("coef", s).alias("coef")
+        ) for s in found])).alias("__each")
+        rows = df.select(F.col(session).alias("__session"), F.col(unit).alias("__unit"), each).select("__session", "__unit", "__each.*")
+        table = self._normalise(rows, F.col("entry"), "__session", "__unit", {"t": "t", "p": "p", "coef": "coef"}, False)
+        self._store([f"{prefix}::{s}" for s in found], source, table, True)
+        return len(found)
 
     def long(self, names: Sequence[str] | None = None) -> DataFrame:
         """(entry, source, keys, values) of the chosen entries."""
-        out = None
+        chosen: dict[int, list[str]] = {}
         for name in self.names if names is None else names:
-            part = self.get(name).select(F.lit(name).alias("entry"), F.lit(self._sources[name]).alias("source"), *KEYS, *VALUES)
+            if name not in self._entries:
+                raise KeyError(f"no entry named {name!r}; known entries: {self.names}")
+            chosen.setdefault(self._entries[name], []).append(name)
+        out = None
+        for k, some in chosen.items():
+            table, all_names = self._tables[k]
+            part = table if all_names == set(some) else table.where(F.col("entry").isin(some))
+            part = part.select("entry", F.lit(self._sources[some[0]]).alias("source"), *KEYS, *VALUES)
             out = part if out is None else out.unionByName(part)
         if out is None:
             empty = "entry string, source string, session_prefix string, unit string, t double, p double, q double, coef double, sig_fdr boolean, n_trials bigint"
@@ -134,7 +166,7 @@ class UnitStatsRegistry:
             targets |= set(self.list_by_source(source))
         targets = sorted((targets or set(self.names)) - {name})
         pairs = entry_pairs(self.long([name]), self.long(targets), ordered=False)
-        known = self.long(targets).select(F.col("entry").alias("entry_b")).distinct()
+        known = SparkSession.active().createDataFrame([(t,) for t in targets], "entry_b string")
         out = S.spearman(pairs, ["entry_b"], "t_a", "t_b", min_n, self.width)
         table = known.join(out, "entry_b", "left").select(
             F.col("entry_b").alias("entry"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "rho", "p", F.abs("rho").alias("abs_rho")

@@ -113,36 +113,34 @@ def interval_join(
 
 def nearest_within(
     events: DataFrame, frames: DataFrame, keys: Sequence[str], event_id: str, event_t: str,
-    frame_t: str, tolerance: float, take: Sequence[str],
+    frame_t: str, tolerance: float, take: Sequence[str], width: float | None = None,
 ) -> DataFrame:
     """(keys, event_id, dt, *take) of the nearest frame with |dt| <= tolerance; the earliest
     frame wins a tie. Events without a frame in reach are absent.
 
-    The best frame per event is a min over a struct, so it is reduced before the shuffle.
+    Only the frames next to an event on either side can be nearest, so one as-of scan finds them: no pairs are made.
     """
-    reach = events.select(
-        *keys, event_id, F.col(event_t).alias("__e"),
-        (F.col(event_t) - tolerance * (1 + 1e-9)).alias("__lo"),
-        (F.col(event_t) + tolerance * (1 + 1e-9)).alias("__hi"),
-    )
-    slim = frames.select(*keys, F.col(frame_t).alias("__t"), *[F.col(c).alias(f"__f_{c}") for c in take])
-    dt = F.abs(F.col("__t") - F.col("__e"))
-    pairs = interval_join(slim, reach, keys, "__t", "__lo", "__hi", bucket=4 * tolerance)
-    best = pairs.where(dt <= tolerance).groupBy(*keys, event_id).agg(
-        F.min(F.struct(dt.alias("dt"), "__t", *[f"__f_{c}" for c in take])).alias("__best")
-    )
-    return best.select(
-        *keys, event_id, F.col("__best.dt").alias("dt"),
-        *[F.col(f"__best.__f_{c}").alias(c) for c in take],
+    once = frames.where(F.col(frame_t).isNotNull()).groupBy(*keys, F.col(frame_t).alias("__ft")).agg(F.min(F.struct(*take)).alias("__f"))
+    own = events.select(*keys, event_id, F.col(event_t).alias("__e"))
+    near = previous_and_next(
+        own, once, keys, "__e", "__ft", {"__pt": "__at", "__pf": "__f"}, {"__nt": "__at", "__nf": "__f"}, width
     )
 
+    def candidate(at: str, frame: str) -> Column:
+        dt = F.abs(F.col(at) - F.col("__e"))
+        return F.when(dt <= tolerance, F.struct(dt.alias("dt"), F.col(at).alias("at"), F.col(frame).alias("f")))
+
+    best = near.withColumn("__best", F.least(candidate("__pt", "__pf"), candidate("__nt", "__nf"))).where(F.col("__best").isNotNull())
+    best = best.groupBy(*keys, event_id).agg(F.min("__best").alias("__best"))
+    return best.select(*keys, event_id, F.col("__best.dt").alias("dt"), *[F.col("__best.f")[c].alias(c) for c in take])
+
 
 def mark_licked_frames(
     frames: DataFrame, licks: DataFrame, keys: Sequence[str], frame: str, frame_t: str,
-    lick_index: str, lick_t: str, tolerance: float,
+    lick_index: str, lick_t: str, tolerance: float, width: float | None = None,
 ) -> DataFrame:
     """Frames with `lick` and `lick_index`; where two licks pick one frame the later one wins."""
-    hits = nearest_within(licks, frames, keys, lick_index, lick_t, frame_t, tolerance, [frame])
+    hits = nearest_within(licks, frames, keys, lick_index, lick_t, frame_t, tolerance, [frame], width)
     per_frame = hits.groupBy(*keys, frame).agg(F.max(lick_index).alias(lick_index))
     marked = frames.join(per_frame, [*keys, frame], "left")
     return marked.withColumn("lick", F.col(lick_index).isNotNull())

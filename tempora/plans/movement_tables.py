@@ -214,7 +214,7 @@ WITH RECURSIVE c AS (SELECT session, t, row_number() OVER (PARTITION BY session
 walk AS (
   SELECT session, n, t, t AS kept, true AS keep FROM c WHERE n = 1
   UNION ALL
-  SELECT c.session, c.n, c.t, CASE WHEN c.t - w.kept > 86400 THEN c.t ELSE w.kept END, c.t - w.kept > 86400
+  SELECT c.session, c.n, c.t, CASE WHEN c.t > w.kept + 86400 THEN c.t ELSE w.kept END, c.t > w.kept + 86400
   FROM walk w JOIN c ON c.session = w.session AND c.n = w.n + 1)
 SELECT session, t FROM walk WHERE keep""")
 def refractory_filter(b):

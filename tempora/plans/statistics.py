@@ -359,24 +359,22 @@ rg AS (SELECT entry, session_prefix, unit, t, p, q, coef, coalesce(q < 0.05, fal
 """
 
 
-def entry_tables(b):
-    """One correlation table per entry name, keyed by (session, unit_id)."""
-    grouped = lines(b).groupBy("l_returnflag", "l_linestatus", "l_suppkey").agg(
+def entry_table(b):
+    """One correlation per entry name and (session, unit_id)."""
+    return lines(b).groupBy("l_returnflag", "l_linestatus", "l_suppkey").agg(
         F.count(F.lit(1)).alias("n"), X.safe_corr(F.col("x"), F.col("y")).alias("r")
     ).select(
         F.concat_ws("_", "l_returnflag", "l_linestatus").alias("entry"),
         F.concat(F.lit("behavior_"), F.col("l_suppkey") % 5, F.lit("_2024-12-20_13-26-07")).alias("session"),
         F.concat(F.col("l_suppkey"), F.lit(".0")).alias("unit_id"), "n", "r",
     ).withColumn("p", X.corr_p(F.col("r"), F.col("n")))
-    # the names are the flags of the table design, not something to scan for
-    return {e: grouped.where(F.col("entry") == e) for e in ("A_F", "A_O", "N_F", "N_O", "R_F", "R_O")}
 
 
 def registry(b):
+    flags = lines(b).select(F.concat_ws("_", "l_returnflag", "l_linestatus").alias("entry")).distinct().collect()  # the names of the entries
     reg = R.UnitStatsRegistry(width=b.cut_if_many("supplier", 0.05), p_width=b.cut_if_many("supplier", 0.05))
-    for name, table in entry_tables(b).items():
-        reg.register_cor(name, table, coef="r", p="p", n_trials="n")
-    return reg
+    reg.register_cor_table(sorted(r.entry for r in flags), entry_table(b), entry="entry", coef="r", p="p", n_trials="n")
+    return reg.store()
 
 
 @query("register_cor", f"WITH {ENTRY} SELECT * FROM rg", "t p q coef")
@@ -387,7 +385,7 @@ def register_cor(b):
 @query("register_partial", f"WITH {ENTRY} SELECT 'partial' AS source, entry, session_prefix, unit, t, q FROM rg WHERE entry = 'A_F'", "t q")
 def register_partial(b):
     reg = R.UnitStatsRegistry()
-    reg.register_partial("A_F", entry_tables(b)["A_F"], coef="r", p="p", n_trials="n")
+    reg.register_partial("A_F", entry_table(b).where("entry = 'A_F'"), coef="r", p="p", n_trials="n")
     return reg.long().select("source", "entry", "session_prefix", "unit", "t", "q")
 
 

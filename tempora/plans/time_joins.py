@@ -63,7 +63,7 @@ licked AS (
 def licked(b):
     """Movement frames with the licks that fall on them."""
     frames = b.kins.where(F.col("kind") != "click")
-    return J.mark_licked_frames(frames, b.licks, S, "frame", "t", "lick_index", "t", HOUR)
+    return J.mark_licked_frames(frames, b.licks, S, "frame", "t", "lick_index", "t", HOUR, b.width)
 
 
 @query("nearest_within_tolerance", f"WITH {NEAREST} SELECT session, frame, lick, lick_index FROM licked")
