@@ -27,8 +27,8 @@ def uniform(seed: int, *cols: str | Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11)).cast("double") / float(2**53)
 
 
-def poisson_weight(u: Column, top: int = 12) -> Column:
-    """Poisson(1) draw from a uniform number (values above `top` have probability 1e-11)."""
+def poisson_weight(u: Column, top: int = 18) -> Column:
+    """Poisson(1) draw from a uniform number; more than `top` has less chance than the step of a 53-bit number."""
     total, term, out = 0.0, math.exp(-1.0), F.lit(0.0)
     for k in range(top):
         total += term

@@ -18,18 +18,23 @@ FEATURES = [f"f{i}" for i in range(3, 10)]
 @query("bootstrap_std_ci")
 def bootstrap_std_ci(b):
     rows = licks_by_ordinal(b).where("k <= 4")
-    return P.bootstrap_std_ci(rows, ["k"], "latency", ["session", "lick_index"], 200, seed=3)
+    return P.bootstrap_std_ci(rows, ["k"], "latency", ["session", "lick_index"], 1000, seed=3)
 
 
 @query("spatial_trend_perm")
 def spatial_trend_perm(b):
-    return P.spatial_trend(b.points, ["id"], XYZ, "f3", 100, seed=5, chunks=b.hash_chunks("points", b.points))
+    return P.spatial_trend(b.points, ["id"], XYZ, "f3", 2000, seed=5, chunks=b.hash_chunks("points", b.points))
 
 
-@query("spatial_trend_observed", "SELECT count(*) AS n, regr_count(f3, x) AS pairs FROM points")
+@query("spatial_trend_observed", """
+WITH m AS (SELECT count(*) AS n, var_pop(x) AS a, covar_pop(x, y) AS b, covar_pop(x, z) AS c, var_pop(y) AS d, covar_pop(y, z) AS e, var_pop(z) AS f,
+  covar_pop(x, f3) AS p, covar_pop(y, f3) AS q, covar_pop(z, f3) AS r, var_pop(f3) AS v FROM points),
+g AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM m),
+fit AS (SELECT n, ((p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) * p + (a * (q * f - e * r) - p * (b * f - c * e) + c * (b * r - q * c)) * q
+  + (a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - d * c)) * r) / det / v AS r2 FROM g)
+SELECT n, r2, (r2 / 3) / ((1 - r2) / (n - 4)) AS f_stat FROM fit""", "r2 f_stat")
 def spatial_trend_observed(b):
-    out = P.spatial_trend(b.points, ["id"], XYZ, "f3", 1, seed=5, chunks=b.hash_chunks("points", b.points))
-    return out.select("n", F.col("n").alias("pairs"))
+    return P.spatial_trend(b.points, ["id"], XYZ, "f3", 1, seed=5, chunks=b.hash_chunks("points", b.points)).select("n", "r2", "f_stat")
 
 
 KNN = """
@@ -52,22 +57,22 @@ def knn_cv_r2(b):
 
 @query("knn_permutation")
 def knn_permutation(b):
-    return P.knn_cv_r2(folded(b), "id", XYZ, "f3", "fold", 15, 0.05, 20, seed=9)
+    return P.knn_cv_r2(folded(b), "id", XYZ, "f3", "fold", 15, 0.05, 2000, seed=9)
 
 
 @query("axis_linear_boot")
 def axis_linear_boot(b):
-    return P.bootstrap_axis(b.points, ["id"], XYZ, "f3", 200, seed=2)
+    return P.bootstrap_axis(b.points, ["id"], XYZ, "f3", 2000, seed=2)
 
 
 @query("axis_cca")
 def axis_cca(b):
-    return P.axis_cca(b.points, ["id"], XYZ, FEATURES, 50, seed=2)
+    return P.axis_cca(b.points, ["id"], XYZ, FEATURES, 200, seed=2)
 
 
 @query("axis_lda")
 def axis_lda(b):
-    return P.axis_lda(b.points, ["id"], XYZ, "label", 50, seed=2)
+    return P.axis_lda(b.points, ["id"], XYZ, "label", 200, seed=2)
 
 
 def two_angles(b):

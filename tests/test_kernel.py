@@ -175,3 +175,61 @@ def test_tails(spark):
     assert value(P.binomial_half_p2(F.lit(9), F.lit(3))) == pytest.approx(exact, rel=1e-9)
     # the tea-tasting table
     assert value(P.fisher_exact_p2(*[F.lit(v) for v in (3, 1, 1, 3)])) == pytest.approx(34 / 70, rel=1e-9)
+
+
+AWKWARD = [(k, v) for k in (None, "", "a") for v in (None, float("nan"), 0.2, 0.2, 0.7, 3.0, float("inf"), -1.5)]
+
+
+def same_for_every_width(make):
+    """The rows of `make(width)` without a width; they must be those of a small and a large one."""
+    rows = [sorted(map(repr, make(width).collect())) for width in (None, 0.5, 1e6)]
+    assert rows[0] == rows[1] == rows[2]
+    return rows[0]
+
+
+def test_awkward_keys_and_values_scan_alike(spark):
+    from tempora.operators.ordered import ordered_scan, quantiles, running, tie_ranks
+
+    df = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(AWKWARD)], "k string, v double, id long")
+    rows = same_for_every_width(lambda w: ordered_scan(df, ["k"], ["v", "id"], {"n": running(F.lit(1).cast("bigint"))}, w))
+    assert len(rows) == len(AWKWARD)
+    assert len(same_for_every_width(lambda w: tie_ranks(df, ["k"], "v", "r", w))) == sum(v is not None for _, v in AWKWARD)
+    assert len(same_for_every_width(lambda w: quantiles(df.where("v < 10"), ["k"], "v", {"m": 0.5, "q": 0.9}, w))) == 3
+
+
+def test_fdr_keeps_null_apart_from_empty(spark):
+    from tempora.operators.stats import fdr_bh
+
+    rows = [(None, 0.02), (None, 0.5), ("", 0.02), ("", None), ("a", 0.001), ("a", 0.001), ("a", 0.04), (None, None)]
+    df = spark.createDataFrame([(k, p, i) for i, (k, p) in enumerate(rows)], "k string, p double, id long")
+    for keys in (["k"], []):
+        assert len(same_for_every_width(lambda w: fdr_bh(df, keys, "p", "q", w).withColumn("q", F.round("q", 9)))) == len(rows)
+    q = {r.id: r.q for r in fdr_bh(df, ["k"], "p", "q", 1.0).collect()}
+    assert q[0] == pytest.approx(0.04) and q[2] == pytest.approx(0.02) and q[3] is None
+
+
+def test_dead_time_has_one_rule_for_short_and_long_islands(spark):
+    from tempora.operators.segment import refractory_filter
+
+    times = [0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 5.0, 5.2, 5.4]
+    df = spark.createDataFrame([("s", t) for t in times], "k string, t double")
+    kept = {tuple(sorted(r.t for r in refractory_filter(df, ["k"], "t", 0.2, max_island=m).collect())) for m in (2000, 1)}
+    last, expected = None, []
+    for t in times:
+        if last is None or t > last + 0.2:
+            last = t
+            expected.append(t)
+    assert kept == {tuple(expected)}
+
+
+def test_neighbours_of_isolated_and_crowded_rows(spark):
+    from tempora.operators.resample import neighbours
+
+    places = [(i, 0.001 * i, 0.0, 0.0) for i in range(20)] + [(20, 400.0, 0.0, 0.0), (21, 0.001, 0.0, 0.0)]
+    df = spark.createDataFrame([(*p, p[0] % 3) for p in places], "id long, x double, y double, z double, fold long")
+    got = {}
+    for r in neighbours(df, "id", ["x", "y", "z"], "fold", 4, 0.01).collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    for i, x, _, _ in places:
+        order = sorted((abs(x - y), j) for j, y, _, _ in places if j % 3 != i % 3)
+        assert sorted(got[i]) == sorted(j for _, j in order[:4])
