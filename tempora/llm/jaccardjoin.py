@@ -148,7 +148,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
             gram, offsets = shingles(*flat(batch.column("__text")), n)
             pair = []
             for seed in (0x1234567, 0x89ABCDEF):
-                sums = np.concatenate([[0], np.cumsum(mix(gram + np.uint64(seed)))]).astype(np.uint64)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(gram + np.uint64(seed)))])
                 pair.append((sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64))
             size = np.diff(offsets)
             first = []
@@ -261,7 +261,8 @@ def similarity_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, tole
     node = F.concat_ws("-", F.hex("__a"), F.hex("__b"))
     rows = stored(sets_of(keyed, n), "sets").withColumn("node", F.when(F.col("size") > 0, node))
     buckets = rows.where(F.col("keys").isNotNull()).select("node", F.explode("keys").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
+    # stored, so that Spark joins two plain shuffles and can split a part with a very full bucket
+    shared = stored(buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("most"), "buckets")
     labels = components(buckets.join(shared, "bucket").select(F.col("node").alias("u"), F.col("least").alias("v")))
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.count(F.lit(1)).alias("copies"), F.min("__id").alias("least_id"), F.min(F.struct("__h", "__h2")).alias("t")

@@ -81,6 +81,12 @@ def test_suffix_array_and_prefixes():
         order = suffixdedup.suffix_array(data, n + 1)
         expected = sorted(range(n), key=lambda i: raw[i:])
         assert order.tolist() == expected
+        wanted = rng.random(n) < 0.3
+        some = suffixdedup.suffix_array(data, n + 1, wanted)
+        assert some.tolist() == [i for i in expected if wanted[i]]
+        for k, length in enumerate(suffixdedup.common_prefixes(data, some, n + 1).tolist()[1:]):
+            a, b = raw[some[k] :], raw[some[k + 1] :]
+            assert length == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         lengths = suffixdedup.common_prefixes(data, order, n + 1).tolist()
         for k in range(1, n):
             a, b = raw[expected[k - 1] :], raw[expected[k] :]
@@ -164,6 +170,14 @@ def test_jaccard_join(docs, empty, monkeypatch):
     assert jaccardjoin.keep_one(empty).count() == 0
 
 
+def test_equal_sets_are_one_node_wherever_they_stand(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, 30) for _ in range(40)]
+    rows = [(i, texts[i % 40] if i % 2 else " ".join(texts[i % 40].split())) for i in range(400)]
+    docs = spark.createDataFrame(rows, "__id long, __text string").withColumns({"__h": F.lit(0).cast("long"), "__h2": F.lit(0).cast("long")})
+    assert jaccardjoin.sets_of(docs.repartition(3), 5).select("__a", "__b").distinct().count() == 40
+
+
 def test_pruning_bound_and_both_ways_of_counting():
     fewest = jaccardjoin.least_matches(0.8, 1e-9)
     assert all(0 <= fewest[n] < 0.8 * n for n in range(16, 97, 16)) and fewest[96] > fewest[48] > fewest[16]
