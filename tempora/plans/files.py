@@ -182,6 +182,72 @@ def acquisition_to_trials(b):
     )
 
 
+def acquisitions(b):
+    """Acquisition records made of the embeddings: eight trials, conditions 0 to 2, one of two stages, some arrays missing."""
+    v = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
+    steps = F.sequence(F.lit(0), F.lit(7))
+    key, label = F.col("vec_id"), F.col("label")
+
+    def pick(*names):
+        return F.transform(steps, lambda i: F.element_at(F.array(*[F.lit(n) for n in names]), i % len(names) + 1))
+
+    one_y = F.transform(F.slice(v, 25, 6), lambda x: F.create_map(F.lit("x"), x, F.lit("y"), x + 1, F.lit("z"), x + 2))
+    two_y = F.transform(F.slice(v, 25, 6), lambda x: F.create_map(F.lit("x"), x, F.lit("y1"), x + 1, F.lit("y2"), x - 1, F.lit("z"), x + 2))
+    return b.table("embeddings").select(
+        "vec_id", F.transform(steps, lambda i: (i + label) % 3).alias("B_SelectedCondition"), pick("Blue", "", "Green", "nan").alias("TP_Laser_1"),
+        pick("Red", "Red", "Green").alias("TP_LaserColor_1"), pick("Green", "Blue").alias("TP_LaserColor_2"), pick("Trial start", "Go cue").alias("TP_LaserStart_1"),
+        pick("Go cue", "Trial start", "Reward outcome").alias("TP_LaserStart_2"), F.when(key % 2 == 0, pick("on", "off")).alias("TP_auto_train_engaged"),
+        F.when(key % 2 == 0, one_y).otherwise(two_y).alias("B_StagePositions"), F.slice(v, 9, 8).alias("B_TrialStartTimeHarp"),
+        F.slice(v, 17, 3).alias("B_LeftLickTime"), F.when(key % 3 > 0, F.slice(v, 20, 2)).alias("B_RightRewardDeliveryTimeHarp"),
+        F.when(key % 5 > 0, F.slice(v, 22, 2)).alias("B_OptogeneticsTimeHarp"),
+    )
+
+
+def acquired_fields(b):
+    return R.acquisition_fields(
+        acquisitions(b), ["vec_id"], "B_SelectedCondition",
+        {"laser_color": ["TP_Laser_{c}", "TP_LaserColor_{c}"], "laser_start": ["TP_LaserStart_{c}"], "auto_train_engaged": ["TP_auto_train_engaged"], "session_wide_control": ["TP_SessionWideControl"]},
+        [1, 2], {"laser_color": "None", "laser_start": "None", "auto_train_engaged": "None", "session_wide_control": "None"},
+    )
+
+
+ACQUIRED = """
+a AS (SELECT vec_id, i AS trial, (i + label)::BIGINT % 3 AS c, embedding AS e FROM embeddings, (SELECT unnest(range(0, 8)) AS i) g),
+f AS (SELECT vec_id, trial, c, e, CASE c WHEN 1 THEN coalesce(nullif(nullif(['Blue', '', 'Green', 'nan'][trial % 4 + 1], ''), 'nan'), ['Red', 'Red', 'Green'][trial % 3 + 1])
+    WHEN 2 THEN ['Green', 'Blue'][trial % 2 + 1] ELSE 'None' END AS laser_color,
+  CASE c WHEN 1 THEN ['Trial start', 'Go cue'][trial % 2 + 1] WHEN 2 THEN ['Go cue', 'Trial start', 'Reward outcome'][trial % 3 + 1] ELSE 'None' END AS laser_start,
+  CASE WHEN vec_id % 2 = 0 THEN ['on', 'off'][trial % 2 + 1] ELSE 'None' END AS auto_train_engaged FROM a)"""
+
+
+@query("acquisition_fields", f"""
+WITH {ACQUIRED}, p AS (SELECT *, CASE WHEN trial < 6 THEN round(e[25 + trial]::DOUBLE, 6) END AS x FROM f)
+SELECT vec_id, trial, c AS condition, laser_color, CASE laser_color WHEN 'Blue' THEN 473.0::DOUBLE WHEN 'Red' THEN 647 WHEN 'Green' THEN 547 END AS laser_wavelength, laser_start, auto_train_engaged,
+  'None' AS session_wide_control, x AS position_x, CASE WHEN vec_id % 2 = 0 THEN x + 1 END AS position_y, CASE WHEN vec_id % 2 = 1 THEN x + 1 END AS position_y1,
+  CASE WHEN vec_id % 2 = 1 THEN x - 1 END AS position_y2, x + 2 AS position_z FROM p""", "position_x position_y position_y1 position_y2 position_z")
+def acquisition_fields(b):
+    places = acquisitions(b).select("vec_id", F.posexplode("B_StagePositions").alias("trial", "p")).withColumn("trial", F.col("trial").cast("bigint"))
+    rows = acquired_fields(b).join(places, ["vec_id", "trial"], "left")
+    return rows.select(
+        "vec_id", "trial", F.col("condition").cast("bigint").alias("condition"), "laser_color", R.wavelength(F.col("laser_color")).alias("laser_wavelength"), "laser_start",
+        "auto_train_engaged", "session_wide_control", *R.stage_position(F.col("p")),
+    )
+
+
+@query("acquisition_events", f"""
+WITH {ACQUIRED}, r AS (SELECT vec_id, embedding AS e FROM embeddings),
+t AS (SELECT vec_id, 'left_lick_time' AS event, unnest(e[17:19])::DOUBLE AS timestamp FROM r
+  UNION ALL SELECT vec_id, 'right_reward_delivery_time', unnest(CASE WHEN vec_id % 3 > 0 THEN e[20:21]::DOUBLE[] ELSE [NULL::DOUBLE] END) FROM r
+  UNION ALL SELECT vec_id, 'optogenetics_time', unnest(CASE WHEN vec_id % 5 > 0 THEN e[22:23]::DOUBLE[] ELSE [NULL::DOUBLE] END) FROM r
+  UNION ALL SELECT vec_id, 'optogenetics_time', e[9 + trial]::DOUBLE FROM f WHERE laser_start = 'Trial start')
+SELECT vec_id, event, timestamp, 1.0::DOUBLE AS data FROM t""", "timestamp")
+def acquisition_events(b):
+    records = acquisitions(b)
+    series = R.acquisition_events(records, ["vec_id"], {"left_lick_time": "B_LeftLickTime", "right_reward_delivery_time": "B_RightRewardDeliveryTimeHarp"})
+    starts = records.select("vec_id", F.posexplode("B_TrialStartTimeHarp").alias("trial", "start_time")).withColumn("trial", F.col("trial").cast("bigint"))
+    trials = acquired_fields(b).join(starts, ["vec_id", "trial"])
+    return series.unionByName(R.optogenetics_times(trials, records, ["vec_id"], "start_time", "laser_start", "B_OptogeneticsTimeHarp"))
+
+
 LISTED = "listing AS (SELECT doc_id, 'behavior_' || (doc_id % 60) || '_2024-12-20_13-26-07' AS s, printf('2025-01-%02d', (doc_id % 27 + 1)::BIGINT) AS d, printf('%02d-15-%02d', (doc_id % 24)::BIGINT, (doc_id % 60)::BIGINT) AS h FROM documents)"
 
 

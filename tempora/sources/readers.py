@@ -13,6 +13,9 @@ from tempora.operators.ordered import lagged, numbered
 # Channel prefixes of photometry and the sync channels kept with it.
 PHOTOMETRY = r"^(G|R|Iso)_[0-4]"
 SYNC = r"^FIP_(falling|rising)_time$"
+# Laser colours in nanometres, and the event a laser is aligned to when it starts with the trial.
+WAVELENGTH = {"Blue": 473.0, "Red": 647.0, "Green": 547.0}
+WITH_TRIAL = "Trial start"
 LISTED_NAME = r"^(.*)_videoprocessed_(\d{4}-\d{2}-\d{2})_(\d{2}-\d{2}-\d{2})$"
 
 
@@ -162,6 +165,78 @@ def acquisition_to_trials(records: DataFrame, keys: Sequence[str], fields: Mappi
     return zipped.select(*keys, F.col("pos").cast("bigint").alias("trial"), *[F.col(f"col.{n}").alias(n) for n in arrays])
 
 
+def acquisition_fields(
+    records: DataFrame, keys: Sequence[str], condition: str, fields: Mapping[str, Sequence[str]],
+    conditions: Sequence[int], defaults: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """One row per trial and record with text fields taken from parallel arrays.
+
+    `fields` maps an output column to the array columns it may come from, the first usable value first. `{c}` in a name stands
+    for the trial's own condition, one of `conditions`; a trial without a condition (0 or null) has none of
+    these. Arrays that a table lacks are passed over, and so are values past an array's end. What is still missing gets its default.
+    """
+    at, have = F.col("trial").cast("int"), set(records.columns)
+    trials = records.select("*", F.posexplode(condition).alias("trial", "condition")).withColumn("trial", F.col("trial").cast("bigint"))
+
+    def value(name: str) -> Column | None:
+        if "{c}" not in name:
+            return F.get(F.col(name), at) if name in have else None
+        own = [(c, name.format(c=c)) for c in conditions if name.format(c=c) in have]
+        return first_match_value([(F.col("condition") == c, F.get(F.col(n), at)) for c, n in own])
+
+    out = {}
+    for name, sources in fields.items():
+        usable = [v for v in map(value, sources) if v is not None]
+        found = first_present(*usable) if usable else F.lit(None).cast("string")
+        out[name] = F.coalesce(found, F.lit((defaults or {}).get(name)))
+    return trials.select(*keys, "trial", "condition", *[c.alias(n) for n, c in out.items()])
+
+
+def first_match_value(cases: Sequence[tuple[Column, Column]]) -> Column | None:
+    """Value of the first true condition, null if none is."""
+    out = None
+    for holds, value in cases:
+        out = F.when(holds, value.cast("string")) if out is None else out.when(holds, value.cast("string"))
+    return out
+
+
+def wavelength(colour: Column) -> Column:
+    """Laser wavelength of a colour name."""
+    return first_match_value([(colour == name, F.lit(nm)) for name, nm in WAVELENGTH.items()]).cast("double")
+
+
+def stage_position(position: Column) -> list[Column]:
+    """x, y, y1, y2 and z of a stage's position map: either one y, or y1 and y2 for the two spouts; null without a position."""
+    def axis(name: str) -> Column:
+        return F.try_element_at(position, F.lit(name)).cast("double")
+
+    two = axis("y1").isNotNull() & axis("y2").isNotNull()
+    return [
+        axis("x").alias("position_x"), F.when(~two, axis("y")).alias("position_y"), F.when(two, axis("y1")).alias("position_y1"),
+        F.when(two, axis("y2")).alias("position_y2"), axis("z").alias("position_z"),
+    ]
+
+
+def acquisition_events(records: DataFrame, keys: Sequence[str], series: Mapping[str, str]) -> DataFrame:
+    """(keys, event, timestamp, data) of every time of every series: lick, reward and photometry arrays, `data` always 1.
+
+    `series` maps an event name to its array column. A series that a record lacks stands as one row without a time.
+    """
+    lists = F.array(*[
+        F.struct(F.lit(event).alias("event"), F.coalesce(F.col(c).cast("array<double>"), F.array(F.lit(None).cast("double"))).alias("times"))
+        for event, c in series.items()
+    ])
+    rows = records.select(*keys, F.explode(lists).alias("s")).select(*keys, "s.event", F.explode("s.times").alias("timestamp"))
+    return rows.withColumn("data", F.lit(1.0))
+
+
+def optogenetics_times(trials: DataFrame, records: DataFrame, keys: Sequence[str], start: str, laser_start: str, other: str) -> DataFrame:
+    """(keys, event, timestamp, data) of laser onsets: starts of the trials whose laser starts with the trial, and the times recorded for all others."""
+    with_trial = trials.where(F.col(laser_start) == WITH_TRIAL).select(*keys, F.col(start).cast("double").alias("timestamp"))
+    recorded = records.select(*keys, F.explode(F.coalesce(F.col(other).cast("array<double>"), F.array(F.lit(None).cast("double")))).alias("timestamp"))
+    return with_trial.unionByName(recorded).select(*keys, F.lit("optogenetics_time").alias("event"), "timestamp", F.lit(1.0).alias("data"))
+
+
 def latest_asset(listing: DataFrame, name: str, days: Sequence[str] | None = None) -> DataFrame:
     """Most recent processed asset per session among names `<session>_videoprocessed_<date>_<time>`."""
     parsed = listing.select(
