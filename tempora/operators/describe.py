@@ -100,6 +100,17 @@ def log_edges(lo: float, hi: float, n: int) -> list[float]:
     return [10 ** (math.log10(lo) + i * step) for i in range(n + 1)]
 
 
+def angular_edges(n: int) -> list[float]:
+    """Equal bins of angles from -pi to pi."""
+    return [-math.pi + 2 * math.pi * i / n for i in range(n)] + [math.pi]
+
+
+def percentile_edges(df: DataFrame, x: str, n: int, width: float | None = None) -> list[float]:
+    """Edges of n bins that hold equal shares of all values; equal edges are one."""
+    row = quantiles(df, [], x, {f"q{i}": i / n for i in range(n + 1)}, width).first()
+    return sorted({v for v in row if v is not None}) if row else []
+
+
 def latency_by_ordinal(df: DataFrame, session: Sequence[str], k: str, latency: str, max_k: int, width: float | None = None) -> DataFrame:
     """Mean, median, SEM and n per session and ordinal."""
     rows = df.where(F.col(latency).isNotNull() & (F.col(k) <= max_k))
@@ -197,12 +208,13 @@ def bin2d_mean(df: DataFrame, x: str, y: str, value: str, size: float, hexagonal
     return rows.groupBy(i.alias("cell_i"), j.alias("cell_j")).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-def combo_counts(flags: DataFrame, columns: Sequence[str], min_size: int = 1, by: str = "cardinality") -> DataFrame:
-    """Count and degree of every true/false combination, ordered by count or degree."""
+def combo_counts(flags: DataFrame, columns: Sequence[str], min_size: int = 1, by: str = "cardinality", max_subsets: int | None = None) -> DataFrame:
+    """Count and degree of every true/false combination, ordered by count or degree; only the first `max_subsets` if given."""
     degree = sum((F.col(c).cast("bigint") for c in columns[1:]), F.col(columns[0]).cast("bigint"))
     out = flags.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).withColumn("degree", degree).where(F.col("n") >= min_size)
     first = F.desc("n") if by == "cardinality" else F.asc("degree")
-    return out.orderBy(first, *[F.desc(c) for c in columns])
+    out = out.orderBy(first, *[F.desc(c) for c in columns])
+    return out if max_subsets is None else out.limit(max_subsets)
 
 
 def set_sizes(flags: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -101,10 +101,6 @@ def namespaced(base: DataFrame, stats: DataFrame, on: Sequence[str], prefix: str
     return base.drop(*stale).join(side, list(on), "left")
 
 
-def namespaces(df: DataFrame) -> list[str]:
-    return sorted({c.split("__", 1)[0] for c in df.columns if "__" in c})
-
-
 def behaviour_flags(trials: DataFrame, none_value: int = 2) -> DataFrame:
     """hit, hit_clean (null when rewarded) and outcome."""
     rewarded = F.coalesce(F.col("rewarded_left"), F.lit(False)) | F.coalesce(F.col("rewarded_right"), F.lit(False))

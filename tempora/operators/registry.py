@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions.keys import canon_unit, session_prefix
 from tempora.operators import stats as S
-from tempora.operators.describe import combo_counts, keep_one, significant_fraction
+from tempora.operators.describe import combo_counts, keep_one, set_sizes, significant_fraction
 from tempora.session import scratch_path
 
 KEYS = ["session_prefix", "unit"]
@@ -180,8 +180,12 @@ class UnitStatsRegistry:
         long = self.long(names)
         return S.spearman(entry_pairs(long, long), ["entry_a", "entry_b"], "t_a", "t_b", min_n, self.width)
 
-    def membership(self, names: Sequence[str], min_size: int = 1, by: str = "cardinality") -> DataFrame:
-        return combo_counts(significance_flags(self.long(names), names), names, min_size, by)
+    def membership(self, names: Sequence[str], min_size: int = 1, by: str = "cardinality", max_subsets: int | None = None) -> DataFrame:
+        return combo_counts(significance_flags(self.long(names), names), names, min_size, by, max_subsets)
+
+    def set_sizes(self, names: Sequence[str]) -> DataFrame:
+        """(entry, n): significant units per entry, among the units that every entry has."""
+        return set_sizes(significance_flags(self.long(names), names), names)
 
     def summary(self) -> DataFrame:
         return entry_summary(self.long(), self.width)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tempora.functions import geometry as V
@@ -336,6 +338,31 @@ def histogram_density(b):
     return D.histogram_density(b.ev, ["kind"], "value", [0, 5, 20, 60, 200])
 
 
+BINNED = """
+c AS (SELECT kind, bin, count(*) AS n FROM v JOIN g ON x >= lo AND (x < hi OR x = hi AND bin = (SELECT max(bin) FROM g)) GROUP BY ALL),
+t AS (SELECT kind, sum(n) AS total FROM c GROUP BY ALL)
+SELECT t.kind, g.bin::BIGINT AS bin, g.lo, g.hi, coalesce(c.n, 0) AS n, coalesce(c.n, 0) / (total * (hi - lo)) AS density FROM t CROSS JOIN g LEFT JOIN c ON c.kind = t.kind AND c.bin = g.bin"""
+
+
+@query("histogram_density_log", f"""
+WITH v AS (SELECT kind, value AS x FROM ev), g AS (SELECT i AS bin, pow(10, -1 + i * 0.5) AS lo, pow(10, -1 + (i + 1) * 0.5) AS hi FROM range(0, 8) r(i)), {BINNED}""", "lo hi density")
+def histogram_density_log(b):
+    return D.histogram_density(b.ev, ["kind"], "value", D.log_edges(0.1, 1000.0, 8))
+
+
+@query("histogram_density_angular", f"""
+WITH v AS (SELECT kind, (k + 0.5) / 100.0::DOUBLE * 2 * pi() - pi() AS x FROM ev), g AS (SELECT i AS bin, -pi() + i * pi() / 6 AS lo, -pi() + (i + 1) * pi() / 6 AS hi FROM range(0, 12) r(i)), {BINNED}""", "lo hi density")
+def histogram_density_angular(b):
+    return D.histogram_density(b.ev.withColumn("x", (F.col("k") + 0.5) / 100 * 2 * math.pi - math.pi), ["kind"], "x", D.angular_edges(12))
+
+
+@query("histogram_density_percentile", f"""
+WITH v AS (SELECT kind, value AS x FROM ev), q AS (SELECT quantile_cont(x, [0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1]) AS e FROM v),
+g AS (SELECT i AS bin, e[i + 1] AS lo, e[i + 2] AS hi FROM q, range(0, 8) r(i)), {BINNED}""", "lo hi density")
+def histogram_density_percentile(b):
+    return D.histogram_density(b.ev, ["kind"], "value", D.percentile_edges(b.ev, "value", 8, b.width_of("ev-value", b.ev, [], "value")))
+
+
 @query("latency_by_ordinal", f"""
 WITH {LICK_K} SELECT session, k, avg(latency / 3600) AS mean, stddev_samp(latency / 3600) / sqrt(count(*)) AS sem, count(*) AS n, quantile_cont(latency / 3600, 0.5) AS median
 FROM lick_k WHERE k <= 4 GROUP BY ALL""", "mean sem median")

@@ -476,6 +476,14 @@ def combo_counts(b):
     return D.combo_counts(flags, ["large", "dear", "early"], 20, "degree")
 
 
+@query("registry_set_sizes", f"""
+WITH {ENTRY}, w AS (SELECT session_prefix, unit, bool_or(sig_fdr) FILTER (WHERE entry = 'A_F') AS a, bool_or(sig_fdr) FILTER (WHERE entry = 'N_O') AS b, bool_or(sig_fdr) FILTER (WHERE entry = 'R_F') AS c FROM rg GROUP BY ALL),
+u AS (SELECT * FROM w WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL)
+SELECT 'A_F' AS entry, count(*) FILTER (WHERE a) AS n FROM u UNION ALL SELECT 'N_O', count(*) FILTER (WHERE b) FROM u UNION ALL SELECT 'R_F', count(*) FILTER (WHERE c) FROM u""")
+def registry_set_sizes(b):
+    return registry(b).set_sizes(["A_F", "N_O", "R_F"])
+
+
 @query("registry_summary", f"""
 WITH {ENTRY}, {_wilcoxon('rw', 'rg', 't', 'entry')},
 s AS (SELECT entry, count(*) AS n, count(*) FILTER (WHERE sig_fdr) AS n_sig, avg(t) AS mean_t, quantile_cont(t, 0.5) AS median_t, count(*) FILTER (WHERE sig_fdr AND t > 0) AS n_pos_sig,

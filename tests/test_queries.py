@@ -7,8 +7,6 @@ from tools.check_queries import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-# a handful of results are empty on the smallest tables
-MAY_BE_EMPTY = {"latency_grand_mean"}
 
 
 @pytest.fixture(scope="module")
