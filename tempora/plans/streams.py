@@ -50,18 +50,15 @@ def stream_rates(b):
 
 
 @query("stream_asof_trial", """
-WITH m AS (SELECT max(t) AS last FROM ev)
-SELECT e.session, e.event_id, coalesce(c.trial, -1) AS trial FROM m, ev e ASOF LEFT JOIN cues c ON e.session = c.session AND e.t >= c.cue WHERE e.t < m.last - 3660""")
+WITH m AS (SELECT (max(epoch_us(ts)) - 3600000000) // 1000 AS mark FROM events)
+SELECT e.session, e.event_id, coalesce(c.trial, -1) AS trial FROM m, ev e ASOF LEFT JOIN cues c ON e.session = c.session AND e.t >= c.cue
+WHERE e.event_id IN (SELECT event_id FROM events, m WHERE (epoch_us(ts) // 1000000 + 1) * 1000 <= mark)""")
 def stream_asof_trial(b):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = b.spark.conf.get(key)
     b.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         rows = stream(b).withColumn("is_cue", F.col("kind") == "signup").select("session", "event_id", "is_cue", "ts")
-        done = finish(b, Z.stream_asof_trial(rows, "ts", "1 hour"), "asof")
+        return finish(b, Z.stream_asof_trial(rows, "ts", "1 hour"), "asof")
     finally:
         b.spark.conf.set(key, before)
-    # the last minute before the watermark may or may not have fired: leave it to the batch form
-    last = b.ev.agg(F.max("t")).scalar()
-    settled = b.ev.where(F.col("t") < last - 3660).select("session", "event_id")
-    return done.join(settled, ["session", "event_id"], "left_semi")

@@ -24,42 +24,43 @@ def stream_rates(events: DataFrame, keys: Sequence[str], ts: str, size: str, sli
 
 
 class LastCue(StatefulProcessor):
-    """Keeps the open rows of a session until the watermark has passed them, then tags each with
-    the latest cue at or before it."""
+    """Tags the rows of a session with the latest cue at or before them, second by second.
+
+    Rows wait in a map by second; a second's timer fires once the watermark has passed its end, and then
+    only the rows of this second are read and emitted. So a row is out exactly if the watermark has passed its second.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last_cue", "trial bigint, micros bigint")
-        self.open = handle.getListState("open", "event_id bigint, micros bigint, is_cue boolean")
+        self.last = handle.getValueState("last_cue", "trial bigint")
+        self.open = handle.getMapState("open", "second bigint", "event_ids array<bigint>, micros array<bigint>, cues array<boolean>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
         for batch in rows:
-            for r in batch.itertuples(index=False):
-                micros = int(r.micros)
-                self.open.appendValue((int(r.event_id), micros, bool(r.is_cue)))
-                self.handle.registerTimer((micros // 1_000_000 + 1) * 1000)
+            for second, part in batch.groupby(batch["micros"] // 1_000_000):
+                at, held = (int(second),), ([], [], [])
+                if self.open.exists() and self.open.containsKey(at):
+                    held = tuple(list(x) for x in self.open.getValue(at))
+                new = (part["event_id"].tolist(), part["micros"].tolist(), part["is_cue"].tolist())
+                self.open.updateValue(at, tuple(old + more for old, more in zip(held, new)))
+                self.handle.registerTimer((at[0] + 1) * 1000)
         yield pd.DataFrame({"session": [], "event_id": [], "trial": []}).astype("int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
-        # everything behind the watermark at once, so that later timers find little to do
-        limit = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.open.get(), key=lambda r: (r[1], not r[2], r[0])) if self.open.exists() else []
-        due, rest = [r for r in held if r[1] < limit], [r for r in held if r[1] >= limit]
+        at = (expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1,)
+        event_ids, micros, cues = self.open.getValue(at)
+        self.open.removeKey(at)
         trial = self.last.get()[0] if self.last.exists() else -1
         out = []
-        for event_id, micros, is_cue in due:
-            if is_cue:
-                trial += 1
-                self.last.update((trial, micros))
+        for _, no_cue, event_id in sorted(zip(micros, (not c for c in cues), event_ids)):
+            trial += not no_cue
             out.append((key[0], event_id, trial))
-        if rest:
-            self.open.put(rest)
-        else:
-            self.open.clear()
+        if any(cues):
+            self.last.update((trial,))
         yield pd.DataFrame(out, columns=["session", "event_id", "trial"]).astype("int64")
 
     def close(self) -> None:
@@ -68,7 +69,7 @@ class LastCue(StatefulProcessor):
 
 def stream_asof_trial(events: DataFrame, ts: str, watermark: str) -> DataFrame:
     """(session, event_id, trial) with -1 before the first cue, emitted once the watermark has
-    passed the event. `events` has session, event_id, is_cue and `ts`; needs the RocksDB state
+    passed the event's second. `events` has session, event_id, is_cue and `ts`; needs the RocksDB state
     store."""
     rows = events.withWatermark(ts, watermark).withColumn("micros", F.unix_micros(F.col(ts)))
     return rows.groupBy("session").transformWithStateInPandas(
