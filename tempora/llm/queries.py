@@ -54,4 +54,28 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_fingerprints, op4_token_counts, op5_suffix_dedup, op6_main_text, op7_packing, op8_phrase_dedup, op9_jaccard_join, op10_language)}
-ORACLES: dict[str, str] = {}
+
+#: Words as the operators read them.
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+REMOVED_WORDS = f"""
+WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+places AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM docs)),
+starts AS (SELECT doc_id, i FROM windows WHERE s IN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1)),
+marked AS (
+  SELECT p.doc_id, p.i, p.word, coalesce(p.i - max(s.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) < 35, false) AS gone
+  FROM places p LEFT JOIN starts s ON s.doc_id = p.doc_id AND s.i = p.i),
+found AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs d LEFT JOIN found USING (doc_id)"""
+SIMILAR = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN sizes s ON s.doc_id = a.doc_id JOIN sizes t ON t.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, s.n, t.n HAVING 5 * count(*) >= 4 * (s.n + t.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM docs UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, (SELECT min(y) FROM reach r WHERE r.x = d.doc_id) AS class_id, (SELECT count(*) FROM links l WHERE l.x = d.doc_id) AS n_links FROM docs d"""
+
+#: The others hash, train, align, tokenize or balance, or are too slow in SQL on whole tables (op5): tests hold them against brute force.
+ORACLES = {"op8_phrase_dedup": REMOVED_WORDS, "op9_jaccard_join": SIMILAR}
