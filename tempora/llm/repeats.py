@@ -28,7 +28,7 @@ CHUNK = 1 << 20
 #: Places of an anchor from which its windows are divided by their surroundings.
 HOT = 20_000
 #: Anchors in a shard, about.
-SHARD_ANCHORS = 32_768
+SHARD_ANCHORS = 16_384
 
 Resolver = Callable[[list[bytes], np.ndarray, np.ndarray], list[list[int]]]
 
@@ -224,20 +224,24 @@ def resolve_shards(segments: DataFrame, shards: int, kind: Kind) -> DataFrame:
 def covered(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with __places: (start, cover) of every segment with recurring windows, null where a text has none."""
     spark = docs.sparkSession
-    keyed = docs.withColumns({"__key": F.xxhash64(key), "__h": F.xxhash64(text), "__h2": F.xxhash64(F.lit(2), text), "__text": F.col(text)})
+    # rows of one key share a list of recurring anchors, which does no harm; numbers compress better than hashes
+    whole = docs.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
+    number = F.coalesce(F.col(key).cast("long"), F.lit(0)) if whole else F.xxhash64(key)
+    keyed = docs.withColumns({"__key": number, "__h": F.xxhash64(text), "__h2": F.xxhash64(F.lit(2), text), "__text": F.col(text)})
     lists = stored(anchor_lists(keyed, kind), "anchors")
     places = lists.select("__key", F.explode("anchors").alias("h"))
     total = lists.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    recurring = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = places.join(recurring, "h").groupBy("__key").agg(
+    # stored, so that Spark joins two plain shuffles and can split a part with a very common anchor
+    recurring = stored(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "recurring")
+    wanted = places.join(recurring.hint("merge"), "h").groupBy("__key").agg(
         F.collect_set("h").alias("anchors"), F.collect_set(F.when(F.col("n") > HOT, F.col("h"))).alias("hot")
     )
-    met = keyed.select("__key", "__h", "__h2", "__text").join(wanted, "__key")
+    met = keyed.select("__key", "__h", "__h2", "__text").join(wanted.hint("merge"), "__key")
     segments = stored(cut_segments(met, kind), "segments")
     found = resolve_shards(segments, max(1, -(-total // SHARD_ANCHORS)), kind)
     back = segments.select("__h", "__h2", "start", "group", "class").join(found, ["group", "class"])
-    by_text = back.groupBy("__h", "__h2").agg(F.collect_list(F.struct("start", "cover")).alias("__places"))
-    return keyed.drop("__key", "__text").join(by_text, ["__h", "__h2"], "left").drop("__h", "__h2")
+    by_text = stored(back.groupBy("__h", "__h2").agg(F.collect_list(F.struct("start", "cover")).alias("__places")), "covers")  # as above, for a very common text
+    return keyed.drop("__key", "__text").join(by_text.hint("merge"), ["__h", "__h2"], "left").drop("__h", "__h2")
 
 
 def union_ranges(places: list[dict] | None) -> list[tuple[int, int]]:

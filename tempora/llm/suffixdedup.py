@@ -9,29 +9,39 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tempora.llm.common import slices
+from tempora.llm.common import others, slices
 from tempora.llm.repeats import Kind, covered, starts_to_ranges, union_ranges
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes of `data`, in the order of their first `depth` bytes at least.
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Starts of all suffixes of `data`, or those `wanted`, in the order of their first `depth` bytes at least.
 
     Two stages: a suffix that is smaller than its successor (the suffix one byte later) is sorted directly, bucket by first byte.
     All others follow from a scan of the buckets in order: when a suffix is met, the one a byte earlier, if greater than
-    it, takes the next free place at the front of its own bucket.
+    it, takes the next free place at the front of its own bucket. Of suffixes that are not wanted only those come along that
+    wanted ones follow from: from a wanted one on to the first that is sorted directly.
     """
     n = len(data)
-    order = np.zeros(n, np.int32)
     if not n:
-        return order
+        return np.zeros(0, np.int32)
     change = np.append(np.flatnonzero(data[1:] != data[:-1]), n - 1)
     rises = np.append(data[change[:-1]] < data[change[:-1] + 1], False)
     smaller = np.repeat(rises, np.diff(np.append(-1, change)))
-    sizes = np.bincount(data, minlength=256)
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    direct = np.flatnonzero(smaller)
+    needed = np.ones(n, bool)
+    if wanted is not None:
+        needed = wanted.copy()
+        last = np.flatnonzero(wanted & ~smaller & ~np.append(wanted[1:], False))  # they follow from an unwanted one
+        direct = np.append(np.flatnonzero(smaller), n - 1)
+        until = direct[np.searchsorted(direct, last)]
+        reach = np.zeros(n + 1, np.int32)
+        np.add.at(reach, last, 1)
+        np.add.at(reach, until + 1, -1)
+        needed |= np.cumsum(reach[:-1]) > 0
+    direct = np.flatnonzero(smaller & needed)
     direct = direct[np.argsort(data[direct], kind="stable")]
     edges = np.concatenate([[0], np.cumsum(np.bincount(data[direct], minlength=256))])
+    start = np.concatenate([[0], np.cumsum(np.bincount(data[needed], minlength=256))])
+    order = np.zeros(start[-1], np.int32)
     text = data.tobytes().decode("latin-1")
     for c in range(256):
         if edges[c + 1] > edges[c]:
@@ -39,10 +49,11 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
             bucket.sort(key=lambda i: text[i : i + depth])
             order[start[c + 1] - len(bucket) : start[c + 1]] = bucket
     front = start[:-1].copy()
+    follows = needed & ~smaller
 
     def induce(met: np.ndarray) -> None:
         before = met[met > 0] - 1
-        before = before[~smaller[before]]
+        before = before[follows[before]]
         if len(before):
             first = data[before]
             dealt = np.argsort(first, kind="stable")
@@ -52,8 +63,9 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
             order[front[first] + np.arange(len(first)) - begin[first]] = before[dealt]
             np.add(front, count, out=front)
 
-    order[front[data[-1]]] = n - 1
-    front[data[-1]] += 1
+    if needed[n - 1]:
+        order[front[data[-1]]] = n - 1
+        front[data[-1]] += 1
     for c in range(256):
         at = start[c]
         while at < front[c]:  # greater suffixes of this bucket, those that repeat its byte in further rounds
@@ -61,7 +73,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
             induce(order[until:at])
         if edges[c + 1] > edges[c]:
             induce(order[start[c + 1] - (edges[c + 1] - edges[c]) : start[c + 1]])
-    return order
+    return order if wanted is None else order[wanted[order]]
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
@@ -71,9 +83,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     others are compared, eight bytes at a time.
     """
     n = len(data)
-    lengths = np.zeros(n, np.int64)
-    if n < 2:
-        return lengths
+    if len(order) < 2:
+        return np.zeros(len(order), np.int64)
     prior = np.full(n, -1, np.int64)
     prior[order[1:]] = order[:-1]
     at = np.arange(1, n)
@@ -97,17 +108,13 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
         a, b, live = a[on], b[on], live[on]
         done += 8
     # carry on from the last compared position
-    anchor = np.where(follows, 0, at_index(n))
-    anchor = np.maximum.accumulate(anchor)
-    lengths = np.maximum(size[anchor] - (np.arange(n) - anchor), 0)
+    at = np.arange(n)
+    compared = np.maximum.accumulate(np.where(follows, 0, at))
+    lengths = np.maximum(size[compared] - (at - compared), 0)
     lengths[prior < 0] = 0
     return lengths[order]
 
 
-def at_index(n: int) -> np.ndarray:
-    return np.arange(n)
-
-
 def resolver(width: int):
     """Ranges of bytes in segments that are covered by strings of `width` bytes with two starts or more."""
 
@@ -120,12 +127,10 @@ def resolver(width: int):
         np.add.at(valid, begin, 1)
         np.add.at(valid, begin + n, -1)
         valid = np.cumsum(valid[:-1], dtype=np.int8) > 0
-        order = suffix_array(data, width)
+        order = suffix_array(data, width, valid)
         run = np.cumsum(common_prefixes(data, order, width) < width)
-        counted = np.bincount(run, valid[order], minlength=len(data) + 1)
         hit = np.zeros(len(data), bool)
-        hit[order] = counted[run] > 1
-        hit &= valid
+        hit[order] = np.bincount(run)[run] > 1
         first = begin[np.cumsum(copies) - copies]
         return [starts_to_ranges(hit[a : a + k], width) for a, k in zip(first.tolist(), starts.tolist())]
 
@@ -141,9 +146,9 @@ def removals(docs: DataFrame, width: int = 200, key: str = "doc_id", text: str =
 
     Texts are UTF-8 bytes and null is empty; strings are judged on the input and never cross texts; a string that overlaps
     its own repetition counts. With `keep_text` the text column holds what is left (a null stays null) as UTF-8, without
-    the pieces of characters that were cut.
+    the pieces of characters that were cut. A column that has one of the new names gives way.
     """
-    kept = [c for c in docs.columns if c != text or keep_text]
+    kept = [c for c in others(docs, "n_bytes", "n_removed", "n_spans", "kept_sha256") if c != text or keep_text]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
 
     def run(batches):
