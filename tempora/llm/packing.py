@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tempora.llm.common import slices, stored
 
 #: Words of a memo inside a worker; it is emptied when full.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_200_000
 _ENDINGS = set(".,;:!?")
 _coders: dict[str, "WordCoder"] = {}
 
@@ -41,7 +41,7 @@ class WordCoder:
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, parts: set[str]) -> None:
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) + len(parts) > MEMO_WORDS:
             self.memo = {"": b""}
         memo, cores = self.memo, {}
         for part in parts:
@@ -66,11 +66,10 @@ class WordCoder:
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.memo
-        new = {part for parts in split for part in parts if part not in known}
+        present = set().union(*split)
+        new = {part for part in present if part not in known}
         if new:
-            if len(known) + len(new) > MEMO_WORDS:
-                new = {part for parts in split for part in parts if part}
-            self.learn(new)
+            self.learn(present - {""} if len(known) + len(new) > MEMO_WORDS else new)
         get = self.memo.__getitem__
         for parts in split:
             yield b"".join(map(get, parts))
@@ -158,7 +157,12 @@ def cell_packer(length: str, capacity: int, level: int, slack: int, last: bool):
         sizes = t.column(length).to_numpy().astype(np.int64)
         bins, offset, free = best_fit_decreasing(sizes, capacity)
         certified = len(free) == lower_bound(sizes, capacity)
-        stay = np.ones(len(sizes), bool) if last else (free <= slack)[bins]
+        full = np.ones(len(free), bool) if last else free <= slack
+        gaps = int((~full).sum())
+        if gaps:  # as many full bins go along, those of the most items, so that small ones are there to fill gaps
+            items = np.where(full, np.bincount(bins, minlength=len(free)), -1)
+            full[np.argsort(-items, kind="stable")[: min(gaps, int(full.sum()))]] = False
+        stay = full[bins]
         sequence = (level << 56) + (cell << 28) + bins
         t = t.drop_columns(["__cell"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
         return t.append_column("certified", pa.array(np.full(len(sizes), certified))).append_column("__stays", pa.array(stay))
@@ -170,8 +174,8 @@ def pack(items: DataFrame, capacity: int = 4096, length: str = "length", cell_it
     """`items` with sequence_id, offset and certified: all of them in few sequences of at most `capacity`.
 
     Items are dealt by a hash into cells of about `cell_items`. Each cell packs best-fit decreasing and compares its
-    bins with a lower bound. Bins with at most `slack` free stay. The items of the others, and so all
-    partly filled bins, move to cells that join `fan_in` of the old ones and are packed again, until one cell is left.
+    bins with a lower bound. Bins with at most `slack` free stay. The items of the others, and of as many full bins of small
+    items, move to cells that join `fan_in` of the old ones and are packed again, until one cell is left.
     `certified`: the cell that packed the row reached its lower bound. An empty input gives no rows. Lengths must be 1 to `capacity`.
     """
     kept, level = [], 0
