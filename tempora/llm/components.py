@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from tempora.llm.common import stored
 
 
-def _mark(edges: DataFrame):
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+#: Edges in one part of a table that is written between two rounds, about.
+PART_EDGES = 200_000
+
+
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        edges = stored(small.distinct(), "edges")
+        # no round makes more edges than the last one left, and few edges need few parts
+        edges = stored(small.distinct().coalesce(1 + now[0] // PART_EDGES), "edges")
         before, now = now, _mark(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()

@@ -270,8 +270,8 @@ def similarity_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, tole
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
     blocks = F.ceil(F.col("nodes") / BLOCK).cast("int")
     placed = labels.join(sizes, "label").join(nodes, "node").select("node", "label", "copies", "t.__h", "t.__h2", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    placed = stored(placed, "placed")
-    found = features(keyed.select("__h", "__h2", "__text").join(placed.select("node", "__h", "__h2"), ["__h", "__h2"]).select("node", "__text"), n)
+    placed = stored(placed, "placed")  # texts meet it by a shuffle at every size, so that what a small table costs tells what a large one will
+    found = features(keyed.select("__h", "__h2", "__text").join(placed.select("node", "__h", "__h2").hint("merge"), ["__h", "__h2"]).select("node", "__text"), n)
     dealt = found.join(placed.drop("__h", "__h2"), "node").withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "against"), F.greatest("block", "against")
     dealt = dealt.select(F.col("label").alias("component"), low.alias("low"), high.alias("high"), "block", "node", "copies", "grams", "signature", "blocks")
