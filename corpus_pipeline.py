@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import decontaminate, jaccardjoin, langid, packing, suffixdedup
-from tempora.llm.common import stored, table
+from tempora.llm.common import hidden, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes inside any 200-byte string that starts in more than one place; those left blank go."""
-    cut = suffixdedup.removals(docs, keep_text=True).where(F.col("text").rlike(r"\S"))
-    cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    rows, names = hidden(docs)
+    text, chars = names["text"], names["n_chars"]
+    cut = suffixdedup.removals(rows, key=names["doc_id"], text=text, keep_text=True).where(F.col(text).rlike(r"\S"))
+    cut = cut.withColumn(chars, F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(chars)))
+    return cut.select(*names.values()).toDF(*names)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

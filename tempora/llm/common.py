@@ -20,6 +20,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def others(docs: DataFrame, *new: str) -> list[str]:
+    """The columns of `docs` that stay beside new ones: one with the name of a new column gives way to it."""
+    taken = {n.lower() for n in new}
+    return [c for c in docs.columns if c.lower() not in taken]
+
+
+def hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` under names that clash with nothing, and the new name of each old one."""
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import flat, slices, stored
+from tempora.llm.common import flat, hidden, others, slices, stored
 
 #: Contexts are this many bytes at most.
 ORDER = 3
-#: Cells of a dense table; a model with more pairs of bytes is searched instead, with equal results.
-TABLE_CELLS = 8_000_000
+#: Pairs of bytes on a side of the dense table, the most frequent ones; what it lacks is searched for, with equal results.
+TABLE_SIDE = 1024
 #: Rows of a table of languages that is sent to every executor.
 MANY_LANGUAGES = 10_000
 _tables: dict[str, "Tables"] = {}
@@ -69,6 +69,7 @@ class Model:
         if rows:
             names, gram, n = zip(*rows)
             np.add.at(seen, (np.searchsorted(known, np.array(gram, np.int64)), np.array([at[x] for x in names])), np.array(n, np.int64))
+        self.frequency = seen.sum(axis=1)
         shorter_bits = np.full((1, max(1, len(self.languages))), 8.0)
         shorter_keys = np.zeros(1, np.int64)
         escape_of: list[tuple[np.ndarray, np.ndarray]] = []
@@ -118,13 +119,11 @@ def lookup(keys: np.ndarray, bits: np.ndarray, wanted: np.ndarray) -> np.ndarray
 
 
 class Tables:
-    """A model as dense tables over the pairs of bytes that occur in it, for scoring without searches."""
+    """A model as a dense table over its frequent pairs of bytes, for scoring almost without searches."""
 
     def __init__(self, model: Model):
         self.model = model
-        high, low = np.unique(model.keys[-1] >> 16), np.unique(model.keys[-1] & 0xFFFF)
-        if (len(high) + 1) * (len(low) + 1) > TABLE_CELLS:
-            high, low = high[:0], low[:0]
+        high, low = (self.frequent(pairs, model.frequency) for pairs in (model.keys[-1] >> 16, model.keys[-1] & 0xFFFF))
         self.rows, self.columns = np.full(1 << 16, len(high), np.int32), np.full(1 << 16, len(low), np.int32)
         self.rows[high], self.columns[low] = np.arange(len(high)), np.arange(len(low))
         self.width = len(low) + 1
@@ -136,6 +135,11 @@ class Tables:
             dense.reshape(len(high) + 1, self.width, -1)[a : a + len(some), : len(low)] = bits
         self.dense = dense
 
+    @staticmethod
+    def frequent(pairs: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+        count = np.bincount(pairs, frequency, 1 << 16)
+        return np.sort(np.argsort(-count, kind="stable")[: min(TABLE_SIDE, int((count > 0).sum()))])
+
     def score(self, gram: np.ndarray) -> np.ndarray:
         at = self.rows[gram >> np.uint32(16)] * np.int64(self.width) + self.columns[gram & np.uint32(0xFFFF)]
         bits = self.dense[at]
@@ -166,10 +170,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Every whole text gets its code length in bits under every language; the shortest wins, ties by name. `score` is the
     chance of the winner against the others at equal priors. A text that is null, has no letter, or a model without
-    languages gives `und` with score 0 and null bits.
+    languages gives `und` with score 0 and null bits. A column that has one of the new names gives way.
     """
-    kept = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    kept = others(docs, "lang_pred", "score", "bits_per_byte")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def judge(batches):
@@ -212,5 +216,6 @@ def held_out(key: str = "doc_id") -> Column:
 def keep_languages(docs: DataFrame, fold: Column | None = None, per_language: int = 1500, worst_bits: float = 8.0) -> DataFrame:
     """`docs` without the texts that are in no language: `und`, or coded worse than bytes by themselves."""
     model = fit(docs, F.lit(True) if fold is None else fold, per_language)
-    judged = identify(docs, model)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") < worst_bits)).select(*docs.columns)
+    rows, names = hidden(docs)
+    judged = identify(rows, model, names["text"])
+    return judged.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") < worst_bits)).select(*names.values()).toDF(*names)

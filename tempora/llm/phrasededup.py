@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tempora.llm.common import gram_hashes, mix, slices
+from tempora.llm.common import gram_hashes, mix, others, slices
 from tempora.llm.repeats import Kind, covered, union_ranges
 
 #: The words of a shard stand for themselves as characters; those between these two code points are not characters.
@@ -82,9 +82,9 @@ def removals(docs: DataFrame, width: int = 35, key: str = "doc_id", text: str =
     """`docs` without the text, with n_words, n_removed and kept_sha256 after every word inside a repeated window of `width` words went.
 
     Words are runs of bytes other than space and tab to carriage return; null texts have none. Windows are judged on the input and
-    never cross texts. What is left is hashed as words joined by one space.
+    never cross texts. What is left is hashed as words joined by one space. A column that has one of the new names gives way.
     """
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in others(docs, "n_words", "n_removed", "kept_sha256") if c != text]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in kept)
 
     def run(batches):

@@ -8,10 +8,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tempora.llm.common import slices
+from tempora.llm.common import others, slices
 
 #: Parts of texts whose result a worker remembers; the memo is emptied when full.
-MEMO_PARTS = 400_000
+MEMO_PARTS = 800_000
 #: A character that no piece covers costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 BLANK = "▁"
@@ -103,9 +103,12 @@ def split_marked(marked: str) -> list[str]:
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """`docs` with n_tokens and best_score of every whole text; null and empty texts have 0 tokens and score 0."""
-    kept = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """`docs` with n_tokens and best_score of every whole text; null and empty texts have 0 tokens and score 0.
+
+    A column that has one of the new names gives way.
+    """
+    kept = others(docs, "n_tokens", "best_score")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
 
     def count(batches):
         if path not in _counters:

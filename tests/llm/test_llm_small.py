@@ -34,7 +34,7 @@ def corpus():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).withColumns({"label": F.lit(1), "node": F.lit("n"), "start": F.lit(0)})
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).withColumns({c: F.lit(1) for c in ("label", "node", "start", "score", "n_removed", "N_bytes", "n_words", "n_tokens", "lang_pred", "group", "item", "size", "shard")})
 
 
 @pytest.fixture(scope="module")
@@ -405,6 +405,18 @@ def test_language(spark, docs, empty):
     nothing = langid.fit(empty, F.lit(True))
     assert {r.lang_pred for r in langid.identify(docs.select("doc_id", "text"), nothing).collect()} == {"und"}
     assert langid.keep_languages(empty).count() == 0
+    kept = langid.keep_languages(docs)
+    assert kept.columns == docs.columns and kept.select("score").distinct().collect()[0][0] == 1
+
+
+def test_stages_on_awkward_tables(spark, docs, empty):
+    import corpus_pipeline
+
+    for table in (docs, empty):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, table, "/root/testdata/sf0.001")
+            assert left.columns == table.columns and left.count() <= table.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, table, "/root/testdata/sf0.001").count() >= table.count()
 
 
 def test_language_code_lengths():
