@@ -44,13 +44,17 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("name", "children", "aside", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent")
+    __slots__ = ("name", "children", "aside", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent", "block")
 
     def __init__(self, name: str, parent: "Node | None", aside: bool):
         self.name, self.parent, self.aside = name, parent, aside
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.block = name in BLOCK
+
+
+Unit = list[Node | str]
 
 
 def parse(page: str) -> Node:
@@ -129,7 +133,7 @@ def measure(root: Node) -> list[Node]:
     """Fills characters, tags, link characters, link tags, density and density sum of every node; nodes in page order.
 
     A node's density is its characters without links per tag without links, at least one tag; its sum is that of
-    its children's densities, and its own text counts as one more child.
+    its children's densities, and its own text counts as one more child. A node with a block in it is one itself.
     """
     order, stack = [], [root]
     while stack:
@@ -150,31 +154,85 @@ def measure(root: Node) -> list[Node]:
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
             up.total += node.density
+            up.block = up.block or node.block
     return order
 
 
-def select(root: Node) -> Node | None:
-    """The subtree of the article.
+def units(node: Node) -> list[Unit]:
+    """What hangs under a node in page order, without what is beside the article: block elements, and lines of all between them."""
+    out: list[Unit] = []
+    line = False
+    for c in node.children:
+        if isinstance(c, str) or not c.aside:
+            block = isinstance(c, Node) and c.block
+            if block or not line:
+                out.append([])
+            out[-1].append(c)
+            line = not block
+    return out
+
+
+def weigh(unit: Unit) -> tuple[int, float]:
+    """(characters without links, those per tag) of a unit."""
+    if len(unit) == 1 and isinstance(unit[0], Node):
+        return unit[0].chars - unit[0].link_chars, unit[0].density
+    chars = tags = 0
+    for c in unit:
+        if isinstance(c, str):
+            chars += len("".join(c.split()))
+        else:
+            chars += c.chars - c.link_chars
+            tags += c.tags + 1 - c.link_tags
+    return chars, chars / max(1, tags)
+
+
+def dense_parts(unit: Unit, threshold: float) -> list[Unit]:
+    """The parts of a unit that are as dense as the threshold, in page order: itself, or the topmost ones in it."""
+    out, stack = [], [unit]
+    while stack:
+        part = stack.pop()
+        chars, density = weigh(part)
+        if chars and density >= threshold:
+            out.append(part)
+        elif chars and isinstance(part[0], Node) and part[0].block:
+            stack.extend(reversed(units(part[0])))
+    return out
+
+
+def holds(part: Node, best: Node, threshold: float) -> bool:
+    """Whether the densest node lies in `part`, or above it with nothing as dense as the threshold beside `part`."""
+    up: Node | None = best
+    while up is not None and up is not part:
+        up = up.parent
+    if up is part:
+        return True
+    up = part
+    while up is not best:
+        if up.parent is None or any(dense_parts(u, threshold) for u in units(up.parent) if up not in u):
+            return False
+        up = up.parent
+    return True
+
+
+def select(root: Node) -> list[Unit]:
+    """The parts of the page that are the article, in page order.
 
     The node with the largest density sum is where the text hangs. The threshold is the least density on the path from
-    there to the body. A node above takes its place while it gathers more text, from other children that are as dense as the threshold.
+    there to the body. A sole article or main element is the article if it `holds` that node. Otherwise a
+    node above takes its place while it gathers more text, from other children that are as dense as the threshold.
     """
     order = measure(root)
     if not root.chars:
-        return None
+        return []
     best = max((n for n in order if n.chars), key=lambda n: n.total)
+    path = [best]
+    while path[-1].parent is not None and path[-1].name not in ("body", "html"):
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
     for name in ("article", "main"):
         named = [n for n in order if n.name == name and n.chars - n.link_chars > 0]
-        if len(named) == 1:
-            up = best
-            while up is not None and up is not named[0]:
-                up = up.parent
-            return named[0] if up is None or up is named[0] else best
-    path, up = [], best
-    while up is not None and up.name not in ("body", "html"):
-        path.append(up)
-        up = up.parent
-    threshold = min((n.density for n in path), default=best.density)
+        if len(named) == 1 and holds(named[0], best, threshold):
+            return [[named[0]]]
     chosen = best
     while chosen.parent is not None and chosen.parent.name not in ("body", "html"):
         up = chosen.parent
@@ -182,11 +240,11 @@ def select(root: Node) -> Node | None:
         if not any(c.density >= threshold or c.name in HEADINGS for c in beside):
             break
         chosen = up
-    return chosen
+    return [[chosen]]
 
 
-def blocks(node: Node, clean_lists: bool = True) -> list[str]:
-    """Texts of the blocks under a node in page order, white space as one space, without what is beside the article."""
+def blocks(parts: list[Unit]) -> list[str]:
+    """Texts of the blocks in the parts in page order, white space as one space, without what is beside the article."""
     out, part = [], []
 
     def flush():
@@ -195,7 +253,7 @@ def blocks(node: Node, clean_lists: bool = True) -> list[str]:
         if text:
             out.append(text)
 
-    stack: list[Node | str | None] = [node]
+    stack: list[Node | str | None] = [c for u in reversed(parts) for c in (None, *reversed(u))]
     while stack:
         item = stack.pop()
         if item is None:
@@ -212,9 +270,7 @@ def blocks(node: Node, clean_lists: bool = True) -> list[str]:
 
 
 def main_text(page: str) -> str:
-    root = parse(page)
-    chosen = select(root)
-    return " ".join(blocks(chosen)) if chosen is not None else ""
+    return " ".join(blocks(select(parse(page))))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

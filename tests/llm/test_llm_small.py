@@ -326,6 +326,27 @@ def test_main_text(spark):
     assert mainpage.extract(pages.limit(0)).count() == 0
 
 
+def paragraphs(rng, n):
+    return [prose(rng, 40) for _ in range(n)]
+
+
+def as_html(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_a_sole_article_beside_denser_text_is_not_the_page():
+    some = paragraphs(random.Random(1), 10)
+    for teaser in ("<article><p>Buy it now.</p></article>", "<article>Buy it now.</article>", "<main><h2>Offer</h2><p>Buy it now.</p></main>"):
+        text = mainpage.main_text(f"<html><body>{teaser}<div>{as_html(some)}</div></body></html>")
+        assert " ".join(some) in text, teaser
+        assert " ".join(some) in mainpage.main_text(f"<html><body>{teaser}{as_html(some)}</body></html>"), teaser
+    page = "<html><body><div>Some site</div><%s><h1>T</h1>" + as_html(some) + "<p>Short.</p></%s><div>Imprint</div></body></html>"
+    for name in ("article", "main"):
+        assert mainpage.main_text(page % (name, name)) == " ".join(["T", *some, "Short."])
+    assert mainpage.main_text(page % ("div", "div")) == " ".join(["T", *some, "Short."])
+    assert mainpage.main_text("<body><div><article>Plain words of a note</article></div></body>") == "Plain words of a note"
+
+
 def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
