@@ -218,8 +218,10 @@ def select(root: Node) -> list[Unit]:
     """The parts of the page that are the article, in page order.
 
     The node with the largest density sum is where the text hangs. The threshold is the least density on the path from
-    there to the body. A sole article or main element is the article if it `holds` that node. Otherwise a
-    node above takes its place while it gathers more text, from other children that are as dense as the threshold.
+    there to the body. A sole article or main element is the article if it `holds` that node. Otherwise, at every level up to
+    the body, what stands beside the path and is as dense as the threshold is part of the article. Below the body a node is taken
+    whole if all on the path so far was and another child or a heading joins it; else headings before the last part
+    and text between two parts join them.
     """
     order = measure(root)
     if not root.chars:
@@ -233,14 +235,26 @@ def select(root: Node) -> list[Unit]:
         named = [n for n in order if n.name == name and n.chars - n.link_chars > 0]
         if len(named) == 1 and holds(named[0], best, threshold):
             return [[named[0]]]
-    chosen = best
-    while chosen.parent is not None and chosen.parent.name not in ("body", "html"):
-        up = chosen.parent
-        beside = [c for c in up.children if isinstance(c, Node) and not c.aside and c is not chosen and c.chars - c.link_chars > 0]
-        if not any(c.density >= threshold or c.name in HEADINGS for c in beside):
-            break
-        chosen = up
-    return [[chosen]]
+    kept: list[Unit] = [[best]]
+    for child, up in zip(path, path[1:]):
+        beside = units(up)
+        at = next(k for k, u in enumerate(beside) if child in u)
+        headings = [k for k, u in enumerate(beside) if isinstance(u[0], Node) and u[0].name in HEADINGS and weigh(u)[0]]
+        parts = [dense_parts(u, threshold) if k != at else kept if len(u) == 1 else [u] for k, u in enumerate(beside)]
+        joins = any(k != at and parts[k] == [u] for k, u in enumerate(beside)) or any(k != at for k in headings)
+        if joins and up is not path[-1] and kept == [[child]]:
+            kept = [[up]]
+            continue
+        last = max(k for k, p in enumerate(parts) if p)
+        for k in headings:
+            if k < last and k != at:
+                parts[k] = [beside[k]]
+        first = min(k for k, p in enumerate(parts) if p)
+        for k in range(first + 1, last):
+            if k != at and weigh(beside[k])[0]:
+                parts[k] = [beside[k]]
+        kept = [u for p in parts for u in p]
+    return kept
 
 
 def blocks(parts: list[Unit]) -> list[str]:

@@ -347,6 +347,19 @@ def test_a_sole_article_beside_denser_text_is_not_the_page():
     assert mainpage.main_text("<body><div><article>Plain words of a note</article></div></body>") == "Plain words of a note"
 
 
+def test_article_spread_over_several_children_of_body():
+    rng = random.Random(2)
+    one, two, three = paragraphs(rng, 5), paragraphs(rng, 5), paragraphs(rng, 4)
+    links = "<div>" + "".join(f"<a href=/{k}>Link {k}</a> " for k in range(8)) + "</div>"
+    whole = " ".join(["T", *one, "Short.", *two])
+    body = f"<body>{links}<h1>T</h1><div>{as_html(one)}</div>{links}<p>Short.</p><div>{as_html(two)}</div><h3>More</h3>{links}<div>Imprint</div></body>"
+    assert mainpage.main_text(body) == mainpage.main_text(f"<html><head><title>x</title></head>{body}</html>") == whole
+    deep = f"<body><div><div><div>{as_html(one)}</div></div></div><section>{links}<div>{as_html(two)}</div></section><div>{as_html(three)}</div></body>"
+    assert mainpage.main_text(deep).endswith(" ".join([*two, *three])) and mainpage.main_text(deep).startswith(" ".join(one))
+    loose = f"<body><div>{as_html(one)}</div>{two[0]} <b>{two[1]}</b> {two[2]}<div>{as_html(three)}</div></body>"
+    assert mainpage.main_text(loose) == " ".join([*one, *two[:3], *three])
+
+
 def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
