@@ -133,31 +133,52 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(free, np.int64)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """No packing needs fewer bins: the largest of two families of dual feasible functions over the items."""
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+def dual_function(count: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """(value by length, value of a full bin): of two families of dual feasible functions the one that asks for most bins.
+
+    `count` has the number of items of every length from 0 to `capacity`. No bin holds more value than a full one, whatever is in it.
+    """
+    count = count.astype(np.int64)
     sizes = np.arange(capacity + 1, dtype=np.int64)
-    best = -(-int(count @ sizes) // capacity)
     items, mass = np.cumsum(count), np.cumsum(count * sizes)
+    best, function = -(-int(mass[-1]) // capacity), (sizes, capacity)
     low = np.arange(1, capacity // 2 + 1)  # items under `low` count nothing, those over capacity - low a whole bin
-    inner = mass[capacity - low] - mass[low - 1]
-    best = max(best, int((items[-1] - items[capacity - low] + -(-inner // capacity)).max()))
+    if len(low):
+        bins = items[-1] - items[capacity - low] + -(-(mass[capacity - low] - mass[low - 1]) // capacity)
+        k = int(bins.argmax())
+        if bins[k] > best:
+            value = np.where(sizes < low[k], 0, np.where(sizes > capacity - low[k], capacity, sizes))
+            best, function = int(bins[k]), (value, capacity)
     for k in range(1, 33):  # sizes rounded down to multiples of capacity / k, exact multiples of capacity / (k + 1) kept
         scaled = (k + 1) * sizes
         value = np.where(scaled % capacity == 0, sizes * k, scaled // capacity * capacity)
-        best = max(best, -(-int(count @ value) // (capacity * k)))
-    return best
+        bins = -(-int(count @ value) // (capacity * k))
+        if bins > best:
+            best, function = bins, (value, capacity * k)
+    return function
 
 
-def cell_packer(length: str, capacity: int, level: int, slack: int, last: bool):
-    """The packing of one cell as a function of its rows."""
+def bins_asked(count: np.ndarray, function: tuple[np.ndarray, int]) -> int:
+    value, whole = function
+    return -(-int(count.astype(np.int64) @ value) // whole)
+
+
+def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    """No packing needs fewer bins."""
+    count = np.bincount(lengths, minlength=capacity + 1)
+    return bins_asked(count, dual_function(count, capacity))
+
+
+def cell_packer(length: str, capacity: int, level: int, slack: int, last: bool, function: tuple[np.ndarray, int]):
+    """The packing of one cell as a function of its rows; all bins stay where they are as few as `function` asks for."""
 
     def fill(t: pa.Table) -> pa.Table:
         cell = t.column("__cell")[0].as_py()
         sizes = t.column(length).to_numpy().astype(np.int64)
         bins, offset, free = best_fit_decreasing(sizes, capacity)
         certified = len(free) == lower_bound(sizes, capacity)
-        full = np.ones(len(free), bool) if last else free <= slack
+        done = last or len(free) == bins_asked(np.bincount(sizes, minlength=capacity + 1), function)
+        full = np.ones(len(free), bool) if done else free <= slack
         gaps = int((~full).sum())
         if gaps:  # as many full bins go along, those of the most items, so that small ones are there to fill gaps
             items = np.where(full, np.bincount(bins, minlength=len(free)), -1)
@@ -170,28 +191,43 @@ def cell_packer(length: str, capacity: int, level: int, slack: int, last: bool):
     return fill
 
 
+def length_counts(items: DataFrame, length: str, capacity: int) -> np.ndarray:
+    """The number of items of every length from 0 to `capacity`."""
+    out = np.zeros(capacity + 1, np.int64)
+    for size, n in items.groupBy(length).agg(F.count(F.lit(1))).collect():
+        out[size] = n
+    return out
+
+
 def pack(items: DataFrame, capacity: int = 4096, length: str = "length", cell_items: int = 100_000, slack: int = 8, fan_in: int = 8) -> DataFrame:
     """`items` with sequence_id, offset and certified: all of them in few sequences of at most `capacity`.
 
-    Items are dealt by a hash into cells of about `cell_items`. Each cell packs best-fit decreasing and compares its
-    bins with a lower bound. Bins with at most `slack` free stay. The items of the others, and of as many full bins of small
-    items, move to cells that join `fan_in` of the old ones and are packed again, until one cell is left.
+    Items are dealt by a hash into cells of about `cell_items`, and each cell packs best-fit decreasing. The dual feasible
+    function that gives the lower bound of all items of the round is the certificate: a cell with as few bins as it asks for keeps
+    them all, so that such cells together are over that bound by less than a bin each. (A cell's own bound can be higher where the cell
+    drew more large items; then small ones of other cells still fill its gaps.) In the others, bins with at most `slack` free stay.
+    The items of the rest, and of as many full bins of small items, are dealt again into cells of up to about
+    `fan_in` times as many items, their number taken from the count of those left. Rounds end with one cell, or where less than one
+    cell of `fan_in` was saved; all bins of the last round stay.
     `certified`: the cell that packed the row reached its lower bound. An empty input gives no rows. Lengths must be 1 to `capacity`.
     """
     kept, level = [], 0
     names = items.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    while True:
-        cells = max(1, -(-items.count() // cell_items)) if level == 0 else max(1, -(-cells // fan_in))
-        last = cells == 1
-
+    count = length_counts(items, length, capacity)
+    before = None
+    while before is None or count.any():
+        cells = max(1, -(-int(count.sum()) // (cell_items if before is None else cell_items * fan_in)))
+        last = cells == 1 or before is not None and fan_in * cells > (fan_in - 1) * before
+        before = cells
         dealt = items.withColumn("__cell", F.pmod(F.xxhash64(*names, F.lit(level)), F.lit(cells)))
-        packed = dealt.groupBy("__cell").applyInArrow(cell_packer(length, capacity, level, slack, last), fields + ", sequence_id long, offset long, certified boolean, __stays boolean")
+        packed = dealt.groupBy("__cell").applyInArrow(cell_packer(length, capacity, level, slack, last, dual_function(count, capacity)), fields + ", sequence_id long, offset long, certified boolean, __stays boolean")
         packed = stored(packed, "packed")
         kept.append(packed.where("__stays").drop("__stays"))
         if last:
             break
         items, level = packed.where("not __stays").select(*names), level + 1
+        count = length_counts(items, length, capacity)
     result = kept[0]
     for more in kept[1:]:
         result = result.unionByName(more)

@@ -403,6 +403,25 @@ def test_packing_rounds_and_bounds(spark):
         assert packing.lower_bound(some, 20) <= fewest_bins(tuple(some), 20) <= len(bins)
 
 
+def test_cells_at_their_bound_are_done_and_no_cell_grows(spark, monkeypatch):
+    rng = random.Random(7)
+    seen, packer = [], packing.cell_packer
+
+    def watched(length, capacity, level, *more):
+        seen.append(level)
+        return packer(length, capacity, level, *more)
+
+    monkeypatch.setattr(packing, "cell_packer", watched)
+    large = spark.createDataFrame([(i, rng.randrange(51, 90)) for i in range(3000)], "id long, length long")
+    rows = packing.pack(large, capacity=100, cell_items=100, fan_in=4).collect()
+    assert seen == [0] and len(rows) == len({r.sequence_id for r in rows}) == 3000 and all(r.certified for r in rows)
+    # a bound that no cell reaches, and still none takes in many more items than it should
+    monkeypatch.setattr(packing, "dual_function", lambda count, capacity: (np.zeros(capacity + 1, np.int64), 1))
+    rows = packing.pack(large, capacity=100, cell_items=100, fan_in=4).collect()
+    cells = Counter(r.sequence_id >> 28 for r in rows)
+    assert len(rows) == len({r.id for r in rows}) == 3000 and max(cells.values()) < 600
+
+
 def fewest_bins(sizes, capacity):
     best = len(sizes)
 
