@@ -1,7 +1,9 @@
-"""Benchmark decontamination: rare word n-grams seed candidate passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: pairs of words that no copy can lack seed candidate passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -75,15 +77,19 @@ def gram_frequencies(texts: DataFrame, bitmap: np.ndarray, n: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("texts"))
 
 
-def rare_seeds(found: DataFrame, frequencies: DataFrame, rare: int, span: int) -> DataFrame:
-    """The grams of items that seed: those in at most `rare` texts, and of every `span` neighbouring ones the rarest.
+def certain_seeds(found: DataFrame, frequencies: DataFrame, threshold: float, hits: int) -> DataFrame:
+    """(item, gram, places, hits): word pairs of items that seed, at how many places of the item, and how many places a copy must hit.
 
-    So a common phrase does not call every text, and an item that fills a third of all texts still has seeds. Grams in no
-    text are left out.
+    An alignment of score s has at most as many runs of matches as mismatches and gaps, and one more, so at least s - 1 pairs of
+    neighbouring words are whole in it. A copy scores `threshold` a word or more: of an item's pairs it can lack only a fixed
+    number, and all but that number less `hits` are enough seeds for any copy to hit `hits` of them. The rarest are taken;
+    which these are only decides how many passages are looked at.
     """
-    known = found.join(frequencies, "gram")
-    least = Window.partitionBy("item", F.floor(F.col("place") / span)).orderBy("texts", "place")
-    return known.withColumn("__rank", F.row_number().over(least)).where((F.col("texts") <= rare) | (F.col("__rank") == 1)).select("item", "gram", "words").distinct()
+    need = F.greatest(F.lit(1), F.ceil(F.col("words") * F.lit(threshold) - F.lit(1e-9)).cast("long") - 1)
+    rarest = Window.partitionBy("item").orderBy(F.coalesce("texts", F.lit(0)), "place")
+    ranked = found.join(frequencies, "gram", "left").withColumn("__rank", F.row_number().over(rarest))
+    wanted = ranked.withColumn("hits", F.least(need, F.lit(hits))).where(F.col("__rank") <= F.col("words") - 1 - need + F.col("hits"))
+    return wanted.where("texts is not null").groupBy("item", "gram", "hits").agg(F.count(F.lit(1)).alias("places"))
 
 
 def passages(texts: DataFrame, bitmap: np.ndarray, reach: int, n: int) -> DataFrame:
@@ -172,20 +178,22 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select("__h", "__h2", "start", "passage", "item", "text").mapInArrow(run, fields)
 
 
-def contaminated_texts(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = 3, rare: int = 1000, span: int = 4, text: str = "text", item_text: str = "text") -> DataFrame:
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = 3, hits: int = 4, text: str = "text", item_text: str = "text") -> DataFrame:
     """(__h, __h2, item, score, first_word, last_word): texts of `docs`, by two hashes, that hold a copy of a benchmark item, by a hash.
 
     Words are lower case without ASCII punctuation. A passage is a copy if its best local alignment with an item (match 1,
     mismatch and gap -1) scores `threshold` per item word or more. Items of fewer than `n` words cannot be told from chance and match nothing.
     """
     items = benchmark.select(F.xxhash64(item_text).alias("item"), F.col(item_text).alias("text")).where(F.col("text").isNotNull()).distinct()
-    found = stored(item_grams(items, n), "grams")
-    reach = found.agg(F.max("words")).first()[0] or 0
+    found = stored(item_grams(items, 2).where(F.col("words") >= n), "grams")
+    # a copy has at most (2 - threshold) words for each of the item's, the rest being gaps
+    reach = math.ceil((found.agg(F.max("words")).first()[0] or 0) * max(1.0, 2 - threshold))
     texts = docs.select(F.xxhash64(text).alias("__h"), F.xxhash64(F.lit(2), text).alias("__h2"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    seeds = stored(rare_seeds(found, gram_frequencies(texts, gram_filter(found), n), rare, span), "seeds")
-    around = stored(passages(texts, gram_filter(seeds), int(reach), n), "passages")
+    seeds = stored(certain_seeds(found, gram_frequencies(texts, gram_filter(found), 2), threshold, hits), "seeds")
+    around = stored(passages(texts, gram_filter(seeds), reach, 2), "passages")
     places = ["__h", "__h2", "start"]
-    pairs = around.select(*places, F.explode(F.array_distinct("seeds")).alias("gram")).join(seeds, "gram").select(*places, "item").distinct()
+    pairs = around.select(*places, F.explode(F.array_distinct("seeds")).alias("gram")).join(seeds, "gram")
+    pairs = pairs.groupBy(*places, "item", "hits").agg(F.sum("places").alias("__hit")).where(F.col("__hit") >= F.col("hits")).select(*places, "item")
     pairs = pairs.join(around.drop("seeds").dropDuplicates(places), places).join(items, "item")
     scored = score_pairs(pairs).where(F.col("score") >= threshold)
     best = F.max(F.struct("score", (-F.col("first_word")).alias("f"), "last_word")).alias("b")

@@ -214,6 +214,18 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_an_edited_copy_is_found_however_many_exact_ones_there_are(spark):
+    item = [f"w{k}" for k in range(18)]
+    edited, loose = list(item), []
+    edited[4], edited[12] = "other", "changed"
+    for k, w in enumerate(item):  # a word put in after every second one: no three words of the item stand together
+        loose += [w] + (["put"] if k % 2 and k < 17 else [])
+    rows = [(k, f"copy {k} has " + " ".join(item) + " in it") for k in range(1500)] + [(1500, "one has " + " ".join(edited)), (1501, " ".join(loose)), (1502, " ".join(item[:8]))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == set(range(1502)) and round(got[1500], 2) == 0.78 and got[1501] == 10 / 18
+
+
 def test_alignment_against_the_plain_recurrence():
     rng = np.random.default_rng(4)
     for _ in range(40):
