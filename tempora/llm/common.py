@@ -55,6 +55,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Keys that reach their rows by broadcast in `joined_by_frequency`.
+FREQUENT = 4096
+
+
+def joined_by_frequency(rows: DataFrame, known: DataFrame, key: str, n: str) -> DataFrame:
+    """`rows` joined with the row of `known` that each key has, where `n` is how many of the rows have it; keys must not be null.
+
+    The most frequent keys are joined by broadcast, the others by shuffle: any of those has a smaller share of the rows
+    than 1 / FREQUENT, so no task holds a hot key. Keys and values must be small.
+    """
+    columns = [c for c in known.columns if c != n]
+    frequent = F.broadcast(stored(known.orderBy(F.desc(n), key).limit(FREQUENT).select(*columns), "frequent"))
+    rest = rows.join(frequent.select(key), key, "left_anti").join(known.select(*columns), key)
+    return rows.join(frequent, key).unionByName(rest)
+
+
 def utf8_bytes(column):
     """Bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import decontaminate, fingerprint, jaccardjoin, langid, mainpage, merkle, packing, phrasededup, sharding, suffixdedup, tokencount
+from tempora.llm import bytebpe, covertree, decontaminate, fingerprint, jaccardjoin, langid, mainpage, merkle, packing, phrasededup, sharding, suffixdedup, tokencount
 from tempora.llm.common import table
 
 
@@ -53,11 +53,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bytebpe.document_codes(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_fingerprints, op4_token_counts, op5_suffix_dedup, op6_main_text, op7_packing, op8_phrase_dedup, op9_jaccard_join, op10_language, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_fingerprints, op4_token_counts, op5_suffix_dedup, op6_main_text, op7_packing, op8_phrase_dedup, op9_jaccard_join, op10_language, op11_vector_codes, op12_byte_bpe, op13_merkle_manifest)}
 
 #: Words as the operators read them.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -80,6 +89,38 @@ links AS (
   GROUP BY a.doc_id, b.doc_id, s.n, t.n HAVING 5 * count(*) >= 4 * (s.n + t.n - count(*))),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM docs UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
 SELECT d.doc_id, (SELECT min(y) FROM reach r WHERE r.x = d.doc_id) AS class_id, (SELECT count(*) FROM links l WHERE l.x = d.doc_id) AS n_links FROM docs d"""
+
+
+def _nearest(books: str) -> str:
+    """Every part's least (distance * 64 + entry), so that ties go to the lower entry."""
+    return f"""SELECT p.vec_id, p.part, min(64 * list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT + b.entry) AS m
+  FROM parts p JOIN {books} b ON b.part = p.part GROUP BY p.vec_id, p.part"""
+
+
+def _moved(books: str, nearest: str) -> str:
+    """Codebooks of the floors of means; unused entries stay."""
+    return f"""SELECT b.part, b.entry, coalesce(any_value(n.c), any_value(b.c)) AS c FROM {books} b LEFT JOIN (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+      SELECT p.part, a.m % 64 AS entry, i, sum(p.x[i])::BIGINT AS s, count(*) AS n
+      FROM {nearest} a JOIN parts p ON p.vec_id = a.vec_id AND p.part = a.part, unnest(range(1, len(p.x) + 1)) AS t(i) GROUP BY ALL) GROUP BY part, entry) n
+    ON n.part = b.part AND n.entry = b.entry GROUP BY b.part, b.entry"""
+
+
+CODES = f"""
+WITH vectors AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS x FROM (SELECT *, unnest(range(16)) AS part FROM vectors)),
+least AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM vectors ORDER BY vec_id LIMIT 64),
+books0 AS MATERIALIZED (SELECT part, entry, x AS c FROM parts JOIN least USING (vec_id)),
+near0 AS MATERIALIZED ({_nearest("books0")}),
+books1 AS MATERIALIZED ({_moved("books0", "near0")}),
+near1 AS MATERIALIZED ({_nearest("books1")}),
+books2 AS MATERIALIZED ({_moved("books1", "near1")}),
+near2 AS MATERIALIZED ({_nearest("books2")}),
+codes AS (SELECT vec_id, string_agg(format('{{:02x}}', m % 64), '' ORDER BY part) AS code, sum(m // 64)::BIGINT AS error FROM near2 GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS d FROM books2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT d FROM digest) AS codebooks_sha256 FROM codes JOIN vectors USING (vec_id)"""
 MANIFEST = r"""
 WITH RECURSIVE
 bytes AS (SELECT *, [4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS b FROM documents),
@@ -118,4 +159,4 @@ LEFT JOIN (SELECT doc_id, string_agg(l || r, '' ORDER BY i) AS s FROM paths GROU
 JOIN (SELECT doc_id, max_by(d, i) AS d FROM folds GROUP BY doc_id) f ON f.doc_id = a.doc_id"""
 
 #: The others hash, train, align, tokenize or balance, or are too slow in SQL on whole tables (op5): tests hold them against brute force.
-ORACLES = {"op8_phrase_dedup": REMOVED_WORDS, "op9_jaccard_join": SIMILAR, "op13_merkle_manifest": MANIFEST}
+ORACLES = {"op8_phrase_dedup": REMOVED_WORDS, "op9_jaccard_join": SIMILAR, "op11_vector_codes": CODES, "op13_merkle_manifest": MANIFEST}
