@@ -9,18 +9,19 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import joined_by_frequency, others, result_batch, slices, stored
+from tempora.llm.common import BYTE_VALUES, others, result_batch, slices, span_hashes, stored
+from tempora.llm.common import flat as flat_text
 
 #: Bytes of text of a block, inside which a word travels once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 23
 #: Words or tokens that one step inside a block works on.
 STEP = 1 << 17
-#: Longer words are joined by shuffle whatever their number: a block holds few of them.
-FREQUENT_BYTES = 64
+BUNDLE = pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary())])
 _ranks: dict[str, dict[bytes, int]] = {}
 _splitters: dict[str, "Splitter"] = {}
 _tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -59,10 +60,11 @@ class Splitter:
             ours[name] = set(regex.findall(name, every))
         odd = set().union(*(theirs[n] ^ ours[n] for n in self.CLASSES))
         self.stand_in = {ord(c): next((s for n, s in self.CLASSES.items() if c in theirs[n]), self.OTHER) for c in odd}
-        self.odd = regex.compile("[" + "".join(map(regex.escape, sorted(odd))) + "]") if odd else None
+        self.odd = odd
+        self.high = regex.compile(f"[{min(odd)}-\U0010ffff]") if odd else regex.compile(r"(?!)")
 
     def words(self, text: str) -> Iterator[str]:
-        if text.isascii() or self.odd is None or not self.odd.search(text):
+        if text.isascii() or not self.high.search(text) or self.odd.isdisjoint(text):
             return self.find.findall(text) if len(text) < STEP else (m.group() for m in self.find.finditer(text))
         return (text[m.start() : m.end()] for m in self.find.finditer(text.translate(self.stand_in)))
 
@@ -82,17 +84,41 @@ def word_ids(words: list[str], path: str) -> list[bytes]:
     return [np.array(whole.encode_ordinary(w), "<u4").tobytes() for w in words]
 
 
-def _gathered(data: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """data[offsets[i]:offsets[i + 1]] of every i in `which`, one after the other."""
-    size = offsets[which + 1] - offsets[which]
+def _spans(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """data[low:high] of every pair, one after the other."""
+    size = high - low
     ends = np.cumsum(size)
-    return data[np.repeat(offsets[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+    return data[np.repeat(low - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _gathered(data: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
+    return _spans(data, offsets[which], offsets[which + 1])
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 to 2^32 as compressed planes of their bytes, as many as the greatest needs."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    used = max((k + 1 for k in range(4) if planes[k].any()), default=1)
+    return bytes([used]) + zstandard.compress(np.ascontiguousarray(planes[:used]).tobytes(), 1)
 
 
-def spelled(docs: DataFrame, pattern: str, key: str, text: str) -> DataFrame:
-    """(block, keys, sizes, words, codes): blocks of documents as their distinct words and, word by word, places in that list.
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u4").ravel()
 
-    `sizes` has the number of words of each document of the block, `codes` 32-bit numbers, or of 16 bits where those do.
+
+def _arrow_bytes(values: list[bytes]) -> pa.Array:
+    return pa.array(values, pa.binary())
+
+
+def spelled(docs: DataFrame, pattern: str, key: str, text: str, buckets: int) -> DataFrame:
+    """(block, keys, sizes, codes, dealt, bundles): blocks of documents as their distinct words and, word by word, places in that list.
+
+    `sizes` has the number of words of each document of the block and `codes` the place of every word in a list by descending
+    frequency. `dealt` says which of the `buckets` each word of the list belongs to, by a hash, and `bundles` has for each
+    bucket its words in the order of the list. Numbers are packed.
     """
 
     def spell(batches):
@@ -107,54 +133,81 @@ def spelled(docs: DataFrame, pattern: str, key: str, text: str) -> DataFrame:
                     n += len(some)
                 sizes.append(n)
             flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-            flat = flat.astype("<u2" if len(place) <= 1 << 16 else "<u4")
+            order = np.argsort(-np.bincount(flat, minlength=len(place)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            listed = pa.array(list(place), pa.large_string()).take(pa.array(order))
+            data, offsets = flat_text(listed)
+            hashed = span_hashes(BYTE_VALUES[data], offsets[:-1], offsets[1:])
+            dealt = (hashed % np.uint64(buckets)).astype(np.int64)
+            by_bucket = np.argsort(dealt, kind="stable")
+            edges = np.flatnonzero(np.diff(dealt[by_bucket], prepend=-1, append=-1)) if len(order) else np.zeros(1, np.int64)
+            bundles = []
+            for a, b in zip(edges, edges[1:]):
+                some = by_bucket[a:b]
+                words = _gathered(data, offsets, some)
+                bundles.append({"bucket": int(dealt[some[0]]), "words": zstandard.compress(words.tobytes(), 1), "lengths": pack(offsets[some + 1] - offsets[some])})
             keys = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(key))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), keys, pa.array([sizes], pa.list_(pa.int64())), pa.array([list(place)], pa.list_(pa.string())), pa.array([flat.tobytes()], pa.binary())],
-                names=["block", "keys", "sizes", "words", "codes"],
-            )
+            packed = [_arrow_bytes([pack(x)]) for x in (np.array(sizes), rank[flat], dealt)]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), keys, *packed, pa.array([bundles], pa.list_(BUNDLE))], names=["block", "keys", "sizes", "codes", "dealt", "bundles"])
             number += 1
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(spell, f"block long, keys array<{kind}>, sizes array<bigint>, words array<string>, codes binary")
+    fields = "bundles array<struct<bucket: int, words: binary, lengths: binary>>"
+    return docs.select(key, text).mapInArrow(spell, f"block long, keys array<{kind}>, sizes binary, codes binary, dealt binary, {fields}")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) of every row: token ids of the whole text as little-endian unsigned 32-bit integers; a null text is empty.
 
-    Texts become words and their positions, block by block. The distinct words of all blocks are brought together by a shuffle,
-    encoded once each, and joined back; a block puts its ids together by position. A block names a word once however
-    often it stands there, and the most frequent words are joined by broadcast, so no key of a shuffle is hot. Rows with
-    equal keys are separate documents. No special tokens are recognised.
+    Texts become words and their positions, block by block. The distinct words of all blocks are brought together by a shuffle on
+    buckets of their hashes; in a bucket each is encoded once. Ids go back to the blocks, which put them together by
+    position. A block names a word once however often it stands there, so the commonest word adds one entry a block
+    to its bucket and no key is hot. Rows with equal keys are separate documents. No special tokens are recognised.
     """
     kind = docs.schema[key].dataType.simpleString()
-    blocks = stored(spelled(docs, pattern, key, text), "spelled")
-    places = blocks.select("block", F.posexplode("words").alias("i", "word"))
+    buckets = max(256, min(1 << 16, 4 * docs.rdd.getNumPartitions()))
+    blocks = stored(spelled(docs, pattern, key, text, buckets), "spelled")
+    bundles = blocks.select("block", F.explode("bundles").alias("b")).select("block", "b.*")
 
     def each_once(batches):
+        bucket, known = None, {}
         for batch in batches:
-            yield result_batch(batch, ["word", "n"], ids=pa.array(word_ids(batch.column("word").to_pylist(), path), pa.binary()))
-
-    known = stored(places.groupBy("word").agg(F.count(F.lit(1)).alias("n")).mapInArrow(each_once, "word string, n long, ids binary"), "words")
-    short = F.octet_length("word") <= FREQUENT_BYTES
-    found = joined_by_frequency(places.where(short), known.where(short), "word", "n")
-    found = found.unionByName(places.where(~short).join(known.where(~short).drop("n"), "word"))
-    ids = found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).ids.alias("ids"))
+            lengths, ids = [], []
+            for row in batch.select(["bucket", "words", "lengths"]).to_pylist():
+                if row["bucket"] != bucket:  # rows are sorted by bucket
+                    bucket, known = row["bucket"], {}
+                data, ends = zstandard.decompress(row["words"]), np.cumsum(unpack(row["lengths"]), dtype=np.int64).tolist()
+                words = [data[a:b] for a, b in zip([0, *ends], ends)]
+                new = [w for w in words if w not in known]
+                known.update(zip(new, word_ids([w.decode() for w in new], path)))
+                found = [known[w] for w in words]
+                lengths.append(pack(np.array([len(x) // 4 for x in found])))
+                ids.append(pack(np.frombuffer(b"".join(found), "<u4")))
+            yield result_batch(batch, ["block", "bucket"], lengths=_arrow_bytes(lengths), ids=_arrow_bytes(ids))
+
+    found = bundles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each_once, "block long, bucket int, lengths binary, ids binary")
+    found = found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "lengths", "ids"))).alias("found"))
 
     def assemble(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                offsets = np.zeros(len(row["ids"] or []) + 1, np.int64)
-                np.cumsum([len(x) // 4 for x in row["ids"] or []], out=offsets[1:])
-                data = np.frombuffer(b"".join(row["ids"] or []), "<u4")
-                codes = np.frombuffer(row["codes"], "<u2" if len(offsets) <= (1 << 16) + 1 else "<u4")
-                at, out = 0, []
-                for n in row["sizes"]:
-                    out.append(b"".join(_gathered(data, offsets, codes[k : min(k + STEP, at + n)].astype(np.int64)).tobytes() for k in range(at, at + n, STEP)))
+            for k, row in enumerate(batch.drop_columns(["keys"]).to_pylist()):
+                size = [unpack(x["lengths"]).astype(np.int64) for x in row["found"] or []]
+                data = np.concatenate([unpack(x["ids"]) for x in row["found"]]) if size else np.zeros(0, np.uint32)
+                size = np.concatenate(size) if size else np.zeros(0, np.int64)
+                ends = np.cumsum(size)
+                # what came back is in order of buckets; a word's place among them is that of its bucket and its turn there
+                low, high = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+                turn = np.argsort(unpack(row["dealt"]), kind="stable")
+                low[turn], high[turn] = ends - size, ends
+                codes, at, out = unpack(row["codes"]), 0, []
+                for n in unpack(row["sizes"]).tolist():
+                    steps = (codes[k : min(k + STEP, at + n)].astype(np.int64) for k in range(at, at + n, STEP))
+                    out.append(b"".join(_spans(data, low[x], high[x]).tobytes() for x in steps))
                     at += n
-                yield pa.RecordBatch.from_arrays([pa.array(row["keys"], batch.schema.field("keys").type.value_type), pa.array(out, pa.binary())], names=[key, "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("keys").slice(k, 1).flatten(), _arrow_bytes(out)], names=[key, "ids"])
 
-    joined = blocks.select("block", "keys", "sizes", "codes").join(ids, "block", "left")
+    joined = blocks.drop("bundles").join(found, "block", "left")
     return joined.mapInArrow(assemble, f"`{key}` {kind}, ids binary")
 
 

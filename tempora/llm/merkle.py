@@ -94,10 +94,10 @@ class Forest:
         for level in range(self.stride - 1, -1, -1):
             held = self.fanout**level
             digests = _risen(F.transform("items", lambda x: x.digest), F.col("nodes"), self.fanout, level)
-            rows = rows.select("g", "place", "nodes", "path", *carried, digests.alias("run"), F.posexplode(_runs(F.col("items"), held)).alias("i", "items"))
+            rows = rows.select("g", "place", "nodes", "path", *carried, digests.alias("run"), F.posexplode(_runs(F.col("items"), held)).alias("i", "own"))
             step = F.struct(F.concat_ws("", F.slice("run", F.lit(1), F.col("i"))).alias("left"), F.concat_ws("", F.slice("run", F.col("i") + 2, F.lit(self.fanout))).alias("right"))
             rows = rows.withColumn("path", F.when(F.col("nodes") > held, F.concat(F.array(step), "path")).otherwise(F.col("path")))
-            rows = rows.withColumn("place", F.col("place") + F.col("i") * held).drop("run", "i")
+            rows = rows.withColumn("place", F.col("place") + F.col("i") * held).drop("run", "i").withColumnRenamed("own", "items")
         return rows.select("g", "place", F.col("items")[0].alias("item"), "path", *carried)
 
 
