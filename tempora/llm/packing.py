@@ -2,77 +2,123 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import slices, stored
+from tempora.llm.common import SPACE, flat, slices, stored, word_spans
 
 #: Words of a memo inside a worker; it is emptied when full.
 MEMO_WORDS = 1_200_000
-_ENDINGS = set(".,;:!?")
+#: Bytes of text whose words are looked up together.
+STEP_BYTES = 1 << 22
+#: Marks that always stand apart from letters and that no special token and no contraction has.
+MARKS = ".,;:!?#$%&*+=~^@()[]{}/\\\"-_`"
 _coders: dict[str, "WordCoder"] = {}
 
 
 class WordCoder:
-    """Token ids of a text by a word-based tokenizer file, as little-endian 32-bit bytes, with a memo of words.
+    """Token ids of texts by a word-based BPE tokenizer file, with a memo of words.
 
-    White space separates tokens in these tokenizers and is dropped, so the ids of a text are those of
-    its blank-separated parts in turn. A part of plain letters is one unit that ends with an end-of-word
-    token, so many are encoded in one call; any other part is encoded alone.
+    White space separates tokens in these tokenizers and is dropped, so the ids of a text are those of its
+    parts between white space in turn. A part is looked up once per step, however often it stands there. One of plain letters
+    between marks is three units of the model: marks, letters and marks; any other goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.marks = {c: self.alone(c) for c in _ENDINGS}
-        self.memo: dict[str, bytes] = {"": b""}
+        #: The model reads bytes as letters of its own; those of ASCII letters are the same.
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = str.maketrans({c: "".join(x for x, _ in spell(c)) for c in map(chr, range(0x80, 0x100)) if c.isalpha()})
+        self.marks: dict[str, bytes] = {"": b""}
+        self.memo: dict[str, bytes] = {}
 
     def alone(self, part: str) -> bytes:
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, parts: set[str]) -> None:
+    def around(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > MEMO_WORDS:
+                self.marks = {"": b""}
+            self.marks[marks] = self.alone(marks)
+        return self.marks[marks]
+
+    def learn(self, parts: list[str]) -> None:
         if len(self.memo) + len(parts) > MEMO_WORDS:
-            self.memo = {"": b""}
-        memo, cores = self.memo, {}
+            self.memo = {}
+        memo, unit = self.memo, self.tokenizer.model.tokenize
         for part in parts:
-            core, mark = (part[:-1], part[-1]) if part[-1] in _ENDINGS else (part, "")
-            if core.isalpha() and max(core) < "Ā":
-                cores.setdefault(core.lower(), []).append((part, mark))
+            inner = part.lstrip(MARKS)
+            core = inner.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or max(core) < "Ā"):
+                low = core.lower()
+                ids = memo.get(low)
+                if ids is None:
+                    found = [t.id for t in unit(low if low.isascii() else low.translate(self.letters))]
+                    ids = memo[low] = struct.pack(f"<{len(found)}I", *found)
+                if len(core) < len(part):
+                    ids = self.around(part[: len(part) - len(inner)]) + ids + self.around(inner[len(core) :])
+                memo[part] = ids
             else:
                 memo[part] = self.alone(part)
-        words = [w for w in cores if w not in memo]
-        for k in range(0, len(words), 256):
-            some = words[k : k + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) == len(some):
-                memo.update(zip(some, (ids[a:b].tobytes() for a, b in zip([0, *ends], ends))))
-            else:
-                memo.update((w, self.alone(w)) for w in some)
-        for core, forms in cores.items():
-            for part, mark in forms:
-                memo[part] = memo[core] + (self.marks[mark] if mark else b"")
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.memo
-        present = set().union(*split)
-        new = {part for part in present if part not in known}
+
+    def known(self, parts: list[str]) -> list[bytes]:
+        found = list(map(self.memo.get, parts))
+        new = [k for k, ids in enumerate(found) if ids is None]
         if new:
-            self.learn(present - {""} if len(known) + len(new) > MEMO_WORDS else new)
-        get = self.memo.__getitem__
-        for parts in split:
-            yield b"".join(map(get, parts))
+            self.learn([parts[k] for k in new])
+            for k in new:
+                found[k] = self.memo[parts[k]]
+        return found
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each text's) of a text column; null is empty."""
+        data, offsets = flat(column)
+        counts, out, ends = np.zeros(len(offsets), np.int64), [], [0]
+        for low, high in self._steps(data):
+            some = data[low:high]
+            starts, stops, before = word_spans(some, np.clip(offsets, low, high) - low)
+            if not len(starts):
+                continue
+            inside = np.zeros(len(some) + 1, np.int8)
+            inside[starts] += 1
+            inside[stops] -= 1
+            spelled = some[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+            edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(stops - starts)])
+            words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(spelled)).dictionary_encode()
+            found = self.known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+            size = np.array([len(x) // 4 for x in found], np.int64)
+            first = np.cumsum(size) - size
+            which = words.indices.to_numpy()
+            length = size[which]
+            last = np.cumsum(length)
+            ids = np.frombuffer(b"".join(found), "<u4")
+            out.append(ids[np.repeat(first[which] - (last - length), length) + np.arange(last[-1])])
+            counts += np.concatenate([np.zeros(1, np.int64), last])[before]
+        return np.concatenate(out) if out else np.zeros(0, np.uint32), counts
+
+    @staticmethod
+    def _steps(data: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of about STEP_BYTES; all but the last end behind white space."""
+        low = 0
+        while low < len(data):
+            high = low + STEP_BYTES
+            while high < len(data):
+                blank = np.flatnonzero(SPACE[data[high : high + 4096]])
+                if len(blank):
+                    high += int(blank[0]) + 1
+                    break
+                high += 4096
+            high = min(high, len(data))
+            yield low, high
+            low = high
 
 
 def coder(path: str) -> WordCoder:
@@ -91,14 +137,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, ke
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches):
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, STEP_BYTES):
+            ids, offsets = coder(path).ids(batch.column(text))
+            ids = np.insert(ids, offsets[1:], end_id)
+            offsets = offsets + np.arange(len(offsets))
             rows, number, start, length, crc = [], [], [], [], []
-            tail = np.array([end_id], "<u4").tobytes()
-            for row, ids in enumerate(coder(path).ids(pc.fill_null(batch.column(text), "").to_pylist())):
-                ids += tail
-                for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[a : a + 4 * capacity]
-                    rows.append(row), number.append(k), start.append(a // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
+            for row, (low, high) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+                for k, a in enumerate(range(low, high, capacity)):
+                    part = ids[a : min(a + capacity, high)]
+                    rows.append(row), number.append(k), start.append(a - low), length.append(len(part)), crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key).take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 names=[key, "piece", "start", "length", "ids_crc32"],
