@@ -52,8 +52,12 @@ def test_pipeline(spark, tables, tmp_path):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns and docs.select("doc_id").distinct().count() == counts[-1]
     assert counts[0] >= counts[1] > counts[2] > counts[3] > counts[4] > 0.8 * counts[0]
-    leaks = tables.sql("SELECT DISTINCT doc_id FROM documents, benchmark b WHERE contains(documents.text, b.text)").fetchall()
+    # each stage is held against its own input: a passage that the third cut out of a document is no leak any more
+    held = lambda k: {x for x, in tables.sql(f"SELECT DISTINCT doc_id FROM '{tmp_path}/{k}/*.parquet' d, benchmark b WHERE contains(d.text, b.text)").fetchall()}
     last = {r.doc_id for r in docs.select("doc_id").distinct().collect()}
-    assert not last & {x for x, in leaks}
+    assert held(2) and not held(3) and not last & held(2)
+    whole = {x for x, in tables.sql("SELECT DISTINCT doc_id FROM documents, benchmark b WHERE contains(documents.text, b.text)").fetchall()}
+    shorter = {x for x, in tables.sql(f"SELECT doc_id FROM '{tmp_path}/2/*.parquet' d JOIN documents o USING (doc_id) WHERE len(d.text) < len(o.text)").fetchall()}
+    assert last & whole <= shorter - held(2)
     fill = docs.groupBy("sequence_id").sum("length").collect()
     assert max(r[1] for r in fill) <= 4096 and len(fill) <= -(-sum(r[1] for r in fill) // 4096) + 1
