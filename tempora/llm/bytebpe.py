@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from itertools import islice
 
@@ -14,15 +15,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import BYTE_VALUES, others, result_batch, slices, span_hashes, stored
+from tempora.llm.common import BYTE_VALUES, others, result_batch, slices, span_hashes
 from tempora.llm.common import flat as flat_text
 
 #: Bytes of text of a block, inside which a word travels once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 24
 #: Words or tokens that one step inside a block works on.
 STEP = 1 << 17
 BUNDLE = pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary())])
 _ranks: dict[str, dict[bytes, int]] = {}
+_coders: dict[str, "tiktoken.Encoding"] = {}
 _splitters: dict[str, "Splitter"] = {}
 _tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -78,10 +80,12 @@ def splitter(pattern: str) -> Splitter:
 
 def word_ids(words: list[str], path: str) -> list[bytes]:
     """Ids of words, each on its own, as little-endian 32-bit bytes."""
-    import tiktoken
+    if path not in _coders:
+        import tiktoken
 
-    whole = tiktoken.Encoding("word", pat_str=r"(?s).+", mergeable_ranks=ranks(path), special_tokens={})
-    return [np.array(whole.encode_ordinary(w), "<u4").tobytes() for w in words]
+        _coders[path] = tiktoken.Encoding("word", pat_str=r"(?s).+", mergeable_ranks=ranks(path), special_tokens={})
+    encoded = _coders[path].encode_ordinary
+    return [struct.pack(f"<{len(ids)}I", *ids) for ids in map(encoded, words)]
 
 
 def _spans(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -114,9 +118,9 @@ def _arrow_bytes(values: list[bytes]) -> pa.Array:
 
 
 def spelled(docs: DataFrame, pattern: str, key: str, text: str, buckets: int) -> DataFrame:
-    """(block, keys, sizes, codes, dealt, bundles): blocks of documents as their distinct words and, word by word, places in that list.
+    """(block, seal, keys, sizes, codes, dealt, bundles): blocks of documents as their distinct words and, word by word, places in that list.
 
-    `sizes` has the number of words of each document of the block and `codes` the place of every word in a list by descending
+    `seal` is a hash of the list, so that a block made anew of other rows is told apart. `sizes` has the number of words of each document of the block and `codes` the place of every word in a list by descending
     frequency. `dealt` says which of the `buckets` each word of the list belongs to, by a hash, and `bundles` has for each
     bucket its words in the order of the list. Numbers are packed.
     """
@@ -148,13 +152,14 @@ def spelled(docs: DataFrame, pattern: str, key: str, text: str, buckets: int) ->
                 words = _gathered(data, offsets, some)
                 bundles.append({"bucket": int(dealt[some[0]]), "words": zstandard.compress(words.tobytes(), 1), "lengths": pack(offsets[some + 1] - offsets[some])})
             keys = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(key))
+            seal = pa.array([int((hashed * (2 * np.arange(len(hashed), dtype=np.uint64) + np.uint64(1))).sum(dtype=np.uint64).view(np.int64))], pa.int64())
             packed = [_arrow_bytes([pack(x)]) for x in (np.array(sizes), rank[flat], dealt)]
-            yield pa.RecordBatch.from_arrays([pa.array([number]), keys, *packed, pa.array([bundles], pa.list_(BUNDLE))], names=["block", "keys", "sizes", "codes", "dealt", "bundles"])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), seal, keys, *packed, pa.array([bundles], pa.list_(BUNDLE))], names=["block", "seal", "keys", "sizes", "codes", "dealt", "bundles"])
             number += 1
 
     kind = docs.schema[key].dataType.simpleString()
     fields = "bundles array<struct<bucket: int, words: binary, lengths: binary>>"
-    return docs.select(key, text).mapInArrow(spell, f"block long, keys array<{kind}>, sizes binary, codes binary, dealt binary, {fields}")
+    return docs.select(key, text).mapInArrow(spell, f"block long, seal long, keys array<{kind}>, sizes binary, codes binary, dealt binary, {fields}")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,11 +169,22 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     buckets of their hashes; in a bucket each is encoded once. Ids go back to the blocks, which put them together by
     position. A block names a word once however often it stands there, so the commonest word adds one entry a block
     to its bucket and no key is hot. Rows with equal keys are separate documents. No special tokens are recognised.
+    The rows of a partition must have the same order whenever they are read, as those of files have.
     """
     kind = docs.schema[key].dataType.simpleString()
     buckets = max(256, min(1 << 16, 4 * docs.rdd.getNumPartitions()))
-    blocks = stored(spelled(docs, pattern, key, text, buckets), "spelled")
-    bundles = blocks.select("block", F.explode("bundles").alias("b")).select("block", "b.*")
+    own = ["block", "seal"]
+    # one exchange holds the blocks for both of their readers, which take all of its columns so that Spark sees it is the same
+    blocks = spelled(docs, pattern, key, text, buckets).repartition(*own)
+
+    def unbundle(batches):
+        for batch in batches:
+            bundles = batch.column("bundles")
+            size = np.diff(bundles.offsets.to_numpy())
+            flat_bundles = bundles.flatten()
+            yield result_batch(batch.select(own).take(pa.array(np.repeat(np.arange(batch.num_rows), size))), own, **{f.name: flat_bundles.field(f.name) for f in BUNDLE})
+
+    bundles = blocks.mapInArrow(unbundle, "block long, seal long, bucket int, words binary, lengths binary")
 
     def each_once(batches):
         bucket, known = None, {}
@@ -184,21 +200,24 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                 found = [known[w] for w in words]
                 lengths.append(pack(np.array([len(x) // 4 for x in found])))
                 ids.append(pack(np.frombuffer(b"".join(found), "<u4")))
-            yield result_batch(batch, ["block", "bucket"], lengths=_arrow_bytes(lengths), ids=_arrow_bytes(ids))
+            yield result_batch(batch, [*own, "bucket"], lengths=_arrow_bytes(lengths), ids=_arrow_bytes(ids))
 
-    found = bundles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each_once, "block long, bucket int, lengths binary, ids binary")
-    found = found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "lengths", "ids"))).alias("found"))
+    found = bundles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each_once, "block long, seal long, bucket int, lengths binary, ids binary")
+    found = found.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("bucket", "lengths", "ids"))).alias("found"))
 
     def assemble(batches):
         for batch in batches:
-            for k, row in enumerate(batch.drop_columns(["keys"]).to_pylist()):
+            for k, row in enumerate(batch.select(["sizes", "codes", "dealt", "found"]).to_pylist()):
                 size = [unpack(x["lengths"]).astype(np.int64) for x in row["found"] or []]
                 data = np.concatenate([unpack(x["ids"]) for x in row["found"]]) if size else np.zeros(0, np.uint32)
                 size = np.concatenate(size) if size else np.zeros(0, np.int64)
                 ends = np.cumsum(size)
+                dealt = unpack(row["dealt"])
+                if len(dealt) != len(size):
+                    raise RuntimeError("a block was made anew of other rows than before: store a table whose rows change places")
                 # what came back is in order of buckets; a word's place among them is that of its bucket and its turn there
                 low, high = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
-                turn = np.argsort(unpack(row["dealt"]), kind="stable")
+                turn = np.argsort(dealt, kind="stable")
                 low[turn], high[turn] = ends - size, ends
                 codes, at, out = unpack(row["codes"]), 0, []
                 for n in unpack(row["sizes"]).tolist():
@@ -207,8 +226,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                     at += n
                 yield pa.RecordBatch.from_arrays([batch.column("keys").slice(k, 1).flatten(), _arrow_bytes(out)], names=[key, "ids"])
 
-    joined = blocks.drop("bundles").join(found, "block", "left")
-    return joined.mapInArrow(assemble, f"`{key}` {kind}, ids binary")
+    return blocks.join(found, own, "left").mapInArrow(assemble, f"`{key}` {kind}, ids binary")
 
 
 def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
