@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.geometry import dot
-from tempora.operators.ordered import numbered, quantiles, tie_ranks
+from tempora.operators.draws import leaf_levels, subset_sums
+from tempora.operators.ordered import join_keys, numbered, quantiles, tie_ranks
 from tempora.operators.stats import circular_from_ranks, linear_axis_sums, linear_trend, solve_axis
 from tempora.session import scratch_root
 
@@ -291,45 +292,74 @@ def axis_lda(df: DataFrame, row_id: Sequence[str], coords: Sequence[str], label:
 
 
 def circular_permutation(df: DataFrame, row_id: Sequence[str], angle: str, first: Column, n_perm: int, seed: int = 0, chunks: int | None = None) -> DataFrame:
-    """Two-sample circular W with a permutation p (labels permuted over fixed ranks)."""
-    turned = df.where(F.col(angle).isNotNull()).withColumn("__a", F.pmod(F.col(angle), F.lit(2 * math.pi))).withColumn("__g", first)
+    """Two-sample circular W with a permutation p (labels permuted over fixed ranks).
+
+    W needs of a replicate only the sums of the cosines and sines of the ranks it labels `first`, so replicates are random
+    subsets of the distinct ranks with their counts.
+    """
+    turned = df.where(F.col(angle).isNotNull()).withColumn("__a", F.pmod(F.col(angle), F.lit(2 * math.pi))).withColumn("__g", F.coalesce(first, F.lit(False)))
     ranked = tie_ranks(turned, [], "__a", "__r", None if chunks is None else 2 * math.pi / chunks)
-    n = ranked.agg(F.count(F.lit(1))).scalar()
-    base = ranked.withColumn("__n", n)
+    base = ranked.withColumn("__n", ranked.agg(F.count(F.lit(1))).scalar())
     observed = circular_from_ranks(base, [])
-    null = circular_from_ranks(permuted(base, row_id, ["__g"], ["__r", "__n"], n_perm, seed, chunks), ["rep"])
+    turn = 2 * math.pi * F.col("__r") / F.col("__n")
+    bins = base.groupBy("__r", "__n").agg(F.count(F.lit(1)).alias("__k")).select("__k", F.cos(turn).alias("c"), F.sin(turn).alias("s"))
+    null = subset_sums(bins, [], "__k", ["c", "s"], observed.select("n1"), "n1", n_perm, seed, leaf_levels(chunks))
+    n1, n2 = (observed.select(n).scalar() for n in ("n1", "n2"))
+    whole = bins.agg(F.sum(F.col("__k") * F.col("c")).alias("c"), F.sum(F.col("__k") * F.col("s")).alias("s"))
+    c2, s2 = whole.select("c").scalar() - F.col("c"), whole.select("s").scalar() - F.col("s")
+    stat = 2 / (n1 + n2) * ((F.col("c") ** 2 + F.col("s") ** 2) / n1 + (c2 * c2 + s2 * s2) / n2)
     w = observed.select("w").scalar()
-    return null.agg(*permutation_p(null, w - 1e-12, "w")).withColumns({
+    return null.select(stat.alias("w")).agg(*permutation_p(null, w - 1e-9, "w")).withColumns({
         c: observed.select(c).scalar() for c in ("n1", "n2", "w")
     })
 
 
-def group_shift(df: DataFrame, row_id: Sequence[str], value: str, tagged: Column, n_perm: int, seed: int = 0, chunks: int | None = None) -> DataFrame:
-    """Mean of the tagged rows against the others with Welch t and a two-sided permutation p.
+def group_shift(
+    df: DataFrame, row_id: Sequence[str], value: str, tagged: Column, n_perm: int, seed: int = 0, chunks: int | None = None,
+    alternative: str = "two-sided", on: Sequence[str] = (),
+) -> DataFrame:
+    """Mean of the tagged rows against the others with Welch t and a permutation p, per group of `on`.
 
-    With a 0/1 value this is the difference of proportions.
+    With a 0/1 value this is the difference of proportions. Replicates are random subsets of the distinct values with their
+    counts; `row_id` is not needed for them. Null values and rows whose tag is null are left out; a group without
+    tagged or other rows has a null shift and p.
     """
-    rows = df.where(F.col(value).isNotNull()).withColumn("__g", tagged)
-
-    def shift(frame: DataFrame, on: Sequence[str]) -> DataFrame:
-        def stat(f, g: Column) -> Column:
-            return f(F.when(g, F.col(value)))
-
-        g = F.col("__g")
-        return frame.groupBy(*on).agg(
-            F.count_if(g).alias("n_tagged"), F.count_if(~g).alias("n_other"),
-            (stat(F.avg, g) - stat(F.avg, ~g)).alias("shift"),
-            ((stat(F.avg, g) - stat(F.avg, ~g)) / F.sqrt(
-                stat(F.var_samp, g) / F.count_if(g) + stat(F.var_samp, ~g) / F.count_if(~g)
-            )).alias("welch_t"),
-        )
+    rows = df.withColumn("__v", F.col(value).cast("double")).withColumn("__g", tagged).where(F.col("__v").isNotNull() & F.col("__g").isNotNull())
+    g, on = F.col("__g"), list(on)
 
-    observed = shift(rows, [])
-    null = shift(permuted(rows, row_id, ["__g"], [value], n_perm, seed, chunks), ["rep"]).withColumn("a", F.abs("shift"))
-    size = F.abs(observed.select("shift").scalar())
-    return null.agg(*permutation_p(null, size - 1e-12, "a")).withColumns({
-        c: observed.select(c).scalar() for c in ("n_tagged", "n_other", "shift", "welch_t")
-    })
+    def stat(f, which: Column) -> Column:
+        return f(F.when(which, F.col("__v")))
+
+    apart = stat(F.avg, g) - stat(F.avg, ~g)
+    observed = rows.groupBy(*on).agg(
+        F.count_if(g).alias("n_tagged"), F.count_if(~g).alias("n_other"), apart.alias("shift"),
+        (apart / F.sqrt(stat(F.var_samp, g) / F.count_if(g) + stat(F.var_samp, ~g) / F.count_if(~g))).alias("welch_t"),
+        F.sum("__v").alias("__all"), F.max(F.abs("__v")).alias("__most"),
+    )
+    bins = rows.groupBy(*on, "__v").agg(F.count(F.lit(1)).alias("__k"))
+    sums = subset_sums(bins, on, "__k", ["__v"], observed, "n_tagged", n_perm, seed, leaf_levels(chunks))
+    null = join_keys(sums, observed, on)
+    moved = F.col("__v") / F.nullif(F.col("n_tagged"), F.lit(0)) - (F.col("__all") - F.col("__v")) / F.nullif(F.col("n_other"), F.lit(0))
+    kept = ["n_tagged", "n_other", "shift", "welch_t"]
+    null = null.select(*on, *kept, moved.alias("__m"), (1e-9 * F.greatest(F.col("__most"), F.lit(1e-300))).alias("__slack"))
+    beyond = {
+        "two-sided": F.abs("__m") >= F.abs("shift") - F.col("__slack"), "greater": F.col("__m") >= F.col("shift") - F.col("__slack"),
+        "less": F.col("__m") <= F.col("shift") + F.col("__slack"),
+    }[alternative]
+    return null.groupBy(*on).agg(
+        *[F.first(c).alias(c) for c in kept],
+        F.when(F.first("shift").isNotNull(), (F.count_if(beyond) + 1) / (F.count(F.lit(1)) + 1)).alias("p_perm"),
+        F.avg("__m").alias("null_mean"), F.stddev_samp("__m").alias("null_std"),
+    )
+
+
+def two_sample_shift(
+    first: DataFrame, second: DataFrame, value: str, n_perm: int, seed: int = 0, chunks: int | None = None,
+    alternative: str = "two-sided", on: Sequence[str] = (),
+) -> DataFrame:
+    """Mean of one table against another's, with the columns of `group_shift`; rows of the first count as tagged."""
+    both = first.select(*on, value, F.lit(True).alias("__first")).unionByName(second.select(*on, value, F.lit(False).alias("__first")))
+    return group_shift(both, [], value, F.col("__first"), n_perm, seed, chunks, alternative, on)
 
 
 def classify_sessions(df: DataFrame, features: Sequence[str], label: str, row_id: str, trees: int = 200, folds: int = 5, seed: int = 0) -> tuple[DataFrame, float]:

@@ -83,7 +83,7 @@ def two_angles(b):
 @query("mardia_watson_wheeler")
 def mardia_watson_wheeler(b):
     rows = two_angles(b)
-    return P.circular_permutation(rows, ["event_id"], "a", F.col("kind") == "click", 50, 4, b.hash_chunks("events", b.ev))
+    return P.circular_permutation(rows, ["event_id"], "a", F.col("kind") == "click", 5000, 4, b.hash_chunks("events", b.ev))
 
 
 @query("mardia_watson_wheeler_observed", f"WITH {CIRCULAR} SELECT n1, n2, w FROM cw", "w")
@@ -98,14 +98,33 @@ SELECT count(*) FILTER (WHERE g) AS n_tagged, count(*) FILTER (WHERE NOT g) AS n
   (avg(v) FILTER (WHERE g) - avg(v) FILTER (WHERE NOT g)) / sqrt(var_samp(v) FILTER (WHERE g) / count(*) FILTER (WHERE g) + var_samp(v) FILTER (WHERE NOT g) / count(*) FILTER (WHERE NOT g)) AS welch_t FROM p""", "shift welch_t")
 def group_shift_perm(b):
     part = b.table("part")
-    out = P.group_shift(part, ["p_partkey"], "p_retailprice", F.col("p_size") > 40, 50, 6, b.hash_chunks("part", part))
+    out = P.group_shift(part, ["p_partkey"], "p_retailprice", F.col("p_size") > 40, 20_000, 6, b.hash_chunks("part", part))
     return out.select("n_tagged", "n_other", "shift", "welch_t")
 
 
 @query("group_shift_p")
 def group_shift_p(b):
     part = b.table("part")
-    return P.group_shift(part, ["p_partkey"], "p_retailprice", F.col("p_size") > 40, 50, 6, b.hash_chunks("part", part))
+    return P.group_shift(part, ["p_partkey"], "p_retailprice", F.col("p_size") > 40, 20_000, 6, b.hash_chunks("part", part))
+
+
+def balances(b):
+    customers = b.table("customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    suppliers = b.table("supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    return P.two_sample_shift(customers, suppliers, "balance", 5000, 8, b.hash_chunks("customer", customers), on=["nation"])
+
+
+@query("two_sample_shift", """
+WITH x AS (SELECT c_nationkey AS nation, count(*) AS n, avg(c_acctbal) AS m, var_samp(c_acctbal) AS v FROM customer GROUP BY ALL),
+y AS (SELECT s_nationkey AS nation, count(*) AS n, avg(s_acctbal) AS m, var_samp(s_acctbal) AS v FROM supplier GROUP BY ALL)
+SELECT nation, coalesce(x.n, 0) AS n_tagged, coalesce(y.n, 0) AS n_other, x.m - y.m AS shift, (x.m - y.m) / sqrt(x.v / x.n + y.v / y.n) AS welch_t FROM x FULL JOIN y USING (nation)""", "shift welch_t")
+def two_sample_shift(b):
+    return balances(b).select("nation", "n_tagged", "n_other", "shift", "welch_t")
+
+
+@query("two_sample_shift_p")
+def two_sample_shift_p(b):
+    return balances(b)
 
 
 @query("classify_sessions")
