@@ -19,7 +19,9 @@ from tempora.llm.common import BYTE_VALUES, others, result_batch, slices, span_h
 from tempora.llm.common import flat as flat_text
 
 #: Bytes of text of a block, inside which a word travels once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
+#: Bundles of words that are encoded together.
+BUNDLES = 512
 #: Words or tokens that one step inside a block works on.
 STEP = 1 << 17
 BUNDLE = pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary())])
@@ -188,7 +190,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def each_once(batches):
         bucket, known = None, {}
-        for batch in batches:
+        for batch in (b.slice(k, BUNDLES) for b in batches for k in range(0, b.num_rows, BUNDLES)):
             lengths, ids = [], []
             for row in batch.select(["bucket", "words", "lengths"]).to_pylist():
                 if row["bucket"] != bucket:  # rows are sorted by bucket
@@ -207,7 +209,8 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def assemble(batches):
         for batch in batches:
-            for k, row in enumerate(batch.select(["sizes", "codes", "dealt", "found"]).to_pylist()):
+            for k in range(batch.num_rows):  # one block at a time
+                row = batch.slice(k, 1).select(["sizes", "codes", "dealt", "found"]).to_pylist()[0]
                 size = [unpack(x["lengths"]).astype(np.int64) for x in row["found"] or []]
                 data = np.concatenate([unpack(x["ids"]) for x in row["found"]]) if size else np.zeros(0, np.uint32)
                 size = np.concatenate(size) if size else np.zeros(0, np.int64)
