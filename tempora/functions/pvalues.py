@@ -173,6 +173,104 @@ def _fisher_p2(a, b, c, d):
     return np.minimum(1.0, total)
 
 
+def rank_sum_tail(u: int, n1: int, n2: int) -> float:
+    """P(U <= u) of the Mann-Whitney U of samples without ties.
+
+    Arrangements by U are the coefficients of a Gaussian binomial, built up one member of the smaller sample at a
+    time; those up to u need none beyond u.
+    """
+    small, large = sorted((n1, n2))
+    ways = np.zeros(u + 1)
+    ways[0] = 1.0
+    for i in range(1, small + 1):
+        if large + i <= u:
+            ways[large + i :] -= ways[: u + 1 - large - i].copy()
+        wide = np.zeros(-(-(u + 1) // i) * i)
+        wide[: u + 1] = ways
+        ways = wide.reshape(-1, i).cumsum(axis=0).ravel()[: u + 1]
+    return float(ways.sum() / math.comb(n1 + n2, small))
+
+
+def signed_rank_tail(w: int, n: int) -> float:
+    """P(W <= w) of the Wilcoxon signed-rank sum of n differences without ties: subsets of 1..n by their sum."""
+    ways = np.zeros(w + 1)
+    ways[0] = 1.0
+    for i in range(1, min(n, w) + 1):
+        ways[i:] += ways[: w + 1 - i].copy()
+    return float(ways.sum() / 2.0**n)
+
+
+def path_exit(reach: int, n: int, m: int) -> float:
+    """Chance that a random order of n and m members leaves |i m - j n| < reach: the exact Kolmogorov-Smirnov p.
+
+    Walks go diagonal by diagonal from no members to all; what leaves is summed, so that small chances keep their digits.
+    """
+    inside, out = np.zeros(n + 2), 0.0  # inside[i + 1]: i members of the first sample so far
+    inside[1] = 1.0
+    i = np.arange(n + 1)
+    for t in range(n + m):
+        j = t - i
+        moved = (inside[1:] * np.maximum(m - j, 0) + inside[:-1] * (n - i + 1)) / (n + m - t)
+        gone = np.abs(i * m - (j + 1) * n) >= reach
+        out += moved[gone].sum()
+        moved[gone] = 0.0
+        inside[1:] = moved
+    return float(out)
+
+
+def _each(f, *series: pd.Series) -> pd.Series:
+    """f of every row; rows alike are computed once, and rows with a null are null."""
+    rows = pd.DataFrame(dict(enumerate(series))).astype("float64")
+    known: dict[tuple, float] = {}
+    return pd.Series([known.setdefault(r, f(*map(int, r))) if r not in known and not any(map(math.isnan, r)) else known.get(r) for r in rows.itertuples(index=False, name=None)], dtype="float64")
+
+
+@pandas_udf(DoubleType())
+def _rank_sum_udf(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    return _each(rank_sum_tail, u, n1, n2)
+
+
+@pandas_udf(DoubleType())
+def _signed_rank_udf(w: pd.Series, n: pd.Series) -> pd.Series:
+    return _each(signed_rank_tail, w, n)
+
+
+@pandas_udf(DoubleType())
+def _path_exit_udf(reach: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return _each(path_exit, reach, n, m)
+
+
+#: Where the exact distributions are used: as in the usual statistics library, and where a table of U stays small.
+EXACT_RANK_SUM, EXACT_RANK_SUM_CELLS, EXACT_SIGNED_RANK, EXACT_PATHS = 8, 1 << 22, 50, 10_000
+
+
+def rank_sum_p2(u: Column, n1: Column, n2: Column, ties: Column, otherwise: Column) -> Column:
+    """Exact two-sided p of U where there are no ties and one sample has at most 8 members, else `otherwise`.
+
+    Beyond 4 million possible values of U the normal p is used whatever the samples.
+    """
+    exact = (ties == 0) & (F.least(n1, n2) <= EXACT_RANK_SUM) & (F.least(n1, n2) > 0) & (n1 * n2 <= EXACT_RANK_SUM_CELLS)
+    low = F.least(u, n1 * n2 - u)
+    tail = _rank_sum_udf(*[F.when(exact, x.cast("double")) for x in (low, n1, n2)])
+    return F.when(exact, F.least(F.lit(1.0), 2 * tail)).otherwise(otherwise)
+
+
+def signed_rank_p2(w: Column, n: Column, plain: Column, otherwise: Column) -> Column:
+    """Exact two-sided p of the smaller signed-rank sum for up to 50 differences, `plain` where none is tied or zero."""
+    exact = plain & (n <= EXACT_SIGNED_RANK) & (n > 0)
+    tail = _signed_rank_udf(*[F.when(exact, x.cast("double")) for x in (w, n)])
+    return F.when(exact, F.least(F.lit(1.0), 2 * tail)).otherwise(otherwise)
+
+
+def kolmogorov_p2(ks: Column, n: Column, m: Column) -> Column:
+    """Two-sided p of a Kolmogorov-Smirnov distance: exact for samples of up to 10,000, else the limit."""
+    exact = F.greatest(n, m) <= EXACT_PATHS
+    reach = F.round(ks * n * m)
+    p = _path_exit_udf(*[F.when(exact, x.cast("double")) for x in (reach, n, m)])
+    limit = kolmogorov_sf(ks * F.sqrt(n * m / (n + m)))
+    return F.when(exact, F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))).otherwise(limit)
+
+
 def _null(p: Column) -> Column:
     return F.nanvl(p, F.lit(None).cast("double"))
 

@@ -188,7 +188,10 @@ def _tie_term(df: DataFrame, on: Sequence[str], value: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, on: Sequence[str], value: str, group: Column, width: float | None = None) -> DataFrame:
-    """U, p (normal, tie and continuity corrected) and mean difference of group true vs false."""
+    """U, two-sided p and mean difference of group true vs false.
+
+    p is exact without ties where a group has at most 8 rows, else normal with corrections for ties and continuity.
+    """
     rows = df.where(F.col(value).isNotNull()).withColumn("__g", group).where(F.col("__g").isNotNull())
     ranked = tie_ranks(rows, on, value, "__r", width)
     sums = ranked.groupBy(*on).agg(
@@ -203,30 +206,35 @@ def mann_whitney(df: DataFrame, on: Sequence[str], value: str, group: Column, wi
     u = F.when(both, F.col("__s") - n1 * (n1 + 1) / 2)
     sd = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0))))
     z = (F.greatest(F.col("u"), n1 * n0 - F.col("u")) - n1 * n0 / 2 - 0.5) / F.nullif(sd, F.lit(0.0))
+    normal = clamp(2 * P.normal_sf(z), 0.0, 1.0)
     return joined.withColumn("u", u).withColumn(
-        "p", clamp(2 * P.normal_sf(z), 0.0, 1.0)
+        "p", P.rank_sum_p2(F.col("u"), n1, n0, F.col("ties"), normal)
     ).drop("__s", "ties")
 
 
 def wilcoxon(df: DataFrame, on: Sequence[str], diff: str, min_n: int = 1, width: float | None = None) -> DataFrame:
-    """Signed-rank test of `diff` against zero; zero differences are dropped first."""
-    rows = df.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).withColumn("__a", F.abs(diff))
+    """Signed-rank test of `diff` against zero; zero differences are dropped first.
+
+    p is exact for up to 50 differences where none was zero and no two are equally far from it, else normal.
+    """
+    present = df.where(F.col(diff).isNotNull())
+    rows = present.where(F.col(diff) != 0).withColumn("__a", F.abs(diff))
     ranked = tie_ranks(rows, on, "__a", "__r", width)
     sums = ranked.groupBy(*on).agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.when(F.col(diff) > 0, F.col("__r"))), F.lit(0.0)).alias("__w"),
     )
     ties = _tie_term(rows, on, "__a")
-    joined = sums.join(ties, list(on)) if on else sums.withColumn("ties", ties.scalar())
+    zeros = present.groupBy(*on).agg(F.count_if(F.col(diff) == 0).alias("__zeros"))
+    joined = join_keys(join_keys(sums, ties, list(on)), zeros, list(on))
     n = F.col("n").cast("double")
     total = n * (n + 1) / 2
     sd = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
     stat = F.least(F.col("__w"), total - F.col("__w"))
     z = (stat - n * (n + 1) / 4) / F.nullif(sd, F.lit(0.0))
     enough = F.col("n") >= min_n
-    return joined.select(
-        *on, "n", F.when(enough, stat).alias("w"), F.when(enough, clamp(P.normal_p2(z), 0.0, 1.0)).alias("p")
-    )
+    p = P.signed_rank_p2(stat, n, (F.col("ties") == 0) & (F.col("__zeros") == 0), clamp(P.normal_p2(z), 0.0, 1.0))
+    return joined.select(*on, "n", F.when(enough, stat).alias("w"), F.when(enough, p).alias("p"))
 
 
 def sign_binomial(df: DataFrame, on: Sequence[str], value: str) -> DataFrame:
@@ -263,7 +271,7 @@ def fisher_overlap(df: DataFrame, on: Sequence[str], a: Column, b: Column) -> Da
 def ks_against_base(
     df: DataFrame, group: str, base, groups: Sequence, value: str, width: float | None = None,
 ) -> DataFrame:
-    """KS distance of each listed group to the base group, with the asymptotic p."""
+    """KS distance of each listed group to the base group; p is exact for up to 10,000 rows a group."""
     rows = df.where(F.col(value).isNotNull())
     others = rows.where(F.col(group).isin(list(groups))).select(
         F.col(group).alias("__k"), value, F.lit(1).alias("__o"), F.lit(0).alias("__b")
@@ -277,8 +285,18 @@ def ks_against_base(
     )
     gap = F.abs(F.col("__co") / F.col("n") - F.col("__cb") / F.col("n_base"))
     stats = cum.join(total, "__k").groupBy("__k", "n", "n_base").agg(F.max(gap).alias("ks"))
-    lam = F.col("ks") * F.sqrt(F.col("n") * F.col("n_base") / (F.col("n") + F.col("n_base")))
-    return stats.select(F.col("__k").alias(group), "n", "n_base", "ks", P.kolmogorov_sf(lam).alias("p"))
+    return stats.select(F.col("__k").alias(group), "n", "n_base", "ks", P.kolmogorov_p2(F.col("ks"), F.col("n"), F.col("n_base")).alias("p"))
+
+
+def ks_two_sample(df: DataFrame, on: Sequence[str], value: str, first: Column, width: float | None = None) -> DataFrame:
+    """KS distance between the rows where `first` holds and the others, per group with both; p as in `ks_against_base`."""
+    rows = df.withColumn("__g", first).where(F.col(value).isNotNull() & F.col("__g").isNotNull())
+    counts = rows.groupBy(*on, value).agg(F.count_if("__g").alias("__a"), F.count_if(~F.col("__g")).alias("__b"))
+    cum = ordered_scan(counts, on, [value], {"__ca": running(F.col("__a")), "__cb": running(F.col("__b"))}, width)
+    total = counts.groupBy(*on).agg(F.sum("__a").alias("n1"), F.sum("__b").alias("n0")).where((F.col("n1") > 0) & (F.col("n0") > 0))
+    gap = F.abs(F.col("__ca") / F.col("n1") - F.col("__cb") / F.col("n0"))
+    stats = join_keys(cum, total, on).groupBy(*on, "n1", "n0").agg(F.max(gap).alias("ks"))
+    return stats.withColumn("p", P.kolmogorov_p2(F.col("ks"), F.col("n1"), F.col("n0")))
 
 
 def partial_correlation(df: DataFrame, on: Sequence[str], x: str, y: str, z: str, width: float | None = None) -> DataFrame:

@@ -73,3 +73,35 @@ def fdr(source: str, p: str, q: str, keys: str = "") -> str:
 SELECT * EXCLUDE (i__, m__), CASE WHEN {p} IS NOT NULL THEN least(1, min({p} * m__ / i__) OVER ({part} ORDER BY {p} DESC NULLS LAST
     RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS {q}
 FROM (SELECT *, count({p}) OVER ({part} ORDER BY {p} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i__, count({p}) OVER ({part}) AS m__ FROM {source}) s__"""
+
+
+def rank_sum_tails(name: str, sizes: str) -> str:
+    """Tables of a recursive WITH: P(U <= u) for k and m members of which one side has at most 8; `sizes` has n1 and n0.
+
+    Orders are built member by member: one of the first sample adds the members of the second before it.
+    """
+    return f"""
+{name}w AS (SELECT 0 AS k, 0 AS m, 0 AS u, 1.0::DOUBLE AS c UNION ALL SELECT k + x, m + 1 - x, u + x * m, sum(c) FROM {name}w, (VALUES (0), (1)) v(x)
+  WHERE k + m < (SELECT max(n1 + n0) FROM {sizes}) AND least(k + x, m + 1 - x) <= 8 GROUP BY 1, 2, 3),
+{name} AS (SELECT k, m, u, sum(c) OVER (PARTITION BY k, m ORDER BY u) / sum(c) OVER (PARTITION BY k, m) AS tail FROM {name}w)"""
+
+
+def signed_rank_tails(name: str, most: int = 50) -> str:
+    """Tables of a recursive WITH: P(W <= w) of n differences, from the subsets of 1..n by their sum."""
+    return f"""
+{name}w AS (SELECT 0 AS n, 0 AS w, 1.0::DOUBLE AS c UNION ALL SELECT n + 1, w + x * (n + 1), sum(c) FROM {name}w, (VALUES (0), (1)) v(x) WHERE n < {most} GROUP BY 1, 2),
+{name} AS (SELECT n, w, sum(c) OVER (PARTITION BY n ORDER BY w) / pow(2, n) AS tail FROM {name}w)"""
+
+
+def path_exits(name: str, cases: str) -> str:
+    """Tables of a recursive WITH: the chance that a random order of n and m members leaves |i m - j n| < reach.
+
+    `cases` has n, m and reach. A list holds the chances by the number of first members; what leaves it is summed.
+    """
+    moved = "list_transform(range(0, n + 1), lambda i: (p[i + 1] * greatest(m - t + i, 0) + coalesce(p[i], 0) * (n - i + 1)) / (n + m - t))"
+    return f"""
+{name}w AS (SELECT n, m, reach, 0::BIGINT AS t, list_concat([1.0::DOUBLE], list_transform(range(0, n), lambda i: 0.0::DOUBLE)) AS p, 0.0::DOUBLE AS gone FROM (SELECT DISTINCT n::BIGINT AS n, m::BIGINT AS m, reach::BIGINT AS reach FROM {cases}) c
+  UNION ALL SELECT n, m, reach, t + 1, list_transform(q, lambda v, i: CASE WHEN abs((i - 1) * m - (t + 2 - i) * n) >= reach THEN 0.0::DOUBLE ELSE v END),
+    gone + list_sum(list_transform(q, lambda v, i: CASE WHEN abs((i - 1) * m - (t + 2 - i) * n) >= reach THEN v ELSE 0.0::DOUBLE END))
+  FROM (SELECT *, {moved} AS q FROM {name}w WHERE t < n + m)),
+{name} AS (SELECT n, m, reach, least(1, gone) AS p FROM {name}w WHERE t = n + m)"""

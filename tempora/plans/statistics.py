@@ -111,17 +111,46 @@ def regression_band(b):
     return band.join(crit, SUPP).select(*SUPP, "point", "x", "fit", ((F.col("upper") - F.col("lower")) / 2 / F.col("crit")).alias("se"))
 
 
-@query("mann_whitney", f"""
-WITH {LINES}, g AS (SELECT l_suppkey, y, l_linestatus = 'O' AS g FROM li), r AS (SELECT *, {T.average_rank('y', 'l_suppkey')} AS r FROM g),
-t AS (SELECT l_suppkey, sum(c * c * c - c) AS ties FROM (SELECT l_suppkey, y, count(*)::DOUBLE AS c FROM g GROUP BY ALL) q GROUP BY ALL),
-s AS (SELECT l_suppkey, count(*) FILTER (WHERE g) AS n1, count(*) FILTER (WHERE NOT g) AS n0, sum(r) FILTER (WHERE g) AS rs, avg(y) FILTER (WHERE g) - avg(y) FILTER (WHERE NOT g) AS mean_diff FROM r GROUP BY ALL),
-u AS (SELECT l_suppkey, n1, n0, mean_diff, rs - n1 * (n1 + 1) / 2.0::DOUBLE AS u, sqrt(n1::DOUBLE * n0 / 12 * ((n1 + n0 + 1) - ties / ((n1 + n0)::DOUBLE * (n1 + n0 - 1)))) AS sd FROM s JOIN t USING (l_suppkey)),
-z AS (SELECT *, (greatest(u, n1 * n0 - u) - n1 * n0 / 2.0::DOUBLE - 0.5) / sd AS z FROM u)
-SELECT l_suppkey, n1, n0, mean_diff, u, least(1, CASE WHEN z >= 0 THEN {T.normal_p2('z')} ELSE 2 - {T.normal_p2('z')} END) AS p FROM z""", "mean_diff u p", digits=5)
+def _mann_whitney(columns, on, group):
+    """Tables of a recursive WITH up to `mw`: per group U, the normal p and the exact p where scipy's rule asks for it."""
+    return f"""
+{LINES}, g AS (SELECT {on}, {columns} AS y, {group} AS g FROM lineitem), r AS (SELECT *, {T.average_rank('y', on)} AS r FROM g),
+t AS (SELECT {on}, sum(c * c * c - c) AS ties FROM (SELECT {on}, y, count(*)::DOUBLE AS c FROM g GROUP BY ALL) q GROUP BY ALL),
+s AS (SELECT {on}, count(*) FILTER (WHERE g) AS n1, count(*) FILTER (WHERE NOT g) AS n0, sum(r) FILTER (WHERE g) AS rs, avg(y) FILTER (WHERE g) - avg(y) FILTER (WHERE NOT g) AS mean_diff FROM r GROUP BY ALL),
+u AS (SELECT {on}, n1, n0, mean_diff, ties, CASE WHEN n0 > 0 THEN rs - n1 * (n1 + 1) / 2.0::DOUBLE END AS u, sqrt(n1::DOUBLE * n0 / 12 * ((n1 + n0 + 1) - ties / nullif((n1 + n0)::DOUBLE * (n1 + n0 - 1), 0))) AS sd FROM s JOIN t USING ({on})),
+z AS (SELECT *, (greatest(u, n1 * n0 - u) - n1 * n0 / 2.0::DOUBLE - 0.5) / nullif(sd, 0) AS z FROM u), {T.rank_sum_tails('us', 's')},
+mw AS (SELECT {on}, n1, n0, mean_diff, z.u, CASE WHEN z.u IS NULL THEN NULL WHEN ties = 0 AND least(n1, n0) BETWEEN 1 AND 8 THEN least(1, 2 * tail)
+  ELSE least(1, CASE WHEN z >= 0 THEN {T.normal_p2('z')} ELSE 2 - {T.normal_p2('z')} END) END AS p
+  FROM z LEFT JOIN us ON us.k = n1 AND us.m = n0 AND us.u = least(z.u, n1 * n0 - z.u))"""
+
+
+@query("mann_whitney", f"WITH RECURSIVE {_mann_whitney('l_extendedprice', 'l_suppkey', "l_linestatus = 'O'")} SELECT * FROM mw", "mean_diff u p", digits=5)
 def mann_whitney(b):
     return X.mann_whitney(lines(b), SUPP, "y", F.col("l_linestatus") == "O", b.price_width)
 
 
+PARTS = ["l_partkey", "l_returnflag"]
+
+
+def part_width(b):
+    return b.width_of("lineitem by part", b.lineitem, PARTS, "l_extendedprice")
+
+
+@query("mann_whitney_exact", f"WITH RECURSIVE {_mann_whitney('l_extendedprice', 'l_partkey, l_returnflag', "l_linestatus = 'O'")} SELECT * FROM mw", "mean_diff u p", digits=5)
+def mann_whitney_exact(b):
+    """Groups of a few to some twenty rows, nearly all without ties."""
+    return X.mann_whitney(b.lineitem, PARTS, "l_extendedprice", F.col("l_linestatus") == "O", part_width(b))
+
+
+@query("ks_exact", f"""
+WITH RECURSIVE c AS (SELECT l_partkey, l_returnflag, l_extendedprice AS x, count(*) FILTER (WHERE l_linestatus = 'O') AS a, count(*) FILTER (WHERE l_linestatus <> 'O') AS b FROM lineitem GROUP BY ALL),
+f AS (SELECT *, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY l_partkey, l_returnflag) AS n, sum(b) OVER (PARTITION BY l_partkey, l_returnflag) AS m FROM c WINDOW w AS (PARTITION BY l_partkey, l_returnflag ORDER BY x)),
+d AS (SELECT l_partkey, l_returnflag, n, m, max(abs(ca / n::DOUBLE - cb / m::DOUBLE)) AS ks, max(abs(ca * m - cb * n)) AS reach FROM f WHERE n > 0 AND m > 0 GROUP BY ALL), {T.path_exits('px', 'd')}
+SELECT l_partkey, l_returnflag, d.n::BIGINT AS n1, d.m::BIGINT AS n0, ks, p FROM d JOIN px ON px.n = d.n AND px.m = d.m AND px.reach = d.reach""", "ks p")
+def ks_exact(b):
+    return X.ks_two_sample(b.lineitem, PARTS, "l_extendedprice", F.col("l_linestatus") == "O", part_width(b))
+
+
 def _wilcoxon(name, source, value, key):
     part = f"{key}, " if key else ""
     on = f"JOIN {name}t USING ({key})" if key else f", {name}t"
@@ -132,15 +161,23 @@ def _wilcoxon(name, source, value, key):
 {name}s AS (SELECT {part}count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS w FROM {name}r GROUP BY ALL),
 {name}z AS (SELECT {part}n, least(w, n * (n + 1) / 2.0::DOUBLE - w) AS w, (least(w, n * (n + 1) / 2.0::DOUBLE - w) - n * (n + 1) / 4.0::DOUBLE)
   / sqrt((n * (n + 1.0::DOUBLE) * (2 * n + 1) - ties / 2) / 24) AS z FROM {name}s {on}),
-{name} AS (SELECT {part}n, w, least(1, {T.normal_p2('z')}) AS p FROM {name}z)"""
+{name}o AS (SELECT {part}count(*) FILTER (WHERE {value} = 0) AS zeros FROM {source} WHERE {value} IS NOT NULL GROUP BY ALL), {T.signed_rank_tails(f'{name}e')},
+{name} AS (SELECT {part}z.n, z.w, CASE WHEN ties = 0 AND zeros = 0 AND z.n <= 50 THEN least(1, 2 * tail) ELSE least(1, {T.normal_p2('z')}) END AS p
+  FROM {name}z z {on.replace(', ' + name + 't', f', {name}t, {name}o') if not key else f'JOIN {name}t USING ({key}) JOIN {name}o USING ({key})'} LEFT JOIN {name}e e ON e.n = z.n AND e.w = z.w)"""
 
 
-@query("wilcoxon_signed", f"WITH {LINES}, c AS (SELECT l_suppkey, q - 25 AS diff FROM li), {_wilcoxon('wx', 'c', 'diff', 'l_suppkey')} SELECT * FROM wx", "w p")
+@query("wilcoxon_signed", f"WITH RECURSIVE {LINES}, c AS (SELECT l_suppkey, q - 25 AS diff FROM li), {_wilcoxon('wx', 'c', 'diff', 'l_suppkey')} SELECT * FROM wx", "w p")
 def wilcoxon_signed(b):
     return X.wilcoxon(lines(b).withColumn("diff", F.col("q") - 25), SUPP, "diff", 1, b.price_width)
 
 
-@query("wilcoxon_unit_means", f"WITH {BOUT_COUNTS}, c AS (SELECT round(response - inter_trial, 9) AS diff FROM paired), {_wilcoxon('wx', 'c', 'diff', '')} SELECT * FROM wx", "w p")
+@query("wilcoxon_exact", f"WITH RECURSIVE c AS (SELECT l_partkey, l_returnflag, l_extendedprice - 20000 AS diff FROM lineitem), {_wilcoxon('wx', 'c', 'diff', 'l_partkey, l_returnflag')} SELECT * FROM wx", "w p")
+def wilcoxon_exact(b):
+    rows = b.lineitem.withColumn("diff", F.col("l_extendedprice") - 20000)
+    return X.wilcoxon(rows, PARTS, "diff", 1, b.width_of("price differences by part", rows, PARTS, "diff"))
+
+
+@query("wilcoxon_unit_means", f"WITH RECURSIVE {BOUT_COUNTS}, c AS (SELECT round(response - inter_trial, 9) AS diff FROM paired), {_wilcoxon('wx', 'c', 'diff', '')} SELECT * FROM wx", "w p")
 def wilcoxon_unit_means(b):
     return X.wilcoxon(paired_means(b).select(F.round(F.col("response") - F.col("inter_trial"), 9).alias("diff")), [], "diff", 1, b.cut_if_many("events", 0.01))
 
@@ -176,12 +213,14 @@ def fisher_exact(b):
 
 
 @query("ks_two_sample", f"""
-WITH {LICK_K}, v AS (SELECT k, latency AS x FROM lick_k WHERE k <= 4),
+WITH RECURSIVE {LICK_K}, v AS (SELECT k, latency AS x FROM lick_k WHERE k <= 4),
 u AS (SELECT g.k, v.x, (v.k = g.k)::INTEGER AS o, (v.k = 1)::INTEGER AS b FROM v, (SELECT unnest([2, 3, 4]) AS k) g WHERE v.k = g.k OR v.k = 1),
 c AS (SELECT k, x, sum(o) AS o, sum(b) AS b FROM u GROUP BY ALL),
 f AS (SELECT k, sum(o) OVER w AS co, sum(b) OVER w AS cb, sum(o) OVER (PARTITION BY k) AS n, sum(b) OVER (PARTITION BY k) AS nb FROM c WINDOW w AS (PARTITION BY k ORDER BY x)),
-d AS (SELECT k::BIGINT AS k, n::BIGINT AS n, nb::BIGINT AS n_base, max(abs(co / n::DOUBLE - cb / nb::DOUBLE)) AS ks FROM f GROUP BY ALL)
-SELECT *, least(1, greatest(0, list_sum(list_transform(range(1, 101), lambda j: CASE WHEN j % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END * exp(-2.0::DOUBLE * j * j * ks * ks * n * n_base / (n + n_base)))))) AS p FROM d""", "ks p")
+d AS (SELECT k::BIGINT AS k, n::BIGINT AS n, nb::BIGINT AS n_base, max(abs(co / n::DOUBLE - cb / nb::DOUBLE)) AS ks FROM f GROUP BY ALL),
+e AS (SELECT *, round(ks * n * n_base) AS reach, n_base AS m FROM d), {T.path_exits('px', '(SELECT n, m, reach FROM e WHERE greatest(n, m) <= 10000)')}
+SELECT e.k, e.n, e.n_base, e.ks, coalesce(px.p, least(1, greatest(0, list_sum(list_transform(range(1, 101), lambda j: CASE WHEN j % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END * exp(-2.0::DOUBLE * j * j * ks * ks * e.n * n_base / (e.n + n_base))))))) AS p
+FROM e LEFT JOIN px ON px.n = e.n AND px.m = e.m AND px.reach = e.reach""", "ks p")
 def ks_two_sample(b):
     return X.ks_against_base(licks_by_ordinal(b), "k", 1, [2, 3, 4], "latency", b.width)
 
@@ -485,7 +524,7 @@ def registry_set_sizes(b):
 
 
 @query("registry_summary", f"""
-WITH {ENTRY}, {_wilcoxon('rw', 'rg', 't', 'entry')},
+WITH RECURSIVE {ENTRY}, {_wilcoxon('rw', 'rg', 't', 'entry')},
 s AS (SELECT entry, count(*) AS n, count(*) FILTER (WHERE sig_fdr) AS n_sig, avg(t) AS mean_t, quantile_cont(t, 0.5) AS median_t, count(*) FILTER (WHERE sig_fdr AND t > 0) AS n_pos_sig,
   count(*) FILTER (WHERE sig_fdr AND t < 0) AS n_neg_sig, count(*) FILTER (WHERE t > 0) AS np, count(*) FILTER (WHERE t < 0) AS nn FROM rg GROUP BY ALL)
 SELECT s.entry, s.n, n_sig, mean_t, median_t, n_pos_sig, n_neg_sig, n_sig / s.n::DOUBLE AS frac_sig, CASE WHEN rw.n >= 10 THEN rw.p END AS wilcoxon_p,

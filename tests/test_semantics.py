@@ -170,3 +170,48 @@ def test_a_session_with_most_rows_is_cut(spark):
     plain = J.asof_backward(rows, cues, ["s"], "t", "t", {"trial": "trial"})
     cut = J.asof_backward(rows, cues, ["s"], "t", "t", {"trial": "trial"}, width)
     assert plain.exceptAll(cut).isEmpty() and cut.exceptAll(plain).isEmpty()
+
+
+def test_exact_tails_are_those_of_all_orders():
+    import itertools
+    import math
+
+    from tempora.functions import pvalues as P
+
+    for n1, n2 in ((1, 1), (3, 4), (4, 3), (2, 6), (5, 5)):
+        places = list(itertools.combinations(range(n1 + n2), n1))
+        us = [sum(c) - n1 * (n1 - 1) // 2 for c in places]
+        for u in range(n1 * n2 + 1):
+            assert P.rank_sum_tail(u, n1, n2) == pytest.approx(sum(x <= u for x in us) / len(us))
+
+        def reach(chosen):
+            i, most = 0, 0
+            for t in range(n1 + n2):
+                i += t in chosen
+                most = max(most, abs(i * n2 - (t + 1 - i) * n1))
+            return most
+
+        reaches = [reach(set(c)) for c in places]
+        for h in range(1, n1 * n2 + 1):
+            assert P.path_exit(h, n1, n2) == pytest.approx(sum(x >= h for x in reaches) / len(reaches))
+    for n in range(1, 9):
+        ws = [sum(s) for k in range(n + 1) for s in itertools.combinations(range(1, n + 1), k)]
+        for w in range(n * (n + 1) // 2 + 1):
+            assert P.signed_rank_tail(w, n) == pytest.approx(sum(x <= w for x in ws) / len(ws))
+    assert P.rank_sum_tail(30 * 4, 8, 30) == pytest.approx(0.5, abs=0.02) and 0 < P.rank_sum_tail(0, 8, 400) < 1e-15
+    assert P.path_exit(300 * 300, 300, 300) == pytest.approx(2 / math.comb(600, 300), rel=1e-6)
+
+
+def test_exact_and_normal_p_by_group(spark):
+    from tempora.operators import stats as X
+
+    groups = {"few": [(v, v > 3) for v in (1.0, 2.0, 3.0, 4.0, 5.0, 6.0)], "tied": [(1.0, True), (1.0, False), (2.0, True), (3.0, False)], "many": [(float(v), v % 2 == 0) for v in range(40)]}
+    df = spark.createDataFrame([(k, *r) for k, rows in groups.items() for r in rows] + [("few", None, True)], "k string, v double, g boolean")
+    got = {r.k: r for r in X.mann_whitney(df, ["k"], "v", F.col("g")).collect()}
+    assert got["few"].p == pytest.approx(2 / 20) and got["few"].u == 9  # complete separation of three and three
+    assert 0.3 < got["tied"].p <= 1 and 0.5 < got["many"].p <= 1
+    ks = {r.k: r for r in X.ks_two_sample(df, ["k"], "v", F.col("g")).collect()}
+    assert ks["few"].ks == 1 and ks["few"].p == pytest.approx(2 / 20)
+    signs = {r.k: r for r in X.wilcoxon(df.withColumn("d", F.when(F.col("k") == "tied", F.col("v") - 2).otherwise(F.col("v") + 1)), ["k"], "d").collect()}
+    assert signs["few"].p == pytest.approx(2 / 2**6) and signs["many"].p == pytest.approx(2 / 2**40)
+    assert signs["tied"].n == 3 and signs["tied"].p > 0.1  # a zero difference and ties: the normal p
