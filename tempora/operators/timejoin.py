@@ -90,25 +90,48 @@ def event_trial_index(
     return out.withColumn(trial, F.coalesce(F.col(trial), F.lit(-1).cast("bigint")))
 
 
+#: An interval touches at most 2^NODE_BITS + 1 nodes.
+NODE_BITS = 5
+
+
+def _cell(x: str, bucket: float) -> Column:
+    """The cell of a time; infinite and very far times share the outermost cells."""
+    return F.floor(F.greatest(F.lit(-(2.0**61)), F.least(F.lit(2.0**61), F.col(x).cast("double") / F.lit(bucket)))).cast("bigint")
+
+
+def _levelled(intervals: DataFrame, lo: str, hi: str, bucket: float) -> DataFrame:
+    span = F.length(F.bin(_cell(hi, bucket) - _cell(lo, bucket)))
+    return intervals.where(F.col(lo) <= F.col(hi)).withColumn("__level", F.greatest(F.lit(0), span - F.lit(NODE_BITS)))
+
+
+def listed_intervals(intervals: DataFrame, lo: str, hi: str, bucket: float) -> DataFrame:
+    """Intervals under every node they touch at the level (`__level`, `__node`) where those are at most 2^NODE_BITS + 1."""
+    return _levelled(intervals, lo, hi, bucket).withColumn("__node", F.explode(F.sequence(_shifted(_cell(lo, bucket)), _shifted(_cell(hi, bucket)))))
+
+
+def _shifted(cell: Column) -> Column:
+    """The node of a cell at the row's level; below 0 too it holds the cells from its start on."""
+    return F.call_function("shiftright", cell, F.col("__level"))
+
+
 def interval_join(
     points: DataFrame, intervals: DataFrame, keys: Sequence[str], t: str, lo: str, hi: str,
     bucket: float, closed: str = "both",
 ) -> DataFrame:
     """All (point, interval) pairs with the point inside the interval.
 
-    Equi join on (keys, time bucket): intervals are listed under each bucket they touch, a point
-    under one. `bucket` about the usual interval length keeps both the copies and the bucket
-    sizes small; a busy key is spread over its buckets. `closed` is both, left, right or none.
-    Column names other than `keys` must differ between the sides.
+    Equi join on (keys, level, node). The axis is cut into cells of `bucket`, and cells into nodes of 2^level cells. An interval
+    is listed at the one level where it touches at most 33 nodes, so the longest costs no more rows than that and a
+    candidate pair is a pair in nearly all cases. A point is listed once for every level that some interval is at. A busy
+    key is spread over its nodes. `closed` is both, left, right or none. Ends may be infinite; an interval
+    with a null end, or that ends before it starts, holds nothing. Column names other than `keys` must differ between the sides.
     """
-    first, last = F.floor(F.col(lo) / F.lit(bucket)), F.floor(F.col(hi) / F.lit(bucket))
-    spread = intervals.where(F.col(lo) <= F.col(hi)).withColumn(
-        "__bucket", F.explode(F.sequence(first, last))
-    )
-    placed = points.withColumn("__bucket", F.floor(F.col(t) / F.lit(bucket)))
+    spread = listed_intervals(intervals, lo, hi, bucket)
+    levels = _levelled(intervals, lo, hi, bucket).agg(F.collect_set("__level")).scalar()
+    placed = points.where(F.col(t).isNotNull()).withColumn("__level", F.explode(levels)).withColumn("__node", _shifted(_cell(t, bucket)))
     after = F.col(t) >= F.col(lo) if closed in ("both", "left") else F.col(t) > F.col(lo)
     before = F.col(t) <= F.col(hi) if closed in ("both", "right") else F.col(t) < F.col(hi)
-    return placed.join(spread, [*keys, "__bucket"]).where(after & before).drop("__bucket")
+    return placed.join(spread, [*keys, "__level", "__node"]).where(after & before).drop("__level", "__node")
 
 
 def nearest_within(

@@ -233,3 +233,27 @@ def test_neighbours_of_isolated_and_crowded_rows(spark):
     for i, x, _, _ in places:
         order = sorted((abs(x - y), j) for j, y, _, _ in places if j % 3 != i % 3)
         assert sorted(got[i]) == sorted(j for _, j in order[:4])
+
+
+@pytest.mark.parametrize("closed", ["both", "left", "right", "none"])
+def test_interval_join_at_all_lengths(spark, closed):
+    rng = random.Random(closed)
+    inf = float("inf")
+    spans = [(rng.choice("ab"), i, s, s + rng.choice([0.0, 0.3, 2.0, 50.0, 3000.0, 90000.0]), ) for i, s in enumerate(rng.uniform(-5000, 5000) for _ in range(60))]
+    spans += [("a", 100, -inf, inf), ("b", 101, 3.0, 2.0), ("b", 102, None, 4.0), ("a", 103, -1e12, 1e12), (None, 104, 0.0, 1.0), ("b", 105, 7.0, 7.0)]
+    points = [(rng.choice("ab"), j, rng.choice([rng.uniform(-6000, 6000), float(rng.randrange(-20, 20))])) for j in range(300)] + [("a", 900, inf), ("a", 901, None), ("b", 902, 7.0)]
+    above = (lambda t, lo: t >= lo) if closed in ("both", "left") else (lambda t, lo: t > lo)
+    below = (lambda t, hi: t <= hi) if closed in ("both", "right") else (lambda t, hi: t < hi)
+    expected = sorted((j, i) for k, i, lo, hi in spans for q, j, t in points if k == q and None not in (lo, hi, t) and lo <= hi and above(t, lo) and below(t, hi))
+    ps, ss = spark.createDataFrame(points, "k string, j int, t double"), spark.createDataFrame(spans, "k string, i int, lo double, hi double")
+    got = J.interval_join(ps, ss, ["k"], "t", "lo", "hi", 1.0, closed)
+    assert sorted(map(tuple, got.select("j", "i").collect())) == expected and expected
+    assert J.interval_join(ps, ss.limit(0), ["k"], "t", "lo", "hi", 1.0, closed).count() == 0
+
+
+def test_an_interval_over_the_whole_axis_is_few_rows(spark):
+    spans = spark.createDataFrame([(1, 0.0, 10.0**9), (1, -(10.0**6), 3.0), (1, -math.inf, math.inf), (1, 2.0, 2.1)], "k int, lo double, hi double")
+    points = spark.range(1000).select(F.lit(1).alias("k"), (F.col("id") * 1e6).alias("t"))
+    listed = J.listed_intervals(spans, "lo", "hi", 0.5).groupBy("lo", "hi").count().collect()
+    assert len(listed) == 4 and max(r["count"] for r in listed) <= 2**J.NODE_BITS + 1
+    assert J.interval_join(points, spans, ["k"], "t", "lo", "hi", 0.5).count() == 1000 + 1 + 1000
