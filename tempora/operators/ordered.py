@@ -2,7 +2,7 @@
 
 Every as-of join, island numbering and rank in this package is one of these scans. Without
 `width` a scan is a plain window over the group. With `width` the group is cut into chunks of
-the leading order column: each chunk is scanned on its own, one summary row per chunk is scanned
+the leading order column, of equal width or at measured quantiles (`Measured`): each chunk is scanned on its own, one summary row per chunk is scanned
 across chunks, and the carried-in value is joined back. Both give the same rows; the second
 never puts more than one chunk into a task.
 """
@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.session import scratch_root
+
 _CHUNK = "__chunk"
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -26,6 +28,43 @@ class Scan:
     how: str = "sum"
 
 
+@dataclass(frozen=True)
+class Measured:
+    """Chunk edges at quantiles of whatever column is scanned, within its own keys.
+
+    `rows` is the wanted size of a chunk and `total` about how many rows there are. Edges come from a mergeable sketch, so chunks
+    are even on heavy-tailed columns too, where equal widths are not. Only groups over `rows` get edges, and of all
+    groups at most `MOST_EDGES` are made: beyond that chunks grow.
+    """
+
+    rows: int
+    total: int
+
+
+#: Edges of all groups together, so that their table can be broadcast: 16 MB.
+MOST_EDGES = 1 << 21
+
+
+def measured_edges(df: DataFrame, keys: Sequence[str], lead: Column, measured: Measured) -> DataFrame:
+    """(keys, __edges) of the groups with more than `measured.rows` values: quantiles of `lead`, about one per `rows` rows."""
+    rows = max(measured.rows, -(-2 * measured.total // MOST_EDGES), 1)
+    pieces = max(2, -(-measured.total // rows))
+    lead = F.when(~F.isnan(lead), lead)
+    sketch = df.groupBy(*keys).agg(
+        F.count(lead).alias("__n"),
+        F.percentile_approx(lead, [i / pieces for i in range(1, pieces)], F.lit(min(2**31 - 1, 8 * pieces))).alias("__all"),
+    ).where(F.col("__n") > rows)
+    step = F.greatest(F.lit(1), F.floor(F.lit(pieces) * F.lit(rows) / F.col("__n")).cast("int"))
+    edges = F.array_distinct(F.transform(F.sequence(step, F.greatest(step, F.size("__all")), step), lambda i: F.get(F.col("__all"), i - 1)))
+    return sketch.select(*keys, F.filter(edges, lambda e: e.isNotNull()).alias("__edges"))
+
+
+def _edges_below(edges: Column, value: Column, most: int) -> Column:
+    """How many of the sorted edges are at or below a value, by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= F.size(edges)) & (F.get(edges, at + s - 1) <= value), at + s).otherwise(at))
+
+
 def running(expr: Column, how: str = "sum") -> Scan:
     """Sum, min or max of `expr` from the start of the group to this row."""
     return Scan("running", expr, how)
@@ -60,12 +99,13 @@ def ordered_scan(
     keys: Sequence[str],
     order: Sequence[str | Column],
     scans: Mapping[str, Scan],
-    width: float | None = None,
+    width: float | Measured | None = None,
 ) -> DataFrame:
     """Add one column per scan, computed within `keys` in ascending `order`.
 
     A null key is a group like any other. Ties in `order` need a tie-break column to be
-    deterministic. With `width`, the first order column must be numeric.
+    deterministic. With `width`, the first order column must be numeric; a `Measured` width reads the input
+    once more for its edges, which are stored before the scan so that all of its steps cut alike.
     """
     order = _columns(order)
     up, upto = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
@@ -88,8 +128,19 @@ def ordered_scan(
     position = F.struct(*order)
     # as in a plain window, nulls come before all values and NaN after them
     lead = order[0].cast("double")
-    chunk = F.when(lead.isNull(), F.lit(-(2**62))).when(F.isnan(lead), F.lit(2**62)).otherwise(F.floor(order[0] / F.lit(width)))
-    cut = df.withColumn(_CHUNK, F.greatest(F.lit(-(2**62)), F.least(F.lit(2**62), chunk)))
+    rows, inner = df, None
+    if isinstance(width, Measured):
+        scratch_root(df.sparkSession)
+        edges = measured_edges(df, keys, lead, width).checkpoint()
+        if keys:
+            rows = join_keys(df, F.broadcast(edges), keys, "left")
+        else:
+            rows = df.withColumn("__edges", edges.select("__edges").scalar())
+        inner = F.coalesce(_edges_below(F.col("__edges"), lead, MOST_EDGES), F.lit(0)).cast("bigint")
+    else:
+        inner = F.floor(order[0] / F.lit(width))
+    chunk = F.when(lead.isNull(), F.lit(-(2**62))).when(F.isnan(lead), F.lit(2**62)).otherwise(inner)
+    cut = rows.withColumn(_CHUNK, F.greatest(F.lit(-(2**62)), F.least(F.lit(2**62), chunk))).select(*df.columns, _CHUNK)
 
     def summarise(scan: Scan) -> Column:
         if scan.kind == "running":
@@ -139,7 +190,7 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 def numbered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str,
-    width: float | None = None, start: int = 0,
+    width: float | Measured | None = None, start: int = 0,
 ) -> DataFrame:
     """Position of each row within its group, counted from `start`."""
     out = ordered_scan(df, keys, order, {name: running(F.lit(1).cast("bigint"))}, width)
@@ -149,7 +200,7 @@ def numbered(
 def lagged(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     previous: Mapping[str, Column] | None = None, following: Mapping[str, Column] | None = None,
-    width: float | None = None,
+    width: float | Measured | None = None,
 ) -> DataFrame:
     """Values of the neighbouring rows, nulls included (a one-field struct keeps a null apart
     from an absent row)."""
@@ -162,7 +213,7 @@ def lagged(
 
 def tie_ranks(
     df: DataFrame, keys: Sequence[str], value: str, rank: str = "avg_rank",
-    width: float | None = None, below: str | None = None,
+    width: float | Measured | None = None, below: str | None = None,
 ) -> DataFrame:
     """Average rank of `value` within `keys`; optionally `below`, the rows at or under it.
 
@@ -188,7 +239,7 @@ def tie_ranks(
 
 def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-    width: float | None = None,
+    width: float | Measured | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group, one column per entry of `probs`."""
     present = df.where(F.col(value).isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.operators.ordered import (
+    Measured,
     lagged, last_before, last_known, next_known, numbered, ordered_scan, quantiles, running,
 )
 from tempora.session import scratch_root
@@ -237,7 +238,7 @@ def smooth_fir(
     if width is None:
         spread, parts = frames, list(keys)
     else:
-        size = max(int(width), half + 1)
+        size = max(width.rows if isinstance(width, Measured) else int(width), half + 1)
         chunk = F.floor(F.col(index) / size)
         reach = F.sequence(F.floor((F.col(index) - half) / size), F.floor((F.col(index) + half) / size))
         spread = frames.withColumn(own, chunk).withColumn("__chunk", F.explode(reach))

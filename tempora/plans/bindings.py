@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.operators.movements import movement_timing
-from tempora.operators.ordered import numbered
+from tempora.operators.ordered import Measured, numbered
 from tempora.operators.segment import segment_movements
 from tempora.operators.timejoin import asof_backward
 from tempora.sizing import ROWS_PER_CHUNK, chunk_width
@@ -161,9 +161,10 @@ class Tables:
     def price_width(self) -> float | None:
         return self.width_of("lineitem", self.lineitem, ["l_suppkey"], "l_extendedprice")
 
-    def cut_if_many(self, name: str, width: float) -> float | None:
-        """`width` for result tables with one row per row of `name`, when those are too many."""
-        return None if self.hash_chunks(name, self.table(name)) is None else width
+    def measured(self, name: str) -> Measured | None:
+        """Measured chunk edges for scans of tables with up to one row per row of `name`, none while those fit one task."""
+        chunks = self.hash_chunks(name, self.table(name))
+        return None if chunks is None else Measured(ROWS_PER_CHUNK, chunks * ROWS_PER_CHUNK)
 
     @cached_property
     def points(self) -> DataFrame:

@@ -132,7 +132,7 @@ WITH {ZPETH}, k AS (
 q AS (SELECT session, unit, CASE WHEN round(abs(hi), 9) >= round(abs(lo), 9) THEN hi ELSE lo END AS signed_peak FROM k WHERE whole)
 SELECT *, row_number() OVER (ORDER BY round(signed_peak, 9) DESC, session, unit) AS peak_rank FROM q""", "signed_peak")
 def signed_peak(b):
-    return E.signed_peak(zpeth(b), UNIT, F.col("bin_start") >= 0, b.cut_if_many("events", 0.01))
+    return E.signed_peak(zpeth(b), UNIT, F.col("bin_start") >= 0, b.measured("events"))
 
 
 @query("mean_sem_by_bin", f"""

@@ -43,7 +43,7 @@ c2 AS ({T.fdr('c1', 'spearman_p', 'spearman_q')}), c3 AS ({T.fdr('c2', 'pearson_
 WITH {CORRELATED} SELECT *, coalesce(spearman_q < 0.05, false) AS spearman_sig_fdr, coalesce(pearson_q < 0.05, false) AS pearson_sig_fdr FROM c3""",
        "spearman_rho spearman_p spearman_q spearman_t pearson_r pearson_p pearson_q pearson_t")
 def unit_correlations(b):
-    return X.unit_correlations(lines(b), SUPP, "x", "y", width=b.price_width, p_width=b.cut_if_many("supplier", 0.05))
+    return X.unit_correlations(lines(b), SUPP, "x", "y", width=b.price_width, p_width=b.measured("supplier"))
 
 
 @query("corr_to_t", f"""
@@ -61,7 +61,7 @@ g AS (SELECT l_suppkey, l_returnflag, CASE WHEN l_suppkey % 9 > 0 THEN (l_suppke
 def fdr_bh(b):
     p = F.when(F.col("l_suppkey") % 9 > 0, (F.col("l_suppkey") % 37 + 1) / 500.0 * F.min("q"))
     groups = lines(b).groupBy("l_suppkey", "l_returnflag").agg(p.alias("p"))
-    return X.fdr_bh(groups, ["l_returnflag"], "p", "q", b.cut_if_many("supplier", 0.05))
+    return X.fdr_bh(groups, ["l_returnflag"], "p", "q", b.measured("supplier"))
 
 
 @query("fdr_bh_chunked", f"""
@@ -85,7 +85,7 @@ def _ols(prefix, y):
 @query("ols_per_unit", f"WITH {LINES}, {_ols('resp', 'y')}, {_ols('base', 'd')} SELECT * FROM resp2 FULL JOIN base2 USING (l_suppkey)",
        "resp_t resp_p resp_q base_coef base_t base_p base_q resp_coef")
 def ols_per_unit(b):
-    return X.fit_rt_ols(lines(b), SUPP, "q", "y", "d", 50, b.cut_if_many("supplier", 0.05))
+    return X.fit_rt_ols(lines(b), SUPP, "q", "y", "d", 50, b.measured("supplier"))
 
 
 @query("linregress", f"""
@@ -179,7 +179,7 @@ def wilcoxon_exact(b):
 
 @query("wilcoxon_unit_means", f"WITH RECURSIVE {BOUT_COUNTS}, c AS (SELECT round(response - inter_trial, 9) AS diff FROM paired), {_wilcoxon('wx', 'c', 'diff', '')} SELECT * FROM wx", "w p")
 def wilcoxon_unit_means(b):
-    return X.wilcoxon(paired_means(b).select(F.round(F.col("response") - F.col("inter_trial"), 9).alias("diff")), [], "diff", 1, b.cut_if_many("events", 0.01))
+    return X.wilcoxon(paired_means(b).select(F.round(F.col("response") - F.col("inter_trial"), 9).alias("diff")), [], "diff", 1, b.measured("events"))
 
 
 @query("sign_binomial", f"""
@@ -275,14 +275,14 @@ f AS (SELECT id, coalesce(f3, (SELECT quantile_cont(f3, 0.5) FROM r)) AS f3, coa
 SELECT id, (f3 - avg(f3) OVER ()) / stddev_pop(f3) OVER () AS f3, (f4 - avg(f4) OVER ()) / stddev_pop(f4) OVER () AS f4 FROM f""", "f3 f4")
 def impute_scale(b):
     holes = b.points.select("id", F.when(F.col("id") % 5 > 0, F.col("f3")).alias("f3"), F.when(F.col("id") % 7 > 0, F.col("f4")).alias("f4"))
-    return X.impute_scale(holes, ["f3", "f4"], b.width_of("points", b.points, [], "f3"))
+    return X.impute_scale(holes, ["f3", "f4"], b.measured("embeddings"))
 
 
 @query("feature_component_corr", " UNION ALL ".join(
     f"SELECT '{f}' AS feature, '{c}' AS component, count(*) AS n, {_corr('rf', 'rc')} AS rho FROM (SELECT {T.average_rank(f, '')} AS rf, {T.average_rank(c, '')} AS rc FROM points) q"
     for f in _F for c in ("x", "y")), "rho")
 def feature_component_corr(b):
-    return X.feature_component_corr(b.points, _F, ["x", "y"], 100, b.width_of("points", b.points, [], "f3")).drop("p")
+    return X.feature_component_corr(b.points, _F, ["x", "y"], 100, b.measured("embeddings")).drop("p")
 
 
 @query("mutual_information", """
@@ -317,7 +317,7 @@ def qq_pairs(b):
 WITH p AS (SELECT x * 0.6::DOUBLE + y * 0.64::DOUBLE + z * 0.48::DOUBLE AS proj, f3 FROM points), r AS (SELECT {T.average_rank('proj', '')} AS rp, {T.average_rank('f3', '')} AS rf FROM p)
 SELECT count(*) AS n, {_corr('rp', 'rf')} AS rho FROM r""", "rho")
 def projection_correlation(b):
-    return X.projection_correlation(b.points, ["x", "y", "z"], [0.6, 0.64, 0.48], "f3", False, b.width_of("points", b.points, [], "f3")).drop("p")
+    return X.projection_correlation(b.points, ["x", "y", "z"], [0.6, 0.64, 0.48], "f3", False, b.measured("embeddings")).drop("p")
 
 
 @query("linear_trend", """
@@ -349,7 +349,7 @@ def azimuth_elevation(b):
 @query("cone_half_angle", "SELECT label, quantile_cont(degrees(acos(greatest(-1, least(1, x / sqrt(x * x + y * y + z * z))))), 0.95) AS cone_half_angle_deg FROM points GROUP BY ALL", "cone_half_angle_deg", digits=5)
 def cone_half_angle(b):
     axis = [F.lit(1.0), F.lit(0.0), F.lit(0.0)]
-    return X.cone_half_angle(b.points, ["label"], axis, [F.col(c) for c in "xyz"], width=b.cut_if_many("embeddings", 0.01))
+    return X.cone_half_angle(b.points, ["label"], axis, [F.col(c) for c in "xyz"], width=b.measured("embeddings"))
 
 
 @query("compare_directions", """
@@ -411,7 +411,7 @@ def entry_table(b):
 
 def registry(b):
     flags = lines(b).select(F.concat_ws("_", "l_returnflag", "l_linestatus").alias("entry")).distinct().collect()  # the names of the entries
-    reg = R.UnitStatsRegistry(width=b.cut_if_many("supplier", 0.05), p_width=b.cut_if_many("supplier", 0.05))
+    reg = R.UnitStatsRegistry(width=b.measured("supplier"), p_width=b.measured("supplier"))
     reg.register_cor_table(sorted(r.entry for r in flags), entry_table(b), entry="entry", coef="r", p="p", n_trials="n")
     return reg.store()
 
@@ -437,14 +437,14 @@ wq AS ({T.fdr('wl', 'p', 'q', 'entry')})"""
 @query("register_regression", f"WITH {WIDE} SELECT CAST(l_suppkey AS VARCHAR) AS unit, t, p, q, coalesce(q < 0.05, false) AS sig_fdr FROM wq WHERE entry = 'ols::resp'", "t p q")
 def register_regression(b):
     reg = R.UnitStatsRegistry(prefix=lambda c: c)
-    fits = X.fit_rt_ols(lines(b), SUPP, "q", "y", "d", 50, b.cut_if_many("supplier", 0.05)).withColumn("session", F.lit("s"))
+    fits = X.fit_rt_ols(lines(b), SUPP, "q", "y", "d", 50, b.measured("supplier")).withColumn("session", F.lit("s"))
     reg.register_regression("rt", fits, t="resp_t", p="resp_p", q="resp_q", coef="resp_coef", n_trials="resp_n", unit="l_suppkey")
     return reg.get("rt").select("unit", "t", "p", "q", "sig_fdr")
 
 
 @query("register_wide", f"WITH {WIDE} SELECT entry, CAST(l_suppkey AS VARCHAR) AS unit, t, p, q, coef FROM wq", "t p q coef")
 def register_wide(b):
-    fits = X.fit_rt_ols(lines(b), SUPP, "q", "y", "d", 50, b.cut_if_many("supplier", 0.05)).select(
+    fits = X.fit_rt_ols(lines(b), SUPP, "q", "y", "d", 50, b.measured("supplier")).select(
         F.lit("s").alias("session"), F.col("l_suppkey").alias("unit"),
         *[F.col(f"{k}_{c}").alias(f"{'T' if c == 't' else c}_{k}") for k in ("resp", "base") for c in ("t", "p", "coef")],
     )

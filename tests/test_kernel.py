@@ -14,7 +14,7 @@ from tempora.operators import segment as G
 from tempora.operators import timejoin as J
 from tempora.sizing import chunk_width
 
-WIDTHS = [None, 3.0]
+WIDTHS = [None, 3.0, O.Measured(17, 600)]
 
 
 def rows(df, *order):
@@ -257,3 +257,22 @@ def test_an_interval_over_the_whole_axis_is_few_rows(spark):
     listed = J.listed_intervals(spans, "lo", "hi", 0.5).groupBy("lo", "hi").count().collect()
     assert len(listed) == 4 and max(r["count"] for r in listed) <= 2**J.NODE_BITS + 1
     assert J.interval_join(points, spans, ["k"], "t", "lo", "hi", 0.5).count() == 1000 + 1 + 1000
+
+
+def test_measured_edges_are_even_on_heavy_tails(spark):
+    """Every chunk stays under twice the wanted rows, whatever the shape of the column and the size of the other groups."""
+    rng = np.random.default_rng(1)
+    shapes = {"pareto": rng.pareto(0.4, 30_000), "lattice": np.exp(np.round(rng.normal(size=20_000), 3) * 9), "even": rng.random(9000), "small": rng.random(300)}
+    df = spark.createDataFrame(pd.DataFrame([(k, float(v)) for k, vs in shapes.items() for v in vs], columns=["k", "v"])).repartition(7)
+    width = O.Measured(1000, 60_000)
+    edges = {r.k: r["__edges"] for r in O.measured_edges(df, ["k"], F.col("v"), width).collect()}
+    assert set(edges) == {"pareto", "lattice", "even"}
+    for k, cut in edges.items():
+        sizes = np.bincount(np.searchsorted(cut, shapes[k], "right"))
+        assert sizes.max() < 2000 and len(sizes) < 2.5 * len(shapes[k]) / 1000
+    counted = df.select("k", "v", F.xxhash64("v").alias("i")).dropDuplicates()
+    plain, chunked = (O.numbered(counted, ["k"], ["v", "i"], "n", w).groupBy("k").agg(F.sum(F.col("n") * F.col("v")).alias("s"), F.count_distinct("n").alias("c")) for w in (None, width))
+    a, b = ({r.k: r for r in x.collect()} for x in (plain, chunked))
+    assert all(a[k].c == b[k].c and a[k].s == pytest.approx(b[k].s) for k in a)
+    alone = O.tie_ranks(df.where("k = 'pareto'"), [], "v", width=O.Measured(1000, 30_000)).agg(F.sum("avg_rank")).first()[0]
+    assert alone == 30_000 * 30_001 / 2
