@@ -1,4 +1,4 @@
-"""Random subsets for permutation tests: replicates are arrays inside a task, and only their sums leave it.
+"""Random subsets and bootstrap weights: replicates are arrays inside a task, and only their sums leave it.
 
 Rows with equal values are one bin with a count. Bins are dealt by hash to the leaves of a binary tree; how many of a subset's
 items fall on either side of a node is one hypergeometric draw, fixed by the seed and the node, so every task that
@@ -101,3 +101,71 @@ def subset_sums(
     placed = join_keys(rows, sized, [*on, "__leaf"])
     drawn_sums = placed.groupBy(*on, "__leaf").applyInArrow(draw, ", ".join([*fields, "rep int", *(f"`{s}` double" for s in sums)]))
     return drawn_sums.groupBy(*on, "rep").agg(*[F.sum(s).alias(s) for s in sums])
+
+
+#: Groups whose sums a task holds at a time, and rows that meet all replicates at once.
+HELD_GROUPS, BLOCK = 64, 512
+
+
+def uniforms(hashes: np.ndarray, replicate: np.ndarray) -> np.ndarray:
+    """(replicates x rows) numbers in [0, 1), fixed by the rows' hashes and the replicate numbers (the splitmix64 finaliser)."""
+    x = hashes.astype(np.uint64)[None, :] + replicate.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return (x >> np.uint64(11)) * 2.0**-53
+
+
+def _poisson_steps(top: int = 18) -> np.ndarray:
+    """P(N <= k) of a Poisson(1) count; more than `top` has less chance than the step of a 53-bit number."""
+    terms = np.cumprod(np.concatenate([[np.exp(-1.0)], 1.0 / np.arange(1, top)]))
+    return np.cumsum(terms)
+
+
+def bootstrap_moments(df: DataFrame, on: Sequence[str], columns: Sequence[str], row_id: Sequence[str], n_boot: int, seed: int = 0) -> DataFrame:
+    """(on, rep, w, m0, m1, ..., c0_0, c0_1, ...): per group and replicate the sums of weights, weighted columns and weighted products.
+
+    Replicate 0 weighs every row once; 1..n_boot weigh rows by Poisson(1) counts fixed by the seed and the row id. A
+    task multiplies blocks of rows with the weights of all replicates and emits one row per group and replicate, so what is
+    shuffled does not grow with the rows. Rows with a null or NaN in `columns` must have been dropped.
+    """
+    d = len(columns)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    names = ["w", *(f"m{i}" for i in range(d)), *(f"c{i}_{j}" for i, j in pairs)]
+    kinds = {c: df.schema[c].dataType for c in on}
+    fields = ", ".join([*(f"`{c}` {k.simpleString()}" for c, k in kinds.items()), "rep int", *(f"{n} double" for n in names)])
+    steps, replicate = _poisson_steps(), np.arange(1, n_boot + 1)
+
+    def fold(batches):
+        held: dict[tuple, np.ndarray] = {}
+        types: dict[str, pa.DataType] = {}
+
+        def emit():
+            for key, sums in held.items():
+                keys = {c: pa.array([v] * (n_boot + 1), types[c]) for c, v in zip(on, key)}
+                yield pa.RecordBatch.from_pydict({**keys, "rep": pa.array(np.arange(n_boot + 1), pa.int32()), **{n: pa.array(x) for n, x in zip(names, sums.T)}})
+            held.clear()
+
+        for batch in batches:
+            types = types or {c: batch.schema.field(c).type for c in on}
+            values = np.stack([batch.column(f"__x{i}").to_numpy(zero_copy_only=False) for i in range(d)], 1) if batch.num_rows else np.zeros((0, d))
+            hashes = batch.column("__h").to_numpy()
+            code: dict[tuple, list[int]] = {}
+            for row, key in enumerate(zip(*[batch.column(c).to_pylist() for c in on]) if on else [()] * batch.num_rows):
+                code.setdefault(key, []).append(row)
+            for key, own in code.items():
+                if key not in held and len(held) >= HELD_GROUPS:
+                    yield from emit()
+                sums = held.setdefault(key, np.zeros((n_boot + 1, len(names))))
+                for k in range(0, len(own), BLOCK):
+                    x, h = values[own[k : k + BLOCK]], hashes[own[k : k + BLOCK]]
+                    terms = np.concatenate([np.ones((len(x), 1)), x, np.stack([x[:, i] * x[:, j] for i, j in pairs], 1)], 1)
+                    sums[0] += terms.sum(0)
+                    weights = np.searchsorted(steps, uniforms(h, replicate).ravel(), side="right").reshape(n_boot, len(x)).astype(np.float64)
+                    sums[1:] += weights @ terms
+        yield from emit()
+
+    rows = df.select(*on, F.xxhash64(F.lit(seed), *row_id).alias("__h"), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)])
+    return rows.mapInArrow(fold, fields).groupBy(*on, "rep").agg(*[F.sum(n).alias(n) for n in names])

@@ -1,9 +1,8 @@
 """Permutation and bootstrap tests, neighbours, directions and classifiers.
 
-Replicates are keys, not loops: every test is one plan over (replicate, row). Randomness is a
-hash of (seed, row id), so a recomputed partition draws the same numbers. Bootstrap weights are
-Poisson(1) draws folded straight into partial aggregates, so nothing but sums is shuffled;
-permutations need one shuffle of replicates x rows.
+Every test is one plan. Randomness is a hash of (seed, row id), so a recomputed partition draws the same
+numbers. Bootstraps and permutations of group labels keep replicates as arrays inside a task and shuffle only sums
+(`draws`); permutations of values over places need one shuffle of replicates x rows.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.geometry import dot
-from tempora.operators.draws import leaf_levels, subset_sums
+from tempora.operators.draws import bootstrap_moments, leaf_levels, subset_sums
 from tempora.operators.ordered import join_keys, numbered, quantiles, tie_ranks
 from tempora.operators.stats import circular_from_ranks, linear_axis_sums, linear_trend, solve_axis
 from tempora.session import scratch_root
@@ -28,16 +27,6 @@ def uniform(seed: int, *cols: str | Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11)).cast("double") / float(2**53)
 
 
-def poisson_weight(u: Column, top: int = 18) -> Column:
-    """Poisson(1) draw from a uniform number; more than `top` has less chance than the step of a 53-bit number."""
-    total, term, out = 0.0, math.exp(-1.0), F.lit(0.0)
-    for k in range(top):
-        total += term
-        out = out + F.when(u >= total, 1.0).otherwise(0.0)
-        term /= k + 1
-    return out
-
-
 def replicates(df: DataFrame, n: int) -> DataFrame:
     """Every row once per replicate number 1..n."""
     return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
@@ -50,17 +39,16 @@ def bootstrap_std_ci(
     """Percentile interval of the population sd over Poisson bootstrap replicates."""
     rows = df.where(F.col(value).isNotNull())
     sized = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(value).alias("std"), F.avg(value).alias("__m"))
-    w = poisson_weight(uniform(seed, "rep", *row_id))
-    x = F.col(value) - F.col("__m")
-    sums = replicates(rows.join(sized.select(*on, "__m"), list(on)), n_boot).groupBy(*on, "rep").agg(
-        F.sum(w).alias("w"), F.sum(w * x).alias("s"), F.sum(w * x * x).alias("ss")
-    )
-    var = F.col("ss") / F.nullif(F.col("w"), F.lit(0.0)) - (F.col("s") / F.nullif(F.col("w"), F.lit(0.0))) ** 2
+    # moments about the mean of the group keep their digits
+    centred = join_keys(rows, sized.select(*on, "__m"), list(on)).withColumn("__x", F.col(value) - F.col("__m"))
+    sums = bootstrap_moments(centred, on, ["__x"], row_id, n_boot, seed).where(F.col("rep") > 0)
+    w = F.nullif(F.col("w"), F.lit(0.0))
+    var = F.col("c0_0") / w - (F.col("m0") / w) ** 2
     ci = quantiles(
         sums.withColumn("sd", F.sqrt(F.greatest(var, F.lit(0.0)))), on, "sd",
         {"std_ci_low": alpha / 2, "std_ci_high": 1 - alpha / 2},
     )
-    wide = sized.drop("__m").join(ci, list(on), "left")
+    wide = join_keys(sized.drop("__m"), ci, list(on), "left")
     return wide.withColumns({
         c: F.when(F.col("n") >= min_n, F.col(c)) for c in ("std_ci_low", "std_ci_high")
     })
@@ -203,10 +191,12 @@ def bootstrap_axis(
 ) -> DataFrame:
     """Observed (rep 0) and bootstrap unit directions of a linear axis, signs aligned."""
     rows = df.dropna(subset=[*coords, feature])
-    w = poisson_weight(uniform(seed, "rep", *row_id))
-    both = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot))))
-    weight = F.when(F.col("rep") == 0, 1.0).otherwise(w)
-    sums = both.groupBy("rep").agg(*linear_axis_sums(weight, coords, feature))
+    names = ["x0", "x1", "x2", "y"]
+    moments = bootstrap_moments(rows, [], [*coords, feature], row_id, n_boot, seed)
+    sums = moments.select(
+        "rep", F.col("w").alias("s_one_one"), *[F.col(f"m{i}").alias(f"s_{a}_one") for i, a in enumerate(names)],
+        *[F.col(f"c{i}_{j}").alias(f"s_{names[i]}_{names[j]}") for i in range(4) for j in range(i, 4)],
+    )
     solved = solve_axis()
     axes = sums.select("rep", *[solved[f"a{i}"].alias(f"a{i}") for i in range(3)])
     return _aligned(axes)
@@ -220,18 +210,6 @@ def _aligned(axes: DataFrame) -> DataFrame:
     return placed.withColumn("__f", flip).select("rep", *[(F.col(f"a{i}") * F.col("__f")).alias(f"a{i}") for i in range(3)])
 
 
-def _moment_table(df: DataFrame, columns: Sequence[str], row_id: Sequence[str], n_boot: int, seed: int, extra: Sequence[str] = ()) -> DataFrame:
-    """Weighted first and second moments of the columns per replicate (and class)."""
-    w = F.when(F.col("rep") == 0, 1.0).otherwise(poisson_weight(uniform(seed, "rep", *row_id)))
-    both = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot)))).withColumn("__w", w)
-    sums = [F.sum("__w").alias("n")] + [F.sum(F.col("__w") * F.col(c)).alias(f"m{i}") for i, c in enumerate(columns)]
-    sums += [
-        F.sum(F.col("__w") * F.col(a) * F.col(b)).alias(f"c{i}_{j}")
-        for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j
-    ]
-    return both.groupBy("rep", *extra).agg(*sums)
-
-
 def axis_cca(df: DataFrame, row_id: Sequence[str], coords: Sequence[str], features: Sequence[str], n_boot: int, seed: int = 0) -> DataFrame:
     """First canonical direction of the coordinates against the features, per replicate.
 
@@ -242,26 +220,26 @@ def axis_cca(df: DataFrame, row_id: Sequence[str], coords: Sequence[str], featur
     columns = [*coords, *features]
     d, k = len(columns), len(coords)
 
-    def first_direction(pdf):
-        row = pdf.iloc[0]
-        n = row["n"]
-        mean = np.array([row[f"m{i}"] for i in range(d)]) / n
-        cov = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] / n - mean[i] * mean[j]
-        xx, yy, xy = cov[:k, :k], cov[k:, k:], cov[:k, k:]
-        values, vectors = np.linalg.eigh(xx)
-        root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-12))) @ vectors.T
-        core = root @ xy @ np.linalg.pinv(yy) @ xy.T @ root
-        _, u = np.linalg.eigh((core + core.T) / 2)
-        axis = root @ u[:, -1]
-        axis = axis / np.linalg.norm(axis)
-        return pdf[["rep"]].assign(**{f"a{i}": axis[i] for i in range(k)})
-
-    moments = _moment_table(df.dropna(subset=columns), columns, row_id, n_boot, seed)
+    def first_directions(batches):
+        for pdf in batches:
+            n = pdf["w"].to_numpy()[:, None]
+            mean = pdf[[f"m{i}" for i in range(d)]].to_numpy() / n
+            cov = np.zeros((len(pdf), d, d))
+            for i in range(d):
+                for j in range(i, d):
+                    cov[:, i, j] = cov[:, j, i] = pdf[f"c{i}_{j}"].to_numpy() / n[:, 0] - mean[:, i] * mean[:, j]
+            xx, yy, xy = cov[:, :k, :k], cov[:, k:, k:], cov[:, :k, k:]
+            values, vectors = np.linalg.eigh(xx)
+            root = (vectors / np.sqrt(np.maximum(values, 1e-12))[:, None, :]) @ vectors.transpose(0, 2, 1)
+            core = root @ xy @ np.linalg.pinv(yy) @ xy.transpose(0, 2, 1) @ root
+            _, u = np.linalg.eigh((core + core.transpose(0, 2, 1)) / 2)
+            axis = (root @ u[:, :, -1:])[:, :, 0]
+            axis /= np.linalg.norm(axis, axis=1, keepdims=True)
+            yield pdf[["rep"]].assign(**{f"a{i}": axis[:, i] for i in range(k)})
+
+    moments = bootstrap_moments(df.dropna(subset=columns), [], columns, row_id, n_boot, seed).where(F.col("w") > 0)
     schema = "rep int, " + ", ".join(f"a{i} double" for i in range(k))
-    return _aligned(moments.groupBy("rep").applyInPandas(first_direction, schema))
+    return _aligned(moments.mapInPandas(first_directions, schema))
 
 
 def axis_lda(df: DataFrame, row_id: Sequence[str], coords: Sequence[str], label: str, n_boot: int, seed: int = 0) -> DataFrame:
@@ -269,26 +247,28 @@ def axis_lda(df: DataFrame, row_id: Sequence[str], coords: Sequence[str], label:
     import numpy as np
 
     k = len(coords)
-
-    def first_direction(pdf):
-        within, between = np.zeros((k, k)), np.zeros((k, k))
-        total = pdf["n"].sum()
-        grand = np.array([pdf[f"m{i}"].sum() for i in range(k)]) / total
-        for _, row in pdf[pdf["n"] > 0].iterrows():
-            mean = np.array([row[f"m{i}"] for i in range(k)]) / row["n"]
-            for i in range(k):
-                for j in range(k):
-                    a, b = min(i, j), max(i, j)
-                    within[i, j] += row[f"c{a}_{b}"] - row["n"] * mean[i] * mean[j]
-            between += row["n"] * np.outer(mean - grand, mean - grand)
-        values, vectors = np.linalg.eig(np.linalg.pinv(within) @ between)
-        axis = np.real(vectors[:, np.argmax(np.real(values))])
-        axis = axis / np.linalg.norm(axis)
-        return pdf.iloc[:1][["rep"]].assign(**{f"a{i}": axis[i] for i in range(k)})
-
-    moments = _moment_table(df.dropna(subset=[*coords, label]), coords, row_id, n_boot, seed, [label])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def first_directions(batches):
+        for pdf in batches:
+            out = []
+            for classes in pdf["classes"]:  # one row of sums per class
+                sums = np.array([list(c) for c in classes])
+                n, means = sums[:, 0], sums[:, 1 : k + 1] / sums[:, :1]
+                second = np.zeros((k, k))
+                for (i, j), total in zip(pairs, sums[:, k + 1 :].sum(0)):
+                    second[i, j] = second[j, i] = total
+                within = second - (means * n[:, None]).T @ means
+                apart = means - (n @ means) / n.sum()
+                values, vectors = np.linalg.eig(np.linalg.pinv(within) @ ((apart * n[:, None]).T @ apart))
+                axis = np.real(vectors[:, np.argmax(np.real(values))])
+                out.append(axis / np.linalg.norm(axis))
+            yield pdf[["rep"]].assign(**{f"a{i}": [a[i] for a in out] for i in range(k)})
+
+    moments = bootstrap_moments(df.dropna(subset=[*coords, label]), [label], coords, row_id, n_boot, seed).where(F.col("w") > 0)
+    sums = F.array("w", *[f"m{i}" for i in range(k)], *[f"c{i}_{j}" for i, j in pairs])
     schema = "rep int, " + ", ".join(f"a{i} double" for i in range(k))
-    return _aligned(moments.drop(label).groupBy("rep").applyInPandas(first_direction, schema))
+    return _aligned(moments.groupBy("rep").agg(F.collect_list(sums).alias("classes")).mapInPandas(first_directions, schema))
 
 
 def circular_permutation(df: DataFrame, row_id: Sequence[str], angle: str, first: Column, n_perm: int, seed: int = 0, chunks: int | None = None) -> DataFrame:

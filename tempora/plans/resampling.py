@@ -67,12 +67,12 @@ def axis_linear_boot(b):
 
 @query("axis_cca")
 def axis_cca(b):
-    return P.axis_cca(b.points, ["id"], XYZ, FEATURES, 200, seed=2)
+    return P.axis_cca(b.points, ["id"], XYZ, FEATURES, 2000, seed=2)
 
 
 @query("axis_lda")
 def axis_lda(b):
-    return P.axis_lda(b.points, ["id"], XYZ, "label", 200, seed=2)
+    return P.axis_lda(b.points, ["id"], XYZ, "label", 2000, seed=2)
 
 
 def two_angles(b):

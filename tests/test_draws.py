@@ -80,3 +80,54 @@ def test_large_nodes_are_split_near_their_mean():
     sd = math.sqrt(4e9 * 0.25 * 0.75 * (8 / 12))
     assert abs(taken.mean() - 1e9) < 4 * sd / math.sqrt(2000) and abs(taken.std() / sd - 1) < 0.1
     assert draws.hypergeometric(rng, 5, np.int64(10**10), np.array([10**10 + 5, 0])).tolist() == [5, 0]
+
+
+def test_bootstrap_moments(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, i, *map(float, rng.normal(size=3))) for g in ("a", "b", None) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, i int, x double, y double, z double")
+    got = draws.bootstrap_moments(df.repartition(3), ["g"], ["x", "y", "z"], ["g", "i"], 400, 5).toPandas()
+    assert len(got) == 3 * 401
+    again = draws.bootstrap_moments(df.repartition(7), ["g"], ["x", "y", "z"], ["g", "i"], 400, 5).toPandas()
+    order = ["g", "rep"]
+    a, b = (t.fillna({"g": "-"}).sort_values(order).drop(columns="g").to_numpy() for t in (got, again))
+    assert np.allclose(a, b)
+    for g in ("a", "b", None):
+        own = np.array([r[2:] for r in rows if r[0] == g])
+        t = got[got.g.isna() if g is None else got.g == g].set_index("rep").sort_index()
+        first = t.loc[0]
+        assert first.w == 700 and np.allclose([first.m0, first.m1, first.m2], own.sum(0)) and np.allclose([first.c0_1, first.c2_2], [own[:, 0] @ own[:, 1], own[:, 2] @ own[:, 2]])
+        weights = t.loc[1:].w
+        assert abs(weights.mean() - 700) < 4 * math.sqrt(700 / 400) and 0.8 < weights.std() / math.sqrt(700) < 1.2
+        means = t.loc[1:].m0 / weights
+        assert abs(means.std() / (own[:, 0].std() / math.sqrt(700)) - 1) < 0.2
+    assert draws.bootstrap_moments(df.limit(0), [], ["x"], ["i"], 5).count() == 0
+
+
+def test_poisson_weights_have_their_frequencies():
+    u = draws.uniforms(np.arange(2000), np.arange(1, 101))
+    counts = np.bincount(np.searchsorted(draws._poisson_steps(), u.ravel(), side="right"), minlength=6) / u.size
+    assert np.allclose(counts[:6], [math.exp(-1) / math.factorial(k) for k in range(6)], atol=0.003)
+
+
+def test_axes_of_the_rows_themselves(spark):
+    """Replicate 0 solves the eigen equation of its method."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 3)) * [1.0, 2.0, 0.5]
+    label = rng.integers(0, 3, 500)
+    x += np.outer(label, [1.5, -0.5, 0.2])
+    f = x @ np.array([[0.5, 1.0], [-1.0, 0.2], [0.3, 2.0]]) + rng.normal(size=(500, 2))
+    df = spark.createDataFrame([(i, *map(float, x[i]), *map(float, f[i]), int(label[i])) for i in range(500)], "i int, x double, y double, z double, f double, g double, l int")
+    cca = {r.rep: np.array([r.a0, r.a1, r.a2]) for r in R.axis_cca(df, ["i"], ["x", "y", "z"], ["f", "g"], 50).collect()}
+    assert len(cca) == 51
+    c = np.cov(np.hstack([x, f]).T, bias=True)
+    m = np.linalg.inv(c[:3, :3]) @ c[:3, 3:] @ np.linalg.inv(c[3:, 3:]) @ c[3:, :3]
+    top = max(np.linalg.eigvals(m).real)
+    assert np.allclose(m @ cca[0], top * cca[0], atol=1e-8)
+    lda = {r.rep: np.array([r.a0, r.a1, r.a2]) for r in R.axis_lda(df, ["i"], ["x", "y", "z"], "l", 50).collect()}
+    means = np.array([x[label == k].mean(0) for k in range(3)])
+    within = sum(np.cov(x[label == k].T, bias=True) * (label == k).sum() for k in range(3))
+    between = sum((label == k).sum() * np.outer(means[k] - x.mean(0), means[k] - x.mean(0)) for k in range(3))
+    m = np.linalg.inv(within) @ between
+    assert len(lda) == 51 and np.allclose(m @ lda[0], max(np.linalg.eigvals(m).real) * lda[0], atol=1e-8)
+    assert np.mean([v @ lda[0] for v in lda.values()]) > 0.95
