@@ -20,8 +20,8 @@ from tempora.llm.common import flat as flat_text
 
 #: Bytes of text of a block, inside which a word travels once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 23
-#: Bundles of words that are encoded together.
-BUNDLES = 512
+#: Bundles of words that are encoded together, and texts that leave a task together.
+BUNDLES, TEXTS = 256, 256
 #: Words or tokens that one step inside a block works on.
 STEP = 1 << 17
 BUNDLE = pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary())])
@@ -56,16 +56,24 @@ class Splitter:
 
         self.find = regex.compile(pattern)
         single = {bytes([i]): i for i in range(256)}
-        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-        theirs, ours = {}, {}
+        points = np.arange(0x110000, dtype="<u4")
+        every = points[(points < 0xD800) | (points > 0xDFFF)].tobytes().decode("utf-32-le")
+        theirs, odd = {}, np.zeros(0x110000, bool)
         for name in self.CLASSES:
-            matches = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
-            theirs[name] = set(bytes(matches.encode_ordinary(every)).decode())
-            ours[name] = set(regex.findall(name, every))
-        odd = set().union(*(theirs[n] ^ ours[n] for n in self.CLASSES))
-        self.stand_in = {ord(c): next((s for n, s in self.CLASSES.items() if c in theirs[n]), self.OTHER) for c in odd}
-        self.odd = odd
-        self.high = regex.compile(f"[{min(odd)}-\U0010ffff]") if odd else regex.compile(r"(?!)")
+            matches = tiktoken.Encoding("class", pat_str=name + "+", mergeable_ranks=single, special_tokens={})
+            theirs[name] = self._points(bytes(matches.encode_ordinary(every)).decode())
+            odd |= theirs[name] != self._points("".join(regex.findall(name + "+", every)))
+        odd = np.flatnonzero(odd).tolist()
+        self.stand_in = {c: next((s for n, s in self.CLASSES.items() if theirs[n][c]), self.OTHER) for c in odd}
+        self.odd = frozenset(map(chr, odd))
+        self.high = regex.compile(f"[{chr(odd[0])}-\U0010ffff]") if odd else regex.compile(r"(?!)")
+
+    @staticmethod
+    def _points(text: str) -> np.ndarray:
+        """Which code points a text has."""
+        out = np.zeros(0x110000, bool)
+        out[np.frombuffer(text.encode("utf-32-le"), "<u4")] = True
+        return out
 
     def words(self, text: str) -> Iterator[str]:
         if text.isascii() or not self.high.search(text) or self.odd.isdisjoint(text):
@@ -215,7 +223,8 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                 data = np.concatenate([unpack(x["ids"]) for x in row["found"]]) if size else np.zeros(0, np.uint32)
                 size = np.concatenate(size) if size else np.zeros(0, np.int64)
                 ends = np.cumsum(size)
-                dealt = unpack(row["dealt"])
+                dealt, sizes = unpack(row["dealt"]), unpack(row["sizes"]).tolist()
+                keys, done = batch.column("keys").slice(k, 1).flatten(), 0
                 if len(dealt) != len(size):
                     raise RuntimeError("a block was made anew of other rows than before: store a table whose rows change places")
                 # what came back is in order of buckets; a word's place among them is that of its bucket and its turn there
@@ -223,11 +232,15 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                 turn = np.argsort(dealt, kind="stable")
                 low[turn], high[turn] = ends - size, ends
                 codes, at, out = unpack(row["codes"]), 0, []
-                for n in unpack(row["sizes"]).tolist():
+                del row
+                for n in sizes:
                     steps = (codes[k : min(k + STEP, at + n)].astype(np.int64) for k in range(at, at + n, STEP))
                     out.append(b"".join(_spans(data, low[x], high[x]).tobytes() for x in steps))
                     at += n
-                yield pa.RecordBatch.from_arrays([batch.column("keys").slice(k, 1).flatten(), _arrow_bytes(out)], names=[key, "ids"])
+                    if len(out) == TEXTS:
+                        yield pa.RecordBatch.from_arrays([keys.slice(done, TEXTS), _arrow_bytes(out)], names=[key, "ids"])
+                        done, out = done + TEXTS, []
+                yield pa.RecordBatch.from_arrays([keys.slice(done), _arrow_bytes(out)], names=[key, "ids"])
 
     return blocks.join(found, own, "left").mapInArrow(assemble, f"`{key}` {kind}, ids binary")
 
@@ -253,7 +266,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
     def join(batches):
         data, offsets = token_bytes(path)
         last = len(offsets) - 2
-        for batch in batches:
+        for batch in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
             out = []
             for one in batch.column(ids).to_pylist():
                 if one is None:
