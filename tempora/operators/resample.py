@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from tempora.functions.geometry import dot
 from tempora.operators.draws import bootstrap_moments, leaf_levels, subset_sums
-from tempora.operators.ordered import join_keys, numbered, quantiles, tie_ranks
+from tempora.operators.ordered import Measured, join_keys, numbered, quantiles, tie_ranks
 from tempora.operators.stats import circular_from_ranks, linear_axis_sums, linear_trend, solve_axis
 from tempora.session import scratch_root
+from tempora.sizing import ROWS_PER_CHUNK
 
 HASH_SPAN = 2.0**64
 
@@ -150,7 +151,7 @@ def neighbours(
 
 def knn_cv_r2(
     df: DataFrame, row_id: str, coords: Sequence[str], feature: str, fold: str, k: int, cell: float,
-    n_perm: int, seed: int = 0,
+    n_perm: int, seed: int = 0, chunks: int | None = None,
 ) -> DataFrame:
     """Cross-validated R2 of distance-weighted neighbours, with a permutation p.
 
@@ -164,7 +165,7 @@ def knn_cv_r2(
         1 / F.nullif(F.col("distance"), F.lit(0.0))
     )
     weighted = edges.join(zero, row_id).select(row_id, "neighbour", weight.alias("w"))
-    shuffled = permuted(rows, [row_id], [feature], [row_id], n_perm, seed) if n_perm else None
+    shuffled = permuted(rows, [row_id], [feature], [row_id], n_perm, seed, chunks) if n_perm else None
     values = rows.select(F.lit(0).alias("rep"), row_id, F.col(feature).cast("double").alias("y"))
     if shuffled is not None:
         values = values.unionByName(shuffled.select("rep", row_id, F.col(feature).cast("double").alias("y")))
@@ -364,15 +365,19 @@ def classify_sessions(df: DataFrame, features: Sequence[str], label: str, row_id
     return scored, float(cv.avgMetrics[0])
 
 
-def logistic_direction(df: DataFrame, features: Sequence[str], label: str, row_id: str, test_share: float = 0.3, seed: int = 0) -> DataFrame:
-    """Standardised logistic coefficients with the AUC lost when a column is shuffled.
+def logistic_direction(
+    df: DataFrame, features: Sequence[str], label: str, row_id: str, test_share: float = 0.3, seed: int = 0,
+    repeats: int = 30, chunks: int | None = None,
+) -> DataFrame:
+    """Standardised logistic coefficients with the mean and sd, over `repeats`, of the AUC lost when a column is shuffled.
 
-    The split and the shuffles are by hash. All shuffled copies are scored in one pass.
+    The split and the shuffles are by hash. A held-out row is read once: it keeps its label, its score and what each column adds to
+    the score, and of a shuffled row only those additions are needed. Column and repeat are keys of one table of scores, whose
+    AUCs come from rank sums. Rows with a null are left out.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
     from tempora.operators.perievent import auc_by_bin
 
@@ -383,18 +388,24 @@ def logistic_direction(df: DataFrame, features: Sequence[str], label: str, row_i
         StandardScaler(inputCol="__raw", outputCol="__f", withMean=True, withStd=True),
         LogisticRegression(featuresCol="__f", labelCol="__y"),
     ])
-    model = pipeline.fit(rows.where(~test))
-    held = rows.where(test)
-    copies = held.withColumn("feature", F.lit("none"))
-    for f in features:
-        mixed = permuted(held, [row_id], [f], [row_id, "__y", *[g for g in features if g != f]], 1, seed).drop("rep")
-        copies = copies.unionByName(mixed.withColumn("feature", F.lit(f)))
-    scored = model.transform(copies).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
-    aucs = auc_by_bin(scored.withColumn("__l", F.col("__y").cast("int")), ["feature"], "score", "__l")
+    _, scaler, fitted = pipeline.fit(rows.where(~test)).stages
+    weights = fitted.coefficients.toArray()
+    adds = [
+        (F.col(f) - float(m)) * float(w / sd if sd else 0.0) for f, m, sd, w in zip(features, scaler.mean.toArray(), scaler.std.toArray(), weights)
+    ]
+    held = rows.where(test).select(row_id, F.col("__y").cast("int").alias("__y"), F.array(*adds).alias("__own"))
+    held = held.withColumn("__score", F.aggregate("__own", F.lit(float(fitted.intercept)), lambda a, x: a + x))
+    mixed = permuted(held.withColumn("__other", F.col("__own")), [row_id], ["__other"], ["__own", "__score", "__y"], repeats, seed, chunks)
+    scored = mixed.select("rep", "__y", "__score", F.posexplode(F.zip_with("__own", "__other", lambda own, other: other - own)).alias("__at", "__change"))
+    named = F.array(*map(F.lit, features))
+    scored = scored.select(F.get(named, F.col("__at")).alias("feature"), "rep", "__y", (F.col("__score") + F.col("__change")).alias("score"))
+    whole = held.select(F.lit("none").alias("feature"), F.lit(0).alias("rep"), "__y", F.col("__score").alias("score"))
+    width = None if chunks is None else Measured(ROWS_PER_CHUNK, chunks * ROWS_PER_CHUNK * repeats * len(features))
+    aucs = auc_by_bin(scored.unionByName(whole), ["feature", "rep"], "score", "__y", width=width)
     base = aucs.where(F.col("feature") == "none").select("auc").scalar()
-    weights = model.stages[-1].coefficients.toArray()
     coefficient = F.create_map(*[c for f, v in zip(features, weights) for c in (F.lit(f), F.lit(float(v)))])
-    return aucs.where(F.col("feature") != "none").select(
-        "feature", coefficient[F.col("feature")].alias("coefficient"), base.alias("auc"),
-        (base - F.col("auc")).alias("importance"),
+    return aucs.where(F.col("feature") != "none").groupBy("feature").agg(
+        F.count(F.lit(1)).alias("repeats"), F.avg("auc").alias("__mean"), F.stddev_pop("auc").alias("importance_sd"),
+    ).select(
+        "feature", coefficient[F.col("feature")].alias("coefficient"), base.alias("auc"), (base - F.col("__mean")).alias("importance"), "importance_sd", "repeats",
     )

@@ -386,18 +386,22 @@ def mutual_information(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
 
 
 def density_curve(df: DataFrame, on: Sequence[str], value: str, lo: float, step: float, n_points: int) -> DataFrame:
-    """Gaussian kernel density on a fixed grid with the n^(-1/5) rule; the sums over rows are
-    partial aggregates of fixed size per group."""
+    """Gaussian kernel density on a fixed grid with the n^(-1/5) rule.
+
+    The grid is an array of sums in one aggregate: a row is read once and copied for no point, and what is shuffled has
+    the size of the grid.
+    """
     rows = df.where(F.col(value).isNotNull())
     scale = rows.groupBy(*on).agg(
         (F.stddev_samp(value) * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))).alias("h")
     ).where(F.col("h") > 0)
-    joined = rows.join(scale, list(on)) if on else rows.withColumn("h", scale.scalar())
-    grid = joined.select(*on, value, "h", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))).alias("point"))
-    z = (F.col(value) - (lo + F.col("point") * step)) / F.col("h")
-    bell = F.exp(-z * z / 2) / (F.col("h") * math.sqrt(2 * math.pi))
-    return grid.groupBy(*on, F.col("point").cast("bigint").alias("point")).agg(F.avg(bell).alias("density")).withColumn(
-        "x", lo + F.col("point") * step
+    joined = join_keys(rows, scale, list(on))
+    away = [(F.col(value) - F.lit(lo + p * step)) / F.col("h") for p in range(n_points)]
+    sums = joined.groupBy(*on, "h").agg(F.count(F.lit(1)).alias("__n"), F.array(*[F.sum(F.exp(-z * z / 2)) for z in away]).alias("__s"))
+    spread = sums.select(*on, "h", "__n", F.posexplode("__s").alias("point", "__sum"))
+    return spread.select(
+        *on, F.col("point").cast("bigint").alias("point"), (F.lit(lo) + F.col("point") * step).alias("x"),
+        (F.col("__sum") / (F.col("__n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"),
     )
 
 

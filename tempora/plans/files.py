@@ -324,6 +324,18 @@ def session_status(b):
     return K.session_status(b.ev, S, {"value_out_of_range": F.col("value") < 200, "zero_k": F.col("k") != 0})
 
 
+@query("run_sessions", """
+SELECT kind AS session, true AS ok, count(*) FILTER (WHERE value > 20) AS rows, false AS failed FROM ev GROUP BY ALL UNION ALL SELECT 'unreadable', false, NULL, true""")
+def run_sessions(b):
+    """One table a kind of event, and one that is no table."""
+    root, out = scratch_path(b.spark, "inputs"), scratch_path(b.spark, "outputs")
+    b.ev.write.partitionBy("kind").parquet(f"{root}/tables")
+    b.ev.select(F.col("kind").alias("value")).distinct().write.text(f"{root}/tables/kind=unreadable")
+    names = sorted(r.kind for r in b.ev.select("kind").distinct().collect()) + ["unreadable"]
+    status = K.run_sessions(b.spark, names, lambda name: b.spark.read.parquet(f"{root}/tables/kind={name}").where("value > 20"), out)
+    return status.select("session", "ok", "rows", F.col("error").isNotNull().alias("failed"))
+
+
 @query("check_trials", f"""
 WITH {FIRSTS},
 v AS (SELECT session, count(*) FILTER (WHERE earned_reward AND reward_time IS NULL) AS a, count(*) FILTER (WHERE earned_reward AND choice_time IS NULL) AS b,

@@ -57,7 +57,7 @@ def knn_cv_r2(b):
 
 @query("knn_permutation")
 def knn_permutation(b):
-    return P.knn_cv_r2(folded(b), "id", XYZ, "f3", "fold", 15, 0.05, 2000, seed=9)
+    return P.knn_cv_r2(folded(b), "id", XYZ, "f3", "fold", 15, 0.05, 2000, seed=9, chunks=b.hash_chunks("points", b.points))
 
 
 @query("axis_linear_boot")
@@ -137,4 +137,4 @@ def classify_sessions(b):
 @query("logistic_direction")
 def logistic_direction(b):
     rows = b.points.withColumn("right", (F.col("label") % 2 == 0).cast("int"))
-    return P.logistic_direction(rows, FEATURES, "right", "id", seed=1)
+    return P.logistic_direction(rows, FEATURES, "right", "id", seed=1, chunks=b.hash_chunks("points", b.points))

@@ -22,26 +22,42 @@ LISTED_NAME = r"^(.*)_videoprocessed_(\d{4}-\d{2}-\d{2})_(\d{2}-\d{2}-\d{2})$"
 def scan_keypoints(spark: SparkSession, path: str, session: Column | None = None, header: str | None = None) -> DataFrame:
     """Track CSVs with three header rows (scorer, keypoint, coordinate) in long form.
 
-    The first lines of one file (`header`, else the first found) name the columns; data rows are
-    those with a numeric index, so the headers of all files fall away in the same filter.
+    Every file is read by its own header, so files may have other keypoints or another order; one without header rows is
+    read by those of the file `header`. Data rows are those that start with a number. A cell that is missing or is no number
+    is null, as are the coordinates a header does not name. Files with neither header give no rows.
     """
-    one = header or spark.read.text(path).select("_metadata.file_path").first()[0]
-    lines = spark.read.text(one).where(~F.col("value").rlike(r"^\d")).limit(3)
-    head = sorted((r["value"] for r in lines.collect()), key=lambda v: {"scorer": 0, "bodyparts": 1, "coords": 2}.get(v.split(",")[0], 3))
-    points, coords = head[1].split(",")[1:], head[2].split(",")[1:]
-    names = ["frame"] + [f"{p}|{c}" for p, c in zip(points, coords)]
-    raw = spark.read.schema(", ".join(f"`{n}` string" for n in names)).csv(path)
-    keep = raw.where(F.col("frame").rlike(r"^\d+$")).withColumn(
-        "session", session if session is not None else session_from_path(F.col("_metadata.file_path"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("__file"), "value")
+    heads = _track_headers(lines)
+    rows = lines.where(F.col("value").rlike(r"^\d+(,|$)")).join(heads, "__file", "left")
+    if header is not None:
+        given = _track_headers(spark.read.text(header).select(F.lit("").alias("__file"), "value"))
+        rows = rows.withColumn("__places", F.coalesce("__places", given.select("__places").scalar()))
+    cells = rows.withColumn("__cells", F.split("value", ",")).withColumn(
+        "session", session if session is not None else session_from_path(F.col("__file"))
     )
-    def cell(p: str, c: str) -> Column:
-        return F.nanvl(F.col(f"`{p}|{c}`").try_cast("double"), F.lit(None).cast("double"))
 
-    rows = F.array(*[
-        F.struct(F.lit(p).alias("keypoint"), cell(p, "x").alias("x"), cell(p, "y").alias("y"), cell(p, "likelihood").alias("confidence"))
-        for p in dict.fromkeys(points)
-    ])
-    return keep.select("session", F.col("frame").cast("bigint").alias("frame"), F.inline(rows))
+    def cell(at: Column) -> Column:
+        return F.nanvl(F.get(F.col("__cells"), at).try_cast("double"), F.lit(None).cast("double"))
+
+    long = F.transform("__places", lambda p: F.struct(p.keypoint.alias("keypoint"), cell(p.x).alias("x"), cell(p.y).alias("y"), cell(p.likelihood).alias("confidence")))
+    return cells.select("session", F.get("__cells", F.lit(0)).cast("bigint").alias("frame"), F.inline(long))
+
+
+def _track_headers(lines: DataFrame) -> DataFrame:
+    """(__file, __places): per file the cell numbers of every keypoint's coordinates."""
+    def row(name: str) -> Column:
+        return F.split(F.max(F.when(F.col("value").startswith(name + ","), F.col("value"))), ",")
+
+    heads = lines.where(~F.col("value").rlike(r"^\d")).groupBy("__file").agg(row("bodyparts").alias("points"), row("coords").alias("coords"))
+    pairs = F.zip_with("points", "coords", lambda p, c: F.concat_ws("|", p, F.trim(c)))
+    names = F.array_distinct(F.slice("points", 2, F.greatest(F.lit(0), F.size("points") - 1)))
+
+    def place(name: Column, coordinate: str) -> Column:
+        return F.nullif(F.array_position("pairs", F.concat_ws("|", name, F.lit(coordinate))), F.lit(0)).cast("int") - 1
+
+    return heads.where(F.col("points").isNotNull() & F.col("coords").isNotNull()).withColumn("pairs", pairs).withColumn("names", names).select(
+        "__file", F.transform("names", lambda n: F.struct(n.alias("keypoint"), *[place(n, c).alias(c) for c in ("x", "y", "likelihood")])).alias("__places")
+    )
 
 
 def mask_low_confidence(df: DataFrame, threshold: float = 0.9, inclusive: bool = False) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,3 +48,26 @@ def session_status(df: DataFrame, session: Sequence[str], checks: dict[str, Colu
     """(session, ok, error): the first failed check per session; failures stop nothing."""
     failed = [F.max(F.when(~F.coalesce(c, F.lit(False)), F.lit(name))) for name, c in checks.items()]
     return df.groupBy(*session).agg(F.coalesce(*failed).alias("error")).withColumn("ok", F.col("error").isNull())
+
+
+def run_sessions(
+    spark: SparkSession, sessions: Iterable[str], work: Callable[[str], DataFrame], path: str, session: str = "session", parallel: int = 8,
+) -> DataFrame:
+    """(session, ok, rows, error) of `work(name)` written under `path/session=name`, for every session name.
+
+    A session whose input cannot be read or whose job fails becomes a row with its error, and the others go on; Spark
+    commits a session's files only when its job ends, so a failed one leaves no rows. Jobs of `parallel` sessions run at
+    a time. Sessions already written fail; an empty list gives no rows.
+    """
+    def one(name: str) -> tuple:
+        target = f"{path}/{session}={name}"
+        try:
+            work(name).write.parquet(target)
+            return name, True, spark.read.parquet(target).count(), None
+        except Exception as error:  # whatever it is, it is this session's result
+            lines = [line.strip() for line in str(error).splitlines() if line.strip()]
+            return name, False, None, f"{type(error).__name__}: {lines[0] if lines else ''}"[:500]
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        status = list(pool.map(one, sessions))
+    return spark.createDataFrame(status, f"`{session}` string, ok boolean, rows bigint, error string")

@@ -1,5 +1,7 @@
 """Edge semantics on hand-made rows: ties, nulls, bounds, guards and a session that is too big."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +217,63 @@ def test_exact_and_normal_p_by_group(spark):
     signs = {r.k: r for r in X.wilcoxon(df.withColumn("d", F.when(F.col("k") == "tied", F.col("v") - 2).otherwise(F.col("v") + 1)), ["k"], "d").collect()}
     assert signs["few"].p == pytest.approx(2 / 2**6) and signs["many"].p == pytest.approx(2 / 2**40)
     assert signs["tied"].n == 3 and signs["tied"].p > 0.1  # a zero difference and ties: the normal p
+
+
+def test_every_track_file_is_read_by_its_own_header(spark, tmp_path):
+    folder = tmp_path / "behavior_2_2024-01-02_03-04-05"
+    folder.mkdir()
+    (folder / "a.csv").write_text("scorer,m,m,m,m,m,m\nbodyparts,jaw,jaw,jaw,tip,tip,tip\ncoords,x,y,likelihood,x,y,likelihood\n0,1,2,0.9,3,4,0.8\n")
+    (folder / "b.csv").write_text("scorer,m,m,m,m,m\nbodyparts,tip,tip,jaw,jaw,jaw\ncoords,likelihood,x,y,x,likelihood\n1,0.7,30,20,10,0.6\n2,0.5\n")
+    (folder / "c.csv").write_text("7,5,6,0.1\n")
+    got = {(r.frame, r.keypoint): (r.x, r.y, r.confidence) for r in readers.scan_keypoints(spark, str(folder)).collect()}
+    assert got == {
+        (0, "jaw"): (1, 2, 0.9), (0, "tip"): (3, 4, 0.8), (1, "tip"): (30, None, 0.7), (1, "jaw"): (10, 20, 0.6), (2, "tip"): (None, None, 0.5), (2, "jaw"): (None, None, None),
+    }
+    head = tmp_path / "head.csv"
+    head.write_text("scorer,m,m,m\nbodyparts,nose,nose,nose\ncoords,x,y,likelihood\n")
+    more = readers.scan_keypoints(spark, str(folder), header=str(head)).where("frame = 7").collect()
+    assert [tuple(r)[2:] for r in more] == [("nose", 5, 6, 0.1)]
+
+
+def test_a_failing_session_is_one_row(spark, tmp_path):
+    def work(name):
+        if name == "no table":
+            return spark.read.parquet(str(tmp_path / "nowhere"))
+        df = spark.range(5).withColumn("v", F.lit(1))
+        return df.withColumn("v", F.raise_error(F.lit("broken cell"))) if name == "breaks" else df
+
+    status = {r.session: r for r in sinks.run_sessions(spark, ["one", "no table", "two", "breaks"], work, str(tmp_path / "out"), parallel=2).collect()}
+    assert {k: (r.ok, r.rows) for k, r in status.items()} == {"one": (True, 5), "two": (True, 5), "no table": (False, None), "breaks": (False, None)}
+    assert status["one"].error is None and "AnalysisException" in status["no table"].error and status["breaks"].error
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.groupBy("session").count().count() == 2 and written.count() == 10
+    assert sinks.run_sessions(spark, [], work, str(tmp_path / "none")).count() == 0
+
+
+def test_importance_is_of_the_columns_that_matter(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, *(rng.gauss(0, 1) for _ in range(3))) for i in range(900)]
+    df = spark.createDataFrame([(i, a, b, c, int(2 * a - b + rng.gauss(0, 0.7) > 0)) for i, a, b, c in rows], "i int, a double, b double, c double, y int")
+    got = {r.feature: r for r in R.logistic_direction(df, ["a", "b", "c"], "y", "i", seed=2).collect()}
+    chunked = {r.feature: r for r in R.logistic_direction(df, ["a", "b", "c"], "y", "i", seed=2, chunks=3).collect()}
+    assert got["a"].importance > got["b"].importance > 0.02 > abs(got["c"].importance)
+    assert got["a"].coefficient > 0 > got["b"].coefficient and {r.repeats for r in got.values()} == {30}
+    for f, r in got.items():
+        assert 0 < r.importance_sd < 0.1 and r.auc > 0.9 and chunked[f].importance == pytest.approx(r.importance)
+
+
+def test_density_is_that_of_every_row(spark):
+    values = {"a": [0.0, 1.0, 4.0, 4.5], None: [2.0, 3.0], "flat": [1.0, 1.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("a", None)], "k string, v double")
+    got = {(r.k, r.point): r for r in X.density_curve(df, ["k"], "v", -1.0, 0.5, 12).collect()}
+    assert len(got) == 24
+    for k in ("a", None):
+        vs = values[k]
+        mean = sum(vs) / len(vs)
+        h = (sum((v - mean) ** 2 for v in vs) / (len(vs) - 1)) ** 0.5 * len(vs) ** -0.2
+        for p in range(12):
+            x = -1 + p * 0.5
+            want = sum(math.exp(-(((v - x) / h) ** 2) / 2) for v in vs) / (len(vs) * h * math.sqrt(2 * math.pi))
+            assert got[k, p].x == x and got[k, p].density == pytest.approx(want)
