@@ -26,24 +26,34 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(k), float(model.get_score(k))) for k in range(model.get_piece_size())]
 
 
+def silent_pieces(path: str) -> frozenset[str]:
+    """The unknown, control, unused and byte pieces of a sentencepiece file: no text holds them, whatever it spells."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    kinds = (model.is_unknown, model.is_control, model.is_unused, model.is_byte)
+    return frozenset(model.id_to_piece(k) for k in range(model.get_piece_size()) if any(kind(k) for kind in kinds))
+
+
 class Counter:
     """(score, count) of the best segmentation of a string.
 
     Ties go the way of the common unigram tokenizers: positions are settled from left to right, and at equal scores the
     candidate that begins earlier, so the longer last piece, stays. A character without a piece of its own can be
     unknown: it scores the worst score less a penalty and counts a token per UTF-8 byte where all byte pieces exist, else
-    a run of them counts one token.
+    a run of them counts one token. Pieces in `silent` never match; bytes among them stay what unknown characters cost.
     """
 
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], silent: frozenset[str] = frozenset()):
         self.trie = ahocorasick.Automaton()
-        for piece, score in pieces:
+        spoken = [(p, s) for p, s in pieces if p not in silent]
+        for piece, score in spoken:
             if piece:
                 self.trie.add_word(piece, (len(piece), score))
         if len(self.trie):
             self.trie.make_automaton()
-        self.single = {p for p, _ in pieces if len(p) == 1}
-        self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
+        self.single = {p for p, _ in spoken if len(p) == 1}
+        self.unknown = min((s for _, s in spoken), default=0.0) - UNKNOWN_PENALTY
         names = {p for p, _ in pieces}
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
         # a text may be cut before a blank if no piece has one after another character; exact scores make sums independent of the cut
@@ -112,7 +122,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def count(batches):
         if path not in _counters:
-            _counters[path] = Counter(vocabulary(path))
+            _counters[path] = Counter(vocabulary(path), silent_pieces(path))
         one = _counters[path]
         for batch in slices(batches, text):
             pairs = [one.count(x) for x in pc.fill_null(batch.column(text), "").to_pylist()]

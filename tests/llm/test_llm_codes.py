@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tempora.llm import bytebpe, common, covertree, merkle
+from tempora.llm import bytebpe, common, covertree, merkle, tokencount
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CLASHING = ("ids", "decoded", "n", "word", "block", "leaf", "root", "path", "g", "k", "digest", "pos", "nodes", "items", "n_tokens", "code", "error", "keys", "points")
@@ -206,3 +206,30 @@ def test_deep_trees_have_the_same_paths_at_any_stride(spark, fanout, stride):
     assert len(proofs) == 180 and all(r.root == r.again == root for r in proofs)
     assert len(made.groups.levels) == math.ceil(math.ceil(math.log(150, fanout)) / stride)
     assert {len(r.path) for r in proofs if r.group == "a"} == {math.ceil(math.log(150, fanout)) + math.ceil(math.log(6, fanout))}
+
+
+def test_pieces_that_no_text_holds_never_match(spark):
+    """Control, unknown and byte pieces spelled out in a text are ordinary characters: held against a plain search over the other pieces."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    silent = tokencount.silent_pieces(path)
+    assert {"<unk>", "<s>", "</s>", "<0x41>"} <= silent and len(silent) == 259
+    score = {p: s for p, s in tokencount.vocabulary(path) if p not in silent}
+    least = min(score.values()) - tokencount.UNKNOWN_PENALTY
+
+    def plain(text):
+        marked = "▁" + text.replace(" ", "▁")
+        best = [(0.0, 0)]
+        for end in range(1, len(marked) + 1):
+            options = [(best[a][0] + score[marked[a:end]], best[a][1] + 1) for a in range(max(0, end - 20), end) if marked[a:end] in score]
+            if marked[end - 1] not in score:
+                options.append((best[end - 1][0] + least, best[end - 1][1] + len(marked[end - 1].encode())))
+            best.append(max(options, key=lambda o: o[0]))
+        return best[-1][1]
+
+    texts = ["a<s>b", "x<0x41>y", "x<unk>y", "</s>", "a<q>b", "<0x0A><0xFF>", "plain words 日"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.n_tokens for r in tokencount.token_counts(rows, path).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)} and got[0] >= 4 and got[1] >= 6
