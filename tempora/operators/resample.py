@@ -344,25 +344,51 @@ def two_sample_shift(
 
 
 def classify_sessions(df: DataFrame, features: Sequence[str], label: str, row_id: str, trees: int = 200, folds: int = 5, seed: int = 0) -> tuple[DataFrame, float]:
-    """Random forest probabilities and cross-validated AUC."""
+    """Random forest probabilities of every row, and the mean AUC over folds.
+
+    (row_id, *features, label, fold, pred_p_good, pred_out_of_fold): the forest of all rows, and that of the other folds. A
+    row's fold is a hash of its id, so all folds are one table and the AUCs one aggregate by fold. Rows with a null feature
+    train nothing and have null scores; a fold whose other rows, or whose own rows, have one class has none.
+    """
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    data = VectorAssembler(inputCols=list(features), outputCol="__f", handleInvalid="skip").transform(
-        df.select(row_id, *features, F.col(label).cast("double").alias("__y"))
-    )
+    from tempora.operators.perievent import auc_by_bin
+
+    rows = df.select(row_id, *features, F.col(label).cast("double").alias("__y"))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), row_id), F.lit(folds)).cast("int"))
+    whole = rows.dropna(subset=[*features, "__y"])
+    data = VectorAssembler(inputCols=list(features), outputCol="__f").transform(whole)
     forest = RandomForestClassifier(featuresCol="__f", labelCol="__y", numTrees=trees, seed=seed)
-    score = BinaryClassificationEvaluator(labelCol="__y")
-    cv = CrossValidator(
-        estimator=forest, estimatorParamMaps=ParamGridBuilder().build(), evaluator=score, numFolds=folds, seed=seed
-    ).fit(data)
-    scored = cv.bestModel.transform(data).select(
-        row_id, *features, F.col("__y").alias(label), F.get(vector_to_array("probability"), F.lit(1)).alias("pred_p_good")
-    )
-    return scored, float(cv.avgMetrics[0])
+
+    def scores(train: DataFrame, asked: DataFrame, name: str) -> DataFrame | None:
+        if train.select("__y").distinct().count() < 2:
+            return None
+        found = forest.fit(train).transform(asked)
+        return found.select(row_id, F.get(vector_to_array("probability"), F.lit(1)).alias(name))
+
+    own = scores(data, data, "pred_p_good")
+    apart = [scores(data.where(F.col("fold") != k), data.where(F.col("fold") == k), "pred_out_of_fold") for k in range(folds)]
+    out = None
+    for one in (x for x in apart if x is not None):
+        out = one if out is None else out.unionByName(one)
+    scored = rows
+    for found, name in ((own, "pred_p_good"), (out, "pred_out_of_fold")):
+        scored = scored.withColumn(name, F.lit(None).cast("double")) if found is None else scored.join(found.dropDuplicates([row_id]), row_id, "left")
+    # a row that trained nothing has no score, even where another row with its id has one
+    fits = F.lit(True)
+    for f in (*features, "__y"):
+        fits = fits & F.col(f).isNotNull()
+    scored = scored.withColumns({c: F.when(fits, F.col(c)) for c in ("pred_p_good", "pred_out_of_fold")})
+    aucs = auc_by_bin(scored.withColumn("__l", F.col("__y").cast("int")), ["fold"], "pred_out_of_fold", "__l")
+    mean = aucs.agg(F.avg("auc")).first()[0]
+    return scored.withColumnRenamed("__y", label).select(row_id, *features, label, "fold", "pred_p_good", "pred_out_of_fold"), float("nan") if mean is None else float(mean)
+
+
+def under_performers(scored: DataFrame, observed: str, least: float, n: int = 5, score: str = "pred_p_good", tie: Sequence[str] = ()) -> DataFrame:
+    """The n rows of the highest score among those whose `observed` value is below `least`: expected to be good, and not."""
+    return scored.where((F.col(observed) < least) & F.col(score).isNotNull()).orderBy(F.desc(score), *tie).limit(n)
 
 
 def logistic_direction(

@@ -10,6 +10,7 @@ from tempora.operators import resample as P
 from tempora.plans.catalog import query
 from tempora.plans.movement_tables import licks_by_ordinal
 from tempora.plans.statistics import CIRCULAR
+from tempora.session import scratch_root
 
 XYZ = ["x", "y", "z"]
 FEATURES = [f"f{i}" for i in range(3, 10)]
@@ -127,11 +128,36 @@ def two_sample_shift_p(b):
     return balances(b)
 
 
+def judged(b):
+    """Points as sessions: good is a label under 5, and x stands for the coverage that was observed."""
+    rows = b.points.withColumn("good", F.col("label") < 5)
+    scored, auc = P.classify_sessions(rows, ["f3", "f4", "f5"], "good", "id", trees=200, folds=5, seed=1)
+    return scored.join(b.points.select("id", "x"), "id"), auc
+
+
 @query("classify_sessions")
 def classify_sessions(b):
-    rows = b.points.withColumn("good", F.col("label") < 5)
-    scored, auc = P.classify_sessions(rows, ["f3", "f4", "f5"], "good", "id", trees=20, folds=3, seed=1)
-    return scored.withColumn("cv_auc", F.lit(auc)).select("id", "good", "pred_p_good", "cv_auc")
+    scored, auc = judged(b)
+    return scored.select("id", "good", "fold", "pred_p_good", "pred_out_of_fold", F.lit(auc).alias("cv_auc"))
+
+
+@query("under_performers")
+def under_performers(b):
+    return P.under_performers(judged(b)[0], "x", -0.05, 5, tie=["id"]).select("id", "x", "f3", "f4", "f5", "pred_p_good")
+
+
+@query("under_performer_rule", "SELECT least(5, count(*)) AS listed, 0::BIGINT AS not_below, count(*) AS below, 0::BIGINT AS better_left_out FROM points WHERE x < -0.05")
+def under_performer_rule(b):
+    """What the list must keep to, whatever was learned: rows below the limit only, and none with a better score left out."""
+    scratch_root(b.spark)
+    scored = judged(b)[0].select("id", "x", "pred_p_good").checkpoint()
+    listed = P.under_performers(scored, "x", -0.05, 5, tie=["id"])
+    worst = listed.agg(F.min("pred_p_good")).scalar()
+    rest = scored.where(F.col("x") < -0.05).join(listed.select("id"), "id", "left_anti")
+    return listed.agg(F.count(F.lit(1)).alias("listed"), F.count_if(F.col("x") >= -0.05).alias("not_below")).withColumns({
+        "below": scored.where(F.col("x") < -0.05).agg(F.count(F.lit(1))).scalar(),
+        "better_left_out": rest.agg(F.count_if(F.col("pred_p_good") > worst)).scalar(),
+    })
 
 
 @query("logistic_direction")

@@ -277,3 +277,21 @@ def test_density_is_that_of_every_row(spark):
             x = -1 + p * 0.5
             want = sum(math.exp(-(((v - x) / h) ** 2) / 2) for v in vs) / (len(vs) * h * math.sqrt(2 * math.pi))
             assert got[k, p].x == x and got[k, p].density == pytest.approx(want)
+
+
+def test_classifier_scores_rows_out_of_fold_and_keeps_gaps(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, rng.gauss(i % 2, 0.3), rng.random()) for i in range(200)] + [(900, None, 0.5), (901, 0.5, None)]
+    df = spark.createDataFrame([(i, a, b, i % 2 == 1, float(i % 10)) for i, a, b in rows], "i int, a double, b double, good boolean, seen double")
+    scored, auc = R.classify_sessions(df, ["a", "b"], "good", "i", trees=10, folds=3, seed=1)
+    got = {r.i: r for r in scored.collect()}
+    assert len(got) == 202 and auc > 0.9 and {r.fold for r in got.values()} == {0, 1, 2}
+    assert got[900].pred_p_good is None and got[901].pred_out_of_fold is None
+    assert all(0 <= r.pred_p_good <= 1 and 0 <= r.pred_out_of_fold <= 1 for k, r in got.items() if k < 900)
+    listed = R.under_performers(scored.join(df.select("i", "seen"), "i"), "seen", 4.0, 5, tie=["i"]).collect()
+    below = sorted((r for r in got.values() if r.i < 900 and r.i % 10 < 4), key=lambda r: (-r.pred_p_good, r.i))
+    assert [r.i for r in listed] == [r.i for r in below[:5]]
+    one_class, none = R.classify_sessions(df.where("good"), ["a", "b"], "good", "i", trees=2, folds=2)
+    assert math.isnan(none) and {r.pred_p_good for r in one_class.collect()} == {None}
