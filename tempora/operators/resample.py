@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.geometry import dot
@@ -100,31 +100,50 @@ def spatial_trend(
     })
 
 
+#: Places that a first grid cell holds at most, as long as halving it helps.
+CELL_PLACES = 2048
+
+
+def _fitting_cell(places: DataFrame, coords: Sequence[str], cell: float) -> float:
+    """`cell` halved until no grid cell of that size holds more than CELL_PLACES places."""
+    for _ in range(60):
+        counted = places.groupBy(*[F.floor(F.col(c) / cell).alias(f"__c{i}") for i, c in enumerate(coords)]).count()
+        if (counted.agg(F.max("count")).first()[0] or 0) <= CELL_PLACES:
+            break
+        cell /= 2
+    return cell
+
+
 def neighbours(
     df: DataFrame, row_id: str, coords: Sequence[str], fold: str, k: int, cell: float,
 ) -> DataFrame:
-    """(row_id, neighbour, distance) of the k nearest rows in other folds; exact.
+    """(row_id, neighbour, distance) of the k nearest rows in other folds; exact. Ties go to the smaller id.
 
-    Rows meet only within the 27 grid cells around them. All rows closer than the cell size are
-    there, so a row whose k-th neighbour is nearer than that is settled; the others try again
-    with cells twice as large. Small first cells keep dense places cheap, and large cells are
-    only visited by the few isolated rows. Ties go to the smaller id.
+    Rows of one fold at one place have the same neighbours and are asked for once, and as neighbours only the k smallest ids of a
+    fold at a place can count. Places meet within the 27 grid cells around them. All places closer than the cell size are
+    there, so one whose k-th neighbour is nearer than that is settled; the others try again with cells twice as
+    large. The first cells are small enough that the densest holds a bounded number of places; large cells are only
+    visited by the few isolated ones.
     """
     spark = df.sparkSession
     scratch_root(spark)
-    x, y, z = coords
+    own = [row_id, fold, *coords]
+    rows = df.select(*own)
+    site = Window.partitionBy(fold, *coords).orderBy(row_id)
+    firsts = rows.withColumn("__rank", F.row_number().over(site)).where(F.col("__rank") <= k).checkpoint()
+    sites = firsts.where(F.col("__rank") == 1).withColumnRenamed(row_id, "__site").drop("__rank")
     places = [F.col(c) for c in coords]
     n_other = df.groupBy(fold).agg(F.count(F.lit(1)).alias("__c"))
     total = n_other.agg(F.sum("__c")).scalar()
     need = n_other.select(fold, F.least(F.lit(k), (total - F.col("__c")).cast("int")).alias("__need"))
-    pending = df.select(row_id, fold, *coords).join(need, fold)
+    pending = sites.join(need, fold)
     found = None
-    size = cell
+    size = _fitting_cell(sites, coords, cell)
     extent = df.agg(F.max(F.greatest(*[F.lit(0.0)] + [F.abs(p) for p in places]))).first()[0] or 0.0
     while True:
         last = size > 2 * extent  # no two rows are further apart than one cell on any axis
         cells = [F.floor(p / size) for p in places]
-        train = df.select(
+        train = firsts.select(
             F.col(row_id).alias("neighbour"), F.col(fold).alias("__nf"),
             *[p.alias(f"__n{i}") for i, p in enumerate(places)], *[c.alias(f"__c{i}") for i, c in enumerate(cells)],
         )
@@ -134,19 +153,18 @@ def neighbours(
             probe = probe.withColumn(f"__c{i}", F.explode(a))
         d = F.sqrt(sum((p - F.col(f"__n{i}")) ** 2 for i, p in enumerate(places)))
         pairs = probe.join(train, ["__c0", "__c1", "__c2"]).where(F.col("__nf") != F.col(fold)).withColumn("distance", d)
-        from pyspark.sql import Window
-
         near = pairs.withColumn(
-            "__r", F.row_number().over(Window.partitionBy(row_id).orderBy("distance", "neighbour"))
-        ).where(F.col("__r") <= k).select(row_id, "neighbour", "distance", "__need")
-        reach = near.groupBy(row_id).agg(F.count(F.lit(1)).alias("__n"), F.max("distance").alias("__far"), F.first("__need").alias("__need"))
-        settled = reach.where((F.col("__n") >= F.col("__need")) & ((F.col("__far") <= size) | F.lit(last))).select(row_id)
-        got = near.join(settled, row_id, "left_semi").select(row_id, "neighbour", "distance").checkpoint()
+            "__r", F.row_number().over(Window.partitionBy("__site").orderBy("distance", "neighbour"))
+        ).where(F.col("__r") <= k).select("__site", "neighbour", "distance", "__need")
+        reach = near.groupBy("__site").agg(F.count(F.lit(1)).alias("__n"), F.max("distance").alias("__far"), F.first("__need").alias("__need"))
+        settled = reach.where((F.col("__n") >= F.col("__need")) & ((F.col("__far") <= size) | F.lit(last))).select("__site")
+        got = near.join(settled, "__site", "left_semi").select("__site", "neighbour", "distance").checkpoint()
         found = got if found is None else found.unionByName(got)
-        pending = pending.join(got.select(row_id).distinct(), row_id, "left_anti").checkpoint()
+        pending = pending.join(got.select("__site").distinct(), "__site", "left_anti").checkpoint()
         if pending.isEmpty():
-            return found
+            break
         size *= 2
+    return rows.join(sites, [fold, *coords]).select(row_id, "__site").join(found, "__site").drop("__site")
 
 
 def knn_cv_r2(

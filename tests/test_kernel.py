@@ -276,3 +276,21 @@ def test_measured_edges_are_even_on_heavy_tails(spark):
     assert all(a[k].c == b[k].c and a[k].s == pytest.approx(b[k].s) for k in a)
     alone = O.tie_ranks(df.where("k = 'pareto'"), [], "v", width=O.Measured(1000, 30_000)).agg(F.sum("avg_rank")).first()[0]
     assert alone == 30_000 * 30_001 / 2
+
+
+def test_neighbours_where_most_rows_share_a_place(spark, monkeypatch):
+    """A dense cell and a place with a third of the rows: the same neighbours as by comparing all pairs."""
+    from tempora.operators import resample as R
+
+    monkeypatch.setattr(R, "CELL_PLACES", 8)
+    rng = np.random.default_rng(7)
+    xyz = np.concatenate([np.zeros((60, 3)), rng.normal(0, 0.001, (60, 3)), rng.normal(0, 5, (40, 3)), [[90.0, 0, 0]]])
+    fold = np.arange(len(xyz)) % 4
+    df = spark.createDataFrame([(i, *map(float, p), int(f)) for i, (p, f) in enumerate(zip(xyz, fold))], "id int, x double, y double, z double, fold int").repartition(4)
+    got = {}
+    for r in R.neighbours(df, "id", ["x", "y", "z"], "fold", 6, 4.0).collect():
+        got.setdefault(r.id, []).append((r.distance, r.neighbour))
+    for i in range(len(xyz)):
+        far = np.sqrt(((xyz - xyz[i]) ** 2).sum(1))
+        want = sorted((far[j], j) for j in range(len(xyz)) if fold[j] != fold[i])[:6]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want] and np.allclose([d for d, _ in sorted(got[i])], [d for d, _ in want])
