@@ -165,16 +165,16 @@ def tidy_photometry(b):
 
 
 @query("acquisition_to_trials", """
-SELECT vec_id, i AS trial, round(embedding[i + 1]::DOUBLE, 6) AS "goCue_start_time", round(embedding[i + 9]::DOUBLE, 6) AS start_time, (i + label)::INTEGER % 3 AS animal_response,
-  CASE WHEN vec_id % 3 = 0 THEN 'a' || vec_id WHEN vec_id % 3 = 1 THEN 'b' || vec_id ELSE 'none' END AS laser FROM embeddings, (SELECT unnest(range(0, 8)) AS i) g""")
+SELECT vec_id, i AS trial, round(embedding[i + 1]::DOUBLE, 6) AS "goCue_start_time", round(embedding[i + 33]::DOUBLE, 6) AS start_time, (i + label)::INTEGER % 3 AS animal_response,
+  CASE WHEN vec_id % 3 = 0 THEN 'a' || vec_id WHEN vec_id % 3 = 1 THEN 'b' || vec_id ELSE 'none' END AS laser FROM embeddings, (SELECT unnest(range(0, 32)) AS i) g""")
 def acquisition_to_trials(b):
     v = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
     key = F.col("vec_id")
     a = F.when(key % 3 == 0, F.concat(F.lit("a"), key)).otherwise("")
     old = F.when(key % 3 == 1, F.concat(F.lit("b"), key)).otherwise("nan")
     records = b.table("embeddings").select(
-        "vec_id", F.when(key % 2 == 0, F.slice(v, 1, 8)).alias("B_GoCueTimeHarp"), F.slice(v, 1, 8).alias("B_GoCueTimeSoundCard"),
-        F.slice(v, 9, 8).alias("B_TrialStartTimeHarp"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (i + F.col("label")) % 3).alias("B_AnimalResponseHistory"),
+        "vec_id", F.when(key % 2 == 0, F.slice(v, 1, 32)).alias("B_GoCueTimeHarp"), F.slice(v, 1, 32).alias("B_GoCueTimeSoundCard"),
+        F.slice(v, 33, 32).alias("B_TrialStartTimeHarp"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: (i + F.col("label")) % 3).alias("B_AnimalResponseHistory"),
         R.first_present(a, old, F.lit("none")).alias("laser"),
     )
     return R.acquisition_to_trials(

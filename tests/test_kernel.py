@@ -294,3 +294,9 @@ def test_neighbours_where_most_rows_share_a_place(spark, monkeypatch):
         far = np.sqrt(((xyz - xyz[i]) ** 2).sum(1))
         want = sorted((far[j], j) for j in range(len(xyz)) if fold[j] != fold[i])[:6]
         assert [j for _, j in sorted(got[i])] == [j for _, j in want] and np.allclose([d for d, _ in sorted(got[i])], [d for d, _ in want])
+
+
+def test_student_tail_does_not_jump_where_its_formula_changes():
+    t = np.array([0.0, 0.3, 1.0, 2.0, 4.0, 6.0])
+    below, above = (P._student_p2(t, np.full(len(t), float(df))) for df in (P.LARGE_DF, P.LARGE_DF + 1))
+    assert np.allclose(below, above, rtol=2e-3, atol=0) and np.allclose(below[:4], above[:4], rtol=1e-5, atol=0)
