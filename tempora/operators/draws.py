@@ -4,6 +4,7 @@ Rows with equal values are one bin with a count. Bins are dealt by hash to the l
 items fall on either side of a node is one hypergeometric draw, fixed by the seed and the node, so every task that
 passes the node draws the same. A leaf then draws bin by bin what is left for it. A replicate is a
 uniformly random subset of the rows as a whole, yet no row is copied per replicate and no task sees more than one leaf.
+Where a replicate needs to know which value came to which place, blocks of values meet blocks of places (`permuted_blocks`).
 """
 
 from __future__ import annotations
@@ -169,3 +170,128 @@ def bootstrap_moments(df: DataFrame, on: Sequence[str], columns: Sequence[str],
 
     rows = df.select(*on, F.xxhash64(F.lit(seed), *row_id).alias("__h"), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)])
     return rows.mapInArrow(fold, fields).groupBy(*on, "rep").agg(*[F.sum(n).alias(n) for n in names])
+
+
+#: Ranks of a block, and replicates that meet it at once: 26 MB of values in a task.
+RANKS, AT_ONCE = 16_384, 200
+#: Rounds of row and column turns that make a permutation of more ranks than a block.
+TURNS = 6
+#: Tasks that blocks and runs are dealt to at most.
+MOST_TASKS = 2048
+
+
+class Permutation:
+    """A permutation of 0..n-1 fixed by the seed and the replicate, of which any task finds any part.
+
+    Up to `whole` ranks it is a uniform shuffle. Of more, ranks lie in a grid as square as n allows, and each of TURNS rounds turns
+    every row and then every column by its own random amount; ranks that land outside go on until they are inside.
+    """
+
+    def __init__(self, seed: int, rep: int, n: int, whole: int):
+        rng = np.random.default_rng([seed, rep])
+        self.n, self.order = n, None
+        if n <= whole:
+            self.order = rng.permutation(n)
+            return
+        self.rows = int(np.ceil(np.sqrt(n)))
+        self.columns = -(-n // self.rows)
+        self.turns = [(rng.integers(0, self.columns, self.rows), rng.integers(0, self.rows, self.columns)) for _ in range(TURNS)]
+
+    def _walk(self, ranks: np.ndarray, once) -> np.ndarray:
+        out = once(ranks)
+        while (outside := np.flatnonzero(out >= self.n)).size:
+            out[outside] = once(out[outside])
+        return out
+
+    def images(self, ranks: np.ndarray) -> np.ndarray:
+        """Where ranks go."""
+        if self.order is not None:
+            return self.order[ranks]
+
+        def once(x):
+            row, column = np.divmod(x, self.columns)
+            for along, down in self.turns:
+                column = column + along[row]
+                column -= self.columns * (column >= self.columns)
+                row = row + down[column]
+                row -= self.rows * (row >= self.rows)
+            return row * self.columns + column
+
+        return self._walk(ranks, once)
+
+    def origins(self, ranks: np.ndarray) -> np.ndarray:
+        """Where ranks come from."""
+        if self.order is not None:
+            back = np.empty(self.n, np.int64)
+            back[self.order] = np.arange(self.n)
+            return back[ranks]
+
+        def once(x):
+            row, column = np.divmod(x, self.columns)
+            for along, down in reversed(self.turns):
+                row = row - down[column]
+                row += self.rows * (row < 0)
+                column = column - along[row]
+                column += self.columns * (column < 0)
+            return row * self.columns + column
+
+        return self._walk(ranks, once)
+
+
+def permuted_blocks(rows: DataFrame, rank: str, n: int, value: str, places: DataFrame, n_perm: int, seed: int, fold, schema: str) -> DataFrame:
+    """What `fold` makes of every block of RANKS places and run of AT_ONCE replicates, the values of a replicate being a random permutation.
+
+    `rows` has a value per rank 0..n-1; `places` has the rank and whatever else `fold` needs, several rows a rank if need be.
+    `fold(block, replicates, y, places)` gets y as (replicates x ranks of the block) and returns an Arrow table of `schema`. A block of values sends
+    8 bytes a value and replicate to the blocks of places, in the order of the values' ranks; both sides find by themselves
+    which rank meets which. No row is copied per replicate, and no task holds more than a block and a run.
+    """
+    runs = F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // AT_ONCE))).alias("__run")
+    n_blocks = -(-n // RANKS)
+    # a small input is much work: its tasks must not be gathered by their bytes
+    tasks = max(1, min(2 * n_blocks * -(-n_perm // AT_ONCE), MOST_TASKS))
+
+    def replicates(run: int) -> range:
+        return range(run * AT_ONCE + 1, min(n_perm, (run + 1) * AT_ONCE) + 1)
+
+    def send(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__i")
+        run = table.column("__run")[0].as_py()
+        ranks, values = table.column("__i").to_numpy(), table.column("__y").to_numpy()
+        target = np.stack([Permutation(seed, rep, n, RANKS).images(ranks) // RANKS for rep in replicates(run)])
+        order = np.argsort(target, axis=1, kind="stable")
+        counts = np.stack([np.bincount(t, minlength=n_blocks) for t in target])
+        starts = np.cumsum(counts, axis=1) - counts
+        sent = values[order]
+        blocks = np.flatnonzero(counts.any(axis=0))
+        pieces = [np.concatenate([sent[r, s : s + c] for r, (s, c) in enumerate(zip(starts[:, b], counts[:, b]))]).tobytes() for b in blocks]
+        return pa.table({
+            "__block": pa.array(blocks, pa.int64()), "__run": pa.array([run] * len(blocks), pa.int32()),
+            "__from": pa.array([int(ranks[0]) // RANKS] * len(blocks), pa.int64()),
+            "__counts": pa.array([counts[:, b].astype(np.int32).tobytes() for b in blocks], pa.binary()),
+            "__values": pa.array(pieces, pa.binary()),
+        })
+
+    def receive(sent: pa.Table, placed: pa.Table) -> pa.Table:
+        sent = sent.sort_by("__from")
+        block, run = (sent.column(c)[0].as_py() for c in ("__block", "__run"))
+        ranks = np.arange(block * RANKS, min(n, (block + 1) * RANKS))
+        reps = replicates(run)
+        parts: list[list[np.ndarray]] = [[] for _ in reps]
+        for counts, values in zip(sent.column("__counts"), sent.column("__values")):
+            ends = np.cumsum(np.frombuffer(counts.as_buffer(), np.int32))
+            for own, piece in zip(parts, np.split(np.frombuffer(values.as_buffer(), np.float64), ends[:-1])):
+                own.append(piece)
+        y = np.empty((len(reps), len(ranks)))
+        for r, rep in enumerate(reps):
+            y[r, np.argsort(Permutation(seed, rep, n, RANKS).origins(ranks))] = np.concatenate(parts[r])
+        return fold(block, reps, y, placed)
+
+    def dealt(df: DataFrame):
+        return df.repartition(tasks, "__block", "__run")
+
+    own = F.floor(F.col(rank) / RANKS).alias("__block")
+    values = rows.select(F.col(rank).alias("__i"), F.col(value).cast("double").alias("__y"), own, runs)
+    wide = "__block long, __run int, __from long, __counts binary, __values binary"
+    sent = dealt(values).groupBy("__block", "__run").applyInArrow(send, wide)
+    return dealt(sent).groupBy("__block", "__run").cogroup(dealt(places.select("*", own, runs)).groupBy("__block", "__run")).applyInArrow(receive, schema)

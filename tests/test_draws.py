@@ -131,3 +131,48 @@ def test_axes_of_the_rows_themselves(spark):
     m = np.linalg.inv(within) @ between
     assert len(lda) == 51 and np.allclose(m @ lda[0], max(np.linalg.eigvals(m).real) * lda[0], atol=1e-8)
     assert np.mean([v @ lda[0] for v in lda.values()]) > 0.95
+
+
+@pytest.mark.parametrize("n", [1, 7, 101, 1000])
+def test_permutations_of_any_part(n):
+    for rep in range(1, 4):
+        whole = draws.Permutation(5, rep, n, 100)
+        images = whole.images(np.arange(n))
+        assert sorted(images) == list(range(n)) and np.array_equal(whole.origins(images), np.arange(n))
+        assert n < 9 or np.array_equal(draws.Permutation(5, rep, n, 100).images(np.arange(3, 9)), images[3:9])
+
+
+def test_values_come_to_places_evenly():
+    """Of more ranks than a block: every value as often in every tenth, and neighbours apart as by chance."""
+    images = np.stack([draws.Permutation(1, rep, 200, 10).images(np.arange(200)) for rep in range(4000)])
+    tenths = np.stack([np.bincount(column // 20, minlength=10) for column in images.T])
+    assert abs((tenths - 400.0) ** 2 / 400).sum(1).mean() < 9.5 and np.abs(tenths - 400).max() < 110
+    steps = np.bincount((images[:, 1:] - images[:, :-1]).ravel() % 200, minlength=200)[1:]
+    assert np.abs(steps / steps.mean() - 1).max() < 0.05
+
+
+def test_spatial_trend_of_blocks_is_that_of_whole_permutations(spark, monkeypatch):
+    """Blocks of values meet blocks of places; replicates are no rows, so none is broadcast or sorted."""
+    rng = np.random.default_rng(8)
+    rows = [(i, *map(float, rng.normal(size=4))) for i in range(150)]
+    df = spark.createDataFrame(rows + [(150, None, 1.0, 1.0, 1.0)], "id int, x double, y double, z double, v double").repartition(5)
+    for name, to in (("RANKS", 64), ("AT_ONCE", 7)):
+        monkeypatch.setattr(draws, name, to)
+    found = R.spatial_trend(df, ["id"], ["x", "y", "z"], "v", 20, 3)
+    assert "Generate explode(sequence(1, 20" not in found._jdf.queryExecution().toString()
+    got = found.first()
+    ranks = {r.id: r["__i"] for r in R.ranked_rows(df.dropna(), ["id"], ["x", "y", "z", "v"], 3, None).collect()}
+    table = np.array([r[1:] for r in sorted(rows, key=lambda r: ranks[r[0]])])
+    places = np.column_stack([np.ones(150), table[:, :3]])
+
+    def r2(v):
+        left = v - places @ np.linalg.lstsq(places, v, rcond=None)[0]
+        return 1 - left @ left / ((v - v.mean()) @ (v - v.mean()))
+
+    null = []
+    for rep in range(1, 21):
+        v = np.empty(150)
+        v[draws.Permutation(3, rep, 150, 64).images(np.arange(150))] = table[:, 3]
+        null.append(r2(v))
+    assert got.n == 150 and got.r2 == pytest.approx(r2(table[:, 3])) and got.null_mean == pytest.approx(np.mean(null)) and got.null_std == pytest.approx(np.std(null, ddof=1))
+    assert got.p_perm == (1 + sum(s >= got.r2 - 1e-12 for s in null)) / 21
