@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.operators.ordered import join_keys
@@ -238,6 +238,21 @@ class Permutation:
         return self._walk(ranks, once)
 
 
+def all_runs(n_perm: int) -> Column:
+    """A row once per run of AT_ONCE replicates, as `__run`."""
+    return F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // AT_ONCE))).alias("__run")
+
+
+def run_replicates(run: int, n_perm: int, at_once: int) -> range:
+    """Numbers of a run's replicates."""
+    return range(run * at_once + 1, min(n_perm, (run + 1) * at_once) + 1)
+
+
+def run_tasks(n: int, n_perm: int) -> int:
+    """Tasks for the blocks and runs of n rows. A small input is much work: its tasks must not be gathered by their bytes."""
+    return max(1, min(2 * -(-n // RANKS) * -(-n_perm // AT_ONCE), MOST_TASKS))
+
+
 def permuted_blocks(rows: DataFrame, rank: str, n: int, value: str, places: DataFrame, n_perm: int, seed: int, fold, schema: str) -> DataFrame:
     """What `fold` makes of every block of RANKS places and run of AT_ONCE replicates, the values of a replicate being a random permutation.
 
@@ -246,19 +261,14 @@ def permuted_blocks(rows: DataFrame, rank: str, n: int, value: str, places: Data
     8 bytes a value and replicate to the blocks of places, in the order of the values' ranks; both sides find by themselves
     which rank meets which. No row is copied per replicate, and no task holds more than a block and a run.
     """
-    runs = F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // AT_ONCE))).alias("__run")
     n_blocks = -(-n // RANKS)
-    # a small input is much work: its tasks must not be gathered by their bytes
-    tasks = max(1, min(2 * n_blocks * -(-n_perm // AT_ONCE), MOST_TASKS))
-
-    def replicates(run: int) -> range:
-        return range(run * AT_ONCE + 1, min(n_perm, (run + 1) * AT_ONCE) + 1)
+    runs, tasks = all_runs(n_perm), run_tasks(n, n_perm)
 
     def send(table: pa.Table) -> pa.Table:
         table = table.sort_by("__i")
         run = table.column("__run")[0].as_py()
         ranks, values = table.column("__i").to_numpy(), table.column("__y").to_numpy()
-        target = np.stack([Permutation(seed, rep, n, RANKS).images(ranks) // RANKS for rep in replicates(run)])
+        target = np.stack([Permutation(seed, rep, n, RANKS).images(ranks) // RANKS for rep in run_replicates(run, n_perm, AT_ONCE)])
         order = np.argsort(target, axis=1, kind="stable")
         counts = np.stack([np.bincount(t, minlength=n_blocks) for t in target])
         starts = np.cumsum(counts, axis=1) - counts
@@ -276,7 +286,7 @@ def permuted_blocks(rows: DataFrame, rank: str, n: int, value: str, places: Data
         sent = sent.sort_by("__from")
         block, run = (sent.column(c)[0].as_py() for c in ("__block", "__run"))
         ranks = np.arange(block * RANKS, min(n, (block + 1) * RANKS))
-        reps = replicates(run)
+        reps = run_replicates(run, n_perm, AT_ONCE)
         parts: list[list[np.ndarray]] = [[] for _ in reps]
         for counts, values in zip(sent.column("__counts"), sent.column("__values")):
             ends = np.cumsum(np.frombuffer(counts.as_buffer(), np.int32))

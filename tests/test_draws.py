@@ -176,3 +176,34 @@ def test_spatial_trend_of_blocks_is_that_of_whole_permutations(spark, monkeypatc
         null.append(r2(v))
     assert got.n == 150 and got.r2 == pytest.approx(r2(table[:, 3])) and got.null_mean == pytest.approx(np.mean(null)) and got.null_std == pytest.approx(np.std(null, ddof=1))
     assert got.p_perm == (1 + sum(s >= got.r2 - 1e-12 for s in null)) / 21
+
+
+def test_neighbour_null_is_that_of_whole_permutations(spark, monkeypatch):
+    """Blocks that need each other's values give the scores of whole vectors; replicates are no rows."""
+    for name, to in (("RANKS", 32), ("AT_ONCE", 7)):
+        monkeypatch.setattr(draws, name, to)
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, rng.normal(size=4)), i % 3) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, v double, fold int").repartition(3)
+    got = R.knn_cv_r2(df, "id", ["x", "y", "z"], "v", "fold", 4, 1.0, 20, 6).first()
+    table = np.array([r[1:5] for r in rows])
+    far = np.sqrt(((table[:, None, :3] - table[None, :, :3]) ** 2).sum(-1))
+    far[np.arange(120)[:, None] % 3 == np.arange(120) % 3] = np.inf
+    near = np.argsort(far, axis=1)[:, :4]
+    share = 1 / np.take_along_axis(far, near, 1)
+    share /= share.sum(1, keepdims=True)
+
+    def r2(v):
+        return 1 - ((v - (share * v[near]).sum(1)) ** 2).sum() / ((v - v.mean()) ** 2).sum()
+
+    low, high = table[:, :3].min(0), table[:, :3].max(0)
+    steps = np.floor((table[:, :3] - low) * ((2**16 - 1) / (high - low))).astype(np.int64)
+    curve = sum((steps[:, i] >> bit & 1) << (3 * bit + i) for bit in range(16) for i in range(3))
+    ranks = np.argsort(curve, kind="stable")
+    null = []
+    for rep in range(1, 21):
+        v = np.empty(120)
+        v[ranks[draws.Permutation(6, rep, 120, 32).images(np.arange(120))]] = table[ranks, 3]
+        null.append(r2(v))
+    assert got.n == 120 and got.r2_cv == pytest.approx(r2(table[:, 3]))
+    assert got.p_perm == (1 + sum(s >= got.r2_cv for s in null)) / 21
