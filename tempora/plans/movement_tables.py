@@ -14,6 +14,7 @@ from tempora.plans.catalog import query
 from tempora.plans.time_joins import (
     ANNOTATED, FIRST_MOVEMENT, FIRSTS, INTERRUPTED, NEAREST, annotated, flagged, licked, linked_licks,
 )
+from tempora.session import scratch_root
 
 MOVE = ["session", "movement_id"]
 TRIAL = ["session", "trial"]
@@ -454,10 +455,9 @@ FROM j GROUP BY ALL""", "avg_movement_duration med_movement_duration", digits=4)
 def segmentation_sweep(b):
     from tempora.operators.ordered import quantiles
 
-    swept = G.segmentation_sweep(b.masked, S, "frame", "t", F.col("x").isNotNull(), range(1, 26), b.frame_width)
-    moves = swept.groupBy("max_dropped", *MOVE).agg(
-        F.count_if(F.col("kind") == "click").alias("lick_count"), (F.max("t") - F.min("t")).alias("duration")
-    )
+    scratch_root(b.spark)
+    moves = G.swept_movements(b.masked, S, "frame", "t", F.col("x").isNotNull(), range(1, 26), F.col("kind") == "click", b.frame_width)
+    moves = moves.withColumnRenamed("n", "lick_count").checkpoint()
     n_licks = b.licks.agg(F.count(F.lit(1))).scalar()
     stats = moves.groupBy("max_dropped").agg(
         F.count(F.lit(1)).alias("total_movements"), F.sum("lick_count").alias("__l"),

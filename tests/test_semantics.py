@@ -295,3 +295,21 @@ def test_classifier_scores_rows_out_of_fold_and_keeps_gaps(spark):
     assert [r.i for r in listed] == [r.i for r in below[:5]]
     one_class, none = R.classify_sessions(df.where("good"), ["a", "b"], "good", "i", trees=2, folds=2)
     assert math.isnan(none) and {r.pred_p_good for r in one_class.collect()} == {None}
+
+
+@pytest.mark.parametrize("width", [None, 7.0])
+def test_swept_movements_are_those_of_the_frames(spark, width):
+    """A setting repeats starts of movements only, and the movements are those of frames segmented once per setting."""
+    import numpy as np
+
+    from tempora.operators import segment
+
+    rng = np.random.default_rng(5)
+    rows = [(s, f, f / 10 + float(rng.random()) / 20, bool(rng.random() < 0.5), bool(rng.random() < 0.4)) for s in ("a", "b", None) for f in range(60)]
+    rows += [("none", f, f / 10, False, True) for f in range(5)] + [("gap", 0, 0.0, None, True), ("gap", 1, 0.1, True, None), ("gap", 9, 0.9, True, True)]
+    df = spark.createDataFrame(rows, "s string, f long, t double, v boolean, c boolean").repartition(4)
+    frames = segment.segmentation_sweep(df, ["s"], "f", "t", F.col("v"), range(1, 6), width)
+    want = frames.groupBy("max_dropped", "s", "movement_id").agg(F.min("f"), F.max("t") - F.min("t"), F.count_if("c")).drop("movement_id")
+    got = segment.swept_movements(df, ["s"], "f", "t", F.col("v"), range(1, 6), F.col("c"), width)
+    a, b = (sorted(((m, str(s), f, round(d, 9), n) for m, s, f, d, n in x.collect())) for x in (want, got))
+    assert a == b and len(a) > 20
