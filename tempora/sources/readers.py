@@ -73,9 +73,9 @@ def sync_timebase(tracks: DataFrame, timebase: DataFrame, keys: Sequence[str], f
 
 
 def scan_session_parquet(spark: SparkSession, root: str, table: str, label_pattern: str | None = None) -> DataFrame:
-    """One table of every session under `root/session=*/`; with a pattern the file stem gives a
-    `keypoint` label. Partition pruning, pushdown and column pruning apply."""
-    df = spark.read.option("basePath", root).parquet(f"{root}/session=*/{table}*")
+    """One table of every session, in files under `root/session=*/` or, with the session as a column, under `root` itself; with a pattern
+    the file stem gives a `keypoint` label. Partition pruning, pushdown and column pruning apply."""
+    df = spark.read.option("basePath", root).parquet(f"{root}/{{session=*/{table}*,{table}*}}")
     if label_pattern is None:
         return df
     return df.withColumn("keypoint", F.regexp_extract(F.col("_metadata.file_path"), label_pattern, 1))

@@ -313,3 +313,14 @@ def test_swept_movements_are_those_of_the_frames(spark, width):
     got = segment.swept_movements(df, ["s"], "f", "t", F.col("v"), range(1, 6), F.col("c"), width)
     a, b = (sorted(((m, str(s), f, round(d, 9), n) for m, s, f, d, n in x.collect())) for x in (want, got))
     assert a == b and len(a) > 20
+
+
+def test_session_tables_are_few_files_in_either_layout(spark, tmp_path):
+    """As many files as the bytes ask for, not as there are sessions; a folder a session is still read."""
+    df = spark.range(3000).select(F.concat(F.lit("s"), F.col("id") % 500).alias("session"), "id")
+    sinks.write_session_tables(df, f"{tmp_path}/new")
+    df.where("id < 40").write.partitionBy("session").parquet(f"{tmp_path}/old")
+    assert len(list((tmp_path / "new").rglob("*.parquet"))) <= 16
+    for name, want in (("new", 3000), ("old", 40)):
+        got = readers.scan_session_parquet(spark, f"{tmp_path}/{name}", "part").select("session", "id").collect()
+        assert sorted(map(tuple, got)) == sorted((f"s{i % 500}", i) for i in range(want))
