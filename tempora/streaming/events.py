@@ -23,45 +23,65 @@ def stream_rates(events: DataFrame, keys: Sequence[str], ts: str, size: str, sli
     ).select(*keys, F.col("w.start").alias("window_start"), "n")
 
 
+#: Rows of a state entry or of a block of output.
+ENTRY_ROWS = 10_000
+
+
 class LastCue(StatefulProcessor):
     """Tags the rows of a session with the latest cue at or before them, second by second.
 
-    Rows wait in a map by second; a second's timer fires once the watermark has passed its end, and then
-    only the rows of this second are read and emitted. So a row is out exactly if the watermark has passed its second.
+    What a session gets in a batch waits as one list entry of arrays, with one timer for its earliest second. Once the watermark
+    has reached the end of that second, all rows whose second has ended are read, sorted and emitted at once; the others
+    go back with the next timer. So a row is out exactly if the watermark has reached the end of its second, and a session
+    costs a few state calls a batch, however many rows it has.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last_cue", "trial bigint")
-        self.open = handle.getMapState("open", "second bigint", "event_ids array<bigint>, micros array<bigint>, cues array<boolean>")
+        self.open = handle.getListState("open", "event_ids array<bigint>, micros array<bigint>, cues array<boolean>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
+    def _wake(self, micros: int) -> None:
+        """A timer fires only once the watermark is beyond it, so it stands a millisecond before the second ends."""
+        self.handle.registerTimer((micros // 1_000_000 + 1) * 1000 - 1)
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        first = None
         for batch in rows:
-            for second, part in batch.groupby(batch["micros"] // 1_000_000):
-                at, held = (int(second),), ([], [], [])
-                if self.open.exists() and self.open.containsKey(at):
-                    held = tuple(list(x) for x in self.open.getValue(at))
-                new = (part["event_id"].tolist(), part["micros"].tolist(), part["is_cue"].tolist())
-                self.open.updateValue(at, tuple(old + more for old, more in zip(held, new)))
-                self.handle.registerTimer((at[0] + 1) * 1000)
-        yield pd.DataFrame({"session": [], "event_id": [], "trial": []}).astype("int64")
+            micros = batch["micros"].tolist()
+            self.open.appendValue((batch["event_id"].tolist(), micros, batch["is_cue"].tolist()))
+            first = min(micros) if first is None else min(first, *micros)
+        if first is not None:
+            self._wake(first)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        import numpy as np
         import pandas as pd
 
-        at = (expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1,)
-        event_ids, micros, cues = self.open.getValue(at)
-        self.open.removeKey(at)
-        trial = self.last.get()[0] if self.last.exists() else -1
-        out = []
-        for _, no_cue, event_id in sorted(zip(micros, (not c for c in cues), event_ids)):
-            trial += not no_cue
-            out.append((key[0], event_id, trial))
-        if any(cues):
-            self.last.update((trial,))
-        yield pd.DataFrame(out, columns=["session", "event_id", "trial"]).astype("int64")
+        held = [(np.array(e, "int64"), np.array(m, "int64"), np.array(c, "bool")) for e, m, c in self.open.get()]
+        if not held:
+            return
+        event_ids, micros, cues = (np.concatenate(x) for x in zip(*held))
+        due = (micros // 1_000_000 + 1) * 1000 <= timerValues.getCurrentWatermarkInMs()
+        if not due.any():
+            self._wake(int(micros.min()))
+            return
+        if due.all():
+            self.open.clear()
+        else:
+            later = np.flatnonzero(~due)
+            parts = [later[i : i + ENTRY_ROWS] for i in range(0, len(later), ENTRY_ROWS)]
+            self.open.put([(event_ids[i].tolist(), micros[i].tolist(), cues[i].tolist()) for i in parts])
+            self._wake(int(micros[later].min()))
+            event_ids, micros, cues = event_ids[due], micros[due], cues[due]
+        order = np.lexsort((event_ids, ~cues, micros))
+        trial = (self.last.get()[0] if self.last.exists() else -1) + np.cumsum(cues[order])
+        if cues.any():
+            self.last.update((int(trial[-1]),))
+        for i in range(0, len(order), ENTRY_ROWS):
+            part = order[i : i + ENTRY_ROWS]
+            yield pd.DataFrame({"session": key[0], "event_id": event_ids[part], "trial": trial[i : i + ENTRY_ROWS]})
 
     def close(self) -> None:
         pass
@@ -69,7 +89,7 @@ class LastCue(StatefulProcessor):
 
 def stream_asof_trial(events: DataFrame, ts: str, watermark: str) -> DataFrame:
     """(session, event_id, trial) with -1 before the first cue, emitted once the watermark has
-    passed the event's second. `events` has session, event_id, is_cue and `ts`; needs the RocksDB state
+    reached the end of the event's second. `events` has session, event_id, is_cue and `ts`; needs the RocksDB state
     store."""
     rows = events.withWatermark(ts, watermark).withColumn("micros", F.unix_micros(F.col(ts)))
     return rows.groupBy("session").transformWithStateInPandas(

@@ -324,3 +324,66 @@ def test_session_tables_are_few_files_in_either_layout(spark, tmp_path):
     for name, want in (("new", 3000), ("old", 40)):
         got = readers.scan_session_parquet(spark, f"{tmp_path}/{name}", "part").select("session", "id").collect()
         assert sorted(map(tuple, got)) == sorted((f"s{i % 500}", i) for i in range(want))
+
+
+def test_a_streamed_session_costs_few_state_calls():
+    import pandas as pd
+
+    from tempora.streaming.events import LastCue
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("appendValue", "put", "update", "clear"):
+                    self.held = self.held + [args[0]] if name == "appendValue" else list(args[0]) if name == "put" else [args] if name == "update" else []
+                return bool(self.held) if name == "exists" else iter(self.held) if name == "get" and self is handle.open else self.held[0][0] if name == "get" else None
+            return call
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State()
+
+        def getListState(self, name, schema):
+            self.open = State()
+            return self.open
+
+        getMapState = getListState
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            timers.append(at)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    handle, timers, tags = Handle(), [], LastCue()
+    tags.init(handle)
+    rows = pd.DataFrame({"event_id": range(2000), "micros": [1_000_000 * (2000 - i) for i in range(2000)], "is_cue": [i % 10 == 0 for i in range(2000)]})
+    list(tags.handleInputRows((7,), iter([rows]), Now(0)))
+    assert timers == [1999] and len(calls) == 2
+    first = pd.concat(tags.handleExpiredTimer((7,), Now(1_000_000), Now(1999)))
+    assert len(first) == 999 and first["trial"].tolist() == [(i + 1) // 10 - 1 for i in range(999)] and timers[1:] == [1_000_999]
+    rest = pd.concat(tags.handleExpiredTimer((7,), Now(10_000_000), Now(1_000_999)))
+    assert len(rest) == 1001 and rest["trial"].iloc[-1] == 199 and rest["event_id"].iloc[-1] == 0 and len(calls) < 20
+
+
+def test_streamed_rows_are_out_at_the_end_of_their_second(spark, tmp_path):
+    from tempora.plans import streams
+
+    moments = [(1, 1, "signup", 10.5), (1, 2, "view", 10.25), (2, 3, "view", 9.0), (2, 4, "signup", 11.0), (3, 5, "view", 3611.0), (1, 6, "view", 10.75)]
+    rows = [(e, s, k, t) for s, e, k, t in moments]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, t double").withColumn("ts", F.timestamp_micros((F.col("t") * 1_000_000).cast("bigint")))
+    folder = tmp_path / "parts"
+    events.coalesce(1).drop("t").write.parquet(str(folder))
+    next(folder.glob("part-*.parquet")).rename(tmp_path / "events.parquet")
+    from tempora.plans.bindings import Tables
+
+    got = sorted(map(tuple, streams.stream_asof_trial(Tables(spark, str(tmp_path))).collect()))
+    assert got == [(1, 1, 0), (1, 2, -1), (1, 6, 0), (2, 3, -1)]
