@@ -19,14 +19,22 @@ WITH_TRIAL = "Trial start"
 LISTED_NAME = r"^(.*)_videoprocessed_(\d{4}-\d{2}-\d{2})_(\d{2}-\d{2}-\d{2})$"
 
 
-def scan_keypoints(spark: SparkSession, path: str, session: Column | None = None, header: str | None = None) -> DataFrame:
+def _lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """(path, value) of every line in the files of a folder, or of a table of packed files."""
+    if isinstance(path, DataFrame):
+        return path.select("path", "value")
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def scan_keypoints(spark: SparkSession, path: str | DataFrame, session: Column | None = None, header: str | None = None) -> DataFrame:
     """Track CSVs with three header rows (scorer, keypoint, coordinate) in long form.
 
     Every file is read by its own header, so files may have other keypoints or another order; one without header rows is
     read by those of the file `header`. Data rows are those that start with a number. A cell that is missing or is no number
-    is null, as are the coordinates a header does not name. Files with neither header give no rows.
+    is null, as are the coordinates a header does not name. Files with neither header give no rows. `path` is a folder, or a
+    table of packed files (`sinks.write_packed`), which spares a file per session.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("__file"), "value")
+    lines = _lines(spark, path).withColumnRenamed("path", "__file")
     heads = _track_headers(lines)
     rows = lines.where(F.col("value").rlike(r"^\d+(,|$)")).join(heads, "__file", "left")
     if header is not None:

@@ -387,3 +387,22 @@ def test_streamed_rows_are_out_at_the_end_of_their_second(spark, tmp_path):
 
     got = sorted(map(tuple, streams.stream_asof_trial(Tables(spark, str(tmp_path))).collect()))
     assert got == [(1, 1, 0), (1, 2, -1), (1, 6, 0), (2, 3, -1)]
+
+
+def test_packed_tracks_read_like_files(spark, tmp_path):
+    from tempora.plans import files
+    from tempora.plans.bindings import Tables
+
+    names = [f"behavior_{i}_2024-01-02_03-04-05" for i in range(3)]
+    texts = ["scorer,m,m,m\nbodyparts,jaw,jaw,jaw\ncoords,x,y,likelihood\n0,1,2,0.9\n", "scorer,m,m,m\nbodyparts,tip,tip,tip\ncoords,y,x,likelihood\n0,3,4,0.8\n1,nan\n", "5,6,7,0.1\n"]
+    for name, text in zip(names, texts):
+        (tmp_path / "tree" / name).mkdir(parents=True)
+        (tmp_path / "tree" / name / "tracks.csv").write_text(text)
+    lines = [(f"{name}/tracks.csv", line) for name, text in zip(names, texts) for line in text.splitlines()]
+    sinks.write_packed(spark.createDataFrame(lines, "path string, value string"), str(tmp_path / "packed"))
+    packed = readers.scan_keypoints(spark, spark.read.parquet(str(tmp_path / "packed")), header=str(tmp_path / "tree" / names[0]))
+    plain = readers.scan_keypoints(spark, str(tmp_path / "tree" / "*"), header=str(tmp_path / "tree" / names[0]))
+    assert sorted(map(str, packed.collect())) == sorted(map(str, plain.collect())) and packed.count() == 4
+    root = files.track_files(Tables(spark, "/root/testdata/sf0.001"))
+    assert spark.read.parquet(root).select("path").distinct().count() > 10  # sessions
+    assert spark.read.parquet(root).select(F.input_file_name()).distinct().count() < 5
