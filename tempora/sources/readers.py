@@ -114,11 +114,9 @@ def flatten_percentiles(reports: DataFrame, metrics: Sequence[str], pcts: Sequen
     return reports.select(*[c for c in reports.columns if c != "percentiles"], *[value(m, p) for m in metrics for p in pcts])
 
 
-def scan_kv_text(spark: SparkSession, path: str, fields: Mapping[str, str], camera: str = r"([A-Za-z]+)_stats\.txt$") -> DataFrame:
-    """'Key: value' files as one row per file with typed columns named by `fields`."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.split("value", ":", 2).alias("kv")
-    ).where(F.size("kv") == 2)
+def scan_kv_text(spark: SparkSession, path: str | DataFrame, fields: Mapping[str, str], camera: str = r"([A-Za-z]+)_stats\.txt$") -> DataFrame:
+    """'Key: value' files as one row per file with typed columns named by `fields`; `path` is a folder or a table of packed files."""
+    lines = _lines(spark, path).select("path", F.split("value", ":", 2).alias("kv")).where(F.size("kv") == 2)
     key, value = F.trim(F.get("kv", F.lit(0))), F.trim(F.get("kv", F.lit(1))).try_cast("double")
     return lines.groupBy("path").agg(*[F.max(F.when(key == k, value)).alias(n) for k, n in fields.items()]).withColumns({
         "session": session_from_path(F.col("path")), "camera": F.regexp_extract("path", camera, 1),

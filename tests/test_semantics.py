@@ -406,3 +406,25 @@ def test_packed_tracks_read_like_files(spark, tmp_path):
     root = files.track_files(Tables(spark, "/root/testdata/sf0.001"))
     assert spark.read.parquet(root).select("path").distinct().count() > 10  # sessions
     assert spark.read.parquet(root).select(F.input_file_name()).distinct().count() < 5
+
+
+def test_packed_key_values_read_like_files(spark, tmp_path, monkeypatch):
+    from tempora.plans import files
+    from tempora.plans.bindings import Tables
+
+    texts = {"behavior_1_2024-01-02_03-04-05/side_stats.txt": "Frames: 7\nMean: 1.5\nnote", "behavior_2_2024-01-02_03-04-05/bottom_stats.txt": "Frames: x\nMean : 2: 3\nFrames: 4"}
+    for name, text in texts.items():
+        (tmp_path / "tree" / name).parent.mkdir(parents=True)
+        (tmp_path / "tree" / name).write_text(text)
+    lines = [(name, line) for name, text in texts.items() for line in text.splitlines()]
+    sinks.write_packed(spark.createDataFrame(lines, "path string, value string"), str(tmp_path / "packed"))
+    fields = {"Frames": "n", "Mean": "m"}
+    got = [
+        sorted(map(tuple, readers.scan_kv_text(spark, source, fields).select("session", "camera", "n", "m").collect()))
+        for source in (str(tmp_path / "tree" / "*"), spark.read.parquet(str(tmp_path / "packed")))
+    ]
+    assert got[0] == got[1] == [("behavior_1_2024-01-02_03-04-05", "side", 7, 1.5), ("behavior_2_2024-01-02_03-04-05", "bottom", 4, None)]
+    root = str(tmp_path / "stats")
+    monkeypatch.setattr(files, "scratch_path", lambda spark, name: root)
+    assert files.scan_kv_text(Tables(spark, "/root/testdata/sf0.001")).count() > 10  # sessions
+    assert spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(root).count() < 10
