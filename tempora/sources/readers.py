@@ -89,10 +89,11 @@ def scan_session_parquet(spark: SparkSession, root: str, table: str, label_patte
     return df.withColumn("keypoint", F.regexp_extract(F.col("_metadata.file_path"), label_pattern, 1))
 
 
-def discover_sessions(spark: SparkSession, root: str, needed: str = "intermediate_data") -> DataFrame:
-    """Session ids that have the data folder, read from file paths without opening a file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    return files.where(F.col("path").contains(f"/{needed}/")).select(
+def discover_sessions(spark: SparkSession, root: str | DataFrame, needed: str = "intermediate_data") -> DataFrame:
+    """Session ids that have the data folder, read from file paths alone: those under a folder, none of which is opened, or the
+    `path` column of a table of packed files."""
+    listed = root if isinstance(root, DataFrame) else spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return listed.select("path").where(F.col("path").contains(f"/{needed}/")).select(
         session_from_path(F.col("path")).alias("session")
     ).where(F.col("session").isNotNull()).distinct()
 

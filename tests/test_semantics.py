@@ -428,3 +428,22 @@ def test_packed_key_values_read_like_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "scratch_path", lambda spark, name: root)
     assert files.scan_kv_text(Tables(spark, "/root/testdata/sf0.001")).count() > 10  # sessions
     assert spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(root).count() < 10
+
+
+def test_sessions_are_found_in_folders_and_packed_files(spark, tmp_path, monkeypatch):
+    from tempora.plans import files
+    from tempora.plans.bindings import Tables
+
+    names = [f"behavior_{i}_2024-01-02_03-04-05/{kind}/a.txt" for i, kind in ((1, "intermediate_data"), (2, "raw"), (3, "intermediate_data"))]
+    names += ["behavior_1_2024-01-02_03-04-05/raw/b.txt", "nobody/intermediate_data/c.txt"]
+    for name in names:
+        (tmp_path / "tree" / name).parent.mkdir(parents=True)
+        (tmp_path / "tree" / name).write_text("x")
+    sinks.write_packed(spark.createDataFrame([(name, "x") for name in names], "path string, value string"), str(tmp_path / "packed"))
+    for root in (str(tmp_path / "tree"), spark.read.parquet(str(tmp_path / "packed"))):
+        got = sorted(r.session for r in readers.discover_sessions(spark, root).collect())
+        assert got == ["behavior_1_2024-01-02_03-04-05", "behavior_3_2024-01-02_03-04-05"]
+    root = str(tmp_path / "found")
+    monkeypatch.setattr(files, "scratch_path", lambda spark, name: root)
+    assert files.discover_sessions(Tables(spark, "/root/testdata/sf0.001")).count() > 5  # sessions
+    assert spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(root).count() < 5
