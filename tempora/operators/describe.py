@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.geometry import clamp
-from tempora.operators.ordered import last_before, numbered, ordered_scan, quantiles, running
+from tempora.operators.ordered import join_keys, last_before, numbered, ordered_scan, quantiles, running
 from tempora.operators.segment import refractory_filter
 from tempora.operators.stats import confusion_rates
 from tempora.operators.timejoin import previous_and_next
+from tempora.sizing import ROWS_PER_CHUNK
 
 
 def percentile_limits(df: DataFrame, columns: Sequence[str], lo: float, hi: float, widths: Mapping[str, float] | None = None) -> dict[str, tuple[Column, Column]]:
@@ -151,6 +152,10 @@ def lognormal_fit(df: DataFrame, session: Sequence[str], rt: str) -> DataFrame:
     )
 
 
+#: Rows of both sides that a task of the detector grid gets, whole sessions at a time.
+GRID_ROWS = 200_000
+
+
 def detector_grid(
     candidates: DataFrame, reference: DataFrame, session: Sequence[str], t: str, distance: str,
     radii: Sequence[float], dead_times: Sequence[float], tolerances: Sequence[float],
@@ -158,11 +163,105 @@ def detector_grid(
 ) -> DataFrame:
     """Rates per (radius, dead time, tolerance), the whole grid in one plan.
 
-    Radius and dead time are key columns of one detector pass. How far each event is from the nearest of the other side does not
-    depend on the tolerance, so it is found once, and tolerances are thresholds on it in one aggregate.
+    How far each event is from the nearest of the other side does not depend on the tolerance, so it is found once, and
+    tolerances are thresholds on it. Sessions meet in tasks that hold each row once and run all detectors over it; only
+    counts per cell leave them. A candidate without a time is none. With `width`, sessions of more than `ROWS_PER_CHUNK` rows go by chunks instead, with radius and dead
+    time as key columns of one detector pass.
     """
+    radii, dead_times, tolerances = ([float(v) for v in values] for values in (radii, dead_times, tolerances))
+    candidates = candidates.where(F.col(t).isNotNull() & ~F.isnan(F.col(t)))
+    own = candidates.select(*session, F.col(t).cast("double").alias("__t"), F.col(distance).cast("double").alias("__d"), F.lit(True).alias("__own"))
+    other = reference.select(*session, F.col(t).cast("double").alias("__t"), F.lit(None).cast("double").alias("__d"), F.lit(False).alias("__own"))
+    rows = own.where(F.col("__d") <= max(radii)).unionByName(other)
+    large = None
+    if width is not None:
+        large = rows.groupBy(*session).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > ROWS_PER_CHUNK).select(*session)
+        rows = join_keys(rows, large, session, "left_anti")
+    tasks = max(1, -(-rows.count() // GRID_ROWS))
+    dealt = rows.withColumn("__task", F.pmod(F.xxhash64(*session), F.lit(tasks)))
+    counted = dealt.groupBy("__task").applyInPandas(
+        lambda part: _grid_counts(part, list(session), radii, dead_times, tolerances),
+        "radius double, dead_time double, __n bigint, __m bigint, __tp array<bigint>, __hits array<bigint>",
+    )
+    if large is not None:
+        counted = counted.unionByName(_grid_counts_by_chunk(
+            join_keys(candidates, large, session, "left_semi"), join_keys(reference, large, session, "left_semi"),
+            session, t, distance, radii, dead_times, tolerances, width,
+        ))
+
+    def summed(name: str) -> Column:
+        return F.array(*[F.sum(F.col(name)[i]) for i in range(len(tolerances))]).alias(name)
+
+    cells = counted.groupBy("radius", "dead_time").agg(F.sum("__n").alias("__n"), F.sum("__m").alias("__m"), summed("__tp"), summed("__hits"))
+    steps = F.posexplode(F.array(*map(F.lit, tolerances))).alias("__k", "tolerance")
+    every = cells.where(F.col("__n") > 0).select("radius", "dead_time", "__n", "__m", "__tp", "__hits", steps)
+    tp, hits = F.col("__tp")[F.col("__k")], F.col("__hits")[F.col("__k")]
+    out = every.select("radius", "dead_time", tp.alias("tp"), (F.col("__m") - hits).alias("fp"), (F.col("__n") - tp).alias("fn"), "tolerance")
+    return out.withColumns(confusion_rates(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def _grid_counts(part, session: list[str], radii: Sequence[float], dead_times: Sequence[float], tolerances: Sequence[float]):
+    """Counts of every cell over the whole sessions of a task. Times are complex numbers, session + i * time, whose order is that of both."""
+    import numpy as np
+    import pandas as pd
+
+    def joined(code, time):
+        both = np.empty(len(time), "complex128")
+        both.real, both.imag = code, time
+        return both
+
+    def nearest(points, others):
+        """Distance in time to the nearest of the sorted `others` in the same session."""
+        if not len(others):
+            return np.full(len(points), np.inf)
+        after = np.searchsorted(others, points, side="right")
+        before, behind = others[np.maximum(after - 1, 0)], others[np.minimum(after, len(others) - 1)]
+        since = np.where((after > 0) & (before.real == points.real), points.imag - before.imag, np.inf)
+        until = np.where((after < len(others)) & (behind.real == points.real), behind.imag - points.imag, np.inf)
+        return np.minimum(since, until)
+
+    def upto(distances):
+        return np.searchsorted(np.sort(distances), tolerances, side="right")
+
+    code = part.groupby(session, dropna=False, sort=False).ngroup().to_numpy()
+    time, own, d = part["__t"].to_numpy("float64"), part["__own"].to_numpy("bool"), part["__d"].to_numpy("float64")
+    n = int((~own).sum())
+    truth = np.sort(joined(code, time)[~own & ~np.isnan(time)])
+    found, d = joined(code, time)[own], d[own]
+    order = np.argsort(found, kind="stable")
+    found, d = found[order], d[order]
+    to_truth, out = nearest(found, truth), []
+    for radius in radii:
+        near = d <= radius
+        at, far = found[near], to_truth[near]
+        size = len(at)
+        starts = np.ones(size, "bool")
+        starts[1:] = at.real[1:] != at.real[:-1]
+        ends = np.searchsorted(at.real, at.real, side="right")
+        for dead_time in dead_times:
+            onward = np.searchsorted(at, joined(at.real, at.imag + dead_time), side="right")
+            # who is kept is whom the first of a session reaches by 'next after the dead time'; jumps double in length
+            jump = np.append(np.where(onward < ends, onward, size), size)
+            kept = np.append(starts, False)
+            while True:
+                reached = jump[np.flatnonzero(kept)]
+                if (kept[reached] | (reached == size)).all():
+                    break
+                kept[reached] = True
+                kept[size] = False
+                jump = jump[jump]
+            kept = kept[:size]
+            out.append((radius, dead_time, n, int(kept.sum()), upto(nearest(truth, at[kept])), upto(far[kept])))
+    return pd.DataFrame(out, columns=["radius", "dead_time", "__n", "__m", "__tp", "__hits"])
+
+
+def _grid_counts_by_chunk(
+    candidates: DataFrame, reference: DataFrame, session: Sequence[str], t: str, distance: str,
+    radii: Sequence[float], dead_times: Sequence[float], tolerances: Sequence[float], width: float,
+) -> DataFrame:
+    """The counts of `_grid_counts` for sessions too large for a task."""
     def listed(values):
-        return F.explode(F.array(*[F.lit(float(v)) for v in values]))
+        return F.explode(F.array(*map(F.lit, values)))
 
     cell = ["radius", "dead_time"]
     on = [*session, *cell]
@@ -174,14 +273,11 @@ def detector_grid(
         both = previous_and_next(own.select(*on, t), other.select(*on, t), on, t, t, {"__p": "__at"}, {"__n": "__at"}, width)
         return both.select(*cell, F.least(F.col(t) - F.col("__p"), F.col("__n") - F.col(t)).alias("__d"))
 
-    within = F.array(*[F.count_if(F.col("__d") <= F.lit(float(x))) for x in tolerances])
-    found = reach(truth, kept).groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"), within.alias("__tp"))
-    spurious = reach(kept, truth).groupBy(*cell).agg(F.count(F.lit(1)).alias("__m"), within.alias("__hits"))
-    steps = F.posexplode(F.array(*[F.lit(float(x)) for x in tolerances])).alias("__k", "tolerance")
-    rows = found.join(spurious, cell, "left").select(*cell, "__n", "__m", "__tp", "__hits", steps)
-    tp, hits = F.col("__tp")[F.col("__k")], F.col("__hits")[F.col("__k")]
-    out = rows.select(*cell, tp.alias("tp"), F.coalesce(F.col("__m") - hits, F.lit(0).cast("bigint")).alias("fp"), (F.col("__n") - tp).alias("fn"), "tolerance")
-    return out.withColumns(confusion_rates(F.col("tp"), F.col("fp"), F.col("fn")))
+    within = F.array(*[F.count_if(F.col("__d") <= F.lit(x)) for x in tolerances])
+    none = F.lit(0).cast("bigint")
+    found = reach(truth, kept).groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"), none.alias("__m"), within.alias("__tp"), F.array_repeat(none, len(tolerances)).alias("__hits"))
+    spurious = reach(kept, truth).groupBy(*cell).agg(none.alias("__n"), F.count(F.lit(1)).alias("__m"), F.array_repeat(none, len(tolerances)).alias("__tp"), within.alias("__hits"))
+    return found.unionByName(spurious)
 
 
 def pivot_mean_argmax(df: DataFrame, row: str, column: str, columns: Sequence, value: str) -> tuple[DataFrame, DataFrame]:

@@ -447,3 +447,39 @@ def test_sessions_are_found_in_folders_and_packed_files(spark, tmp_path, monkeyp
     monkeypatch.setattr(files, "scratch_path", lambda spark, name: root)
     assert files.discover_sessions(Tables(spark, "/root/testdata/sf0.001")).count() > 5  # sessions
     assert spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(root).count() < 5
+
+
+def test_detector_grid_against_brute_force(spark, monkeypatch):
+    radii, dead_times, tolerances = [3.0, 10.0], [0.0, 2.0, 7.5], [0.0, 1.0, 2.5]
+    near = [(s, float((i * 7 + j) % 40) / 2, float((i * 5) % 13)) for j, (s, n) in enumerate((("a", 60), ("b", 9), ("c", 4), (None, 6))) for i in range(n)]
+    truth = [(s, float((i * 11 + j) % 50) / 2) for j, (s, n) in enumerate((("a", 40), ("b", 7), ("d", 3), (None, 5))) for i in range(n)]
+    odd = [("b", 1.0, None), ("b", None, 1.0)]
+    candidates = spark.createDataFrame(near + odd, "s string, t double, d double")
+    reference = spark.createDataFrame(truth + [("b", None)], "s string, t double")
+    want = {}
+    for r in radii:
+        for dead in dead_times:
+            kept = []
+            for s in ("a", "b", "c", None):
+                last = None
+                for x in sorted(x for who, x, d in near if who == s and d <= r):
+                    if last is None or x > last + dead:
+                        kept.append((s, last := x))
+            for tol in tolerances:
+                tp = sum(any(s == k and abs(x - at) <= tol for k, at in kept) for s, x in truth)
+                want[r, dead, tol] = (tp, sum(not any(s == k and abs(x - at) <= tol for s, x in truth) for k, at in kept), len(truth) + 1 - tp)
+
+    def run(width):
+        return D.detector_grid(candidates, reference, ["s"], "t", "d", radii, dead_times, tolerances, width)
+
+    def got(df):
+        return {(r.radius, r.dead_time, r.tolerance): (r.tp, r.fp, r.fn) for r in df.collect()}
+
+    whole = run(None)
+    assert got(whole) == want
+    assert "Window" not in whole._jdf.queryExecution().toString()  # rows are not sorted once per cell
+    monkeypatch.setattr(D, "GRID_ROWS", 10)
+    assert got(run(None)) == want
+    monkeypatch.setattr(D, "ROWS_PER_CHUNK", 30)
+    assert got(run(3.0)) == want
+    assert run(None).where("tp > 0").count() > 0 and D.detector_grid(candidates, reference.where("false"), ["s"], "t", "d", radii, dead_times, tolerances).isEmpty()
