@@ -213,17 +213,20 @@ def lagged(
 
 def tie_ranks(
     df: DataFrame, keys: Sequence[str], value: str, rank: str = "avg_rank",
-    width: float | Measured | None = None, below: str | None = None,
+    width: float | Measured | None = None, below: str | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """Average rank of `value` within `keys`; optionally `below`, the rows at or under it.
 
     Null values get no rank. With `width`, equal values are counted before the shuffle, so a
-    value repeated a billion times is one row in the scan.
+    value repeated a billion times is one row in the scan. Without it a task sorts the rows of whole groups; `tasks` says how
+    many tasks they are dealt to, else Spark gathers as many as its shuffle settings allow.
     """
     extra = [] if below is None else [F.col("__upto").cast("bigint").alias(below)]
     if width is None:
         part = Window.partitionBy(*keys).orderBy(value)
         present = df.where(F.col(value).isNotNull())
+        if tasks is not None:
+            present = present.repartition(tasks, *keys)
         upto = F.count(F.lit(1)).over(part.rangeBetween(Window.unboundedPreceding, 0))
         return present.withColumns({"__upto": upto, "__first": F.rank().over(part)}).select(
             *df.columns, ((F.col("__upto") + F.col("__first")) / 2).alias(rank), *extra

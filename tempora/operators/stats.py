@@ -63,21 +63,21 @@ def fdr_bh(df: DataFrame, keys: Sequence[str], p: str, q: str, width: float | No
     return corrected.unionByName(df.where(~present).withColumn(q, F.lit(None).cast("double")))
 
 
-def ranked_pair(df: DataFrame, on: Sequence[str], x: str, y: str, width: float | None = None) -> DataFrame:
-    """Complete pairs with average ranks `__rx` and `__ry` within the group."""
+def ranked_pair(df: DataFrame, on: Sequence[str], x: str, y: str, width: float | None = None, tasks: int | None = None) -> DataFrame:
+    """Complete pairs with average ranks `__rx` and `__ry` within the group; groups dealt to `tasks` stay so."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return tie_ranks(tie_ranks(pairs, on, x, "__rx", width), on, y, "__ry", width)
+    return tie_ranks(tie_ranks(pairs, on, x, "__rx", width, tasks=tasks), on, y, "__ry", width)
 
 
 def unit_correlations(
     df: DataFrame, on: Sequence[str], x: str, y: str, min_trials: int = 3, alpha: float = 0.05,
-    width: float | None = None, p_width: float | None = None,
+    width: float | None = None, p_width: float | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """Spearman and Pearson r, p, q, flag and t per group; small groups give nulls.
 
-    `width` cuts the ranks of a big group, `p_width` the correction over very many groups.
+    `width` cuts the ranks of a big group, `p_width` the correction over very many groups, `tasks` deals groups to so many tasks.
     """
-    ranked = ranked_pair(df, on, x, y, width)
+    ranked = ranked_pair(df, on, x, y, width, tasks)
     base = ranked.groupBy(*on).agg(
         F.count(F.lit(1)).alias("n_trials"),
         safe_corr(F.col("__rx"), F.col("__ry")).alias("__s"), safe_corr(F.col(x), F.col(y)).alias("__p"),
@@ -187,13 +187,13 @@ def _tie_term(df: DataFrame, on: Sequence[str], value: str) -> DataFrame:
     return counts.groupBy(*on).agg(F.sum(F.col("__t") ** 3 - F.col("__t")).alias("ties"))
 
 
-def mann_whitney(df: DataFrame, on: Sequence[str], value: str, group: Column, width: float | None = None) -> DataFrame:
+def mann_whitney(df: DataFrame, on: Sequence[str], value: str, group: Column, width: float | None = None, tasks: int | None = None) -> DataFrame:
     """U, two-sided p and mean difference of group true vs false.
 
     p is exact without ties where a group has at most 8 rows, else normal with corrections for ties and continuity.
     """
     rows = df.where(F.col(value).isNotNull()).withColumn("__g", group).where(F.col("__g").isNotNull())
-    ranked = tie_ranks(rows, on, value, "__r", width)
+    ranked = tie_ranks(rows, on, value, "__r", width, tasks=tasks)
     sums = ranked.groupBy(*on).agg(
         F.count_if("__g").alias("n1"), F.count_if(~F.col("__g")).alias("n0"),
         F.sum(F.when(F.col("__g"), F.col("__r"))).alias("__s"),
@@ -212,14 +212,14 @@ def mann_whitney(df: DataFrame, on: Sequence[str], value: str, group: Column, wi
     ).drop("__s", "ties")
 
 
-def wilcoxon(df: DataFrame, on: Sequence[str], diff: str, min_n: int = 1, width: float | None = None) -> DataFrame:
+def wilcoxon(df: DataFrame, on: Sequence[str], diff: str, min_n: int = 1, width: float | None = None, tasks: int | None = None) -> DataFrame:
     """Signed-rank test of `diff` against zero; zero differences are dropped first.
 
     p is exact for up to 50 differences where none was zero and no two are equally far from it, else normal.
     """
     present = df.where(F.col(diff).isNotNull())
     rows = present.where(F.col(diff) != 0).withColumn("__a", F.abs(diff))
-    ranked = tie_ranks(rows, on, "__a", "__r", width)
+    ranked = tie_ranks(rows, on, "__a", "__r", width, tasks=tasks)
     sums = ranked.groupBy(*on).agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.when(F.col(diff) > 0, F.col("__r"))), F.lit(0.0)).alias("__w"),
@@ -299,9 +299,12 @@ def ks_two_sample(df: DataFrame, on: Sequence[str], value: str, first: Column, w
     return stats.withColumn("p", P.kolmogorov_p2(F.col("ks"), F.col("n1"), F.col("n0")))
 
 
-def partial_correlation(df: DataFrame, on: Sequence[str], x: str, y: str, z: str, width: float | None = None) -> DataFrame:
-    """Spearman correlation of x and y with z partialled out, n - 3 degrees of freedom."""
-    ranked = tie_ranks(ranked_pair(df.where(F.col(z).isNotNull()), on, x, y, width), on, z, "__rz", width)
+def partial_correlation(df: DataFrame, on: Sequence[str], x: str, y: str, z: str, width: float | None = None, tasks: int | None = None) -> DataFrame:
+    """Spearman correlation of x and y with z partialled out, n - 3 degrees of freedom.
+
+    A task sorts its rows three times; `tasks` deals the groups to so many tasks.
+    """
+    ranked = tie_ranks(ranked_pair(df.where(F.col(z).isNotNull()), on, x, y, width, tasks), on, z, "__rz", width)
     r = {a + b: safe_corr(F.col(f"__r{a}"), F.col(f"__r{b}")).alias(a + b) for a, b in ("xy", "xz", "yz")}
     base = ranked.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), *r.values())
     bottom = F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))

@@ -15,7 +15,7 @@ from tempora.operators.movements import movement_timing
 from tempora.operators.ordered import Measured, numbered
 from tempora.operators.segment import segment_movements
 from tempora.operators.timejoin import asof_backward
-from tempora.sizing import ROWS_PER_CHUNK, chunk_width
+from tempora.sizing import ROWS_PER_CHUNK, TASKS_PER_CHUNK, chunk_width
 
 HOUR, DAY = 3600.0, 86400.0
 S = ["session"]
@@ -47,6 +47,11 @@ class Tables:
             _widths[key] = None if n <= ROWS_PER_CHUNK else -(-n // ROWS_PER_CHUNK)
         return _widths[key]
 
+    def tasks(self, name: str) -> int | None:
+        """Number of tasks to deal the groups of a table to, so that none gets more rows as the table grows."""
+        chunks = self.hash_chunks(name, self.table(name))
+        return None if chunks is None else chunks * TASKS_PER_CHUNK
+
     @cached_property
     def width(self) -> float | None:
         """Chunk width in seconds for scans of events by session."""

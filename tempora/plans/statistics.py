@@ -43,7 +43,7 @@ c2 AS ({T.fdr('c1', 'spearman_p', 'spearman_q')}), c3 AS ({T.fdr('c2', 'pearson_
 WITH {CORRELATED} SELECT *, coalesce(spearman_q < 0.05, false) AS spearman_sig_fdr, coalesce(pearson_q < 0.05, false) AS pearson_sig_fdr FROM c3""",
        "spearman_rho spearman_p spearman_q spearman_t pearson_r pearson_p pearson_q pearson_t")
 def unit_correlations(b):
-    return X.unit_correlations(lines(b), SUPP, "x", "y", width=b.price_width, p_width=b.measured("supplier"))
+    return X.unit_correlations(lines(b), SUPP, "x", "y", width=b.price_width, p_width=b.measured("supplier"), tasks=b.tasks("lineitem"))
 
 
 @query("corr_to_t", f"""
@@ -126,7 +126,7 @@ mw AS (SELECT {on}, n1, n0, mean_diff, z.u, CASE WHEN z.u IS NULL THEN NULL WHEN
 
 @query("mann_whitney", f"WITH RECURSIVE {_mann_whitney('l_extendedprice', 'l_suppkey', "l_linestatus = 'O'")} SELECT * FROM mw", "mean_diff u p", digits=5)
 def mann_whitney(b):
-    return X.mann_whitney(lines(b), SUPP, "y", F.col("l_linestatus") == "O", b.price_width)
+    return X.mann_whitney(lines(b), SUPP, "y", F.col("l_linestatus") == "O", b.price_width, b.tasks("lineitem"))
 
 
 PARTS = ["l_partkey", "l_returnflag"]
@@ -168,7 +168,7 @@ def _wilcoxon(name, source, value, key):
 
 @query("wilcoxon_signed", f"WITH RECURSIVE {LINES}, c AS (SELECT l_suppkey, q - 25 AS diff FROM li), {_wilcoxon('wx', 'c', 'diff', 'l_suppkey')} SELECT * FROM wx", "w p")
 def wilcoxon_signed(b):
-    return X.wilcoxon(lines(b).withColumn("diff", F.col("q") - 25), SUPP, "diff", 1, b.price_width)
+    return X.wilcoxon(lines(b).withColumn("diff", F.col("q") - 25), SUPP, "diff", 1, b.price_width, b.tasks("lineitem"))
 
 
 @query("wilcoxon_exact", f"WITH RECURSIVE c AS (SELECT l_partkey, l_returnflag, l_extendedprice - 20000 AS diff FROM lineitem), {_wilcoxon('wx', 'c', 'diff', 'l_partkey, l_returnflag')} SELECT * FROM wx", "w p")
@@ -231,7 +231,7 @@ c AS (SELECT l_suppkey, count(*) AS n, {_corr('rx', 'ry')} AS xy, {_corr('rx', '
 p AS (SELECT l_suppkey, n, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS r FROM c)
 SELECT *, r * sqrt((n - 3) / (1 - r * r)) AS t, {T.corr_p('r', 'n', 3)} AS p FROM p""", "r t p")
 def partial_correlation(b):
-    return X.partial_correlation(lines(b), SUPP, "x", "y", "d", b.price_width)
+    return X.partial_correlation(lines(b), SUPP, "x", "y", "d", b.price_width, b.tasks("lineitem"))
 
 
 @query("confusion_rates", """

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 2_000_000
+#: Whole groups are dealt to so many tasks per chunk's worth of rows, where a task sorts its rows more than once.
+TASKS_PER_CHUNK = 4
 _REFINEMENTS = 8
 
 

@@ -483,3 +483,21 @@ def test_detector_grid_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(D, "ROWS_PER_CHUNK", 30)
     assert got(run(3.0)) == want
     assert run(None).where("tp > 0").count() > 0 and D.detector_grid(candidates, reference.where("false"), ["s"], "t", "d", radii, dead_times, tolerances).isEmpty()
+
+
+def test_groups_to_rank_are_dealt_by_the_size_of_the_table(spark, monkeypatch):
+    from tempora.plans import bindings, statistics
+
+    def rows(plan):
+        return sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in plan.collect())
+
+    plans = [statistics.partial_correlation, statistics.mann_whitney, statistics.wilcoxon_signed]
+    whole = [rows(p(bindings.Tables(spark, "/root/testdata/sf0.001"))) for p in plans]
+    monkeypatch.setattr(bindings, "_widths", {})
+    monkeypatch.setattr(bindings, "ROWS_PER_CHUNK", 2000)
+    tables = bindings.Tables(spark, "/root/testdata/sf0.001")
+    n = -(-tables.lineitem.count() // 2000) * 4
+    for plan, want in zip(plans, whole):
+        out = plan(tables)
+        assert f", {n}), REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()  # not gathered again into few tasks
+        assert rows(out) == want
